@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, simhash, tokens
+from tidemark.llm import additive, chat, line_dedup, packing, quality, secrets, simhash, tokens, warc
 from tidemark.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -27,16 +27,42 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.render(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "part", "n_turns", F.char_length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digests(docs, secrets.train(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"), width=3, radius=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model).select("doc_id", "score")
+    return scored.select("doc_id", F.coalesce(quality.held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), RANKS, PATTERN))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op5_simhash, op8_packing)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_history(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_chat, op4_secrets, op5_simhash, op6_additive, op7_quality, op8_packing, op9_warc)}
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": """
@@ -47,4 +73,21 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE first_doc <> doc_id) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE first_doc IS NULL OR first_doc = doc_id), '')) AS kept_sha256
 FROM lines LEFT JOIN firsts USING (key) GROUP BY doc_id""",
+    "op3_chat": """
+WITH turns AS (
+    SELECT conv_id, role, text, row_number() OVER own AS place FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+    WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), so_far AS (
+    SELECT conv_id, place, max(place) OVER (PARTITION BY conv_id) AS n, string_agg(role || chr(1) || text, chr(2)) OVER (PARTITION BY conv_id ORDER BY place) AS said FROM turns
+), kept AS (
+    SELECT min(conv_id) AS conv_id FROM so_far w WHERE place = n AND NOT EXISTS (SELECT 1 FROM so_far i WHERE i.place = w.place AND i.n > i.place AND i.said = w.said) GROUP BY said
+)
+SELECT conv_id, (place - 1) // 1024 AS part, count(*) AS n_turns, sum(length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))) AS n_chars,
+    sha256(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place)) AS rendered_sha256
+FROM turns WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id, part""",
+    "op9_warc": """
+WITH sized AS (SELECT page_id, sha1(encode(coalesce(html, ''))) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+held AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS holder FROM sized)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN holder <> page_id THEN holder END AS refers_to FROM held""",
 }
