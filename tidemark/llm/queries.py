@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import additive, chat, line_dedup, packing, quality, secrets, simhash, tokens, warc
+from tidemark.llm import additive, chat, line_dedup, media, packing, quality, secrets, simhash, tokens, warc
 from tidemark.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -62,7 +62,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_chat, op4_secrets, op5_simhash, op6_additive, op7_quality, op8_packing, op9_warc)}
+def op10_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has images, so the pictures are of the documents' pages, made from their whole texts."""
+    found = media.copy_groups(media.page_images(table(spark, sf_dir, "documents")))
+    return found.select(F.col("image_id").alias("doc_id"), "n_corners", "group_id", "n_links")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_chat, op4_secrets, op5_simhash, op6_additive, op7_quality, op8_packing, op9_warc, op10_images)}
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": """
