@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from tidemark.queries import sales
+    from tidemark.queries import products, sales
 
-    modules = [sales]
+    modules = [sales, products]
     queries: dict[str, Query] = {}
     oracles: dict[str, str] = {}
     for m in modules:
