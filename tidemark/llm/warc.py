@@ -1,7 +1,7 @@
 """WARC archives of page captures, with revisit records for equal payloads, and a globally ordered capture index.
 
 Records are written and read by Spark's text source, with the end of a record and the start of the next as separators, so
-archives are split like any other input and can lie in any store. The index is merged externally: tasks sort runs of
+archives can lie in any store. An archive is compressed and read by one task, and its number of records is bounded. The index is merged externally: tasks sort runs of
 captures, runs are dealt by ranges of (URL key, timestamp, id), and each range merges its runs with a loser tree.
 """
 
@@ -70,9 +70,9 @@ def records(captures: DataFrame) -> DataFrame:
     )
 
 
-def write(captures: DataFrame, path: str) -> None:
-    """Archives in the folder `path`; a part file of Spark's is an archive of whole records."""
-    records(captures).write.option("lineSep", 2 * CRLF).text(path)
+def write(captures: DataFrame, path: str, most_records: int = 20_000) -> None:
+    """Archives in the folder `path`; a part file of Spark's is an archive of at most `most_records` whole records."""
+    records(captures).write.options(lineSep=2 * CRLF, compression="gzip", maxRecordsPerFile=most_records).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
