@@ -1,0 +1,255 @@
+"""Models that are fitted to each series: one task a (level, series, cutoff), all models of a task in one call.
+
+A model is a function of the training values and dates and of the future dates; it works on log1p of the values, and
+what it gives is clipped at 0. Fits are small and bounded: fixed grids, ridge regressions, short gradient steps.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.plans.backtest import TASK, horizon_month
+
+
+@dataclass(frozen=True)
+class ForecastModel:
+    """fn(y, ds, future, params) -> forecasts; ds and future are datetime64[D]; values on the scale of y."""
+
+    name: str
+    complexity: int
+    family: str
+    explanation: str
+    fn: Callable[[np.ndarray, np.ndarray, np.ndarray, dict], np.ndarray]
+    params: dict = field(default_factory=dict)
+    full_history: bool = False
+
+
+def _days(d: np.ndarray) -> np.ndarray:
+    return d.astype("datetime64[D]").astype(np.int64)
+
+
+def _year_angle(d: np.ndarray) -> np.ndarray:
+    years = d.astype("datetime64[Y]").astype("datetime64[D]")
+    return 2 * np.pi * (_days(d) - _days(years) + 1) / 365.25
+
+
+def _fourier(d: np.ndarray, order: int) -> np.ndarray:
+    a = _year_angle(d)
+    return np.stack([f(k * a) for k in range(1, order + 1) for f in (np.sin, np.cos)], axis=1)
+
+
+def _events(d: np.ndarray, step: int) -> np.ndarray:
+    """Black Friday, year end and month start within each step of days."""
+    out = np.zeros((len(d), 3))
+    for k in range(step):
+        x = d + np.timedelta64(k, "D")
+        month = x.astype("datetime64[M]").astype(np.int64) % 12 + 1
+        day = (x - x.astype("datetime64[M]").astype("datetime64[D]")).astype(np.int64) + 1
+        november = x.astype("datetime64[Y]").astype("datetime64[M]") + 10
+        first = november.astype("datetime64[D]")
+        friday = first + ((3 - (_days(first) + 3) % 7) % 7 + 22).astype("timedelta64[D]")
+        out[:, 0] += np.abs((x - friday).astype(np.int64)) <= 3
+        out[:, 1] += ((month == 12) & (day >= 20)) | ((month == 1) & (day <= 2))
+        out[:, 2] += day <= 5
+    return out / step
+
+
+def _ridge(x: np.ndarray, y: np.ndarray, strength: np.ndarray | float) -> np.ndarray:
+    return np.linalg.solve(x.T @ x + np.diag(np.broadcast_to(strength, x.shape[1])), x.T @ y)
+
+
+def holt_winters(y, ds, future, p):
+    """Damped additive trend, and an additive season if the series is long enough; smoothing factors from a coarse grid.
+    The grid is run side by side, one column for each choice of factors."""
+    v, m = np.log1p(y), p.get("season", 0)
+    m = m if m and len(v) >= 2 * m + 2 else 0
+    grid = np.array([(a, b, g, d) for a in (0.1, 0.3, 0.6, 0.9) for b in (0.0, 0.05, 0.2) for g in ((0.05, 0.2) if m else (0.0,)) for d in (0.8, 0.95)]).T
+    a, b, g, d = grid
+    level = np.full(len(a), v[: m or 2].mean())
+    trend = np.zeros(len(a))
+    season = np.repeat((v[:m] - v[:m].mean())[:, None], len(a), axis=1) if m else np.zeros((1, len(a)))
+    error = np.zeros(len(a))
+    for t, x in enumerate(v):
+        s = season[t % m] if m else 0.0
+        hat = level + d * trend + s
+        error += (x - hat) ** 2 if t >= m else 0.0
+        new = a * (x - s) + (1 - a) * (level + d * trend)
+        trend = b * (new - level) + (1 - b) * d * trend
+        level = new
+        if m:
+            season[t % m] = g * (x - level) + (1 - g) * s
+    k = int(np.argmin(error))
+    h = np.arange(1, len(future) + 1)
+    damp = d[k] * (1 - d[k] ** h) / (1 - d[k])
+    s = season[(len(v) + h - 1) % m, k] if m else 0.0
+    return np.expm1(level[k] + damp * trend[k] + s)
+
+
+def arima(y, ds, future, p):
+    """ARIMA orders of a small grid by conditional least squares: a long autoregression gives the shocks, then one regression
+    on lags and shocks. The order of the lowest AIC forecasts; a constant only without differences."""
+    v = np.log1p(y)
+    best = None
+    for ar, diff, ma in p.get("grid", ((1, 0, 0), (2, 0, 0), (0, 1, 1), (1, 1, 0), (1, 1, 1), (2, 1, 1))):
+        z = np.diff(v, diff) if diff else v
+        n, lags = len(z), max(ar, ma, 1)
+        if n < 4 * lags + 8:
+            continue
+        long = min(8, n // 4)
+        x = np.stack([z[long - k - 1 : n - k - 1] for k in range(long)], axis=1)
+        shocks = np.concatenate([np.zeros(long), z[long:] - x @ _ridge(x, z[long:], 1e-3)])
+        cols = [z[lags - k - 1 : n - k - 1] for k in range(ar)] + [shocks[lags - k - 1 : n - k - 1] for k in range(ma)] + ([np.ones(n - lags)] if not diff else [])
+        x = np.stack(cols, axis=1)
+        w = _ridge(x, z[lags:], 1e-4)
+        rest = z[lags:] - x @ w
+        aic = len(rest) * np.log(max((rest**2).mean(), 1e-12)) + 2 * (len(w) + 1)
+        if best is None or aic < best[0]:
+            best = aic, ar, diff, ma, w, z, np.concatenate([np.zeros(lags), rest])
+    if best is None:
+        raise ValueError("too short for every order")
+    _, ar, diff, ma, w, z, rest = best
+    z, rest = list(z), list(rest)
+    for _ in future:
+        row = [z[-k - 1] for k in range(ar)] + [rest[-k - 1] for k in range(ma)] + ([1.0] if not diff else [])
+        z.append(float(np.clip(np.dot(row, w), -50, 50)))
+        rest.append(0.0)
+    tail = np.array(z[-len(future) :])
+    return np.expm1(np.clip(v[-1] + np.cumsum(tail) if diff else tail, 0, 50))
+
+
+def _step(ds: np.ndarray) -> int:
+    return int(np.median(np.diff(_days(ds)))) if len(ds) > 1 else 1
+
+
+def calendar_regression(y, ds, future, p):
+    """Annual Fourier terms, events and weekdays, with the last error carried on as it dies out."""
+    v, step = np.log1p(y), _step(ds)
+
+    def x(d):
+        parts = [np.ones((len(d), 1)), _fourier(d, p.get("fourier", 3)), _events(d, step), (_days(d) - _days(ds)[-1])[:, None] / 365.25]
+        return np.concatenate([*parts, np.eye(7)[(_days(d) + 3) % 7]] if step == 1 else parts, axis=1)
+
+    a = x(ds)
+    w = _ridge(a, v, p.get("ridge", 0.3))
+    rest = v - a @ w
+    rho = float(np.clip(np.dot(rest[1:], rest[:-1]) / max(np.dot(rest, rest), 1e-12), 0, 0.98))
+    return np.expm1(np.clip(x(future) @ w + rest[-1] * rho ** np.arange(1, len(future) + 1), 0, 50))
+
+
+def trend_season(y, ds, future, p):
+    """A trend with changepoints held by ridge, annual waves only with 547 days of history, weekdays for days, events."""
+    v, step = np.log1p(y), _step(ds)
+    t0, span = _days(ds)[0], max(_days(ds)[-1] - _days(ds)[0], 1)
+    knots = np.linspace(0, 0.8, p.get("changepoints", 12) + 2)[1:-1]
+    annual = span >= 547
+
+    def x(d):
+        t = (_days(d) - t0) / span
+        parts = [np.ones((len(d), 1)), t[:, None], np.maximum(t[:, None] - knots, 0), _events(d, step)]
+        parts += [_fourier(d, 10 if step == 1 else 6)] if annual else []
+        return np.concatenate([*parts, np.eye(7)[(_days(d) + 3) % 7]] if step == 1 else parts, axis=1)
+
+    a = x(ds)
+    strength = np.full(a.shape[1], 0.5)
+    strength[:2], strength[2 : 2 + len(knots)] = 1e-3, 2.0
+    return np.expm1(np.clip(x(future) @ _ridge(a, v, strength), 0, 50))
+
+
+def _boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, z: np.ndarray, rounds: int = 60, rate: float = 0.15) -> np.ndarray:
+    """Boosted stumps for x, y with weights; predictions for z."""
+    base = np.average(y, weights=weight)
+    rest, out = y - base, np.full(len(z), base)
+    order = np.argsort(x, axis=0, kind="stable")
+    sorted_x = np.take_along_axis(x, order, 0)
+    apart = sorted_x[1:] > sorted_x[:-1]
+    for _ in range(rounds):
+        g, w = np.cumsum((rest * weight)[order], axis=0), np.cumsum(weight[order], axis=0)
+        gain = np.where(apart, g[:-1] ** 2 / (w[:-1] + 1) + (g[-1] - g[:-1]) ** 2 / (w[-1] - w[:-1] + 1), -1)
+        i, f = np.unravel_index(int(np.argmax(gain)), gain.shape)
+        if gain[i, f] <= 0:
+            break
+        cut = (sorted_x[i, f] + sorted_x[i + 1, f]) / 2
+        low, high = rate * g[i, f] / (w[i, f] + 1), rate * (g[-1, f] - g[i, f]) / (w[-1, f] - w[i, f] + 1)
+        rest = rest - np.where(x[:, f] <= cut, low, high)
+        out += np.where(z[:, f] <= cut, low, high)
+    return out
+
+
+def _calendar_features(d: np.ndarray, step: int) -> np.ndarray:
+    month = d.astype("datetime64[M]").astype(np.int64) % 12
+    day = (d - d.astype("datetime64[M]").astype("datetime64[D]")).astype(np.int64)
+    return np.column_stack([_fourier(d, 2), _events(d, step), month, day, (_days(d) + 3) % 7])
+
+
+def calendar_boosting(y, ds, future, p):
+    """Boosted stumps on calendar features; points lose half their weight every 180 days."""
+    step = _step(ds)
+    age = _days(ds)[-1] - _days(ds)
+    out = _boost(_calendar_features(ds, step), np.log1p(y), 0.5 ** (age / p.get("half_life", 180)), _calendar_features(future, step))
+    return np.expm1(np.clip(out, 0, 50))
+
+
+def hybrid_boosting(y, ds, future, p):
+    """trend_season, and boosted stumps on what it leaves."""
+    step = _step(ds)
+    both = np.concatenate([ds, future])
+    fit = np.log1p(np.maximum(trend_season(y, ds, both, p), 0))
+    age = _days(ds)[-1] - _days(ds)
+    rest = _boost(_calendar_features(ds, step), np.log1p(y) - fit[: len(ds)], 0.5 ** (age / p.get("half_life", 180)), _calendar_features(future, step))
+    return np.expm1(np.clip(fit[len(ds) :] + rest, 0, 50))
+
+
+CATALOGUE = (
+    ForecastModel("damped_holt_winters", 2, "suavização", "Nível e tendência recentes, com tendência que perde força.", holt_winters, {"season": 7}),
+    ForecastModel("arima_aic", 2, "autorregressivo", "Continua o comportamento recente da série.", arima),
+    ForecastModel("calendar_regression", 3, "regressão", "Efeitos de calendário e o último erro.", calendar_regression),
+    ForecastModel("trend_season_regression", 3, "aditivo", "Tendência com mudanças, sazonalidade e eventos.", trend_season),
+    ForecastModel("calendar_boosting", 4, "aprendizado de máquina", "Árvores sobre variáveis de calendário.", calendar_boosting),
+    ForecastModel("hybrid_residual_boosting", 5, "híbrido", "Modelo aditivo e árvores sobre o que sobra.", hybrid_boosting),
+)
+
+
+def batch_fit(tasks: DataFrame, models: Sequence[ForecastModel] = CATALOGUE, start=None) -> DataFrame:
+    """(level, series, cutoff, ds, model, forecast, actual, horizon, error) of every model for every task.
+
+    A fit that fails gives one row with the error and no forecast; the others go on. `start` cuts the training data of models
+    that do not ask for full history.
+    """
+    schema = "level string, series string, cutoff date, ds date, model string, forecast double, actual double, error string"
+
+    def run(task: pd.DataFrame) -> pd.DataFrame:
+        task = task.sort_values("ds")
+        is_test = task["is_test"].to_numpy(bool)
+        ds, y = task["ds"].to_numpy("datetime64[D]"), task["y"].to_numpy(float)
+        known, future = ~is_test, ds[is_test]
+        key = task.iloc[0][TASK]
+        out = []
+        for m in models:
+            part = known & (ds >= np.datetime64(start)) if start is not None and not m.full_history else known
+            try:
+                with np.errstate(all="ignore"):
+                    got = np.asarray(m.fn(np.maximum(y[part], 0), ds[part], future, m.params), float)
+                if got.shape != future.shape or not np.isfinite(got).all():
+                    raise ValueError("not a finite forecast for each date")
+                rows = pd.DataFrame({"ds": task["ds"][is_test].to_numpy(), "model": m.name, "forecast": np.maximum(got, 0), "actual": y[is_test], "error": None})
+            except Exception as ex:  # a series that one model cannot fit is reported, not fatal
+                rows = pd.DataFrame({"ds": [None], "model": [m.name], "forecast": [None], "actual": [None], "error": [f"{type(ex).__name__}: {ex}"[:200]]})
+            out.append(rows.assign(level=key["level"], series=key["series"], cutoff=key["cutoff"]))
+        return pd.concat(out, ignore_index=True)[["level", "series", "cutoff", "ds", "model", "forecast", "actual", "error"]]
+
+    fitted = tasks.withColumn("y", F.col("y").cast("double")).groupBy(*TASK).applyInPandas(run, schema)
+    return fitted.withColumn("horizon", horizon_month(F.col("ds"), F.col("cutoff"))).select(*TASK, "ds", "model", "forecast", "actual", "horizon", "error")
+
+
+def fitted_forecasts(fitted: DataFrame) -> DataFrame:
+    return fitted.where("error is null").drop("error")
+
+
+def fit_failures(fitted: DataFrame) -> DataFrame:
+    return fitted.where("error is not null").select(*TASK, "model", "error")

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from tidemark.queries import products, sales
+    from tidemark.queries import forecasts, products, sales
 
-    modules = [sales, products]
+    modules = [sales, products, forecasts]
     queries: dict[str, Query] = {}
     oracles: dict[str, str] = {}
     for m in modules:
