@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import ExtremeRule, Options, OrderRules
 from tidemark.operators import orders as O
 from tidemark.sources import star
+from tidemark.sources.stages import settle
 
 OPTIONS = Options(
     as_of=date(2001, 8, 1),
@@ -30,6 +31,10 @@ class Base:
             self._made[name] = make()
         return self._made[name]
 
+    def kept(self, name: str, make) -> DataFrame:
+        """Made once and settled, for what several stages read again."""
+        return self._once(name, lambda: settle(make()))
+
     @property
     def orders(self) -> DataFrame:
         return self._once("orders", lambda: star.orders(self.spark, self.sf_dir))

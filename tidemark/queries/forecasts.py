@@ -14,6 +14,7 @@ from tidemark.plans import forecast as P
 from tidemark.queries.base import CANON, Base
 from tidemark.queries.products import LABELLED, _cube
 from tidemark.queries.sales import MONTHLY, _daily, _money, _monthly, _query, _ratio
+from tidemark.sources.stages import settle
 
 END = date(2001, 7, 23)
 CUTOFFS = tuple(END - timedelta(weeks=k) for k in (26, 20, 13))
@@ -23,22 +24,30 @@ LEVELS = {"Total": None, "Regiao": "region", "Marca": "brand"}
 
 def weekly_series(b: Base):
     """(level, series, ds, y): weekly revenue without extremes, dense, up to the last complete week."""
-    levels = C.aggregate_levels(_cube(b, "full"), LEVELS).where(F.col("week") <= F.lit(END))
-    dense = C.densify(levels, ["level", "series"], ["revenue"])
-    return dense.select("level", "series", F.col("week").alias("ds"), F.col("revenue").cast("double").alias("y"))
+
+    def make():
+        levels = C.aggregate_levels(_cube(b, "full"), LEVELS).where(F.col("week") <= F.lit(END))
+        dense = C.densify(settle(levels), ["level", "series"], ["revenue"])
+        return dense.select("level", "series", F.col("week").alias("ds"), F.col("revenue").cast("double").alias("y"))
+
+    return b.kept("series", make)
 
 
 def _tasks(b: Base):
-    return T.make_backtest_tasks(weekly_series(b), CUTOFFS, horizon_days=91, end=END, min_hist=26)
+    return b.kept("tasks", lambda: T.make_backtest_tasks(weekly_series(b), CUTOFFS, horizon_days=91, end=END, min_hist=26))
 
 
 def _simple(b: Base):
-    rows = T.baselines(_tasks(b))
-    return rows.unionByName(T.combine_top(rows))
+    rows = b.kept("baselines", lambda: T.baselines(_tasks(b)))
+    return b.kept("simple", lambda: rows.unionByName(T.combine_top(rows)))
+
+
+def _by_month(b: Base):
+    return b.kept("by_month", lambda: T.to_monthly(_simple(b)))
 
 
 def _ranked(b: Base):
-    return T.choose_parsimonious(T.accuracy_metrics(T.to_monthly(_simple(b))))
+    return b.kept("ranked", lambda: T.choose_parsimonious(T.accuracy_metrics(_by_month(b))))
 
 
 def _shares(b: Base):
@@ -53,17 +62,16 @@ def _top_down(b: Base):
 
 
 def _final(b: Base):
-    ranked, simple = _ranked(b), _simple(b)
-    return P.forecast_chosen(weekly_series(b), DATES, ranked, simple, models=())
+    return b.kept("final", lambda: P.forecast_chosen(weekly_series(b), DATES, _ranked(b), _simple(b), models=()))
 
 
 def _granular(b: Base):
-    bands = T.empirical_band(T.to_monthly(_simple(b)))
+    bands = T.empirical_band(_by_month(b))
     return P.granular_forecast(_final(b), weekly_series(b), bands, date(2001, 7, 1), date(2001, 8, 1), "v1")
 
 
 def _base_monthly(b: Base):
-    return K.with_base_revenue(_monthly(b)).where("complete")
+    return b.kept("base_monthly", lambda: K.with_base_revenue(_monthly(b)).where("complete"))
 
 
 def _history(b: Base):
@@ -79,11 +87,11 @@ def _judged(b: Base):
 
 def _headline(b: Base):
     m = _base_monthly(b)
-    s = _daily(b).select(F.lit("Total").alias("level"), F.lit("Total").alias("series"), "ds", F.col("orders").cast("double").alias("y")).where(F.col("ds") <= F.lit(date(2001, 7, 15)))
+    s = b.kept("daily", lambda: _daily(b)).select(F.lit("Total").alias("level"), F.lit("Total").alias("series"), "ds", F.col("orders").cast("double").alias("y")).where(F.col("ds") <= F.lit(date(2001, 7, 15)))
     days = [date(2001, 7, 16) + timedelta(days=k) for k in range(108)]
     ahead = T.seasonal_naive(P.future_tasks(s, days), 364, 7)
     orders = ahead.groupBy(F.trunc("ds", "month").alias("month")).agg(F.sum("forecast").alias("orders"))
-    bands = T.empirical_band(T.to_monthly(_simple(b))).where((F.col("level") == "Total") & (F.col("model") == "seasonal_naive")).select("horizon", "band")
+    bands = T.empirical_band(_by_month(b)).where((F.col("level") == "Total") & (F.col("model") == "seasonal_naive")).select("horizon", "band")
     raw = P.monthly_revenue_forecast(orders, P.ticket_forecast(m, 4), bands, m, P.expected_extremes(m), date(2001, 7, 1), date(2001, 7, 15))
     return P.apply_bias_and_bands(raw, _judged(b))
 
@@ -94,7 +102,7 @@ kept AS (SELECT * FROM per WHERE week <= DATE '2001-07-23'), sp AS (SELECT CAST(
 series AS (SELECT level, series, ds, coalesce({_money('rev')}, 0) AS y FROM (SELECT DISTINCT level, series FROM kept) CROSS JOIN sp LEFT JOIN (SELECT level, series, week AS ds, rev FROM kept) USING (level, series, ds)),
 cut AS (SELECT unnest([{', '.join(f"DATE '{c}'" for c in CUTOFFS)}]) AS cutoff),
 t0 AS (SELECT level, series, cutoff, ds, y, ds > cutoff AS is_test FROM series, cut WHERE ds <= least(cutoff + 91, DATE '2001-07-23')),
-tasks AS (SELECT * FROM t0 QUALIFY count(*) FILTER (WHERE NOT is_test) OVER k >= 26 AND sum(CASE WHEN is_test THEN 0 ELSE y END) OVER k > 0 AND count(*) FILTER (WHERE is_test) OVER k > 0 WINDOW k AS (PARTITION BY level, series, cutoff)),
+tasks AS (SELECT * FROM t0 WINDOW k AS (PARTITION BY level, series, cutoff) QUALIFY count(*) FILTER (WHERE NOT is_test) OVER k >= 26 AND sum(CASE WHEN is_test THEN 0 ELSE y END) OVER k > 0 AND count(*) FILTER (WHERE is_test) OVER k > 0),
 back AS (SELECT *, row_number() OVER (PARTITION BY level, series, cutoff ORDER BY ds DESC) AS back FROM tasks WHERE NOT is_test),
 stats AS (SELECT level, series, cutoff, avg(y) FILTER (WHERE back <= 1) AS last, avg(y) FILTER (WHERE back <= 8) AS mean, count(*) AS n, sum(CASE WHEN back <= 8 THEN y ELSE 0 END) AS now8, sum(CASE WHEN back BETWEEN 53 AND 60 THEN y ELSE 0 END) AS then8 FROM back GROUP BY ALL),
 test AS (SELECT t.*, (year(t.ds) - year(t.cutoff)) * 12 + month(t.ds) - month(t.cutoff) AS horizon, coalesce(b.y, s.last) AS base, last, mean, CASE WHEN n >= 60 AND then8 > 0 THEN least(greatest(now8 / then8, 0.5), 2.0) ELSE 1.0 END AS factor
@@ -126,15 +134,15 @@ QUERIES = {
     "moving_average": _query(lambda b: T.moving_average(_tasks(b), 8)),
     "seasonal_naive": _query(lambda b: T.seasonal_naive(_tasks(b))),
     "seasonal_growth": _query(lambda b: T.seasonal_growth(_tasks(b), 52, 8)),
-    "combination": _query(lambda b: T.combine_top(T.baselines(_tasks(b)))),
-    "monthly_backtest": _query(lambda b: T.to_monthly(_simple(b))),
-    "accuracy_metrics": _query(lambda b: T.accuracy_metrics(T.to_monthly(_simple(b)))),
-    "accuracy_by_horizon": _query(lambda b: T.accuracy_metrics(T.to_monthly(_simple(b)), ("level", "model", "horizon"))),
+    "combination": _query(lambda b: T.combine_top(b.kept("baselines", lambda: T.baselines(_tasks(b))))),
+    "monthly_backtest": _query(lambda b: _by_month(b)),
+    "accuracy_metrics": _query(lambda b: T.accuracy_metrics(_by_month(b))),
+    "accuracy_by_horizon": _query(lambda b: T.accuracy_metrics(_by_month(b), ("level", "model", "horizon"))),
     "model_choice": _query(_ranked),
     "choice_reasons": _query(lambda b: T.justify_choice(_ranked(b))),
     "level_benchmark": _query(lambda b: T.level_benchmark_table(_ranked(b))),
-    "empirical_band": _query(lambda b: T.empirical_band(T.to_monthly(_simple(b)))),
-    "bottom_up_coherence": _query(lambda b: T.bottom_up_coherence(T.chosen_rows(T.to_monthly(_simple(b)), _ranked(b)), T.chosen_rows(T.to_monthly(_simple(b)), _ranked(b)).where(F.col("level") == "Total"))),
+    "empirical_band": _query(lambda b: T.empirical_band(_by_month(b))),
+    "bottom_up_coherence": _query(lambda b: T.bottom_up_coherence(T.chosen_rows(_by_month(b), _ranked(b)), T.chosen_rows(_by_month(b), _ranked(b)).where(F.col("level") == "Total"))),
     "child_to_parent": _query(lambda b: T.child_to_parent_map(_cube(b, "full"), "brand", "region")),
     "recent_share": _query(_shares),
     "top_down": _query(_top_down),
@@ -172,8 +180,8 @@ ORACLES = {
     "recent_share": f"{S}{SHARES} SELECT * FROM shares",
     "top_down": f"""{S}{SHARES} SELECT t.level, t.series, t.cutoff, t.ds, 'top_down' AS model, greatest(p.forecast * share, 0) AS forecast, t.y AS actual, t.horizon FROM test t JOIN shares s ON s.child = t.series AND s.cutoff = t.cutoff
         JOIN basic p ON p.level = 'Regiao' AND p.model = 'seasonal_naive' AND p.series = s.parent AND p.cutoff = t.cutoff AND p.ds = t.ds WHERE t.level = 'Marca'""",
-    "week_to_month": f"{S}, d AS (SELECT level, series, CAST(date_trunc('month', ds + k) AS DATE) AS month, y / 7 AS y FROM series, (SELECT unnest(range(7)) AS k)) SELECT level, series, month, sum(y) AS y FROM d GROUP BY ALL",
-    "monthly_actuals": f"{S}, d AS (SELECT level, series, CAST(date_trunc('month', ds + k) AS DATE) AS month, y / 7 AS y FROM series, (SELECT unnest(range(7)) AS k)) SELECT level, series, month, sum(y) AS actual FROM d WHERE month < DATE '2001-08-01' AND month >= DATE '2000-08-01' GROUP BY ALL",
+    "week_to_month": f"{S}, d AS (SELECT level, series, CAST(date_trunc('month', ds + CAST(k AS INT)) AS DATE) AS month, y / 7 AS y FROM series, (SELECT unnest(range(7)) AS k)) SELECT level, series, month, sum(y) AS y FROM d GROUP BY ALL",
+    "monthly_actuals": f"{S}, d AS (SELECT level, series, CAST(date_trunc('month', ds + CAST(k AS INT)) AS DATE) AS month, y / 7 AS y FROM series, (SELECT unnest(range(7)) AS k)) SELECT level, series, month, sum(y) AS actual FROM d WHERE month < DATE '2001-08-01' AND month >= DATE '2000-08-01' GROUP BY ALL",
     "expected_extremes": f"{CANON}{BASEM}, l AS (SELECT extreme_revenue AS x FROM bm ORDER BY month DESC LIMIT 6) SELECT avg(x) AS extreme_mean, quantile_cont(x, 0.1) AS extreme_p10, quantile_cont(x, 0.9) AS extreme_p90 FROM l",
     "judged_history": f"{CANON}{BASEM} SELECT target_month, orders_error, revenue_error FROM judged",
     "history_bias": f"{CANON}{BASEM} SELECT CAST(1 AS INT) AS horizon, count(*) AS n, avg(orders_error) * 100 AS orders_bias, avg(abs(orders_error)) * 100 AS orders_abs, avg(revenue_error) * 100 AS revenue_bias, avg(abs(revenue_error)) * 100 AS revenue_abs FROM judged",
