@@ -29,6 +29,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends whole texts to Python a thousand at a time, unless the session asks for a number of its own: a batch of texts is
+    in memory several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def salts(spark: SparkSession, least: int = 64) -> int:
     """Into how many parts one key's rows are dealt: no fewer than the shuffle has partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

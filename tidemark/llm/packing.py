@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import salts, settle
+from tidemark.llm.common import salts, settle, text_batches
 from tidemark.llm.tokens import Splitter, parse_ranks, read_ranks
 
 #: How many pieces of text one Python worker remembers, in two generations.
@@ -126,6 +126,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, tokens: int = 2048, e
     Documents longer than `tokens` are cut so that every piece but the first is full. A null or empty text has the id
     `end` alone. Ids may be null or repeated: each row is a document by itself. No rows in, no rows out.
     """
+    text_batches(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     stop = np.uint32(end).tobytes()
 

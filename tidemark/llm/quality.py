@@ -13,11 +13,12 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh
+from tidemark.llm.common import fresh, text_batches
 
 FEATURES = (
     "log_bytes", "word_bytes", "spaces", "lines", "digits", "upper", "beyond_ascii", "full_stops", "commas", "exclamations", "bars",
@@ -176,14 +177,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     has it. Null and empty texts are scored by their features, zeros. No rows in, no rows out."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
     (name,) = fresh(docs, into)
-    text = docs.columns.index(text_col)
+    text_batches(docs.sparkSession)
 
-    def run(batches):
-        for b in batches:
-            texts = b.column(text).to_pylist()
-            x = np.array([features(t or "") for t in texts]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kept.value.score(x))], names=[*b.schema.names, name])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    @F.pandas_udf("double")  # texts alone go to Python, and come back as a number
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(kept.value.score(np.array([features(t or "") for t in texts]).reshape(-1, len(FEATURES))))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.withColumn(name, of(F.col(text_col)))

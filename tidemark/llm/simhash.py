@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle
+from tidemark.llm.common import settle, text_batches
 from tidemark.llm.components import components
 
 #: Rows of a cell that one task compares with each other; cells with more rows are cut into parts.
@@ -61,6 +61,7 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long. A text without words, a null or an empty one has 0."""
 
+    text_batches(docs.sparkSession)
     def run(batches):
         for b in batches:
             hashes = [shingle_hashes(t, width) if t else [] for t in b.column(1).to_pylist()]

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import text_batches
+
 #: How many pieces and states one Python worker keeps; both tables are dropped or halved when full.
 MAX_PIECES, MAX_STATES, MAX_PAIRS = 500_000, 120_000, 1_000_000
 #: The letters and numbers below U+0180, for texts that have no other characters (fixed by Unicode).
@@ -277,6 +279,7 @@ def codec_for(content: bytes, pattern: str) -> Codec:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_tokens): ids as little-endian unsigned 32-bit integers. A null or empty text has none; ids of
     documents may be null or repeated, each row is encoded by itself. No rows in, no rows out."""
+    text_batches(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
@@ -305,6 +308,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, step: int = 65_536
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, step: int = 65_536) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) with ids and decoded bytes never leaving the task that makes them."""
+    text_batches(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
