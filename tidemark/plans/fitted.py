@@ -136,7 +136,9 @@ def calendar_regression(y, ds, future, p):
         return np.concatenate([*parts, np.eye(7)[(_days(d) + 3) % 7]] if step == 1 else parts, axis=1)
 
     a = x(ds)
-    w = _ridge(a, v, p.get("ridge", 0.3))
+    strength = np.full(a.shape[1], p.get("ridge", 0.3))
+    strength[0] = 1e-6  # the level is free
+    w = _ridge(a, v, strength)
     rest = v - a @ w
     rho = float(np.clip(np.dot(rest[1:], rest[:-1]) / max(np.dot(rest, rest), 1e-12), 0, 0.98))
     return np.expm1(np.clip(x(future) @ w + rest[-1] * rho ** np.arange(1, len(future) + 1), 0, 50))
@@ -157,7 +159,7 @@ def trend_season(y, ds, future, p):
 
     a = x(ds)
     strength = np.full(a.shape[1], 0.5)
-    strength[:2], strength[2 : 2 + len(knots)] = 1e-3, 2.0
+    strength[:2], strength[2 : 2 + len(knots)] = 1e-6, 2.0
     return np.expm1(np.clip(x(future) @ _ridge(a, v, strength), 0, 50))
 
 
