@@ -96,17 +96,24 @@ def knn_neighbours(features: DataFrame, columns: Sequence[str], k: int = 5, exac
 
     def run(batches):
         ids, parts, x = kept.value
+        squares = (x**2).sum(1)
         for b in batches:
             own, part = (np.array(b.column(c).to_pylist(), dtype=object) for c in (0, 1))
             q = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]], axis=1) if b.num_rows else np.empty((0, x.shape[1]))
             for i in range(0, len(q), 256):
-                d = np.sqrt(((q[i : i + 256, None, :] - x[None]) ** 2).sum(2))
+                part_q = q[i : i + 256]
+                d = squares[None] - 2 * part_q @ x.T  # the order of distances, nearly; the nearest are measured exactly below
                 d[part[i : i + 256, None] == parts[None]] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                some = np.sort(np.argpartition(d, min(4 * k, d.shape[1] - 1), axis=1)[:, : 4 * k], axis=1)
+                far = np.sqrt(((part_q[:, None, :] - x[some]) ** 2).sum(2))
+                far[np.isinf(np.take_along_axis(d, some, 1))] = np.inf
+                order = np.argsort(far, axis=1, kind="stable")[:, :k]
+                near, d = np.take_along_axis(some, order, 1), np.take_along_axis(far, order, 1)
                 r, c = np.arange(near.shape[0]).repeat(near.shape[1]), near.ravel()
                 rank = np.tile(np.arange(1, near.shape[1] + 1), near.shape[0])
-                r, c, rank = (v[np.isfinite(d[r, c])] for v in (r, c, rank))
-                yield pa.RecordBatch.from_arrays([pa.array(own[i + r], pa.string()), pa.array(ids[c], pa.string()), pa.array(d[r, c]), pa.array(rank, pa.int32())], names=["item", "neighbour", "distance", "rank"])
+                far = d.ravel()
+                r, c, rank, far = (v[np.isfinite(d.ravel())] for v in (r, c, rank, far))
+                yield pa.RecordBatch.from_arrays([pa.array(own[i + r], pa.string()), pa.array(ids[c], pa.string()), pa.array(far), pa.array(rank, pa.int32())], names=["item", "neighbour", "distance", "rank"])
 
     return rows.mapInArrow(run, "item string, neighbour string, distance double, rank int")
 

@@ -57,7 +57,7 @@ class Base:
 
     @property
     def base(self) -> DataFrame:
-        return self._once("base", lambda: O.base_items(self.items, self.valid, self.options.dedup_items))
+        return self.kept("base", lambda: O.base_items(self.items, self.valid, self.options.dedup_items))
 
     @property
     def totals(self) -> DataFrame:
