@@ -141,10 +141,10 @@ def catalog_consistency(features: DataFrame, columns: Sequence[str], groups: Dat
     """
     of = groups.toDF("item", "grp")
     sizes = of.groupBy("grp").count().where("count >= 3")
-    kept = of.join(sizes.select("grp"), "grp", "left_semi")
+    kept = of.join(sizes.select("grp"), "grp", "left_semi").select("item", "grp")
     fold = F.pmod(F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("item"), "item")), F.lit(folds))
     folded = kept.withColumn("fold", fold)
-    near = knn_neighbours(features.join(folded, "item"), columns, k, apart="fold")
+    near = knn_neighbours(features.select("item", *columns).join(folded, "item"), columns, k, apart="fold")
     own, vote = kept.toDF("item", "own"), kept.toDF("neighbour", "vote")
     top = near.join(own, "item").join(vote, "neighbour")
     votes = top.groupBy("item", "own", "vote").agg(F.count("*").alias("n"), F.min("distance").alias("d"))

@@ -172,6 +172,9 @@ ORACLES = {
     "accuracy_metrics": f"{S} SELECT * FROM acc",
     "accuracy_by_horizon": f"{S} SELECT level, model, horizon, {_ratio('sum(abs(forecast - actual))', 'sum(actual)')} * 100 AS wape, avg(CASE WHEN actual > 0 THEN abs(forecast - actual) / actual END) * 100 AS mape, ({_ratio('sum(forecast)', 'sum(actual)')} - 1) * 100 AS bias, count(*) AS n FROM months GROUP BY ALL",
     "model_choice": f"{S} SELECT * FROM ranked",
+    "choice_reasons": f"""{S}, c AS (SELECT r.level, r.model, r.wape, r.gain, b.model AS best_model, b.wape AS best_wape FROM ranked r JOIN (SELECT level, arg_min(model, (wape, model)) AS model, min(wape) AS wape FROM ranked GROUP BY 1) b USING (level) WHERE chosen)
+        SELECT level, model AS chosen, concat_ws(' ', printf('Escolhido: %s (erro %.1f%%).', model, wape), CASE WHEN model <> best_model THEN printf('O melhor foi %s (%.1f%%), mas a diferença é pequena e %s é mais simples.', best_model, best_wape, model) END,
+        CASE WHEN gain IS NOT NULL AND model <> 'seasonal_naive' THEN CASE WHEN gain > 0 THEN printf('Erra %.1f p.p. menos que "%s".', gain, 'seasonal_naive') ELSE printf('ATENÇÃO: não supera "%s": considere usar o modelo simples.', 'seasonal_naive') END END) AS justification FROM c""",
     "level_benchmark": f"{S} SELECT level, max(CASE WHEN chosen THEN model END) AS chosen, max(CASE WHEN chosen THEN wape END) AS wape, max(CASE WHEN model = 'seasonal_naive' THEN wape END) AS reference_wape, arg_min(model, (wape, model)) AS best_model, min(wape) AS best_wape, count(*) AS models FROM ranked GROUP BY 1",
     "empirical_band": f"{S} SELECT level, model, horizon, quantile_cont(abs({_ratio('forecast', 'actual')} - 1), 0.8) AS band FROM months GROUP BY ALL",
     "bottom_up_coherence": f"""{S}, ch AS (SELECT months.* FROM months JOIN ranked USING (level, model) WHERE chosen), sm AS (SELECT level, cutoff, month, sum(forecast) AS forecast FROM ch GROUP BY ALL), re AS (SELECT cutoff, month, sum(actual) AS actual FROM ch WHERE level = 'Total' GROUP BY ALL)

@@ -73,6 +73,8 @@ ORACLES = {
     "standardised_features": f"{CANON}{FEATS} SELECT * FROM std",
     "knn_neighbours": f"""{CANON}{FEATS} SELECT a.item, b.item AS neighbour, {DISTANCE} AS distance, CAST(row_number() OVER (PARTITION BY a.item ORDER BY {DISTANCE}, b.item) AS INT) AS rank FROM std a JOIN std b ON a.item <> b.item
         QUALIFY row_number() OVER (PARTITION BY a.item ORDER BY {DISTANCE}, b.item) <= 5""",
+    "neighbour_groups": f"""{CANON}{FEATS}, knn AS (SELECT a.item, b.item AS neighbour FROM std a JOIN std b ON a.item <> b.item QUALIFY row_number() OVER (PARTITION BY a.item ORDER BY {DISTANCE}, b.item) <= 5)
+        SELECT x.grp = y.grp AS same_group, x.brand = y.brand AS same_brand, count(*) AS n FROM knn JOIN attr x ON x.item = knn.item JOIN attr y ON y.item = neighbour GROUP BY 1, 2""",
     "brand_profile": f"""{CANON}{FEATS}, r AS (SELECT feats.*, brand, grp FROM feats JOIN attr USING (item)), m AS (SELECT brand, {', '.join(f"sum({c} * (units + 1e-9)) / sum(units + 1e-9) AS {c}" for c in ('log_price', 'discount', 'professional_share', 'trend'))}, sum(units) AS au FROM r GROUP BY 1)
         SELECT r.brand, grp, any_value(m.log_price) AS log_price, any_value(m.discount) AS discount, any_value(m.professional_share) AS professional_share, any_value(m.trend) AS trend, sum(units) / any_value(au) AS mix_share FROM r JOIN m USING (brand) GROUP BY 1, 2""",
 }
