@@ -161,7 +161,6 @@ def blocks_for(rows: int, radius: int) -> int:
 
 def near_edges(classes: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (a, b) between nodes of `classes` (fp long, node long) that connect all pairs within `radius` bits."""
-    spark = classes.sparkSession
     m = blocks_for(classes.count(), radius)
     edges = np.linspace(0, 64, m + 1).astype(int)
     keys = []
@@ -170,13 +169,24 @@ def near_edges(classes: DataFrame, radius: int = 3) -> DataFrame:
         keys.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bits")))
     rows = classes.select("fp", "node", F.explode(F.array(*keys)).alias("key")).select("fp", "node", "key.t", "key.bits")
     large = rows.groupBy("t", "bits").count().where(F.col("count") > CELL).select("t", "bits", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
-    dealt = (
-        rows.join(large, ["t", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = in_parts(rows.join(large, ["t", "bits"], "left"), "t", "bits").select("fp", "node", "cell")
+    return by_cells(dealt, lambda fp, node, cell: forest(fp.view(np.uint64), node, cell, radius))
+
+
+def in_parts(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows (fp, parts, keys and others) with a column cell: a key's rows are dealt into its parts, every two parts meet
+    in a cell. Null parts mean one."""
+    return (
+        rows.withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64("fp", "node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("fp", "node", F.xxhash64("t", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+        .withColumn("cell", F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other")))
     )
 
+
+def by_cells(dealt: DataFrame, work) -> DataFrame:
+    """(a, b) from `work` over whole cells: it takes the columns of `dealt`, the cell last, as arrays of many cells at a time."""
+
     def run(batches):
         kept: list[tuple] = []
 
@@ -184,10 +194,11 @@ def near_edges(classes: DataFrame, radius: int = 3) -> DataFrame:
             nonlocal kept
             if not kept:
                 return None
-            fp, node, cell = (np.concatenate(x) for x in zip(*kept, strict=True))
+            columns = [np.concatenate(x) for x in zip(*kept, strict=True)]
+            cell = columns[-1]
             cut = len(cell) if final else int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
-            kept = [] if cut == len(cell) else [(fp[cut:], node[cut:], cell[cut:])]
-            a, b = forest(fp[:cut].view(np.uint64), node[:cut], cell[:cut], radius) if cut else (node[:0], node[:0])
+            kept = [] if cut == len(cell) else [tuple(c[cut:] for c in columns)]
+            a, b = work(*(c[:cut] for c in columns)) if cut else (cell[:0], cell[:0])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -197,7 +208,7 @@ def near_edges(classes: DataFrame, radius: int = 3) -> DataFrame:
         if last := out(True):
             yield last
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
@@ -213,10 +224,3 @@ def near_groups(docs: DataFrame, width: int = 5, radius: int = 3, id_col: str =
     groups = components(near_edges(classes.where("node is not null"), radius))
     named = classes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its group, all columns kept. Rows with a null id stay, as do all rows
-    that repeat a kept id."""
-    others = near_groups(docs, width, radius, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("other")).distinct()
-    return docs.join(others, docs[id_col] == others["other"], "left_anti")
