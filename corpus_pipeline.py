@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import line_dedup, packing, quality, secrets, simhash
+from tidemark.llm import line_dedup, near_copies, packing, quality, secrets
 from tidemark.llm.common import shared_dir, table
 from tidemark.llm.queries import PATTERN, RANKS
 
@@ -30,8 +30,8 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates over shingles of five words the document with the smallest id."""
-    return simhash.keep_one(docs, width=5, radius=3)
+    """Of texts linked by a similarity of 0.8 or more over shingles of five words the document with the smallest id."""
+    return near_copies.keep_one(docs, width=5, similarity=0.8)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
