@@ -74,7 +74,7 @@ def test_null_ids_repeats_and_no_rows(spark):
 
 
 def test_a_large_family_is_checked_row_by_row(spark):
-    """A thousand variants of one text: the first round has about a pair a row and connects them all."""
+    """A thousand variants of one text: two checks a row connect them all."""
     rng = np.random.default_rng(3)
     base = list(rng.choice(WORDS, 300))
     rows = []

@@ -5,9 +5,10 @@ of 64 bits differ in 10 bits on average, too many for blocks of equal bits to fi
 are bands of MinHash values of the same shingles. In a cell the planes of simhash.near_rows compare the fingerprints, and
 what is left is checked against the texts. Texts with one shingle set are one class from the start.
 
-The check comes in two rounds. The first takes of each cell only pairs that connect it, as many as it has rows at most. The
-second takes all other pairs of documents that are not in one group by then. So a large group of copies costs a check a row,
-not one a pair, and no link between groups is lost.
+The check comes in three rounds. In the first each text meets the smallest document of its bands, in the second one text of
+those near it in its cells that are not in its group by then, the same one for all as far as can be. So a large group of
+copies costs two checks a row, not one a pair. The third takes all other pairs that are not in one group, so no link between
+groups is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ BANDS, ROWS = 32, 4
 #: where texts have very few shingles; unrelated ones in 32 (4).
 REACH = 26
 #: A table of at most so many ids or keys is broadcast; a larger one is joined by a shuffle.
-SMALL = 500_000
+SMALL = 200_000
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -76,35 +77,36 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     return chosen.mapInArrow(run, "doc_id long, mark binary, fp long, size long, bands array<long>")
 
 
-def close_pairs(fp: np.ndarray, node: np.ndarray, size: np.ndarray, team: np.ndarray, cell: np.ndarray, similarity: float, every: bool):
-    """Pairs of nodes (larger, smaller) of one cell and different teams whose fingerprints and sizes allow the similarity: all of
-    them, or only as many as connect what they connect."""
+def close_pairs(fp: np.ndarray, node: np.ndarray, rank: np.ndarray, size: np.ndarray, team: np.ndarray, cell: np.ndarray, similarity: float, every: bool):
+    """Pairs of nodes of one cell and different teams whose fingerprints and sizes allow the similarity: all of them, or for
+    each node the one of the lowest rank below its own. The rows of a cell's largest team do not meet each other."""
+    if not len(node):
+        return node, node
     _, inverse, counts = np.unique(cell, return_inverse=True, return_counts=True)
-    order = np.lexsort((node, inverse, -counts[inverse]))
-    fp, node, size, team, cell = fp.view(np.uint64)[order], node[order], size[order], team[order], inverse[order]
-    top = np.arange(len(fp))
-
-    def find(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
+    order = np.lexsort((team, inverse))
+    new = np.r_[True, (inverse[order][1:] != inverse[order][:-1]) | (team[order][1:] != team[order][:-1])]
+    held = np.empty(len(node), np.int64)  # rows of the row's team in its cell
+    run = np.diff(np.r_[np.flatnonzero(new), len(node)])
+    held[order] = np.repeat(run, run)
+    order = np.lexsort((team, held, inverse, -counts[inverse]))
+    fp, node, rank, size, team, cell = fp.view(np.uint64)[order], node[order], rank[order], size[order], team[order], inverse[order]
+    many = counts[cell]
+    ends = np.cumsum(np.diff(np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)])) - 1
+    largest = np.repeat(team[ends], many[ends]) == team
+    best, partner = rank.copy(), np.arange(len(node))
     found: list[tuple[np.ndarray, np.ndarray]] = [(node[:0], node[:0])]
-    for i, j in near_rows(fp, cell, REACH):
+    for i, j in near_rows(fp, cell, REACH, largest):
         fits = (team[i] != team[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
         i, j = i[fits], j[fits]
-        if not every:
-            new = []
-            for at in np.flatnonzero(top[i] != top[j]).tolist():
-                x, y = find(int(i[at])), find(int(j[at]))
-                if x != y:
-                    top[max(x, y)] = min(x, y)
-                    new.append(at)
-            while (top[top] != top).any():
-                top = top[top]
-            i, j = i[new], j[new]
-        found.append((node[j], node[i]))  # rows of a cell lie in the order of their nodes
+        if every:
+            found.append((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])))
+            continue
+        for x, y in ((i, j), (j, i)):
+            lower = rank[y] < best[x]
+            best[x[lower]], partner[x[lower]] = rank[y[lower]], y[lower]
+    if not every:
+        chosen = np.flatnonzero(partner != np.arange(len(node)))
+        found.append((node[chosen], node[partner[chosen]]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -144,17 +146,22 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     prints = settle(sketches(docs, width, id_col, text_col))
     classes = settle(prints.where("doc_id is not null").groupBy("mark").agg(F.min_by(F.struct("fp", "size", "bands"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("mark", "node", "s.*"))
     rows = classes.select("fp", "node", "size", F.explode("bands").alias("key"))
-    shared = settle(rows.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / CELL).cast("int").alias("parts")))
-    dealt = settle(in_parts(rows.join(_few(shared), "key"), "key").select("fp", "node", "size", "cell"))
-
-    def check(teams: DataFrame, every: bool) -> DataFrame:
-        met = by_cells(teams.select("fp", "node", "size", "team", "cell"), lambda *columns: close_pairs(*columns, similarity, every))
-        return linked(met, docs, width, similarity, id_col, text_col)
-
-    first = settle(check(dealt.withColumn("team", F.col("node")), False))
-    groups = settle(components(first))
-    teams = dealt.join(groups, "node", "left").withColumn("team", F.coalesce("component", "node"))
-    groups = components(first.union(check(teams, True)))
+    shared = settle(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp", "size")).alias("lead")).where("n > 1").select("key", "lead"))
+    keyed = settle(rows.join(_few(shared), "key"))
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= REACH) & (F.least("size", "lead.size") >= similarity * F.greatest("size", "lead.size") - 1e-9)
+    pairs = keyed.where(near & (F.col("node") != F.col("lead.node"))).groupBy(F.col("node").alias("a")).agg(F.min("lead.node").alias("b"))
+    links = settle(linked(pairs, docs, width, similarity, id_col, text_col))
+    for every in (False, True):
+        groups = settle(components(links))
+        teams = keyed.join(_few(groups), "node", "left").withColumn("team", F.coalesce("component", "node"))
+        mixed = teams.groupBy("key").agg(F.count("*").alias("n"), F.min("team").alias("low"), F.max("team").alias("high")).where("low < high")
+        mixed = settle(mixed.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("parts")))
+        dealt = in_parts(teams.join(_few(mixed), "key"), "key").select("fp", "node", F.xxhash64("node").alias("rank"), "size", "team", "cell")
+        met = by_cells(dealt, lambda *columns, every=every: close_pairs(*columns, similarity, every))
+        if not every:
+            met = met.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b"))
+        links = settle(links.union(linked(met, docs, width, similarity, id_col, text_col)))
+    groups = components(links)
     named = classes.join(groups, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
     return prints.select("doc_id", "mark").join(named, "mark", "left").select("doc_id", "component_id")
 

@@ -72,14 +72,16 @@ def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def near_rows(fp: np.ndarray, cell: np.ndarray, radius: int):
+def near_rows(fp: np.ndarray, cell: np.ndarray, radius: int, done: np.ndarray | None = None):
     """Pairs of rows (i, j arrays, one offset at a time) of one cell whose fingerprints differ in at most `radius` bits.
-    Rows of a cell must lie together, cells in descending size."""
+    Rows of a cell must lie together, cells in descending size. Rows marked `done` do not meet the rows after them."""
     n = len(fp)
     new = np.r_[True, cell[1:] != cell[:-1]]
     starts = np.flatnonzero(new)
     size = np.diff(np.r_[starts, n])
     left = np.repeat(size, size) - (np.arange(n) - np.repeat(starts, size)) - 1  # rows of the cell after this one
+    if done is not None:
+        left[done] = 0
     words = -(-n // 64)
     most = int(size.max(initial=1)) - 1
     padded = np.zeros((words + most // 64 + 2) * 64, np.uint64)
