@@ -20,8 +20,9 @@ from tidemark.llm.components import components
 
 #: Radius of what a descriptor sees, of the square in which a corner must be the greatest, and orientations told apart.
 REACH, APART, TURNS, LEVELS, BITS, TABLES = 7, 9, 24, 2, 128, 2
-#: Grey around an image, even so that levels fit.
-MARGIN = REACH + 3
+#: Grey between images above each other, and beside them. Corners and their strength reach two pixels out of an image at every
+#: level: with this much grey no level sees, or suppresses, across images. Even, so that levels fit.
+MARGIN, SIDE = (max(REACH, APART) + 5) << (LEVELS - 1), (REACH + 3) << (LEVELS - 1)
 #: Pixels that are worked on at once.
 CANVAS = 1 << 20
 #: Corners must be at least as strong as this share of the strongest that 8-bit pixels allow.
@@ -141,12 +142,11 @@ def page_images(docs: DataFrame) -> DataFrame:
 
 def _canvas(images: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Images below each other with margins of middle grey, and the row at which each begins."""
-    margin = MARGIN
-    heights = [-(-len(i) // 2) * 2 + margin for i in images]
-    starts = margin + np.cumsum([0, *heights[:-1]])
-    canvas = np.full((int(starts[-1]) + heights[-1], max(i.shape[1] for i in images) // 2 * 2 + 2 + 2 * margin), 128, np.float32)
+    heights = [-(-len(i) // 2) * 2 + MARGIN for i in images]
+    starts = MARGIN + np.cumsum([0, *heights[:-1]])
+    canvas = np.full((int(starts[-1]) + heights[-1], max(i.shape[1] for i in images) // 2 * 2 + 2 + 2 * SIDE), 128, np.float32)
     for s, i in zip(starts, images, strict=True):
-        canvas[s : s + len(i), margin : margin + i.shape[1]] = i
+        canvas[s : s + len(i), SIDE : SIDE + i.shape[1]] = i
     return canvas - 128, starts
 
 
@@ -158,16 +158,15 @@ def descriptors(images: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        margin = MARGIN
         ids: list[int] = []
         kept: list[np.ndarray] = []
 
         def out():
             canvas, starts = _canvas(kept)
             level, y, x, turn, bits = describe(canvas)
-            at = np.searchsorted(starts - margin // 2, y, side="right") - 1
+            at = np.searchsorted(starts - MARGIN // 2, y, side="right") - 1
             n = np.bincount(at, minlength=len(ids))[at]
-            return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[at]), *[pa.array(a.astype(np.int32)) for a in (level, y - starts[at], x - margin, turn)], pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), pa.array(n, pa.int64())], names=["image_id", "level", "y", "x", "turn", "d1", "d2", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[at]), *[pa.array(a.astype(np.int32)) for a in (level, y - starts[at], x - SIDE, turn)], pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), pa.array(n, pa.int64())], names=["image_id", "level", "y", "x", "turn", "d1", "d2", "n"])
 
         size = 0
         for b in batches:
