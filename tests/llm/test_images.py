@@ -21,3 +21,29 @@ def test_descriptors_do_not_depend_on_neighbours():
     order = rng.permutation(len(images))
     together = alone_or_beside([images[k] for k in order])
     assert alone_or_beside(images) == alone and together == [alone[k] for k in order]
+
+
+def groups_of(spark, images):
+    df = spark.createDataFrame([(i, a.shape[1], a.tobytes()) for i, a in images], "image_id long, width int, pixels binary")
+    return {r.image_id: r.group_id for r in media.copy_groups(df).collect()}
+
+
+def test_every_two_descriptors_within_three_bits_meet(spark):
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (200, 128), np.uint8)
+    other = bits.copy()
+    for row in other:
+        row[rng.choice(128, 3, replace=False)] ^= 1
+    packed = [np.packbits(b, axis=1, bitorder="little").view(np.int64).tolist() for b in (bits, other)]
+    rows = [(2 * k + side, 0, *words[k], 1) for side, words in enumerate(packed) for k in range(len(bits))]
+    found = spark.createDataFrame(rows, "image_id long, pos long, d1 long, d2 long, n long")
+    met = {(r.a, r.b) for r in media.matches(media.shared_cells(found)).collect()}
+    assert met == {(2 * k + 1, 2 * k) for k in range(len(bits))}
+
+
+def test_images_with_pixel_noise_are_copies(spark):
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 256, (40, 32), np.uint8).repeat(2, 0).repeat(2, 1) for _ in range(4)]
+    noisy = [np.clip(b + rng.normal(0, 10, b.shape), 0, 255).astype(np.uint8) for b in base]
+    got = groups_of(spark, [*enumerate(base), *enumerate(noisy, 4)])
+    assert got == {i: i % 4 for i in range(8)}

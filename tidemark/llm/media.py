@@ -19,7 +19,9 @@ from tidemark.llm.common import settle
 from tidemark.llm.components import components
 
 #: Radius of what a descriptor sees, of the square in which a corner must be the greatest, and orientations told apart.
-REACH, APART, TURNS, LEVELS, BITS, TABLES = 7, 9, 24, 2, 128, 2
+REACH, APART, TURNS, LEVELS, BITS, TABLES = 7, 9, 24, 2, 128, 4
+#: Bits by which descriptors in one cell may differ.
+MOST_BITS = 12
 #: Grey between images above each other, and beside them. Corners and their strength reach two pixels out of an image at every
 #: level: with this much grey no level sees, or suppresses, across images. Even, so that levels fit.
 MARGIN, SIDE = (max(REACH, APART) + 5) << (LEVELS - 1), (REACH + 3) << (LEVELS - 1)
@@ -191,44 +193,60 @@ def packed(found: DataFrame) -> DataFrame:
     return found.select("image_id", pos.alias("pos"), "d1", "d2", "n")
 
 
-def _unpacked(row: str) -> dict[str, F.Column]:
-    pos = F.col(f"{row}.pos")
+def _unpacked(pos: str) -> dict[str, F.Column]:
     part = lambda shift, bits: F.shiftright(pos, shift).bitwiseAND((1 << bits) - 1)
     return {"turn": part(0, 5), "level": part(5, 2), "x": part(7, 20), "y": F.shiftright(pos, 27)}
 
 
-def matches(found: DataFrame, most_bits: int = 12) -> DataFrame:
-    """(a, b, n_a, n_b, turn, zoom, dy, dx, place): descriptors of image a that match one of image b < a, with the move from b to a.
+def in_tables(found: DataFrame) -> DataFrame:
+    """(key, image_id, pos, half, quarter) of packed() for each of TABLES tables: the key is the table and its part of the bits,
+    half and quarter are the other bits, in one order for all rows of a table."""
+    low, high = (lambda d: F.col(d).bitwiseAND(0xFFFFFFFF)), (lambda d: F.shiftrightunsigned(d, 32))
+    signed = lambda part: F.shiftright(F.shiftleft(part, 32), 32).cast("int")
+    row = lambda t, part, quarter, half: F.struct((F.lit(t << 32) + part).alias("key"), F.col(half).alias("half"), signed(quarter).alias("quarter"))
+    rows = [row(t, one(own), rest(own), other) for t, (own, other, one, rest) in enumerate([("d1", "d2", low, high), ("d1", "d2", high, low), ("d2", "d1", low, high), ("d2", "d1", high, low)])]
+    return found.select("image_id", "pos", F.explode(F.array(*rows)).alias("row")).select("row.key", "image_id", "pos", "row.half", "row.quarter")
 
-    Each descriptor of packed() is compared, in each of TABLES tables, with its cell's descriptor of the smallest image.
-    Descriptors that differ in fewer than TABLES bits always share a cell.
-    """
-    halves = F.array(F.struct(F.col("d1").alias("bits"), F.col("d2").alias("rest")), F.struct(F.col("d2").alias("bits"), F.col("d1").alias("rest")))
-    both = found.select("image_id", "pos", "n", F.posexplode(halves).alias("part", "half"))
-    rows = both.select("part", "half.bits", F.struct("image_id", "pos", "half.rest", "n").alias("p"))  # bits are equal where rows meet
-    first = rows.groupBy("part", "bits").agg(F.min("p").alias("q"), F.max("p.image_id").alias("last")).where(F.col("last") > F.col("q.image_id")).drop("last")
-    apart = F.bit_count(F.col("p.rest").bitwiseXOR(F.col("q.rest")))
-    met = rows.join(first, ["part", "bits"]).where((F.col("p.image_id") > F.col("q.image_id")) & (apart <= most_bits))
-    p, q = _unpacked("p"), _unpacked("q")
+
+def shared_cells(found: DataFrame) -> DataFrame:
+    """The rows of in_tables() in cells of two images or more."""
+    rows = in_tables(found)
+    shared = in_tables(found.select("image_id", F.lit(0).alias("pos"), "d1", "d2")).groupBy("key").agg(F.min("image_id").alias("low"), F.max("image_id").alias("high")).where("low < high")
+    return rows.join(shared.select("key"), "key", "left_semi")
+
+
+def matches(cells: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(a, b, pos_a, pos_b): descriptors of image a that match one of image b < a. Each row of shared_cells() is compared with
+    its cell's of the smallest image. Descriptors that differ in fewer than TABLES bits always share a cell."""
+    first = cells.groupBy("key").agg(F.min(F.struct("image_id", "pos", "half", "quarter")).alias("q"))
+    quarters = F.col("quarter").bitwiseXOR(F.col("q.quarter")).cast("long").bitwiseAND(0xFFFFFFFF)  # bit_count extends the sign
+    apart = F.bit_count(F.col("half").bitwiseXOR(F.col("q.half"))) + F.bit_count(quarters)
+    met = cells.join(first, "key").where((F.col("image_id") > F.col("q.image_id")) & (apart <= most_bits))
+    return met.select(F.col("image_id").alias("a"), F.col("q.image_id").alias("b"), F.col("pos").alias("pos_a"), F.col("q.pos").alias("pos_b"))
+
+
+def moves(matched: DataFrame) -> DataFrame:
+    """(a, b, turn, zoom, dy, dx, place): the move from b to a that a match implies."""
+    p, q = _unpacked("pos_a"), _unpacked("pos_b")
     turn = F.pmod(p["turn"] - q["turn"], F.lit(TURNS))
     zoom = p["level"] - q["level"]
     a, s = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), zoom)
     moved_y = s * (q["y"] * F.cos(a) + q["x"] * F.sin(a))
     moved_x = s * (q["x"] * F.cos(a) - q["y"] * F.sin(a))
-    return met.select(
-        F.col("p.image_id").alias("a"), F.col("q.image_id").alias("b"), F.col("p.n").alias("n_a"), F.col("q.n").alias("n_b"), turn.alias("turn"), zoom.alias("zoom"),
-        (p["y"] - moved_y).alias("dy"), (p["x"] - moved_x).alias("dx"), F.col("p.pos").alias("place"),
-    )
+    return matched.select("a", "b", turn.alias("turn"), zoom.alias("zoom"), (p["y"] - moved_y).alias("dy"), (p["x"] - moved_x).alias("dx"), F.col("pos_a").alias("place"))
 
 
-def consensus(matched: DataFrame, votes: int = 4, bin_pixels: float = 6.0) -> DataFrame:
-    """(a, b, votes, n_a, n_b) of images with at least `votes` corners of a that imply about the same move. Bins overlap by half, so
-    no border between bins parts like moves."""
+def consensus(matched: DataFrame, sizes: DataFrame, votes: int = 4, share: float = 0.3, bin_pixels: float = 6.0) -> DataFrame:
+    """(a, b) of images with enough corners of a that imply about the same move: at least `votes`, or all of both, and `share` of
+    the corners of the one with fewer. sizes: (image_id, n_corners). Bins overlap by half, so no border between bins parts like moves."""
     shift = lambda c, o: F.floor(F.col(c) / bin_pixels + o)
     bins = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), shift("dy", oy).alias("y"), shift("dx", ox).alias("x")) for k, (oy, ox) in enumerate([(0.0, 0.0), (0.5, 0.0), (0.0, 0.5), (0.5, 0.5)])]))
-    per_place = matched.select("a", "b", "n_a", "n_b", "turn", "zoom", bins.alias("bin"), "place").distinct()
-    moves = per_place.groupBy("a", "b", "turn", "zoom", "bin").agg(F.count("*").alias("votes"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    return moves.groupBy("a", "b").agg(F.max("votes").alias("votes"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b")).where(F.col("votes") >= votes)
+    per_place = moves(matched).select("a", "b", "turn", "zoom", bins.alias("bin"), "place").distinct()
+    counted = per_place.groupBy("a", "b", "turn", "zoom", "bin").agg(F.count("*").alias("votes")).groupBy("a", "b").agg(F.max("votes").alias("votes"))
+    n = sizes.select("image_id", "n_corners")
+    both = counted.join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
+    enough = (F.col("votes") >= votes) | ((F.col("votes") == F.col("n_a")) & (F.col("votes") == F.col("n_b")))
+    return both.where(enough & (F.col("votes") >= share * F.least("n_a", "n_b"))).select("a", "b")
 
 
 def copy_groups(images: DataFrame, votes: int = 4, share: float = 0.3) -> DataFrame:
@@ -242,9 +260,7 @@ def copy_groups(images: DataFrame, votes: int = 4, share: float = 0.3) -> DataFr
     found = settle(packed(descriptors(images)))
     ids = images.select("image_id").distinct()
     sizes = found.groupBy("image_id").agg(F.max("n").alias("n_corners"))
-    links = consensus(matches(found), 1)
-    enough = (F.col("votes") >= votes) | ((F.col("votes") == F.col("n_a")) & (F.col("votes") == F.col("n_b")))
-    sure = settle(links.where(enough & (F.col("votes") >= share * F.least("n_a", "n_b"))).select("a", "b"))
+    sure = settle(consensus(matches(shared_cells(found)), sizes, votes, share))
     groups = components(sure)
     linked = sure.groupBy("a").agg(F.count("*").alias("n_links"))
     return (
