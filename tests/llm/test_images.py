@@ -3,6 +3,7 @@
 import numpy as np
 
 from tidemark.llm import media
+from tidemark.llm.components import components
 
 
 def alone_or_beside(images):
@@ -47,3 +48,29 @@ def test_images_with_pixel_noise_are_copies(spark):
     noisy = [np.clip(b + rng.normal(0, 10, b.shape), 0, 255).astype(np.uint8) for b in base]
     got = groups_of(spark, [*enumerate(base), *enumerate(noisy, 4)])
     assert got == {i: i % 4 for i in range(8)}
+
+
+def chunks(rng, n, rows):
+    return [rng.integers(0, 256, (rows, 32), np.uint8).repeat(2, 0).repeat(2, 1) for _ in range(n)]
+
+
+def test_copies_are_found_behind_smaller_images_that_share_their_corners(spark):
+    rng = np.random.default_rng(8)
+    parts, own = chunks(rng, 4, 40), chunks(rng, 4, 160)
+    whole = np.concatenate(parts)
+    images = [*enumerate((np.concatenate(p) for p in zip(own, parts)), 1), (10, whole), (11, whole)]
+    assert groups_of(spark, images) == {1: 1, 2: 2, 3: 3, 4: 4, 10: 10, 11: 10}
+
+
+def test_groups_equal_those_of_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    parts, own = chunks(rng, 30, 12) + chunks(rng, 12, 20), chunks(rng, 20, 80)
+    images = [(k, np.concatenate([own[k % 20], parts[rng.integers(len(parts))], parts[0]])) for k in range(60)]
+    images += [(3, images[10][1]), (12, images[12][1])]  # repeated ids
+    df = spark.createDataFrame([(i, a.shape[1], a.tobytes()) for i, a in images], "image_id long, width int, pixels binary")
+    found = media.packed(media.descriptors(df)).cache()
+    sizes = found.groupBy("image_id").agg({"n": "max"}).toDF("image_id", "n_corners")
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a)], "a long, b long")
+    wanted = {r.node: r.component for r in components(media.consensus(media.pair_matches(pairs, found), sizes)).collect()}
+    got = groups_of(spark, images)
+    assert got == {i: wanted.get(i, i) for i in range(60)} and 5 < len(set(got.values())) < 55

@@ -2,9 +2,13 @@
 
 Corners are found at several scales; each gets an orientation from its surroundings' intensity centroid and a string of binary
 brightness tests turned by it. Strings meet in tables by their parts: strings that differ in fewer bits than there are
-tables share a part. In each table's cell every descriptor is compared with the cell's first, so a cell
-that a third of all images share makes as many rows as it has members. Matches of two images vote for the turn, scale and shift
-that they imply; images with enough votes for one of these are copies, and copies of copies form groups.
+tables share a part. Matches of two images vote for the turn, scale and shift that they imply; images with enough votes for
+one of these are copies, and copies of copies form groups.
+
+Cells are compared twice. First every descriptor meets its cell's first, so a cell that a third of all images share makes as
+many rows as it has members. Then images of one cell that are not in one group by then meet each other, so no link between
+groups is lost. There an image that needs v votes and has c corners in such cells need not show all of them: of any c - v + k
+at least k vote, and these are its corners in the rarest cells. Pairs with k matches among them are compared whole.
 """
 
 from __future__ import annotations
@@ -12,16 +16,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle
+from tidemark.llm.common import settle, text_batches
 from tidemark.llm.components import components
+from tidemark.llm.simhash import CELL, by_cells, in_parts
 
 #: Radius of what a descriptor sees, of the square in which a corner must be the greatest, and orientations told apart.
 REACH, APART, TURNS, LEVELS, BITS, TABLES = 7, 9, 24, 2, 128, 4
 #: Bits by which descriptors in one cell may differ.
 MOST_BITS = 12
+#: Matches, k above, that bring two images to the whole comparison. A matter of cost; any number finds all links.
+BRING = 3
 #: Grey between images above each other, and beside them. Corners and their strength reach two pixels out of an image at every
 #: level: with this much grey no level sees, or suppresses, across images. Even, so that levels fit.
 MARGIN, SIDE = (max(REACH, APART) + 5) << (LEVELS - 1), (REACH + 3) << (LEVELS - 1)
@@ -86,7 +93,8 @@ def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     response[(response < STRENGTH * 255.0**4 * 9 / 1e4)] = 0
     top = (response == _greatest(response, APART)) & (response > 0)
     top[:REACH], top[-REACH:], top[:, :REACH], top[:, -REACH:] = False, False, False, False
-    return np.nonzero(top)
+    order = np.where(top, np.arange(top.size, 0, -1, dtype=np.int32).reshape(top.shape), 0)
+    return np.nonzero(top & (order == _greatest(order, APART)))
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -236,6 +244,88 @@ def moves(matched: DataFrame) -> DataFrame:
     return matched.select("a", "b", turn.alias("turn"), zoom.alias("zoom"), (p["y"] - moved_y).alias("dy"), (p["x"] - moved_x).alias("dx"), F.col("pos_a").alias("place"))
 
 
+def rival_spots(half: np.ndarray, quarter: np.ndarray, node: np.ndarray, spot: np.ndarray, size: np.ndarray, team: np.ndarray, shown: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(spot, other): corners of an image that match one of another image, of another team and with as many corners or more,
+    in one cell. Corners that are not shown (0) count only if the other image or their own has to show all (2)."""
+    if not len(node):
+        return node, node
+    _, inverse, counts = np.unique(cell, return_inverse=True, return_counts=True)
+    order = np.lexsort((shown == 0, inverse, -counts[inverse]))
+    half, quarter, node, spot, size, team, shown, cell = (c[order] for c in (half, quarter, node, spot, size, team, shown, inverse))
+    many = counts[cell]
+    new = np.r_[True, cell[1:] != cell[:-1]]
+    left = many - (np.arange(len(cell)) - np.flatnonzero(new)[np.cumsum(new) - 1]) - 1  # rows of the cell after this one
+    left[shown == 0] = 0  # those after it show nothing either
+    found = np.empty((0, 2), np.int64)
+    new, d, i = [], 0, np.flatnonzero(left > 0)
+    while len(i):
+        d += 1
+        j = i + d
+        fewer = (size[i] < size[j]) | ((size[i] == size[j]) & (node[i] < node[j]))
+        hit = (team[i] != team[j]) & (np.where(fewer, shown[i], shown[j]) + (shown[i] == 2) + (shown[j] == 2) > 0)
+        x, y = i[hit], j[hit]
+        near = np.bitwise_count(half[x] ^ half[y]) + np.bitwise_count((quarter[x] ^ quarter[y]).view(np.uint32)) <= MOST_BITS
+        x, y, fewer = x[near], y[near], fewer[hit][near]
+        new.append(np.c_[spot[np.where(fewer, x, y)], node[np.where(fewer, y, x)]])
+        i = i[left[i] > d]
+        if not len(i) or sum(map(len, new)) > len(node) + len(found):
+            found, new = np.unique(np.concatenate([found, *new]), axis=0), []
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
+def rivals(cells: DataFrame, groups: DataFrame, sizes: DataFrame, votes: int, share: float) -> DataFrame:
+    """(a, b) of images of shared_cells() that are not in one group and may be copies. sizes: (image_id, n_corners, repeated)."""
+    teams = cells.join(groups.select(F.col("node").alias("image_id"), "component"), "image_id", "left").withColumn("team", F.coalesce("component", "image_id"))
+    mixed = teams.groupBy("key").agg(F.count("*").alias("n"), F.min("team").alias("low"), F.max("team").alias("high")).where("low < high")
+    live = settle(teams.join(mixed.select("key", "n"), "key").select("key", "image_id", "pos", "half", "quarter", "team", "n"))
+    of = Window.partitionBy("image_id")  # an image's own corners
+    places = live.groupBy("image_id", "pos").agg(F.sum("n").alias("busy")).join(sizes, "image_id")
+    needed, total = F.greatest(F.ceil(share * F.col("n_corners") - 1e-9), F.least(F.lit(votes), "n_corners")), F.count("*").over(of)
+    places = places.withColumn("bring", F.least(needed, F.lit(BRING)))
+    showing = (total >= needed) & (F.row_number().over(of.orderBy("busy", "pos")) <= total - needed + F.col("bring"))
+    places = settle(places.select("image_id", "pos", F.monotonically_increasing_id().alias("spot"), F.col("n_corners").alias("size"), "bring", F.when(F.col("repeated"), 2).when(showing, 1).otherwise(0).cast("long").alias("shown")))
+    rows = live.join(places, ["image_id", "pos"]).withColumnsRenamed({"half": "fp", "image_id": "node"}).withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
+    dealt = in_parts(rows, "key").select("fp", "quarter", "node", "spot", "size", "team", "shown", "cell")
+    met = by_cells(dealt, rival_spots).toDF("spot", "other").distinct().join(places.select("spot", "image_id", "bring"), "spot")
+    pairs = met.groupBy("image_id", "other").agg(F.count("*").alias("n"), F.max("bring").alias("bring"))
+    whole = sizes.where("repeated").select(F.col("image_id").alias("id"))  # several images under one id: one match is enough
+    brought = pairs.where("n >= bring")
+    if whole.take(1):
+        brought = brought.union(pairs.join(whole, F.col("id") == F.col("image_id"), "left_semi")).union(pairs.join(whole, F.col("id") == F.col("other"), "left_semi"))
+    return brought.select(F.greatest("image_id", "other").alias("a"), F.least("image_id", "other").alias("b")).distinct()
+
+
+def pair_matches(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, pos_a, pos_b): all matches of the pairs (a, b) of images of packed(), by the rule of matches()."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("image_id")).distinct()
+    lists = settle(found.join(ids, "image_id", "left_semi").groupBy("image_id").agg(F.collect_list(F.struct("pos", "d1", "d2")).alias("corners")))
+    both = pairs.join(lists.toDF("a", "of_a"), "a").join(lists.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
+    text_batches(pairs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            a, b = (c.to_numpy() for c in batch.columns[:2])
+            (from_a, *of_a), (from_b, *of_b) = ((c.offsets.to_numpy(), *(c.values.field(k).to_numpy() for k in range(3))) for c in batch.columns[2:])
+            pair = np.repeat(np.arange(len(a)), np.diff(from_a))  # of each corner of a
+            sizes = np.diff(from_b)[pair]
+            ends = np.cumsum(sizes)
+            at = 0
+            while at < len(pair):
+                to = max(int(np.searchsorted(ends, ends[at] - sizes[at] + CANVAS, side="right")), at + 1)
+                n = sizes[at:to]
+                i = np.repeat(np.arange(at, to), n)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + from_b[pair[i]]
+                i += from_a[0]
+                x, y = of_a[1][i] ^ of_b[1][j], of_a[2][i] ^ of_b[2][j]
+                part = (x.astype(np.uint32) == 0) | (x >> 32 == 0) | (y.astype(np.uint32) == 0) | (y >> 32 == 0)
+                hit = np.flatnonzero(part & (np.bitwise_count(x) + np.bitwise_count(y) <= MOST_BITS))
+                k = pair[i[hit] - from_a[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[k], b[k], of_a[0][i[hit]], of_b[0][j[hit]])], names=["a", "b", "pos_a", "pos_b"])
+                at = to
+
+    return both.mapInArrow(run, "a long, b long, pos_a long, pos_b long")
+
+
 def consensus(matched: DataFrame, sizes: DataFrame, votes: int = 4, share: float = 0.3, bin_pixels: float = 6.0) -> DataFrame:
     """(a, b) of images with enough corners of a that imply about the same move: at least `votes`, or all of both, and `share` of
     the corners of the one with fewer. sizes: (image_id, n_corners). Bins overlap by half, so no border between bins parts like moves."""
@@ -251,7 +341,7 @@ def consensus(matched: DataFrame, sizes: DataFrame, votes: int = 4, share: float
 
 def copy_groups(images: DataFrame, votes: int = 4, share: float = 0.3) -> DataFrame:
     """(image_id, n_corners, group_id, n_links) for every image of (image_id, width, pixels): group_id is the smallest id of its
-    copies, n_links counts smaller images that it was matched with.
+    copies, n_links counts the smaller images by which it came into its group (not all of a large group's pairs).
 
     Two images are copies if at least `votes` corners agree on a move, and these are `share` of the corners of the one
     with fewer; with less than `votes` corners all of both must. An image without corners is a group by itself. Rows with a null id keep a null group; rows that repeat
@@ -259,11 +349,14 @@ def copy_groups(images: DataFrame, votes: int = 4, share: float = 0.3) -> DataFr
     """
     found = settle(packed(descriptors(images)))
     ids = images.select("image_id").distinct()
-    sizes = found.groupBy("image_id").agg(F.max("n").alias("n_corners"))
-    sure = settle(consensus(matches(shared_cells(found)), sizes, votes, share))
+    sizes = settle(found.groupBy("image_id").agg(F.max("n").alias("n_corners"), (F.count("*") > F.max("n")).alias("repeated")))
+    cells = settle(shared_cells(found))
+    first = settle(consensus(matches(cells), sizes, votes, share))
+    pairs = settle(rivals(cells, components(first), sizes, votes, share))
+    sure = settle(first.union(consensus(pair_matches(pairs, found), sizes, votes, share)).distinct())
     groups = components(sure)
     linked = sure.groupBy("a").agg(F.count("*").alias("n_links"))
     return (
-        ids.join(sizes, "image_id", "left").join(groups, ids["image_id"] == groups["node"], "left").join(linked, ids["image_id"] == linked["a"], "left")
+        ids.join(sizes.drop("repeated"), "image_id", "left").join(groups, ids["image_id"] == groups["node"], "left").join(linked, ids["image_id"] == linked["a"], "left")
         .select("image_id", F.coalesce("n_corners", F.lit(0).cast("long")).alias("n_corners"), F.coalesce("component", "image_id").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
