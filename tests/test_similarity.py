@@ -29,6 +29,13 @@ def test_neighbours_equal_brute_force_with_ties(spark):
     assert S.knn_neighbours(frame(spark, spread[:2]), ["a", "b"], 4).count() == 2
 
 
+def test_neighbours_are_exact_at_every_size(spark):
+    x = np.random.default_rng(3).normal(scale=20, size=(60, 2))  # nearly all pairs are further apart than 1
+    for block in (7, 1000):
+        got = {(r["item"], r.neighbour, r["rank"]) for r in S.knn_neighbours(frame(spark, x), ["a", "b"], 4, block).collect()}
+        assert got == brute(x, 4, range(60))
+
+
 def test_standardised_columns(spark):
     got = S.standardise(frame(spark, np.array([[1, 5], [2, 5], [3, 5]])), ["a", "b"]).orderBy("item").collect()
     assert np.allclose([r.a for r in got], np.array([-1, 0, 1]) / np.sqrt(2 / 3)) and [r.b for r in got] == [0, 0, 0]

@@ -9,17 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ratio
 from tidemark.operators.cubes import densify
+from tidemark.sources.stages import settle
 
 FEATURES = ("log_price", "discount", "professional_share", "trend", "cv", "q1", "q2", "q3", "q4")
-#: Up to so many items all distances are computed; beyond, items meet by locality-sensitive hashing.
-EXACT = 20_000
+#: Items of a block; every two blocks meet in one task.
+BLOCK = 2048
 
 
 def product_features(cube: DataFrame, item: str = "product_id", as_of: date | None = None, fill: bool = True) -> DataFrame:
@@ -79,51 +80,42 @@ def curve_components(cube: DataFrame, item: str = "product_id", components: int
     return got.select("item", *[vector_to_array("p")[i].alias(f"curve{i + 1}") for i in range(k)])
 
 
-def knn_neighbours(features: DataFrame, columns: Sequence[str], k: int = 5, exact: int = EXACT, apart: str = "item") -> DataFrame:
+def _nearest(q: pa.Table, x: pa.Table, k: int, names: list[str]) -> pa.Table:
+    """(item, neighbour, distance): of each row of q the k nearest of x, ties by item."""
+    x = x.sort_by("item")
+    ids, parts = (np.array(x[c].to_pylist(), dtype=object) for c in ("item", "apart"))
+    own, part = (np.array(q[c].to_pylist(), dtype=object) for c in ("item", "apart"))
+    at, of = (np.stack([t[c].to_numpy() for c in names]) for t in (q, x))
+    found = [(own[:0], ids[:0], np.empty(0))]
+    for i in range(0, len(own) if len(ids) else 0, 256):
+        d = np.zeros((len(own[i : i + 256]), len(ids)))
+        for f in range(len(names)):
+            d += (at[f, i : i + 256, None] - of[f]) ** 2
+        d = np.sqrt(d)
+        d[(part[i : i + 256, None] == parts[None]) | ~np.isfinite(d)] = np.inf
+        r, c = np.nonzero((d <= np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1 : min(k, len(ids))]) & np.isfinite(d))
+        order = np.lexsort((c, d[r, c], r))
+        r, c = r[order], c[order]
+        kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+        found.append((own[i + r[kept]], ids[c[kept]], d[r[kept], c[kept]]))
+    item, neighbour, distance = (np.concatenate(v) for v in zip(*found, strict=True))
+    return pa.table({"item": pa.array(item, pa.string()), "neighbour": pa.array(neighbour, pa.string()), "distance": pa.array(distance, pa.float64())})
+
+
+def knn_neighbours(features: DataFrame, columns: Sequence[str], k: int = 5, block: int = BLOCK, apart: str = "item") -> DataFrame:
     """(item, neighbour, distance, rank) of the k nearest others by Euclidean distance; ties go to the smaller item.
 
     apart: rows alike in this column are no neighbours; by default only the item itself is not.
 
-    Up to `exact` items the vectors, a bounded table, go to every task, and each takes its rows block by block. Beyond, items
-    meet by locality-sensitive hashing; what lies beyond its radius is no neighbour.
+    Items are dealt into blocks of about `block`. Every two blocks meet in a task, which keeps the k nearest of each item.
     """
     names = list(columns)
-    if features.count() > exact:
-        return _knn_hashed(features, names, k, apart)
-    rows = features.select("item", F.col(apart).cast("string").alias("apart"), *names)
-    all_ = rows.orderBy("item").toPandas()
-    kept = rows.sparkSession.sparkContext.broadcast((all_["item"].to_numpy(), all_["apart"].to_numpy(), all_[names].to_numpy(float)))
-
-    def run(batches):
-        ids, parts, x = kept.value
-        squares = (x**2).sum(1)
-        for b in batches:
-            own, part = (np.array(b.column(c).to_pylist(), dtype=object) for c in (0, 1))
-            q = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]], axis=1) if b.num_rows else np.empty((0, x.shape[1]))
-            for i in range(0, len(q), 256):
-                part_q = q[i : i + 256]
-                d = squares[None] - 2 * part_q @ x.T  # the order of distances, nearly; the nearest are measured exactly below
-                d[part[i : i + 256, None] == parts[None]] = np.inf
-                some = np.sort(np.argpartition(d, min(4 * k, d.shape[1] - 1), axis=1)[:, : 4 * k], axis=1)
-                far = np.sqrt(((part_q[:, None, :] - x[some]) ** 2).sum(2))
-                far[np.isinf(np.take_along_axis(d, some, 1))] = np.inf
-                order = np.argsort(far, axis=1, kind="stable")[:, :k]
-                near, d = np.take_along_axis(some, order, 1), np.take_along_axis(far, order, 1)
-                r, c = np.arange(near.shape[0]).repeat(near.shape[1]), near.ravel()
-                rank = np.tile(np.arange(1, near.shape[1] + 1), near.shape[0])
-                far = d.ravel()
-                r, c, rank, far = (v[np.isfinite(d.ravel())] for v in (r, c, rank, far))
-                yield pa.RecordBatch.from_arrays([pa.array(own[i + r], pa.string()), pa.array(ids[c], pa.string()), pa.array(far), pa.array(rank, pa.int32())], names=["item", "neighbour", "distance", "rank"])
-
-    return rows.mapInArrow(run, "item string, neighbour string, distance double, rank int")
-
-
-def _knn_hashed(features: DataFrame, names: list[str], k: int, apart: str) -> DataFrame:
-    rows = features.select("item", F.col(apart).cast("string").alias("apart"), *names)
-    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(rows)
-    radius = 1.0
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=radius, numHashTables=8).fit(vectors)
-    met = model.approxSimilarityJoin(vectors, vectors, radius, "distance").where("datasetA.apart <> datasetB.apart").select(F.col("datasetA.item").alias("item"), F.col("datasetB.item").alias("neighbour"), "distance")
+    rows = settle(features.select(F.col("item").cast("string").alias("item"), F.col(apart).cast("string").alias("apart"), *[F.col(c).cast("double").alias(c) for c in names]))
+    blocks = max(-(-rows.count() // block), 1)
+    own, other = F.pmod(F.xxhash64("item"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    dealt = rows.withColumn("own", own).withColumn("other", other)
+    asked, given = (dealt.select("item", "apart", *names, (F.col(q) * blocks + F.col(x)).alias("cell")) for q, x in (("own", "other"), ("other", "own")))
+    met = asked.groupBy("cell").cogroup(given.groupBy("cell")).applyInArrow(lambda q, x: _nearest(q, x, k, names), "item string, neighbour string, distance double")
     rank = F.row_number().over(Window.partitionBy("item").orderBy("distance", "neighbour")).alias("rank")
     return met.select("item", "neighbour", "distance", rank).where(F.col("rank") <= k)
 
