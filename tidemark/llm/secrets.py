@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -146,7 +147,7 @@ def fit(x: np.ndarray, y: np.ndarray, recall: float = 0.95, epochs: int = 12, se
         hess = np.array([[(s * z * z).sum() + 0.1, (s * z).sum()], [(s * z).sum(), s.sum() + 0.1]])
         net.a, net.b = np.array([net.a, net.b]) - 0.5 * np.linalg.solve(hess, grad)
     found = np.sort(net.score(cx)[cy == 1])
-    net.threshold = max(0.5, float(found[int((1 - recall) * len(found))]))
+    net.threshold = float(found[int((1 - recall) * len(found))])
     return net
 
 
@@ -156,14 +157,24 @@ def training_rows(text: str) -> list[tuple[list[int], int]]:
     return [(w, int(any(s < end and start < e for s, e, _ in found))) for start, end in candidates(text) for w in windows(text, start, end)]
 
 
-def train(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Net:
-    """Learns from the candidates of at most `sample` documents: those whose ids' hashes are smallest; at most 64 of a document."""
+def drawn_rows(text: str, windows_a_text: int) -> list[tuple[list[int], int]]:
+    """At most so many of the training rows, from all over the text: those whose hashes of place and window are smallest."""
+    rows = training_rows(text)
+    if len(rows) <= windows_a_text:
+        return rows
+    at = sorted(range(len(rows)), key=lambda i: (xxhash.xxh64_intdigest(bytes(rows[i][0]), i), i))[:windows_a_text]
+    return [rows[i] for i in sorted(at)]
+
+
+def train(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", windows_a_text: int = 64) -> Net:
+    """Learns from the candidates of at most `sample` documents, those whose ids' hashes are smallest: at most `windows_a_text`
+    windows of a document, drawn by hash from its whole text."""
     chosen = docs.select(F.col(id_col).alias("chosen")).where("chosen is not null").orderBy(F.xxhash64("chosen"), "chosen").limit(sample).distinct()
     met = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"), "left_semi")
 
     def run(batches):
         for b in batches:
-            rows = [(d, w, y) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w, y in training_rows(t)[:64]]
+            rows = [(d, w, y) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w, y in drawn_rows(t, windows_a_text)]
             d, w, y = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(d, b.column(0).type), pa.array([bytes(x) for x in w], pa.binary()), pa.array(y, pa.int32())], names=["doc_id", "w", "y"])
 
