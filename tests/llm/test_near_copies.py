@@ -43,9 +43,10 @@ def brute(rows):
     return {d: find(d) for d, _ in rows}
 
 
-@pytest.mark.parametrize("cell", [4096, 4])
-def test_groups_equal_brute_force(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell,part_bytes", [(4096, 1 << 23), (4, 1 << 23), (4096, 2000)])
+def test_groups_equal_brute_force(spark, monkeypatch, cell, part_bytes):
     monkeypatch.setattr(near_copies, "CELL", cell)
+    monkeypatch.setattr(near_copies, "PART_BYTES", part_bytes)
     rows = families(7)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bands", F.lit("clash")).withColumn("Fp", F.lit(1))
     want = brute(rows)
@@ -74,7 +75,7 @@ def test_null_ids_repeats_and_no_rows(spark):
 
 
 def test_a_large_family_is_checked_row_by_row(spark):
-    """A thousand variants of one text: two checks a row connect them all."""
+    """A thousand variants of one text are one group."""
     rng = np.random.default_rng(3)
     base = list(rng.choice(WORDS, 300))
     rows = []

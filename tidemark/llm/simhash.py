@@ -22,8 +22,8 @@ from tidemark.llm.components import components
 
 #: Rows of a cell that one task compares with each other; cells with more rows are cut into parts.
 CELL = 4096
-#: Rows whose planes are in memory at once.
-CHUNK = 1 << 16
+#: Rows whose planes are in memory at once, and bytes of what rows bring along.
+CHUNK, CHUNK_BYTES = 1 << 16, 32 << 20
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 LANES = np.uint64(0x0101010101010101)
 
@@ -128,23 +128,24 @@ def near_rows(fp: np.ndarray, cell: np.ndarray, radius: int, done: np.ndarray |
         yield i, i + d
 
 
+def top_of(top: np.ndarray, x: int) -> int:
+    """The root of x in a forest of parents, with the way there halved."""
+    while top[x] != x:
+        top[x] = top[top[x]]
+        x = top[x]
+    return x
+
+
 def forest(fp: np.ndarray, node: np.ndarray, cell: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node of its group) that connect what near_rows finds; not more than there are rows."""
     _, inverse, counts = np.unique(cell, return_inverse=True, return_counts=True)
     order = np.lexsort((node, inverse, -counts[inverse]))
     fp, node, cell = fp[order], node[order], inverse[order]
     top = np.arange(len(fp))
-
-    def find(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
     for i, j in near_rows(fp, cell, radius):
         apart = np.flatnonzero(top[i] != top[j])
         for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-            x, y = find(x), find(y)
+            x, y = top_of(top, x), top_of(top, y)
             if x != y:
                 top[max(x, y)] = min(x, y)
         while (top[top] != top).any():
@@ -191,21 +192,23 @@ def by_cells(dealt: DataFrame, work) -> DataFrame:
 
     def run(batches):
         kept: list[tuple] = []
+        held = 0
 
         def out(final: bool):
-            nonlocal kept
+            nonlocal kept, held
             if not kept:
                 return None
             columns = [np.concatenate(x) for x in zip(*kept, strict=True)]
             cell = columns[-1]
             cut = len(cell) if final else int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
-            kept = [] if cut == len(cell) else [tuple(c[cut:] for c in columns)]
+            kept, held = [] if cut == len(cell) else [tuple(c[cut:] for c in columns)], 0
             a, b = work(*(c[:cut] for c in columns)) if cut else (cell[:0], cell[:0])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             kept.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-            if sum(len(x[0]) for x in kept) >= CHUNK:
+            held += batch.nbytes
+            if sum(len(x[0]) for x in kept) >= CHUNK or held >= CHUNK_BYTES:
                 yield out(False)
         if last := out(True):
             yield last
