@@ -1,9 +1,11 @@
 """Secret scans: fixed rules, and a character convolutional network over every candidate with its surroundings.
 
-The network is trained in numpy on labelled findings: candidates in a bounded sample of documents, labelled by whether a
-rule found a secret there. Its scores are calibrated on a part of the candidates that it did not learn from, and the threshold
-is the highest at which the wanted share of those secrets is still found. It adds spans that look like secrets where no
-rule applies; what rules find always stays.
+The network is trained in numpy on labelled findings of a bounded sample of documents: what rules found is a secret, other
+candidates are none. So that it learns what secrets look like and not what rules look for, each finding is shown once as it
+is and once in disguise: its marker (keyword, prefix, lower case) taken away until no rule finds it any more. Scores are
+calibrated on one part of the candidates that it did not learn from, and the threshold is taken from another: the highest at
+which the wanted share of that part's secrets is still found. Every candidate is scored; the network adds spans where no rule
+applies, and what rules find always stays.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HINTS = ("passw", "secret", "token", "api")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+#: A candidate: characters of RUN with a digit and a letter, at least so many.
+DIGITS, TAIL, IN_RUN, LEAST = re.compile("[0-9]+"), re.compile(r"[A-Za-z0-9+/_.=-]*"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), 6
 KINDS = ("assign", "access", "hex", "model")
 LEFT, MID, RIGHT, WIDTH, EMBED, FILTERS = 24, 48, 8, 5, 8, 24
 #: Character classes: printable ASCII by itself, one class for white space, one for all others, one for nothing.
@@ -49,8 +53,18 @@ def by_rule(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of 12 characters or more with a digit and a letter."""
-    return [m.span() for m in RUN.finditer(text) if not (w := m[0]).isalpha() and any(c.isdigit() for c in w) and any(c.isalpha() for c in w)]
+    """Runs of LEAST characters or more with a digit and a letter; found from their digits, which prose has few of."""
+    found, end = [], 0
+    for m in DIGITS.finditer(text):
+        start = m.start()
+        if start < end:
+            continue
+        while start > end and text[start - 1] in IN_RUN:
+            start -= 1
+        end = TAIL.match(text, m.end()).end()
+        if end - start >= LEAST and any(c.isalpha() for c in text[start:end]):
+            found.append((start, end))
+    return found
 
 
 def _classes(text: str, start: int, end: int, width: int, right: bool = False) -> list[int]:
@@ -118,8 +132,8 @@ def _gradients(net: Net, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> di
 
 
 def fit(x: np.ndarray, y: np.ndarray, recall: float = 0.95, epochs: int = 12, seed: int = 7) -> Net:
-    """Learns from windows x with labels y by Adam; every fifth row serves for calibration and threshold only. With
-    fewer than 8 rows of either label there is nothing to learn, and the threshold admits nothing."""
+    """Learns from windows x with labels y by Adam. Of every five rows of a label one serves for calibration only and one for
+    the threshold only. With fewer than 8 rows of either label there is nothing to learn, and the threshold admits nothing."""
     rng = np.random.default_rng(seed)
     net = Net(_start(rng))
     if min((y == 1).sum(), (y == 0).sum()) < 8:
@@ -127,7 +141,7 @@ def fit(x: np.ndarray, y: np.ndarray, recall: float = 0.95, epochs: int = 12, se
     part = np.zeros(len(y), int)
     for label in (0, 1):
         part[y == label] = np.arange((y == label).sum()) % 5
-    tx, ty, cx, cy = x[part > 0], y[part > 0], x[part == 0], y[part == 0]
+    tx, ty, cx, cy = x[part > 1], y[part > 1], x[part == 0], y[part == 0]
     weight = np.where(ty == 1, len(ty) / (2 * (ty == 1).sum()), len(ty) / (2 * (ty == 0).sum()))
     m = {k: np.zeros_like(v) for k, v in net.weights.items()}
     v = {k: np.zeros_like(w) for k, w in net.weights.items()}
@@ -146,15 +160,37 @@ def fit(x: np.ndarray, y: np.ndarray, recall: float = 0.95, epochs: int = 12, se
         grad = np.array([((p - cy) * z).sum() + 0.1 * (net.a - 1), (p - cy).sum() + 0.1 * net.b])
         hess = np.array([[(s * z * z).sum() + 0.1, (s * z).sum()], [(s * z).sum(), s.sum() + 0.1]])
         net.a, net.b = np.array([net.a, net.b]) - 0.5 * np.linalg.solve(hess, grad)
-    found = np.sort(net.score(cx)[cy == 1])
+    found = np.sort(net.score(x[(part == 1) & (y == 1)]))
     net.threshold = float(found[int((1 - recall) * len(found))])
     return net
 
 
+def disguised(text: str, start: int, end: int, kind: str) -> tuple[str, int, int] | None:
+    """The text with the marker of a finding taken away, and where the secret lies then; None if a rule still finds it."""
+    value = text[start:end]
+    if kind == "assign":
+        m = ASSIGN.match(text, start)
+        text, end = text[:start] + m[2] + text[end:], start + len(m[2])
+        value = m[2]
+    draw = xxhash.xxh64(value.encode(), 1)
+    if HEX.search(value) and any(m.end() - m.start() >= 24 for m in HEX.finditer(value)):
+        value = value.upper()
+    if value.startswith("AKIA"):
+        value = "".join(chr(65 + draw.digest()[k] % 26) for k in range(4)) + value[4:]
+    text = text[:start] + value + text[end:]
+    return None if any(s < end and start < e for s, e, _ in by_rule(text)) else (text, start, end)
+
+
 def training_rows(text: str) -> list[tuple[list[int], int]]:
-    """Windows of all candidates of a text, 1 if what a rule found overlaps the candidate."""
+    """Windows of all candidates of a text, 1 if what a rule found overlaps the candidate, and of its findings in disguise."""
     found = by_rule(text)
-    return [(w, int(any(s < end and start < e for s, e, _ in found))) for start, end in candidates(text) for w in windows(text, start, end)]
+    rows = [(w, int(any(s < end and start < e for s, e, _ in found))) for start, end in candidates(text) for w in windows(text, start, end)]
+    for start, end, kind in found:
+        near = text[max(start - 200, 0) : end + 200]  # windows see no further
+        at = start - max(start - 200, 0)
+        if hidden := disguised(near, at, at + end - start, kind):
+            rows += [(w, 1) for w in windows(*hidden)]
+    return rows
 
 
 def drawn_rows(text: str, windows_a_text: int) -> list[tuple[list[int], int]]:
@@ -166,41 +202,49 @@ def drawn_rows(text: str, windows_a_text: int) -> list[tuple[list[int], int]]:
     return [rows[i] for i in sorted(at)]
 
 
-def train(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", windows_a_text: int = 64) -> Net:
+def train(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", windows_a_text: int = 64, most_windows: int = 20_000) -> Net:
     """Learns from the candidates of at most `sample` documents, those whose ids' hashes are smallest: at most `windows_a_text`
-    windows of a document, drawn by hash from its whole text."""
+    windows of a document, drawn by hash from its whole text, and of all those `most_windows`, drawn by hash again."""
     chosen = docs.select(F.col(id_col).alias("chosen")).where("chosen is not null").orderBy(F.xxhash64("chosen"), "chosen").limit(sample).distinct()
     met = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"), "left_semi")
 
     def run(batches):
         for b in batches:
-            rows = [(d, w, y) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w, y in drawn_rows(t, windows_a_text)]
-            d, w, y = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(d, b.column(0).type), pa.array([bytes(x) for x in w], pa.binary()), pa.array(y, pa.int32())], names=["doc_id", "w", "y"])
+            rows = [row for t in b.column(1).to_pylist() for row in drawn_rows(t, windows_a_text)]
+            w, y = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in w], pa.binary()), pa.array(y, pa.int32())], names=["w", "y"])
 
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    got = sorted((r.doc_id, bytes(r.w), r.y) for r in met.mapInArrow(run, f"doc_id {kind}, w binary, y int").collect())
-    x = np.frombuffer(b"".join(w for _, w, _ in got), np.uint8).reshape(-1, LEFT + MID + RIGHT)
-    return fit(x, np.array([y for _, _, y in got], float))
+    got = met.mapInArrow(run, "w binary, y int").orderBy(F.xxhash64("w", "y"), "w", "y").limit(most_windows).collect()
+    x = np.frombuffer(b"".join(r.w for r in got), np.uint8).reshape(-1, LEFT + MID + RIGHT)
+    return fit(x, np.array([r.y for r in got], float))
 
 
-def spans_of(texts: list[str], net: Net | None) -> list[list[tuple[int, int, str]]]:
-    """What rules find in each text, and the candidates beside it that the network takes for secrets."""
-    out, asked, x = [], [], []
+def scores_of(texts: list[str], net: Net | None) -> list[list[tuple[int, int, float]]]:
+    """(start, end, score) of every candidate of each text: the greatest of its windows' scores; 0 without a network."""
+    out: list[list[tuple[int, int, float]]] = []
+    places, x = [], []
     for k, text in enumerate(texts):
-        found = by_rule(text)
-        out.append(found)
+        out.append([(start, end, 0.0) for start, end in candidates(text)])
         if net is not None and net.threshold <= 1:
-            for start, end in candidates(text):
-                if not any(s < end and start < e for s, e, _ in found):
-                    w = windows(text, start, end)
-                    asked += [(k, start, end)] * len(w)
-                    x += w
+            for n, (start, end, _) in enumerate(out[-1]):
+                w = windows(text, start, end)
+                places += [(k, n)] * len(w)
+                x += w
     if x:
-        p = net.score(np.array(x, np.uint8))
-        for place in sorted({a for a, q in zip(asked, p, strict=True) if q >= net.threshold}):
-            out[place[0]].append((*place[1:], "model"))
-    return [sorted(s, key=lambda s: (s[0], KINDS.index(s[2]))) for s in out]
+        for (k, n), p in zip(places, net.score(np.array(x, np.uint8)).tolist(), strict=True):
+            start, end, best = out[k][n]
+            out[k][n] = start, end, max(best, p)
+    return out
+
+
+def spans_of(texts: list[str], net: Net | None) -> list[list[tuple[int, int, str]]]:
+    """What rules find in each text, and the candidates beside it that the network takes for secrets."""
+    return [_with_model(by_rule(text), scores, net) for text, scores in zip(texts, scores_of(texts, net), strict=True)]
+
+
+def _with_model(found: list[tuple[int, int, str]], scores: list[tuple[int, int, float]], net: Net | None) -> list[tuple[int, int, str]]:
+    added = [(start, end, "model") for start, end, p in scores if net is not None and p >= net.threshold and not any(s < end and start < e for s, e, _ in found)]
+    return sorted(found + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else found
 
 
 def scan(docs: DataFrame, net: Net | None, text_col: str = "text", into: str = "secrets") -> DataFrame:
@@ -244,15 +288,24 @@ def mask(docs: DataFrame, net: Net | None, text_col: str = "text") -> DataFrame:
 
 
 def digests(docs: DataFrame, net: Net | None) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans)."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_candidates, n_over): n_over counts the candidates, of rules or not,
+    whose score reaches the threshold. A null or empty text has none of all; each row is a text of its own, ids may be null
+    or repeated. No rows in, no rows out."""
+    kept = docs.sparkSession.sparkContext.broadcast(net)
+    text_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        said = lambda row: ",".join(f"{k}:{s}:{e}" for s, e, k in row)
         for b in batches:
-            found = b.column(1).to_pylist()
-            rows = [[(s["kind"], s["start"], s["end"]) for s in row] for row in found]
-            base = [[s for s in row if s[0] != "model"] for row in rows]
-            text = lambda row: ",".join(f"{k}:{s}:{e}" for k, s, e in row)
-            n = [pa.array([sum(s[0] == kind for s in row) for row in rows], pa.int64()) for kind in KINDS[:3]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *n, pa.array([hashlib.sha256(text(row).encode()).hexdigest() for row in base], pa.string()), pa.array([text(row) for row in rows], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    return scan(docs.select("doc_id", "text"), net).select("doc_id", "secrets").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            scores = scores_of(texts, kept.value)
+            base = [by_rule(t) for t in texts]
+            n = [[sum(s[2] == name for s in row) for row in base] for name in KINDS[:3]]
+            over = [sum(p >= kept.value.threshold for _, _, p in row) if kept.value else 0 for row in scores]
+            spans = [said(_with_model(found, row, kept.value)) for found, row in zip(base, scores, strict=True)]
+            columns = [*n, [hashlib.sha256(said(row).encode()).hexdigest() for row in base], spans, [len(row) for row in scores], over]
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns, kinds)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_candidates", "n_over"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_candidates long, n_over long")
