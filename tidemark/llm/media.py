@@ -162,41 +162,53 @@ def _canvas(images: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def descriptors(images: DataFrame) -> DataFrame:
     """(image_id, level, y, x, turn, d1, d2, n) for each corner of (image_id, width, pixels), a byte a pixel, row by row; n
-    is how many corners the image has.
+    is how many corners the image has. An image without corners is one row, with n 0 and nulls.
 
     Images that are null, empty or whose pixels do not fill whole rows have none, nor have rows with a null id.
     """
+    names = ["image_id", "level", "y", "x", "turn", "d1", "d2", "n"]
+    kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3]
 
     def run(batches):
         ids: list[int] = []
         kept: list[np.ndarray] = []
 
+        def batch(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
         def out():
             canvas, starts = _canvas(kept)
             level, y, x, turn, bits = describe(canvas)
             at = np.searchsorted(starts - MARGIN // 2, y, side="right") - 1
-            n = np.bincount(at, minlength=len(ids))[at]
-            return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[at]), *[pa.array(a.astype(np.int32)) for a in (level, y - starts[at], x - SIDE, turn)], pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), pa.array(n, pa.int64())], names=["image_id", "level", "y", "x", "turn", "d1", "d2", "n"])
+            held = np.bincount(at, minlength=len(ids))
+            yield batch(np.array(ids, np.int64)[at], level, y - starts[at], x - SIDE, turn, bits[:, 0].copy(), bits[:, 1].copy(), held[at])
+            yield bare([i for i, n in zip(ids, held, strict=True) if not n])
+
+        def bare(of):
+            return batch(of, *[[None] * len(of)] * 6, [0] * len(of))
 
         size = 0
         for b in batches:
+            none = []
             for image, width, pixels in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if image is None or not pixels or not width or width < 1 or len(pixels) % width:
+                    none.append(image)
                     continue
                 ids.append(image)
                 kept.append(np.frombuffer(pixels, np.uint8).reshape(-1, width))
                 size += len(pixels) + 16 * width
                 if size >= CANVAS:
-                    yield out()
+                    yield from out()
                     ids, kept, size = [], [], 0
+            yield bare(none)
         if kept:
-            yield out()
+            yield from out()
 
     return images.select("image_id", "width", "pixels").mapInArrow(run, "image_id long, level int, y int, x int, turn int, d1 long, d2 long, n long")
 
 
 def packed(found: DataFrame) -> DataFrame:
-    """(image_id, pos, d1, d2, n): level, y, x and turn of a corner in one number, for smaller rows."""
+    """(image_id, pos, d1, d2, n): level, y, x and turn of a corner in one number, for smaller rows; pos is null for no corner."""
     pos = ((F.col("y").cast("long") * (1 << 20) + F.col("x")) * 4 + F.col("level")) * 32 + F.col("turn")
     return found.select("image_id", pos.alias("pos"), "d1", "d2", "n")
 
@@ -347,8 +359,8 @@ def copy_groups(images: DataFrame, votes: int = 4, share: float = 0.3) -> DataFr
     with fewer; with less than `votes` corners all of both must. An image without corners is a group by itself. Rows with a null id keep a null group; rows that repeat
     an id are one image, with the most corners of them. No rows in, no rows out.
     """
-    found = settle(packed(descriptors(images)))
-    ids = images.select("image_id").distinct()
+    every = settle(packed(descriptors(images)))
+    ids, found = every.select("image_id").distinct(), every.where("pos is not null")
     sizes = settle(found.groupBy("image_id").agg(F.max("n").alias("n_corners"), (F.count("*") > F.max("n")).alias("repeated")))
     cells = settle(shared_cells(found))
     first = settle(consensus(matches(cells), sizes, votes, share))
