@@ -1,8 +1,8 @@
 """Line dedup over whole corpora, in DataFrame functions only.
 
-Every line's key is hashed to 128 bits. The hashes are range-partitioned together with a salt of the document, so a
-line that a third of all documents hold is spread over many ranges, and are sorted within by document and position.
-One streaming pass finds the first document of each (hash, salt); a second one, over those first documents alone, finds
+Every line's key is hashed to 128 bits. A hash of these and of a salt of the document is cut into equal ranges, whose bounds
+need no sample because hashes are uniform; so a line that a third of all documents hold is spread over many ranges. Rows are
+sorted within by document and position. One streaming pass finds the first document of each (hash, salt); a second one, over those first documents alone, finds
 the first of each hash. What leaves the shuffle is a run-length bitmap per document; text is touched again only where
 the bitmap is applied.
 """
@@ -49,10 +49,13 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.pmod(F.hash("doc"), F.lit(n)).alias("salt"), "doc", "text_hash", "pos",
         )
     )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = (64 * parts).bit_length()  # about a hundred ranges a partition, so that partitions are even
+    lines = lines.withColumn("range", F.shiftrightunsigned(F.xxhash64("h1", "salt"), 64 - bits))
     order = [F.asc_nulls_first("doc"), F.asc("pos")]
     upto = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    dealt = lines.repartitionByRange("h1", "h2", "salt")
-    seen = dealt.withColumn("own", F.col("doc").eqNullSafe(F.first("doc").over(upto("h1", "h2", "salt"))))
+    dealt = lines.repartition(parts, "range")
+    seen = dealt.withColumn("own", F.col("doc").eqNullSafe(F.first("doc").over(upto("range", "h1", "h2", "salt"))))
     rest = (
         seen.where("own").select("h1", "h2", "doc", "text_hash", "pos")
         .withColumn("own", F.col("doc").eqNullSafe(F.first("doc").over(upto("h1", "h2"))))
