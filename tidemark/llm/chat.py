@@ -2,7 +2,8 @@
 
 Every turn gets the hash of its conversation up to it: the exclusive or of hashes of (position, role, text), which can be
 summed up block by block, so a conversation with very many turns is no single task's work. A conversation whose whole
-hash is the hash of a longer one's prefix is a snapshot of that one; of equal conversations the smallest id stays.
+hash is the hash of a longer one's prefix is a snapshot of that one; of equal conversations the smallest id stays. Equality is
+that of two 64-bit hashes and the number of turns; texts are not compared again.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import settle
+
 #: Turns that are put in order, summed up and rendered together.
 BLOCK = 1024
 
@@ -20,7 +23,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     place counts from 1 in the order of turn (null first), role and text; null roles and texts are empty; rows alike in
     all four columns are one turn; rows with a null conv_id belong to no conversation and are left out.
     """
-    rows = (
+    rows = settle(
         turns.where("conv_id is not null")
         .select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
         .distinct().withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
@@ -41,7 +44,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """The turns, as prefix_hashes() gives them, of conversations that are no prefix of another one nor equal to one with a smaller id."""
-    hashed = prefix_hashes(turns)
+    hashed = settle(prefix_hashes(turns))
     lengths = hashed.groupBy("conv_id").agg(F.max("place").alias("n"))
     ends = hashed.select("conv_id", "place", "h1", "h2").join(lengths, "conv_id")
     whole = ends.where("place = n").groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
