@@ -2,8 +2,11 @@
 
 A vector is coded as a sum of one entry from each of several full-dimensional codebooks. Codebooks start as residual
 k-means on a bounded sample and are then refitted together by least squares; encoding is a beam search over the codebooks. A query's
-inner products with all entries form a table; a code's score is a sum of looked-up values, and with the stored norm of the
-coded vector also gives distances. The best of these are ranked again by exact products of the original vectors.
+inner products with all entries form a table; a code's score is a sum of looked-up values, for Euclidean distances less half
+the stored norm of the coded vector. The best of these are ranked again by the exact measure of the original vectors.
+
+Queries meet codes in blocks: a block of up to QUERIES queries is in memory while the codes stream by, so codes are shuffled
+once for each such block and not once for each query; a copy of a code costs 40 bytes against QUERIES sums of looked-up values.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import settle
 
-#: Queries that share one pass over codes, and codes that one task of a pass reads at most.
-QUERIES, CODES = 256, 1 << 17
+#: Queries that share one pass over codes at most, and at least where tasks are too few for the cores; codes that one task of a
+#: pass reads at most. Matters of cost; any choice gives the same rows.
+QUERIES, FEWEST, CODES = 4096, 256, 1 << 17
 
 
 @dataclass
@@ -89,12 +93,14 @@ def usable(vector: Column, d: int | None = None) -> Column:
     return ok if d is None else ok & (F.size(vector) == d)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = 400, sample: int = 16_384, codebooks: int = 32, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows nearest to each row of `queries` by inner product, itself left out.
+def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = 400, sample: int = 16_384, codebooks: int = 32, id_col: str = "vec_id", vec_col: str = "embedding", measure: str = "product") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k rows nearest to each row of `queries`, itself left out; by inner product, or with
+    `measure` "distance" by the Euclidean distance, whose negative is the score then.
 
     Vectors that are not usable, and rows with a null id, take no part; of vectors of several lengths those of the most frequent
     one do (ties: the longer). Ties of score go to the smaller id. Rows that repeat an id count as one candidate each,
-    but never for a query of the same id. Codebooks learn from at most `sample` rows; every row is coded and scored.
+    but never for a query of the same id. Codebooks learn from at most `sample` rows; every row is coded and scored. No usable rows
+    in, no rows out.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), queries.alias("asks"))
@@ -118,13 +124,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = 40
     coded = settle(rows.select("id", "v").mapInArrow(code, "ids array<long>, codes binary, norms binary"))
     asked = rows.where("asks").select("id", "v")
     n_asked = asked.count()
-    blocks, groups = -(-n_asked // QUERIES) or 1, -(-n // CODES)
+    groups = -(-n // CODES)
+    spread = min(-(-n_asked // FEWEST), -(-2 * spark.sparkContext.defaultParallelism // groups))
+    blocks = max(-(-n_asked // QUERIES), spread, 1)
     every = lambda upto: F.explode(F.sequence(F.lit(0), F.lit(upto - 1)))
     block_rows = (
         asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("items"))
-        .select("block", every(groups).alias("part"), F.lit(0).alias("kind"), F.col("items.id").alias("ids"), F.flatten("items.v").alias("v"), F.lit(None).cast("binary").alias("codes"))
+        .select("block", every(groups).alias("part"), F.lit(0).alias("kind"), F.col("items.id").alias("ids"), F.flatten("items.v").alias("v"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("norms"))
     )
-    code_rows = coded.select(every(blocks).alias("block"), F.pmod(F.hash(F.get("ids", F.lit(0))), F.lit(groups)).cast("int").alias("part"), F.lit(1).alias("kind"), "ids", F.array().cast(rows.schema["v"].dataType).alias("v"), "codes")
+    code_rows = coded.select(every(blocks).alias("block"), F.pmod(F.hash(F.get("ids", F.lit(0))), F.lit(groups)).cast("int").alias("part"), F.lit(1).alias("kind"), "ids", F.array().cast(rows.schema["v"].dataType).alias("v"), "codes", "norms")
+    far = measure == "distance"
 
     def pass_over(batches):
         now, ids, tables, best_s, best_i = None, None, None, None, None
@@ -134,7 +143,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = 40
             return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_i[q, c])], names=["query_id", "vec_id"])
 
         for b in batches:
-            for block, part, kind, row_ids, v, codes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for block, part, kind, row_ids, v, codes, norms in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == 0:
                     if now is not None:
                         yield out()
@@ -144,9 +153,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = 40
                     best_s, best_i = np.empty((len(ids), 0), np.float32), np.empty((len(ids), 0), np.int64)
                 elif now == (block, part):
                     all_c, all_i = np.frombuffer(codes, np.uint8).reshape(-1, codebooks), np.array(row_ids, np.int64)
-                    for i in range(0, len(all_i), 4096):
-                        c, at = all_c[i : i + 4096], all_i[i : i + 4096]
-                        s = sum(t[:, c[:, m]] for m, t in enumerate(tables))
+                    half = np.frombuffer(norms, np.float32) / 2 if far else None
+                    for i in range(0, len(all_i), 2048):
+                        c, at = all_c[i : i + 2048], all_i[i : i + 2048]
+                        s = tables[0][:, c[:, 0]]
+                        for m in range(1, codebooks):
+                            s += tables[m][:, c[:, m]]
+                        if far:
+                            s -= half[i : i + 2048]
                         s[ids[:, None] == at[None, :]] = -np.inf
                         s, at = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(at, s.shape)], 1)
                         if s.shape[1] > shortlist:
@@ -159,7 +173,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = 40
             yield out()
 
     near = block_rows.unionByName(code_rows).repartition(blocks * groups, "block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(pass_over, "query_id long, vec_id long").distinct()
-    exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    total = lambda f: F.aggregate(F.zip_with("qv", "v", lambda a, b: f(a.cast("double"), b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
+    exact = -F.sqrt(total(lambda a, b: (a - b) * (a - b))) if far else total(lambda a, b: a * b)
     scored = (
         near.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
         .select("query_id", "vec_id", exact.alias("score"))
