@@ -254,6 +254,24 @@ def test_search_recall_and_exclusions(spark):
     assert [r.vec_id for r in additive.search(same, F.col("vec_id") == 0).orderBy("rank").collect()] == list(range(1, 21))
 
 
+def test_search_by_distance_in_many_blocks(spark, monkeypatch):
+    for name, value in (("QUERIES", 7), ("FEWEST", 7), ("CODES", 100)):
+        monkeypatch.setattr(additive, name, value)
+    rng = np.random.default_rng(3)
+    data = {k: rng.normal(0, rng.uniform(0.2, 3), 16).astype(np.float32) for k in range(400)}
+    df = spark.createDataFrame([(k, v.tolist(), "clash") for k, v in data.items()], "vec_id long, embedding array<float>, codes string")
+    hits = 0
+    for measure, far in (("distance", True), ("product", False)):
+        got = additive.search(df, F.col("vec_id") % 10 == 0, k=5, shortlist=40, measure=measure).collect()
+        for q in range(0, 400, 10):
+            score = lambda i: -float(np.linalg.norm(data[q].astype(float) - data[i])) if far else float(data[q].astype(float) @ data[i])  # noqa: B023, E731
+            exact = sorted((i for i in data if i != q), key=lambda i: (-score(i), i))[:5]  # noqa: B023
+            rows = {r["rank"]: r for r in got if r.query_id == q}
+            assert sorted(rows) == [1, 2, 3, 4, 5] and all(abs(score(r.vec_id) - r.score) < 1e-6 for r in rows.values())
+            hits += len({r.vec_id for r in rows.values()} & set(exact))
+    assert hits >= 0.9 * 2 * 40 * 5
+
+
 def test_chat_keeps_maximal_conversations(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK", 2)
     talk = lambda c, *said: [(c, i, "user" if i % 2 == 0 else "assistant", s) for i, s in enumerate(said)]
@@ -265,6 +283,16 @@ def test_chat_keeps_maximal_conversations(spark, monkeypatch):
     assert chat.render(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+def test_captures_of_many_runs_and_ranges_come_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RUN", 3)
+    monkeypatch.setattr(warc, "RANGE", 8)
+    pages = [(k, f"http://h{k % 5}.example/{k % 3}", f"page {k % 7}") for k in range(60)] + [(None, None, None), (7, "http://h2.example/1", "page 0")]
+    found = warc.capture_history(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), F.lit("2024-01-01T00:00:00Z"), path=str(tmp_path / "m"))
+    assert found.rdd.getNumPartitions() == 8
+    got = [(r.urlkey, r.timestamp, r.page_id is not None, r.page_id or 0) for r in found.collect()]
+    assert got == sorted(got) and sorted(p for *_, p in got) == sorted(p or 0 for p, _, _ in pages)
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "é" * 600
     pages = [(1, "http://www.B.example/x?q=1", long), (2, "http://b.example/x?q=1", long), (3, None, None), (4, "no url", "WARC/1.1\r\nWARC-Type: x\r\n\r\n\r\n\r\n" + long), (5, "http://a.example/WARC/1.1", "short"), (6, "http://a.example", "short"), (None, "http://c.example", long), (2, "http://b.example/x?q=1", long)]

@@ -2,14 +2,16 @@
 
 Records are written and read by Spark's text source, with the end of a record and the start of the next as separators, so
 archives can lie in any store. An archive is compressed and read by one task, and its number of records is bounded. The index is merged externally: tasks sort runs of
-captures, runs are dealt by ranges of (URL key, timestamp, id), and each range merges its runs with a loser tree.
+captures, runs are dealt by ranges of (URL key, timestamp, id) of a bounded number of rows, and each range merges its parts of
+runs, which come in order, with a loser tree.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,10 @@ from tidemark.llm.common import settle, shared_dir
 MAGIC, CRLF = "WARC/1.1", "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF
-#: Captures that a task sorts at once.
-RUN = 50_000
+#: Captures that a task sorts at once, and captures of a range, about.
+RUN, RANGE = 50_000, 100_000
+#: A header of our own: a mark that is drawn for each folder of archives, so that no payload can look like a record's start.
+MARK = "WARC-Archive-Mark: "
 INDEX = "urlkey string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string"
 
 
@@ -43,24 +47,15 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     return base.join(held, "payload_digest", "left").select(*base.columns, F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder")).alias("refers_to"))
 
 
-def records(captures: DataFrame) -> DataFrame:
-    """(value): one record's text for each row of with_revisits() with a column `timestamp`, without the two line ends that close it.
-
-    A payload that holds the mark with which records begin is written in base64 and says so.
-    """
+def records(captures: DataFrame, mark: str) -> DataFrame:
+    """(value): one record's text for each row of with_revisits() with a column `timestamp`, without the two line ends that close it."""
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
-    coded = F.col("html").contains(MAGIC)
-    body = F.when(coded, F.base64(F.encode("html", "utf-8"))).otherwise(F.col("html"))
-    block = F.when(
-        F.col("refers_to").isNull(),
-        F.concat(F.lit(HTTP), F.when(coded, F.lit("Content-Transfer-Encoding: base64" + CRLF)).otherwise(""), F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(2 * CRLF), body),
-    ).otherwise("")
-    # angle brackets keep the mark in a URL from being followed by a line end
-    url = F.concat(F.lit("<"), F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), F.lit(">"))
-    rows = captures.withColumn("block", block)
+    body = F.concat(F.lit(HTTP + "Content-Length: "), F.octet_length("html").cast("string"), F.lit(2 * CRLF), F.col("html"))
+    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    rows = captures.withColumn("block", F.when(F.col("refers_to").isNull(), body).otherwise(""))
     return rows.select(
         F.concat(
-            F.lit(MAGIC + CRLF), line("WARC-Type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")),
+            F.lit(MAGIC + CRLF + MARK + mark + CRLF), line("WARC-Type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")),
             line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))), line("WARC-Target-URI", url), line("WARC-Date", F.col("timestamp")),
             line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), line("WARC-Payload-Length", F.col("payload_bytes").cast("string")),
             line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
@@ -72,7 +67,7 @@ def records(captures: DataFrame) -> DataFrame:
 
 def write(captures: DataFrame, path: str, most_records: int = 20_000) -> None:
     """Archives in the folder `path`; a part file of Spark's is an archive of at most `most_records` whole records."""
-    records(captures).write.options(lineSep=2 * CRLF, compression="gzip", maxRecordsPerFile=most_records).text(path)
+    records(captures, uuid.uuid4().hex).write.options(lineSep=2 * CRLF, compression="gzip", maxRecordsPerFile=most_records).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -81,17 +76,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Lengths are checked against each record's header and digests against the payload; a record that does not fit its
     header is an error.
     """
-    raw = spark.read.option("lineSep", MAGIC + CRLF).text(path).select("value", F.col("_metadata.file_path").alias("file")).where("value <> ''")
+    head = spark.read.option("lineSep", CRLF).text(path).where(F.col("value").startswith(MARK)).first()  # of the first record there is
+    start = MAGIC + CRLF + (head[0] + CRLF if head else "")
+    raw = spark.read.option("lineSep", start).text(path).select("value", F.col("_metadata.file_path").alias("file")).where("value <> ''")
     cut = F.instr("value", 2 * CRLF)
     parts = raw.select("file", F.substring("value", F.lit(1), cut + 1).alias("head"), F.substring("value", cut + 4, F.char_length("value") - cut - 7).alias("block"))
     got = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
     number = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: <urn:page:(-?\d+)>", 1), F.lit("")).cast("long")
     at = F.instr("block", 2 * CRLF)
     body = F.substring("block", at + 4, F.char_length("block"))
-    coded = F.substring("block", F.lit(1), at).contains("Content-Transfer-Encoding: base64")
     read_ = parts.select(
-        number("WARC-Record-ID").alias("page_id"), F.regexp_extract("head", r"(?m)^WARC-Target-URI: <([^\r\n]*)>", 1).alias("url"), got("WARC-Date").alias("timestamp"),
-        F.when(got("WARC-Type") == "response", F.when(coded, F.decode(F.unbase64(body), "utf-8")).otherwise(body)).alias("html"),
+        number("WARC-Record-ID").alias("page_id"), got("WARC-Target-URI").alias("url"), got("WARC-Date").alias("timestamp"),
+        F.when(got("WARC-Type") == "response", body).alias("html"),
         got("WARC-Payload-Length").cast("long").alias("payload_bytes"), F.regexp_extract("head", r"(?m)^WARC-Payload-Digest: sha1:([0-9a-f]+)", 1).alias("payload_digest"),
         got("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), "file",
         (got("Content-Length").cast("long") == F.octet_length("block")).alias("whole"),
@@ -132,20 +128,9 @@ class LoserTree:
             self.top = at
 
 
-def _key(row: dict) -> tuple:
-    page = row["page_id"]
-    return row["urlkey"] or "", row["timestamp"] or "", page is not None, page or 0
-
-
-def _batches(rows: Iterable[dict], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    kept = []
-    for row in rows:
-        kept.append(row)
-        if len(kept) == size:
-            yield pa.RecordBatch.from_pylist(kept, schema)
-            kept = []
-    if kept:
-        yield pa.RecordBatch.from_pylist(kept, schema)
+def _keys(rows: pa.RecordBatch | pa.Table) -> list[tuple]:
+    page = rows.column("page_id").to_pylist()
+    return [(u or "", t or "", p is not None, p or 0) for u, t, p in zip(rows.column("urlkey").to_pylist(), rows.column("timestamp").to_pylist(), page, strict=True)]
 
 
 def index(captures: DataFrame) -> DataFrame:
@@ -157,36 +142,41 @@ def index(captures: DataFrame) -> DataFrame:
     rows = captures.withColumn("urlkey", url_key(F.col("url"))).select(*names, F.spark_partition_id().cast("long").alias("run"))
 
     def sort_runs(batches):
-        kept, n, schema = [], 0, None
+        kept: list[pa.RecordBatch] = []
+        n = 0
 
         def out():
             nonlocal kept, n
-            kept.sort(key=_key)
-            for row in kept:
-                row["run"] = row["run"] << 20 | n
-            yield from _batches(kept, schema)
+            whole = pa.Table.from_batches(kept)
+            keys = _keys(whole)
+            order = sorted(range(len(keys)), key=keys.__getitem__)
+            whole = whole.take(order)
+            run = pa.array(np.full(len(order), (whole.column("run")[0].as_py() << 20) + n), pa.int64())
+            whole = whole.set_column(whole.schema.get_field_index("run"), "run", run).append_column("at", pa.array(np.arange(len(order)), pa.int64()))
             kept, n = [], n + 1
+            yield from whole.to_batches(max_chunksize=10_000)
 
         for b in batches:
-            schema = b.schema
-            kept += b.to_pylist()
-            if len(kept) >= RUN:
-                yield from out()
+            for i in range(0, b.num_rows, RUN):
+                kept.append(b.slice(i, RUN))
+                if sum(k.num_rows for k in kept) >= RUN:
+                    yield from out()
         if kept:
             yield from out()
 
     def merge(batches):
-        runs: dict[int, list[dict]] = {}
-        for b in batches:
-            for row in b.to_pylist():
-                runs.setdefault(row.pop("run"), []).append(row)
-            schema = b.schema
-        if runs:
-            tree = LoserTree([((_key(r), i, r) for i, r in enumerate(sorted(runs[k], key=_key))) for k in sorted(runs)])
-            yield from _batches((r for _, _, r in tree), pa.schema([schema.field(x) for x in names]))
-
-    sorted_runs = settle(rows.mapInArrow(sort_runs, INDEX + ", run long"))
-    return sorted_runs.repartitionByRange("urlkey", "timestamp", "page_id").mapInArrow(merge, INDEX)
+        kept = [b for b in batches if b.num_rows]
+        if kept:
+            whole = pa.Table.from_batches(kept)
+            keys = _keys(whole)
+            starts = np.flatnonzero(np.diff(whole.column("run").to_numpy(), prepend=-1))
+            tree = LoserTree([((keys[k], k) for k in range(a, b)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)])
+            yield from whole.select(names).take([k for _, k in tree]).to_batches(max_chunksize=10_000)
+
+    sorted_runs = settle(rows.mapInArrow(sort_runs, INDEX + ", run long, at long"))
+    ranges = max(-(-sorted_runs.count() // RANGE), 1)
+    dealt = sorted_runs.repartitionByRange(ranges, "urlkey", "timestamp", "page_id").sortWithinPartitions("run", "at")
+    return dealt.mapInArrow(merge, INDEX)
 
 
 def capture_history(pages: DataFrame, timestamp: Column | None = None, least: int = 1000, path: str | None = None) -> DataFrame:
