@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
 Encoding runs a finite-state transducer over the bytes of each piece of text. The transducer is nondeterministic in where
-the current token began; it is determinised lazily, state by state as bytes are seen, and a token is put out as soon as
-every way to go on agrees on it, which happens after a bounded lookahead (no longer than the longest token). States are
-kept in a bounded table that is emptied when full, as lazy regex automata do.
+the current token began; it is determinised lazily, each way on from a state when it is first needed, and a token is put out
+as soon as every way to go on agrees on it, which happens after a bounded lookahead (no longer than the longest token). States
+are kept in a bounded table that is emptied when full, as lazy regex automata do.
 
 What makes the state small: the last token of the encoding of a prefix is the one vocabulary token that ends there and
 fits the last token of the encoding before it; two tokens fit if encoding their bytes together gives these two again.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_batches
 
 #: How many pieces and states one Python worker keeps; both tables are dropped or halved when full.
-MAX_PIECES, MAX_STATES, MAX_PAIRS = 500_000, 120_000, 1_000_000
+MAX_PIECES, MAX_STATES, MAX_PAIRS = 500_000, 400_000, 1_000_000
 #: The letters and numbers below U+0180, for texts that have no other characters (fixed by Unicode).
 LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 LATIN_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -82,16 +82,15 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        """The start state alone. A state: its way of going on by byte, what is put out if the piece ends, its hypotheses."""
-        self.states: dict[tuple, list] = {}
+        """The start state alone. A state: its ways on by byte, and its hypotheses."""
+        self.states: dict[tuple, tuple[dict, tuple]] = {}
         self.start = self.state(((0, (-1,)),))
 
-    def state(self, key: tuple) -> list:
+    def state(self, key: tuple) -> tuple[dict, tuple]:
         """key: for each place where a token may have begun, latest last, the trie node since and the tokens before, of
-        which the first was put out already."""
+        which the first was put out already. If the piece ends here, the last one's tokens remain to be put out."""
         if (found := self.states.get(key)) is None:
-            before = key[-1][1]
-            found = self.states[key] = [{}, struct.pack(f"<{len(before) - 1}I", *before[1:]), key]
+            found = self.states[key] = ({}, key)
         return found
 
     def fit(self, left: int, right: int) -> bool:
@@ -117,11 +116,11 @@ class Transducer:
                 of[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
-    def step(self, state: list, byte: int) -> tuple[list, bytes]:
+    def step(self, state: tuple[dict, tuple], byte: int) -> tuple[tuple[dict, tuple], tuple[int, ...]]:
         """The next state and what is put out on the way."""
         live, ended = [], None
         child, token, pairs = self.child, self.token, self.pairs
-        for node, before in state[2]:
+        for node, before in state[1]:
             kids = child[node]
             if byte not in kids:
                 continue
@@ -133,71 +132,25 @@ class Transducer:
                 if self.fit(before[-1], t) if known is None else known:
                     ended = (*before, t)
         live.append((0, ended))
-        out = []
-        while len(live[0][1]) > 1:
-            first = ended[1]
-            for _, before in live:
-                if len(before) == 1 or before[1] != first:
-                    break
-            else:
-                out.append(first)
-                live = [(node, before[1:]) for node, before in live]
-                ended = live[-1][1]
-                continue
-            break
+        sure = 1  # tokens that all hypotheses share; the last is never put out, what comes next must fit it
+        while sure < min(len(before) for _, before in live) and all(before[sure] == ended[sure] for _, before in live):
+            sure += 1
+        if sure > 1:
+            live = [(node, before[sure - 1 :]) for node, before in live]
         if len(self.states) >= MAX_STATES:
             self.reset()
-        step = self.state(tuple(live)), struct.pack(f"<{len(out)}I", *out)
-        state[0][byte] = step
-        return step
-
-    def follow(self, state: list, rest: bytes) -> bytes:
-        """What remains to be put out for the rest of a piece, with the hypotheses followed one by one and no states made."""
-        child, token, pairs = self.child, self.token, self.pairs
-        live = []
-        for node, before in state[2]:
-            chain = None
-            for t in before:
-                chain = (chain, t)
-            live.append((node, chain))
-        for byte in rest:
-            longer, ended = [], None
-            for node, chain in live:
-                kids = child[node]
-                if byte in kids:
-                    after = kids[byte]
-                    if child[after] is not None:
-                        longer.append((after, chain))
-                    if ended is None and (t := token[after]) >= 0:
-                        known = pairs.get(chain[1] << 32 | t)
-                        if self.fit(chain[1], t) if known is None else known:
-                            ended = (chain, t)
-            longer.append((0, ended))
-            live = longer
-        out, chain = [], live[-1][1]
-        while chain[0] is not None:
-            out.append(chain[1])
-            chain = chain[0]
-        return struct.pack(f"<{len(out)}I", *reversed(out))
+        way = state[0][byte] = self.state(tuple(live)), ended[1:sure]
+        return way
 
     def __call__(self, word: bytes) -> bytes:
-        """The ids of a piece, as little-endian unsigned 32-bit integers. A way on from a state is made part of the table
-        when it is needed a second time."""
+        """The ids of a piece, as little-endian unsigned 32-bit integers."""
         state, out = self.start, []
-        for i, b in enumerate(word):
-            way = state[0].get(b)
-            if way is None:
-                if b not in state[0] and len(word) < 1000:
-                    state[0][b] = None
-                    out.append(self.follow(state, word[i:]))
-                    break
-                way = self.step(state, b)
-            state, put = way
+        for b in word:
+            state, put = state[0].get(b) or self.step(state, b)
             if put:
-                out.append(put)
-        else:
-            out.append(state[1])
-        return b"".join(out)
+                out += put
+        out += state[1][-1][1][1:]
+        return struct.pack(f"<{len(out)}I", *out)
 
 
 class Codec:
@@ -307,7 +260,10 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, step: int = 65_536
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, step: int = 65_536) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) with ids and decoded bytes never leaving the task that makes them."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) with ids and decoded bytes never leaving the task that makes them.
+
+    A null text counts as empty: no ids, the digests of nothing. Each row is encoded by itself, so repeated ids and texts are
+    rows of their own. No rows in, no rows out."""
     text_batches(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
