@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import line_dedup, near_copies, packing, quality, secrets
-from tidemark.llm.common import shared_dir, table
-from tidemark.llm.queries import PATTERN, RANKS
+from tidemark.llm.common import remove, shared_dir, table
+from tidemark.llm.queries import PATTERN, RANKS, SPECIAL
 
 #: Documents with a lower score go.
 LEAST_QUALITY = 0.3
@@ -41,7 +41,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its place in a sequence."""
-    return packing.pack(packing.pieces(docs, RANKS, PATTERN))
+    return packing.pack(packing.pieces(docs, RANKS, PATTERN, SPECIAL))
 
 
 STAGES = [
@@ -57,10 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from `documents` to packed pieces."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, from `documents` to packed pieces.
+
+    Documents with null ids stay documents of their own; null texts stay null until they are packed as empty ones; of repeated
+    rows each is kept or goes with the others of its id. An empty table gives no rows.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)  # nothing reads it any more
+        last = path
     return docs

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import additive, chat, components, line_dedup, media, packing, quality, secrets, simhash, tokens, warc
-from tidemark.llm.queries import PATTERN, RANKS
+from tidemark.llm.queries import PATTERN, RANKS, SPECIAL
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", None, " ", "\n\n", "one line that repeats\nand another one here", "one line that repeats\nunique text of this document", "ONE LINE THAT REPEATS \r\nx", "é😀 中文 ½ ſ", "a" * 5000, "word " * 3000, "\x00\x0b \x85"]
@@ -149,7 +149,7 @@ def test_components_of_a_long_chain(spark):
 def test_packing_against_the_tokenizer(docs, rows, spark):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     mixed = docs.select("doc_id", "text").union(spark.createDataFrame([(20_000, "a <|endoftext|> b")], "doc_id long, text string"))
-    got = packing.pack(packing.pieces(mixed, RANKS, PATTERN)).collect()
+    got = packing.pack(packing.pieces(mixed, RANKS, PATTERN, SPECIAL)).collect()
     want = []
     for d, t in [*rows, (20_000, "a <|endoftext|> b")]:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -168,7 +168,7 @@ def test_packing_against_the_tokenizer(docs, rows, spark):
         assert at <= 2048
     total = sum(r.length for r in got)
     assert len(bins) <= 1.1 * -(-total // 2048) + 1
-    assert packing.pack(packing.pieces(empty(spark), RANKS, PATTERN)).count() == 0
+    assert packing.pack(packing.pieces(empty(spark), RANKS, PATTERN, SPECIAL)).count() == 0
 
 
 @pytest.mark.parametrize("by", ["norm", "dot"])
@@ -345,3 +345,18 @@ def test_pipeline_stages(spark):
         assert kept.columns == docs.columns
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.select("doc_id").distinct().count() <= docs.count()
+
+
+def test_pipeline_stages_take_odd_documents(spark, docs):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names and empty tables go through every stage."""
+    import corpus_pipeline
+
+    odd = docs.where("doc_id >= 10000 or doc_id is null").withColumnsRenamed({"n_dropped": "bands", "score": "Team"})
+    odd = odd.union(odd.where("doc_id = 10004")).withColumn("secrets", F.lit(None).cast("string"))
+    for start in (odd, odd.where("false")):
+        kept = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, SF)
+            assert kept.columns == start.columns
+        assert kept.count() <= start.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).count() >= kept.count() * (start is odd)

@@ -29,6 +29,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Sends whole texts to Python a thousand at a time, unless the session asks for a number of its own: a batch of texts is
     in memory several times over."""

@@ -9,6 +9,7 @@ never by one sort over a length that many pieces share.
 
 from __future__ import annotations
 
+import json
 import zlib
 from dataclasses import dataclass
 
@@ -117,10 +118,17 @@ class Encoder:
         return np.uint32(number).tobytes().join(map(self.plain, text.split(mark))) if mark in text else self.plain(text)
 
 
+def special_of(path: str) -> tuple[str, int]:
+    """The one special string of a JSON tokenizer, and its id."""
+    with open(path, encoding="utf-8") as f:
+        (one,) = json.load(f)["added_tokens"]
+    return one["content"], one["id"]
+
+
 _encoders: dict[int, Encoder] = {}
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, tokens: int = 2048, end: int = 0, special: tuple[str, int] = ("<|endoftext|>", 50256), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, special: tuple[str, int], tokens: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document's ids and the id `end`.
 
     Documents longer than `tokens` are cut so that every piece but the first is full. A null or empty text has the id

@@ -165,11 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
 
     def run(batches):
         for b in batches:
-            x = [features(t).tolist() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["doc_id", "x", "label"])
+            x = [features(t).tolist() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
-    got = sorted((r.doc_id, tuple(r.x), r.label) for r in met.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(run, "doc_id long, x array<double>, label int").collect())
-    return fit(np.array([x for _, x, _ in got]).reshape(-1, len(FEATURES)), np.array([y for _, _, y in got], float))
+    got = sorted((tuple(r.x), r.label) for r in met.select("text", F.col("label").cast("int")).mapInArrow(run, "x array<double>, label int").collect())
+    return fit(np.array([x for x, _ in got]).reshape(-1, len(FEATURES)), np.array([y for _, y in got], float))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", into: str = "score") -> DataFrame:

@@ -12,6 +12,7 @@ from tidemark.llm import additive, chat, line_dedup, media, packing, quality, se
 from tidemark.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+SPECIAL = packing.special_of(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), RANKS, PATTERN))
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), RANKS, PATTERN, SPECIAL))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
