@@ -17,12 +17,16 @@ from tidemark.operators.calendar import black_friday
 from tidemark.operators.cubes import densify
 
 
-def weekly_grid(cube: DataFrame, item: str, group: str) -> DataFrame:
-    """(item, grp, week, units, revenue, list_revenue), dense; the group is that of the item's most revenue."""
+def weekly_grid(cube: DataFrame, item: str, group: str, least_weeks: int = 0) -> DataFrame:
+    """(item, grp, week, units, revenue, list_revenue), dense; the group is that of the item's most revenue. Items that sold in
+    fewer than `least_weeks` weeks are left out, weeks are those of all items."""
     sums = cube.groupBy(F.col(item).alias("item"), "week").agg(*[F.sum(m).cast("double").alias(m) for m in ("units", "revenue", "list_revenue")])
     by_group = cube.groupBy(F.col(item).alias("item"), F.col(group).alias("grp")).agg(F.sum("revenue").alias("r"))
     of = by_group.groupBy("item").agg(F.max_by("grp", F.struct("r", "grp")).alias("grp"))
-    return densify(sums, ["item"], ["units", "revenue", "list_revenue"]).join(of, "item")
+    grid = densify(sums, ["item"], ["units", "revenue", "list_revenue"])
+    if least_weeks:
+        grid = grid.join(sums.groupBy("item").agg(F.count_if(F.col("units") > 0).alias("n")).where(F.col("n") >= least_weeks).select("item"), "item", "left_semi")
+    return grid.join(of, "item")
 
 
 def rolling_baseline(df: DataFrame, column: str, key: Sequence[str], into: str, weeks: int = 8, least: int = 6) -> DataFrame:
@@ -78,38 +82,43 @@ def group_cannibalization(summary: DataFrame) -> DataFrame:
     return rows.withColumn("recommendation", advice)
 
 
-def top_of_group(grid: DataFrame, k: int = 40) -> DataFrame:
-    """The k items of each group with most revenue; ties go to the smaller item."""
-    sums = grid.groupBy("grp", "item").agg(F.sum("revenue").alias("revenue"))
-    return sums.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("revenue"), "item"))).where(F.col("rank") <= k)
+def top_of_group(grid: DataFrame, k: int = 40, start: date | None = None) -> DataFrame:
+    """The k items of each group with most units since start; ties go to the smaller item."""
+    rows = grid.where(F.col("week") >= F.lit(start)) if start else grid
+    sums = rows.groupBy("grp", "item").agg(F.sum("units").alias("units"))
+    return sums.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("units"), "item"))).where(F.col("rank") <= k)
 
 
-def peak_pairs(peaks: DataFrame, based: DataFrame, k: int = 40) -> DataFrame:
-    """(item, other, episodes, gain, other_change, rate): what each of the group's top items did in an item's peak weeks.
+def peak_pairs(peaks: DataFrame, based: DataFrame, k: int = 40, start: date | None = None) -> DataFrame:
+    """(grp, item, other, episodes, gain, other_change, rate): what each of the group's top items did in an item's peak weeks.
 
+    Episodes and gain are those of all the item's peaks; weeks in which the other has no baseline add nothing to its change.
     Joined by group and week, so one giant group is as many keys as it has weeks.
     """
-    others = rolling_others(based, k)
-    met = peaks.select("item", "grp", "week", "gain").join(others, ["grp", "week"]).where("item <> other")
-    return met.groupBy("grp", "item", "other").agg(F.count("*").alias("episodes"), F.sum("gain").alias("gain"), F.sum("other_change").alias("other_change"), ratio(-F.sum("other_change"), F.sum("gain")).alias("rate"))
+    top = top_of_group(based, k, start).select("grp", F.col("item").alias("other"))
+    own = peaks.groupBy("grp", "item").agg(F.count("*").alias("episodes"), F.sum("gain").alias("gain"))
+    changed = peaks.select("item", "grp", "week").join(rolling_others(based, top), ["grp", "week"]).where("item <> other").groupBy("grp", "item", "other").agg(F.sum("other_change").alias("other_change"))
+    met = own.join(top, "grp").where("item <> other").join(changed, ["grp", "item", "other"], "left").withColumn("other_change", F.coalesce("other_change", F.lit(0.0)))
+    return met.select("grp", "item", "other", "episodes", "gain", "other_change", ratio(0.0 - F.col("other_change"), F.col("gain")).alias("rate"))
 
 
-def rolling_others(based: DataFrame, k: int = 40) -> DataFrame:
-    kept = top_of_group(based, k).select("grp", "item")
-    rows = based.join(kept, ["grp", "item"], "left_semi").where("units_base is not null")
-    return rows.select("grp", "week", F.col("item").alias("other"), (F.col("units") - F.col("units_base")).alias("other_change"))
+def rolling_others(based: DataFrame, top: DataFrame) -> DataFrame:
+    """How far the top items (grp, other) are from their baselines, by week."""
+    rows = based.withColumnRenamed("item", "other").join(top, ["grp", "other"], "left_semi").where("units_base is not null")
+    return rows.select("grp", "week", "other", (F.col("units") - F.col("units_base")).alias("other_change"))
 
 
 def pair_rate_symmetric(pairs: DataFrame, least: int = 3) -> DataFrame:
-    """(item_a < item_b, pair_rate, episodes): the mean of both directions, weighted by episodes, where there are enough."""
-    rows = pairs.where("rate is not null").select(F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b"), "episodes", "rate")
-    return rows.groupBy("item_a", "item_b").agg(ratio(F.sum(F.col("rate") * F.col("episodes")), F.sum("episodes")).alias("pair_rate"), F.sum("episodes").alias("episodes")).where(F.col("episodes") >= least)
+    """(item_a < item_b, pair_rate, episodes): the mean of both directions, weighted by episodes. A direction with fewer than `least`
+    episodes does not count."""
+    rows = pairs.where((F.col("episodes") >= least) & F.col("rate").isNotNull()).select(F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b"), "episodes", "rate")
+    return rows.groupBy("item_a", "item_b").agg(ratio(F.sum(F.col("rate") * F.col("episodes")), F.sum("episodes")).alias("pair_rate"), F.sum("episodes").alias("episodes"))
 
 
-def candidate_pairs(grid: DataFrame, neighbours: DataFrame | None = None, k: int = 40) -> DataFrame:
+def candidate_pairs(grid: DataFrame, neighbours: DataFrame | None = None, k: int = 40, start: date | None = None) -> DataFrame:
     """(item_a < item_b, same_group, is_neighbour): pairs within the top items of a group (k (k - 1) / 2 a group at most), and
     neighbours (item, neighbour) of any group."""
-    top = top_of_group(grid, k).select("grp", "item")
+    top = top_of_group(grid, k, start).select("grp", "item")
     same = top.alias("x").join(top.alias("y"), "grp").where("x.item < y.item").select(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"))
     flagged = same.withColumn("is_neighbour", F.lit(False))
     if neighbours is not None:
@@ -153,11 +162,13 @@ def classify_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def explain_pair(pairs: DataFrame) -> DataFrame:
-    """Classified pairs with a sentence of the evidence, in order of kind and strength."""
+    """Classified pairs with a sentence of the evidence there is: peaks, how the weekly changes move, orders in common. In order of
+    kind and strength."""
+    rate, corr = F.col("pair_rate"), F.col("corr")
+    moves = F.when(corr < -0.1, "em sentidos contrários").when(corr > 0.1, "no mesmo sentido").otherwise("sem ligação")
     said = F.concat_ws(
-        "; ", F.when(F.col("same_group"), F.lit("mesmo grupo")).otherwise(F.when(F.col("is_neighbour"), F.lit("perfil parecido em outro grupo"))),
-        F.when(F.col("pair_rate").isNotNull(), F.format_string("taxa de canibalização de %.0f%%", F.col("pair_rate") * 100)), F.when(F.col("corr").isNotNull(), F.format_string("correlação de %.2f", F.col("corr"))),
-        F.when(F.col("lift").isNotNull(), F.format_string("lift de %.2f", F.col("lift"))),
+        ", ", F.when(rate > 0, F.format_string("perde %.0f%% do que o outro ganha nos picos", rate * 100)).when(rate.isNotNull(), "não perde nos picos do outro"),
+        F.when(corr.isNotNull(), F.format_string("variam %s (%.2f)", moves, corr)), F.when(F.col("lift").isNotNull(), F.format_string("comprados juntos %.1f vezes o esperado", F.col("lift"))),
     )
     return pairs.withColumn("explanation", said).orderBy("kind", F.desc("strength"), "item_a", "item_b")
 
@@ -165,8 +176,8 @@ def explain_pair(pairs: DataFrame) -> DataFrame:
 def pair_verdicts(grid: DataFrame, lift: DataFrame | None = None, neighbours: DataFrame | None = None, k: int = 40, start: date | None = None) -> DataFrame:
     """Candidates with all evidence, classified and explained. lift: (product_a, product_b, together, lift)."""
     based = with_baselines(grid)
-    candidates = candidate_pairs(grid, neighbours, k)
-    rates = pair_rate_symmetric(peak_pairs(detect_peaks(based, start=start), based, k))
+    candidates = candidate_pairs(grid, neighbours, k, start)
+    rates = pair_rate_symmetric(peak_pairs(detect_peaks(based, start=start), based, k, start))
     keys = ["item_a", "item_b"]
     joined = candidates.join(rates, keys, "left").join(weekly_corr(log_diff_residual(grid), candidates), keys, "left")
     if lift is None:

@@ -57,9 +57,10 @@ def aggregate_levels(cube: DataFrame, levels: Mapping[str, str | None] | None =
 
 
 def informative_levels(series: DataFrame, least: int = 2) -> DataFrame:
-    """Without levels that have fewer than `least` series, or nothing but missing labels; Total stays."""
-    kept = series.groupBy("level").agg(F.count_distinct("series").alias("n"), F.bool_and(F.col("series").startswith("SEM_")).alias("void"))
-    return series.join(F.broadcast(kept.where(((F.col("n") >= least) & ~F.col("void")) | (F.col("level") == "Total")).select("level")), "level", "left_semi")  # a row a level
+    """Without levels that have fewer than `least` series with a label of their own; Total stays."""
+    own = F.count_distinct(F.when(~F.col("series").rlike("^SEM_(INFO|GRUPO|SUBGRUPO|MARCA)"), F.col("series")))
+    kept = series.groupBy("level").agg(own.alias("n")).where((F.col("n") >= least) | (F.col("level") == "Total"))
+    return series.join(F.broadcast(kept.select("level")), "level", "left_semi")  # a row a level
 
 
 def week_spine(series: DataFrame, week: str = "week") -> DataFrame:

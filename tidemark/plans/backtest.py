@@ -6,18 +6,19 @@ came then. forecasts: (level, series, cutoff, ds, model, forecast, actual, horiz
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clip, ratio
+from tidemark.sources.stages import settle
 
 TASK = ["level", "series", "cutoff"]
 #: How simple a model is: the lower the simpler. Unknown ones count as 9.
 COMPLEXITY = {
-    "naive": 0, "moving_average": 1, "seasonal_naive": 1, "seasonal_growth": 1, "damped_holt_winters": 2, "arima_aic": 2, "calendar_regression": 3,
+    "naive": 0, "moving_average": 0, "seasonal_naive": 0, "seasonal_growth": 1, "damped_holt_winters": 2, "arima_aic": 2, "calendar_regression": 3,
     "trend_season_regression": 3, "calendar_boosting": 4, "hybrid_residual_boosting": 5, "combination": 6, "top_down": 6,
 }
 REFERENCE, COMBINATION, TOP_DOWN = "seasonal_naive", "combination", "top_down"
@@ -181,6 +182,22 @@ def top_down(child_tasks: DataFrame, parent_forecasts: DataFrame, shares: DataFr
     return _forecasts(test, TOP_DOWN, F.col("parent_forecast") * F.col("share"))
 
 
+def with_top_down(forecasts: DataFrame, tasks: DataFrame, series: DataFrame, of: DataFrame, generations: Sequence[Mapping[str, str]], cutoffs: DataFrame, weeks: int = 13) -> DataFrame:
+    """forecasts and, for levels that have a parent, rows of top_down from what the parent level's choice forecasts.
+
+    generations: child level -> parent level, parents chosen before their children ({"Grupo"'s children}, then theirs): as many
+    rounds as the hierarchy is deep. of: (level, child, parent).
+    """
+    for level_of in generations:
+        chosen = settle(chosen_rows(forecasts, choose_parsimonious(accuracy_metrics(to_monthly(forecasts)))))
+        for child, parent in level_of.items():
+            at = lambda df, level: df.where(F.col("level") == level)
+            shares = recent_share(at(series, child), at(series, parent), at(of, child).select("child", "parent"), cutoffs, weeks)
+            forecasts = forecasts.unionByName(top_down(at(tasks, child), at(chosen, parent), shares))
+        forecasts = settle(forecasts)
+    return forecasts
+
+
 def choose_parsimonious(metrics: DataFrame, complexity: dict[str, int] | None = None, tolerance: float = 0.05, reference: str = REFERENCE) -> DataFrame:
     """metrics (level, model, wape, ...) with complexity, eligible, gain over the reference in points, chosen.
 
@@ -199,10 +216,11 @@ def justify_choice(ranked: DataFrame, reference: str = REFERENCE) -> DataFrame:
     """(level, chosen, justification): the choice in a sentence or two."""
     best = F.min_by("model", F.struct("wape", "model"))
     one = ranked.groupBy("level").agg(F.max(F.when(F.col("chosen"), F.struct("model", "wape", "gain"))).alias("c"), best.alias("best_model"), F.min("wape").alias("best"))
+    c = F.col("c")
     text = F.concat_ws(
-        " ", F.format_string("Escolhido: %s (erro %.1f%%).", F.col("c.model"), F.col("c.wape")),
-        F.when(F.col("c.model") != F.col("best_model"), F.format_string("O melhor foi %s (%.1f%%), mas a diferença é pequena e %s é mais simples.", F.col("best_model"), F.col("best"), F.col("c.model"))),
-        F.when(F.col("c.gain").isNotNull() & (F.col("c.model") != reference), F.when(F.col("c.gain") > 0, F.format_string('Erra %.1f p.p. menos que "%s".', F.col("c.gain"), F.lit(reference))).otherwise(F.format_string('ATENÇÃO: não supera "%s": considere usar o modelo simples.', F.lit(reference)))),
+        " ", F.format_string("Fica o modelo %s, com %.1f%% de erro.", c["model"], c["wape"]),
+        F.when(c["model"] != F.col("best_model"), F.format_string("Com %s o erro seria de %.1f%%, pouco menor, mas com um modelo mais complexo.", F.col("best_model"), F.col("best"))),
+        F.when(c["gain"].isNotNull() & (c["model"] != reference), F.when(c["gain"] > 0, F.format_string("São %.1f pontos abaixo de %s.", c["gain"], F.lit(reference))).otherwise(F.format_string("Não melhora %s, que pode bastar.", F.lit(reference)))),
     )
     return one.select("level", F.col("c.model").alias("chosen"), text.alias("justification"))
 

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from datetime import date, timedelta
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.calendar import BLACK_AWARENESS, FIXED, MOVING
 from tidemark.plans.backtest import TASK, horizon_month
 
 
@@ -44,11 +47,36 @@ def _fourier(d: np.ndarray, order: int) -> np.ndarray:
     return np.stack([f(k * a) for k in range(1, order + 1) for f in (np.sin, np.cos)], axis=1)
 
 
+def _easter(year: int) -> date:
+    """Easter Sunday, by the paschal full moon of the year's place in the 19-year cycle."""
+    century = year // 100
+    shift = 15 + century - century // 4 - (8 * century + 13) // 25
+    moon = (19 * (year % 19) + shift) % 30
+    moon -= moon == 29 or (moon == 28 and year % 19 > 10)
+    first = date(year, 3, 21) + timedelta(days=moon + 1)
+    return first + timedelta(days=6 - first.weekday())
+
+
+@cache
+def holidays(year: int) -> frozenset[date]:
+    """National holidays of a year, by the calendar's tables."""
+    a, b, _, since = BLACK_AWARENESS
+    fixed = [date(year, m, n) for m, n, _ in FIXED] + ([date(year, a, b)] if year >= since else [])
+    return frozenset([*fixed, *(_easter(year) + timedelta(days=off) for _, off in MOVING)])
+
+
+def _is_holiday(d: np.ndarray) -> np.ndarray:
+    return np.array([x in holidays(x.year) for x in d.astype("datetime64[D]").tolist()], float)
+
+
 def _events(d: np.ndarray, step: int) -> np.ndarray:
-    """Black Friday, year end and month start within each step of days."""
-    out = np.zeros((len(d), 3))
+    """Holidays, Black Friday, year end and month start within each step of days; of single days also eves and days after."""
+    out = np.zeros((len(d), 6))
     for k in range(step):
         x = d + np.timedelta64(k, "D")
+        out[:, 3] += _is_holiday(x)
+        if step == 1:
+            out[:, 4], out[:, 5] = _is_holiday(x + np.timedelta64(1, "D")), _is_holiday(x - np.timedelta64(1, "D"))
         month = x.astype("datetime64[M]").astype(np.int64) % 12 + 1
         day = (x - x.astype("datetime64[M]").astype("datetime64[D]")).astype(np.int64) + 1
         november = x.astype("datetime64[Y]").astype("datetime64[M]") + 10
@@ -96,7 +124,7 @@ def arima(y, ds, future, p):
     on lags and shocks. The order of the lowest AIC forecasts; a constant only without differences."""
     v = np.log1p(y)
     best = None
-    for ar, diff, ma in p.get("grid", ((1, 0, 0), (2, 0, 0), (0, 1, 1), (1, 1, 0), (1, 1, 1), (2, 1, 1))):
+    for ar, diff, ma in p.get("grid", ((1, 1, 1), (0, 1, 1), (1, 1, 0), (2, 1, 2), (1, 0, 1), (2, 0, 1))):
         z = np.diff(v, diff) if diff else v
         n, lags = len(z), max(ar, ma, 1)
         if n < 4 * lags + 8:

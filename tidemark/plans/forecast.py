@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +12,7 @@ from tidemark.functions import clip, money_text, month_label, month_of, ratio
 from tidemark.plans import backtest as B
 from tidemark.plans import fitted as M
 from tidemark.sources import merge_run
+from tidemark.sources.stages import settle
 
 
 def future_tasks(series: DataFrame, dates: Sequence[date]) -> DataFrame:
@@ -29,28 +30,52 @@ def all_models(tasks: DataFrame, models: Sequence[M.ForecastModel] = M.CATALOGUE
     return simple.unionByName(M.fitted_forecasts(M.batch_fit(tasks, models, start))) if models else simple
 
 
-def forecast_chosen(series: DataFrame, dates: Sequence[date], ranked: DataFrame, backtested: DataFrame, models: Sequence[M.ForecastModel] = M.CATALOGUE, daily: bool = False, parents: DataFrame | None = None, shares: DataFrame | None = None) -> DataFrame:
-    """(level, series, cutoff, ds, model, forecast) of each level's chosen model, refitted to all data.
+def ahead_forecasts(series: DataFrame, dates: Sequence[date], backtested: DataFrame, models: Sequence[M.ForecastModel] = M.CATALOGUE, daily: bool = False) -> DataFrame:
+    """Every model's forecasts of the dates, fitted to all data, and the combination with weights from all cutoffs."""
+    ahead = settle(all_models(future_tasks(series, dates), models, daily))
+    return settle(ahead.unionByName(B.combine_all(ahead, backtested)))
+
 
-    The combination takes weights from all cutoffs. Under top_down (parents: (parent, ds, forecast), shares: (child, parent, share)) a
-    series without a parent falls back on its level's simplest eligible model.
+def chosen_ahead(ahead: DataFrame, ranked: DataFrame, parents: DataFrame | None = None, shares: DataFrame | None = None) -> DataFrame:
+    """(level, series, cutoff, ds, model, forecast) of each level's chosen model.
+
+    Under top_down (parents: (parent, ds, forecast), shares: (child, parent, share)) a series without a parent falls back on its
+    level's simplest eligible model.
     """
-    ahead = all_models(future_tasks(series, dates), models, daily)
-    ahead = ahead.unionByName(B.combine_all(ahead, backtested))
+    columns = [*B.TASK, "ds", "model", "forecast"]
     picked = ranked.where("chosen").select("level", "model")
+    out = ahead.join(F.broadcast(picked), ["level", "model"], "left_semi").select(*columns)  # a row a level
+    if parents is None or shares is None:
+        return out
     plain = F.when(~F.col("model").isin(B.TOP_DOWN, B.COMBINATION) & F.col("eligible"), F.struct("complexity", "wape", "model"))
     spare = ranked.groupBy("level").agg(F.min(plain).alias("s")).select("level", F.coalesce("s.model", F.lit(B.REFERENCE)).alias("model"))
-    out = ahead.join(F.broadcast(picked), ["level", "model"], "left_semi")
-    if parents is None or shares is None:
-        return out.select(*B.TASK, "ds", "model", "forecast")
     downs = F.broadcast(picked.where(F.col("model") == B.TOP_DOWN).select("level"))  # a row a level
-    of = series.select("level", "series").distinct().join(downs, "level", "left_semi")
-    shared = of.join(shares, of["series"] == shares["child"]).join(parents.select("parent", "ds", F.col("forecast").alias("p")), "parent")
-    cutoffs = ahead.select(*B.TASK).distinct()
-    shared = shared.join(cutoffs, ["level", "series"]).select(*B.TASK, "ds", F.lit(B.TOP_DOWN).alias("model"), (F.col("p") * F.col("share")).alias("forecast"))
-    orphans = of.join(shares, of["series"] == shares["child"], "left_anti")
-    rest = ahead.join(orphans, ["level", "series"], "left_semi").join(F.broadcast(spare), ["level", "model"], "left_semi")
-    return out.select(*shared.columns).unionByName(shared).unionByName(rest.select(*shared.columns))
+    of = ahead.select(*B.TASK).distinct().join(downs, "level", "left_semi")
+    shared = of.join(shares.drop("cutoff"), of["series"] == shares["child"]).join(parents.select("parent", "ds", F.col("forecast").alias("p")), "parent")
+    shared = shared.select(*B.TASK, "ds", F.lit(B.TOP_DOWN).alias("model"), F.greatest(F.col("p") * F.col("share"), F.lit(0.0)).alias("forecast"))
+    rest = ahead.join(of.select("level", "series"), ["level", "series"], "left_semi").join(shared.select("level", "series").distinct(), ["level", "series"], "left_anti")
+    return out.unionByName(shared).unionByName(rest.join(F.broadcast(spare), ["level", "model"], "left_semi").select(*columns))
+
+
+def forecast_levels(series: DataFrame, dates: Sequence[date], ranked: DataFrame, backtested: DataFrame, of: DataFrame, generations: Sequence[Mapping[str, str]], models: Sequence[M.ForecastModel] = M.CATALOGUE) -> DataFrame:
+    """chosen_ahead() of all levels, parents before their children. of: (level, child, parent)."""
+    ahead = ahead_forecasts(series, dates, backtested, models)
+    at = lambda df, level: df.where(F.col("level") == level)
+    children = [child for level_of in generations for child in level_of]
+    done = settle(chosen_ahead(ahead.where(~F.col("level").isin(*children)), ranked))
+    last = series.groupBy().agg(F.max("ds").alias("cutoff"))  # one row
+    for level_of in generations:
+        got = done
+        for child, parent in level_of.items():
+            shares = B.recent_share(at(series, child), at(series, parent), at(of, child).select("child", "parent"), last)
+            got = got.unionByName(chosen_ahead(at(ahead, child), at(ranked, child), at(done, parent).withColumnRenamed("series", "parent"), shares))
+        done = settle(got)
+    return done
+
+
+def forecast_chosen(series: DataFrame, dates: Sequence[date], ranked: DataFrame, backtested: DataFrame, models: Sequence[M.ForecastModel] = M.CATALOGUE, daily: bool = False, parents: DataFrame | None = None, shares: DataFrame | None = None) -> DataFrame:
+    """chosen_ahead() of ahead_forecasts(), for levels without parents or with those given."""
+    return chosen_ahead(ahead_forecasts(series, dates, backtested, models, daily), ranked, parents, shares)
 
 
 def week_to_month(weekly: DataFrame, keys: Sequence[str], value: str = "forecast") -> DataFrame:

@@ -19,16 +19,22 @@ from tidemark.sources.stages import settle
 END = date(2001, 7, 23)
 CUTOFFS = tuple(END - timedelta(weeks=k) for k in (26, 20, 13))
 DATES = [END + timedelta(weeks=k) for k in range(1, 22)]
-LEVELS = {"Total": None, "Regiao": "region", "Marca": "brand"}
+#: Series of a level that stay by themselves (the rest are one), and the levels that can be split from another one, parents first.
+TOP = {"UF": 10, "Marca": 12, "Produto": 25, "Subgrupo": 15}
+GENERATIONS = ({"UF": "Regiao", "Subgrupo": "Grupo", "Marca": "Total"}, {"Produto": "Subgrupo"})
+PARENTS = {child: parent for level_of in GENERATIONS for child, parent in level_of.items()}
+DAILY_END = date(2001, 7, 15)
+DAILY_CUTOFFS = (date(2000, 4, 30), date(2000, 7, 31), date(2000, 10, 31), date(2001, 1, 14))
 
 
 def weekly_series(b: Base):
-    """(level, series, ds, y): weekly revenue without extremes, dense, up to the last complete week."""
+    """(level, series, ds, y): weekly revenue without extremes of all levels, dense, up to the last complete week."""
 
     def make():
-        levels = C.aggregate_levels(_cube(b, "full"), LEVELS).where(F.col("week") <= F.lit(END))
-        dense = C.densify(settle(levels), ["level", "series"], ["revenue"])
-        return dense.select("level", "series", F.col("week").alias("ds"), F.col("revenue").cast("double").alias("y"))
+        levels = settle(C.aggregate_levels(_cube(b, "full")).where(F.col("week") <= F.lit(END)).select("level", "series", "week", "revenue"))
+        most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TOP.items() for x in kv]), F.col("level")), F.lit(1 << 30))
+        kept = settle(C.informative_levels(settle(C.top_n_plus_others(levels, most))))
+        return C.densify(kept, ["level", "series"], ["revenue"]).select("level", "series", F.col("week").alias("ds"), F.col("revenue").cast("double").alias("y"))
 
     return b.kept("series", make)
 
@@ -37,37 +43,72 @@ def _tasks(b: Base):
     return b.kept("tasks", lambda: T.make_backtest_tasks(weekly_series(b), CUTOFFS, horizon_days=91, end=END, min_hist=26))
 
 
+def _basic(b: Base):
+    return b.kept("baselines", lambda: T.baselines(_tasks(b)))
+
+
+def _parents(b: Base):
+    """(level, child, parent) of all levels that have a parent: the one with most of the child's revenue; Total of all but OUTROS."""
+
+    def make():
+        cube = b.kept("full_cube", lambda: _cube(b, "full").where("not is_extreme"))
+        parts = []
+        for child, parent in PARENTS.items():
+            if C.LEVELS[parent]:
+                of = T.child_to_parent_map(cube, C.LEVELS[child], C.LEVELS[parent])
+            else:
+                of = weekly_series(b).where((F.col("level") == child) & (F.col("series") != C.OTHERS)).select(F.col("series").alias("child"), F.lit(parent).alias("parent")).distinct()
+            parts.append(of.select(F.lit(child).alias("level"), "child", "parent"))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    return b.kept("parents", make)
+
+
+def _with_all(b: Base, rows):
+    """Forecasts of single models, their combination and what parents give."""
+    both = settle(rows.unionByName(T.combine_top(rows)))
+    s = weekly_series(b)
+    return T.with_top_down(both, _tasks(b), s, _parents(b), GENERATIONS, T.cutoff_table(s, CUTOFFS))
+
+
 def _simple(b: Base):
-    rows = b.kept("baselines", lambda: T.baselines(_tasks(b)))
-    return b.kept("simple", lambda: rows.unionByName(T.combine_top(rows)))
+    """The models that SQL can follow."""
+    return b.kept("simple", lambda: _with_all(b, _basic(b)))
 
 
-def _by_month(b: Base):
-    return b.kept("by_month", lambda: T.to_monthly(_simple(b)))
+def _full(b: Base):
+    """All models."""
+    return b.kept("full", lambda: _with_all(b, settle(_basic(b).unionByName(M.fitted_forecasts(M.batch_fit(_tasks(b)))))))
 
 
-def _ranked(b: Base):
-    return b.kept("ranked", lambda: T.choose_parsimonious(T.accuracy_metrics(_by_month(b))))
+def _by_month(b: Base, rows=_simple):
+    return b.kept(f"by_month{rows.__name__}", lambda: T.to_monthly(rows(b)))
 
 
-def _shares(b: Base):
-    s = weekly_series(b)
-    of = T.child_to_parent_map(_cube(b, "full"), "brand", "region")
-    return T.recent_share(s.where(F.col("level") == "Marca"), s.where(F.col("level") == "Regiao"), of, T.cutoff_table(s, CUTOFFS))
+def _ranked(b: Base, rows=_simple):
+    return b.kept(f"ranked{rows.__name__}", lambda: T.choose_parsimonious(T.accuracy_metrics(_by_month(b, rows))))
 
 
-def _top_down(b: Base):
-    parents = T.seasonal_naive(_tasks(b)).where(F.col("level") == "Regiao")
-    return T.top_down(_tasks(b).where(F.col("level") == "Marca"), parents, _shares(b))
+def _shares(b: Base):
+    s, of = weekly_series(b), _parents(b)
+    out = None
+    for child, parent in PARENTS.items():
+        at = lambda df, level: df.where(F.col("level") == level)
+        part = T.recent_share(at(s, child), at(s, parent), at(of, child).select("child", "parent"), T.cutoff_table(s, CUTOFFS)).withColumn("level", F.lit(child))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _final(b: Base):
-    return b.kept("final", lambda: P.forecast_chosen(weekly_series(b), DATES, _ranked(b), _simple(b), models=()))
+    return b.kept("final", lambda: P.forecast_levels(weekly_series(b), DATES, _ranked(b, _full), _full(b), _parents(b), GENERATIONS))
 
 
 def _granular(b: Base):
-    bands = T.empirical_band(_by_month(b))
-    return P.granular_forecast(_final(b), weekly_series(b), bands, date(2001, 7, 1), date(2001, 8, 1), "v1")
+    bands = T.empirical_band(_by_month(b, _full))
+    return P.granular_forecast(_final(b), weekly_series(b), bands, date(2001, 7, 1), date(2001, 8, 1), "v1", _headline(b))
 
 
 def _base_monthly(b: Base):
@@ -85,44 +126,93 @@ def _judged(b: Base):
     return P.judged_history(_history(b), _base_monthly(b), date(2001, 7, 1))
 
 
+def _daily_series(b: Base):
+    daily = b.kept("daily", lambda: _daily(b)).select(F.lit("Total").alias("level"), F.lit("Total").alias("series"), "ds", F.col("orders").cast("double").alias("y"))
+    return daily.where(F.col("ds") <= F.lit(DAILY_END))
+
+
+def _daily_backtest(b: Base):
+    def make():
+        tasks = settle(T.make_backtest_tasks(_daily_series(b), DAILY_CUTOFFS, horizon_months=6, end=DAILY_END))
+        rows = settle(P.all_models(tasks, daily=True))
+        return rows.unionByName(T.combine_top(rows))
+
+    return b.kept("daily_backtest", make)
+
+
+def _daily_ranked(b: Base):
+    return b.kept("daily_ranked", lambda: T.choose_parsimonious(T.accuracy_metrics(T.to_monthly(_daily_backtest(b)))))
+
+
 def _headline(b: Base):
-    m = _base_monthly(b)
-    s = b.kept("daily", lambda: _daily(b)).select(F.lit("Total").alias("level"), F.lit("Total").alias("series"), "ds", F.col("orders").cast("double").alias("y")).where(F.col("ds") <= F.lit(date(2001, 7, 15)))
-    days = [date(2001, 7, 16) + timedelta(days=k) for k in range(108)]
-    ahead = T.seasonal_naive(P.future_tasks(s, days), 364, 7)
-    orders = ahead.groupBy(F.trunc("ds", "month").alias("month")).agg(F.sum("forecast").alias("orders"))
-    bands = T.empirical_band(_by_month(b)).where((F.col("level") == "Total") & (F.col("model") == "seasonal_naive")).select("horizon", "band")
-    raw = P.monthly_revenue_forecast(orders, P.ticket_forecast(m, 4), bands, m, P.expected_extremes(m), date(2001, 7, 1), date(2001, 7, 15))
-    return P.apply_bias_and_bands(raw, _judged(b))
-
-
-SERIES = f"""{LABELLED}, per AS (SELECT 'Total' AS level, 'Total' AS series, week, sum(rev) AS rev FROM before WHERE NOT is_extreme GROUP BY ALL UNION ALL SELECT 'Regiao', region, week, sum(rev) FROM before WHERE NOT is_extreme GROUP BY ALL
-    UNION ALL SELECT 'Marca', brand, week, sum(rev) FROM before WHERE NOT is_extreme GROUP BY ALL),
-kept AS (SELECT * FROM per WHERE week <= DATE '2001-07-23'), sp AS (SELECT CAST(unnest(generate_series((SELECT min(week) FROM kept), DATE '2001-07-23', INTERVAL 7 DAY)) AS DATE) AS ds),
-series AS (SELECT level, series, ds, coalesce({_money('rev')}, 0) AS y FROM (SELECT DISTINCT level, series FROM kept) CROSS JOIN sp LEFT JOIN (SELECT level, series, week AS ds, rev FROM kept) USING (level, series, ds)),
+    """Orders of the model that the daily backtest chooses, times the ticket."""
+
+    def make():
+        m = _base_monthly(b)
+        days = [DAILY_END + timedelta(days=1 + k) for k in range(108)]
+        ahead = P.forecast_chosen(_daily_series(b), days, _daily_ranked(b), _daily_backtest(b), daily=True)
+        orders = ahead.groupBy(F.trunc("ds", "month").alias("month")).agg(F.sum("forecast").alias("orders"))
+        bands = T.empirical_band(T.chosen_rows(T.to_monthly(_daily_backtest(b)), _daily_ranked(b))).select("horizon", "band")
+        raw = P.monthly_revenue_forecast(orders, P.ticket_forecast(m, 4), bands, m, P.expected_extremes(m), date(2001, 7, 1), DAILY_END)
+        return P.apply_bias_and_bands(raw, _judged(b))
+
+    return b.kept("headline", make)
+
+
+def _record(b: Base):
+    model = _daily_ranked(b).where("chosen").first()["model"]  # one row
+    return P.run_record(_headline(b), date(2001, 8, 1), "v1", model)
+
+
+RECENT = "CASE WHEN week > last - 182 THEN rev ELSE 0 END"
+SERIES = f"""{LABELLED}, per AS (""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS level, {dim or chr(39) + 'Total' + chr(39)} AS series, week, sum(rev) AS rev FROM before WHERE NOT is_extreme GROUP BY ALL" for name, dim in C.LEVELS.items()
+) + f"""), upto AS MATERIALIZED (SELECT * FROM per WHERE week <= DATE '2001-07-23'), lastweek AS (SELECT max(week) AS last FROM upto),
+score AS (SELECT level, series, sum({RECENT}) AS score FROM upto, lastweek GROUP BY ALL),
+named AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY level ORDER BY score DESC, series) <= CASE level {' '.join(f"WHEN '{k}' THEN {n}" for k, n in TOP.items())} ELSE 1000000000 END THEN series ELSE 'OUTROS' END AS name FROM score),
+alive AS (SELECT level, name FROM named GROUP BY ALL HAVING sum(score) > 0),
+summed AS (SELECT level, name AS series, week, sum(rev) AS rev FROM upto JOIN named USING (level, series) JOIN alive USING (level, name) GROUP BY ALL),
+kept AS (SELECT * FROM summed WHERE level IN (SELECT level FROM summed GROUP BY level HAVING count(DISTINCT series) FILTER (WHERE NOT regexp_matches(series, '^SEM_(INFO|GRUPO|SUBGRUPO|MARCA)')) >= 2 OR level = 'Total')),
+sp AS (SELECT CAST(unnest(generate_series((SELECT min(week) FROM kept), (SELECT max(week) FROM kept), INTERVAL 7 DAY)) AS DATE) AS ds),
+series AS MATERIALIZED (SELECT level, series, ds, coalesce({_money('rev')}, 0) AS y FROM (SELECT DISTINCT level, series FROM kept) CROSS JOIN sp LEFT JOIN (SELECT level, series, week AS ds, rev FROM kept) USING (level, series, ds)),
 cut AS (SELECT unnest([{', '.join(f"DATE '{c}'" for c in CUTOFFS)}]) AS cutoff),
 t0 AS (SELECT level, series, cutoff, ds, y, ds > cutoff AS is_test FROM series, cut WHERE ds <= least(cutoff + 91, DATE '2001-07-23')),
-tasks AS (SELECT * FROM t0 WINDOW k AS (PARTITION BY level, series, cutoff) QUALIFY count(*) FILTER (WHERE NOT is_test) OVER k >= 26 AND sum(CASE WHEN is_test THEN 0 ELSE y END) OVER k > 0 AND count(*) FILTER (WHERE is_test) OVER k > 0),
+tasks AS MATERIALIZED (SELECT * FROM t0 WINDOW k AS (PARTITION BY level, series, cutoff) QUALIFY count(*) FILTER (WHERE NOT is_test) OVER k >= 26 AND sum(CASE WHEN is_test THEN 0 ELSE y END) OVER k > 0 AND count(*) FILTER (WHERE is_test) OVER k > 0),
 back AS (SELECT *, row_number() OVER (PARTITION BY level, series, cutoff ORDER BY ds DESC) AS back FROM tasks WHERE NOT is_test),
 stats AS (SELECT level, series, cutoff, avg(y) FILTER (WHERE back <= 1) AS last, avg(y) FILTER (WHERE back <= 8) AS mean, count(*) AS n, sum(CASE WHEN back <= 8 THEN y ELSE 0 END) AS now8, sum(CASE WHEN back BETWEEN 53 AND 60 THEN y ELSE 0 END) AS then8 FROM back GROUP BY ALL),
-test AS (SELECT t.*, (year(t.ds) - year(t.cutoff)) * 12 + month(t.ds) - month(t.cutoff) AS horizon, coalesce(b.y, s.last) AS base, last, mean, CASE WHEN n >= 60 AND then8 > 0 THEN least(greatest(now8 / then8, 0.5), 2.0) ELSE 1.0 END AS factor
+test AS MATERIALIZED (SELECT t.*, (year(t.ds) - year(t.cutoff)) * 12 + month(t.ds) - month(t.cutoff) AS horizon, coalesce(b.y, s.last) AS base, last, mean, CASE WHEN n >= 60 AND then8 > 0 THEN least(greatest(now8 / then8, 0.5), 2.0) ELSE 1.0 END AS factor
     FROM tasks t JOIN stats s USING (level, series, cutoff) LEFT JOIN back b ON b.level = t.level AND b.series = t.series AND b.cutoff = t.cutoff AND b.ds = t.ds - 364 WHERE t.is_test),
-basic AS (SELECT level, series, cutoff, ds, 'naive' AS model, greatest(last, 0) AS forecast, y AS actual, horizon FROM test UNION ALL SELECT level, series, cutoff, ds, 'moving_average', greatest(mean, 0), y, horizon FROM test
+basic AS MATERIALIZED (SELECT level, series, cutoff, ds, 'naive' AS model, greatest(last, 0) AS forecast, y AS actual, horizon FROM test UNION ALL SELECT level, series, cutoff, ds, 'moving_average', greatest(mean, 0), y, horizon FROM test
     UNION ALL SELECT level, series, cutoff, ds, 'seasonal_naive', greatest(base, 0), y, horizon FROM test UNION ALL SELECT level, series, cutoff, ds, 'seasonal_growth', greatest(base * factor, 0), y, horizon FROM test),
 err AS (SELECT level, series, cutoff, model, sum(abs(forecast - actual)) AS ae, sum(actual) AS r FROM basic GROUP BY ALL),
 oth AS (SELECT c.level, c.series, c.cutoff, e.model, sum(e.ae) AS ae, sum(e.r) AS r FROM (SELECT DISTINCT level, series, cutoff FROM err) c JOIN err e ON e.level = c.level AND e.series = c.series AND e.cutoff <> c.cutoff GROUP BY ALL),
 wt AS (SELECT *, 1 / greatest(ae / greatest(r, 1e-9), 1e-6) AS w FROM oth QUALIFY row_number() OVER (PARTITION BY level, series, cutoff ORDER BY 1 / greatest(ae / greatest(r, 1e-9), 1e-6) DESC, model) <= 3),
 comb AS (SELECT level, series, cutoff, ds, 'combination' AS model, sum(forecast * w) / sum(w) AS forecast, max(actual) AS actual, max(horizon) AS horizon FROM basic JOIN wt USING (level, series, cutoff, model) GROUP BY ALL),
-simple AS (SELECT * FROM basic UNION ALL SELECT * FROM comb),
-months AS (SELECT level, series, cutoff, model, CAST(date_trunc('month', ds) AS DATE) AS month, sum(forecast) AS forecast, sum(actual) AS actual, max(horizon) AS horizon FROM simple GROUP BY ALL),
-acc AS (SELECT level, model, {_ratio('sum(abs(forecast - actual))', 'sum(actual)')} * 100 AS wape, avg(CASE WHEN actual > 0 THEN abs(forecast - actual) / actual END) * 100 AS mape, ({_ratio('sum(forecast)', 'sum(actual)')} - 1) * 100 AS bias, count(*) AS n FROM months GROUP BY ALL),
-rk0 AS (SELECT *, CAST(CASE model WHEN 'naive' THEN 0 WHEN 'moving_average' THEN 1 WHEN 'seasonal_naive' THEN 1 WHEN 'seasonal_growth' THEN 1 WHEN 'combination' THEN 6 END AS INT) AS complexity, min(wape) OVER (PARTITION BY level) AS best,
-    max(CASE WHEN model = 'seasonal_naive' THEN wape END) OVER (PARTITION BY level) - wape AS gain FROM acc),
-rk1 AS (SELECT *, wape <= best * 1.05 AS eligible FROM rk0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY eligible DESC, complexity, wape, model) = 1 AS chosen FROM rk1)"""
-SHARES = f""", bt AS (SELECT *, chr(0) AS z FROM before), cp AS (SELECT child, arg_max(parent, (m, parent)) AS parent FROM (SELECT brand AS child, region AS parent, {_money('sum(rev)')} AS m FROM before GROUP BY ALL) GROUP BY 1),
-tot AS (SELECT level, series, cutoff, sum(y) AS s FROM series, cut WHERE ds <= cutoff AND ds > cutoff - 91 GROUP BY ALL),
-shares AS (SELECT child, cp.parent, p.cutoff, CASE WHEN p.s > 0 THEN coalesce(c.s, 0) / p.s ELSE 0 END AS share FROM cp JOIN tot p ON p.level = 'Regiao' AND p.series = parent LEFT JOIN tot c ON c.level = 'Marca' AND c.series = child AND c.cutoff = p.cutoff)"""
+simple0 AS MATERIALIZED (SELECT * FROM basic UNION ALL SELECT * FROM comb)"""
+
+
+def _rank_sql(rows: str, tag: str = "") -> str:
+    """Months, errors and ranking of the forecasts in `rows`."""
+    return f"""months{tag} AS MATERIALIZED (SELECT level, series, cutoff, model, CAST(date_trunc('month', ds) AS DATE) AS month, sum(forecast) AS forecast, sum(actual) AS actual, max(horizon) AS horizon FROM {rows} GROUP BY ALL),
+acc{tag} AS (SELECT level, model, {_ratio('sum(abs(forecast - actual))', 'sum(actual)')} * 100 AS wape, avg(CASE WHEN actual > 0 THEN abs(forecast - actual) / actual END) * 100 AS mape, ({_ratio('sum(forecast)', 'sum(actual)')} - 1) * 100 AS bias, count(*) AS n FROM months{tag} GROUP BY ALL),
+rk0{tag} AS (SELECT *, CAST(CASE model WHEN 'seasonal_growth' THEN 1 WHEN 'combination' THEN 6 WHEN 'top_down' THEN 6 ELSE 0 END AS INT) AS complexity, min(wape) OVER (PARTITION BY level) AS best,
+    max(CASE WHEN model = 'seasonal_naive' THEN wape END) OVER (PARTITION BY level) - wape AS gain FROM acc{tag}),
+rk1{tag} AS (SELECT *, wape <= best * 1.05 AS eligible FROM rk0{tag}),
+ranked{tag} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY level ORDER BY eligible DESC, complexity, wape, model) = 1 AS chosen FROM rk1{tag})"""
+
+
+SHARES = ", cp AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS level, child, arg_max(parent, (m, parent)) AS parent FROM (SELECT {C.LEVELS[c]} AS child, {C.LEVELS[p]} AS parent, {_money('sum(rev)')} AS m FROM before WHERE NOT is_extreme GROUP BY ALL) GROUP BY 2" if C.LEVELS[p]
+    else f"SELECT DISTINCT '{c}', series, '{p}' FROM series WHERE level = '{c}' AND series <> 'OUTROS'" for c, p in PARENTS.items()
+) + f"""), tot AS (SELECT level, series, cutoff, sum(y) AS s FROM series, cut WHERE ds <= cutoff AND ds > cutoff - 91 GROUP BY ALL),
+shares AS MATERIALIZED (SELECT cp.level, child, cp.parent, p.level AS parent_level, p.cutoff, CASE WHEN p.s > 0 THEN coalesce(c.s, 0) / p.s ELSE 0 END AS share FROM cp
+    JOIN tot p ON p.series = parent AND p.level = CASE cp.level {' '.join(f"WHEN '{c}' THEN '{p}'" for c, p in PARENTS.items())} END LEFT JOIN tot c ON c.level = cp.level AND c.series = child AND c.cutoff = p.cutoff)"""
+TREE = SERIES + SHARES + "".join(
+    f""", {_rank_sql(f'simple{g}', str(g))}, td{g} AS (SELECT t.level, t.series, t.cutoff, t.ds, 'top_down' AS model, greatest(p.forecast * share, 0) AS forecast, t.y AS actual, t.horizon FROM test t
+    JOIN shares s ON s.level = t.level AND s.child = t.series AND s.cutoff = t.cutoff JOIN simple{g} p ON p.level = s.parent_level AND p.series = s.parent AND p.cutoff = t.cutoff AND p.ds = t.ds
+    JOIN ranked{g} r ON r.chosen AND r.level = p.level AND r.model = p.model WHERE t.level IN ({', '.join(f"'{c}'" for c in level_of)})),
+simple{g + 1} AS MATERIALIZED (SELECT * FROM simple{g} UNION ALL SELECT * FROM td{g})""" for g, level_of in enumerate(GENERATIONS)
+) + f", simple AS (SELECT * FROM simple{len(GENERATIONS)}), {_rank_sql('simple')}"
 BASEM = f"""{MONTHLY}, bm AS (SELECT *, revenue - coalesce(extreme_revenue, 0) AS base_revenue FROM monthly WHERE complete),
 hist AS (SELECT CAST(month + INTERVAL 12 MONTH AS DATE) AS target_month, orders * 1.08 AS orders_raw, base_revenue * 1.08 AS revenue_raw FROM bm WHERE month + INTERVAL 12 MONTH >= DATE '2000-06-01'),
 judged AS (SELECT h.*, 1 AS horizon, target_month - 20 AS run_date, h.orders_raw / bm.orders - 1 AS orders_error, h.revenue_raw / bm.base_revenue - 1 AS revenue_error, bm.base_revenue AS revenue_actual FROM hist h JOIN bm ON bm.month = target_month WHERE target_month < DATE '2001-07-01')"""
@@ -134,7 +224,7 @@ QUERIES = {
     "moving_average": _query(lambda b: T.moving_average(_tasks(b), 8)),
     "seasonal_naive": _query(lambda b: T.seasonal_naive(_tasks(b))),
     "seasonal_growth": _query(lambda b: T.seasonal_growth(_tasks(b), 52, 8)),
-    "combination": _query(lambda b: T.combine_top(b.kept("baselines", lambda: T.baselines(_tasks(b))))),
+    "combination": _query(lambda b: T.combine_top(_basic(b))),
     "monthly_backtest": _query(lambda b: _by_month(b)),
     "accuracy_metrics": _query(lambda b: T.accuracy_metrics(_by_month(b))),
     "accuracy_by_horizon": _query(lambda b: T.accuracy_metrics(_by_month(b), ("level", "model", "horizon"))),
@@ -143,9 +233,9 @@ QUERIES = {
     "level_benchmark": _query(lambda b: T.level_benchmark_table(_ranked(b))),
     "empirical_band": _query(lambda b: T.empirical_band(_by_month(b))),
     "bottom_up_coherence": _query(lambda b: T.bottom_up_coherence(T.chosen_rows(_by_month(b), _ranked(b)), T.chosen_rows(_by_month(b), _ranked(b)).where(F.col("level") == "Total"))),
-    "child_to_parent": _query(lambda b: T.child_to_parent_map(_cube(b, "full"), "brand", "region")),
+    "child_to_parent": _query(_parents),
     "recent_share": _query(_shares),
-    "top_down": _query(_top_down),
+    "top_down": _query(lambda b: _simple(b).where(F.col("model") == T.TOP_DOWN)),
     "week_to_month": _query(lambda b: P.week_to_month(weekly_series(b), ["level", "series"], "y")),
     "monthly_actuals": _query(lambda b: P.monthly_actuals(weekly_series(b), b.options.as_of)),
     "expected_extremes": _query(lambda b: P.expected_extremes(_base_monthly(b))),
@@ -154,35 +244,37 @@ QUERIES = {
     "bias_factors": _query(lambda b: P.bias_factors(_judged(b))),
     "forecast_accuracy": _query(lambda b: P.forecast_accuracy_report(_history(b), _base_monthly(b)).select("target_month", "revenue_actual", "error_pct")),
     "fitted_models": _query(lambda b: M.batch_fit(_tasks(b))),
+    "full_model_choice": _query(lambda b: _ranked(b, _full)),
+    "full_level_benchmark": _query(lambda b: T.level_benchmark_table(_ranked(b, _full))),
+    "daily_model_choice": _query(_daily_ranked),
     "chosen_forecast": _query(_final),
     "granular_forecast": _query(_granular),
     "actuals_and_forecasts": _query(lambda b: P.actuals_and_forecasts(P.monthly_actuals(weekly_series(b), b.options.as_of), _granular(b), "Marca")),
     "headline_forecast": _query(_headline),
     "headline_explained": _query(lambda b: P.explain_forecast(_headline(b))),
-    "run_record": _query(lambda b: P.run_record(_headline(b), date(2001, 8, 1), "v1", "seasonal_naive")),
-    "run_history": _query(lambda b: P.append_run(_history(b), P.run_record(_headline(b), date(2001, 8, 1), "v1", "seasonal_naive")).select("run_date", "target_month", "horizon", "revenue_final")),
+    "run_record": _query(_record),
+    "run_history": _query(lambda b: P.append_run(_history(b), _record(b)).select("run_date", "target_month", "horizon", "revenue_final")),
 }
-S = f"{CANON}{SERIES}"
+S, R = f"{CANON}{SERIES}", f"{CANON}{TREE}"
 ORACLES = {
     "weekly_series": f"{S} SELECT * FROM series",
     "backtest_tasks": f"{S} SELECT * FROM tasks",
     **{m: f"{S} SELECT * FROM basic WHERE model = '{m}'" for m in ("naive", "moving_average", "seasonal_naive", "seasonal_growth")},
     "combination": f"{S} SELECT * FROM comb",
-    "monthly_backtest": f"{S} SELECT * FROM months",
-    "accuracy_metrics": f"{S} SELECT * FROM acc",
-    "accuracy_by_horizon": f"{S} SELECT level, model, horizon, {_ratio('sum(abs(forecast - actual))', 'sum(actual)')} * 100 AS wape, avg(CASE WHEN actual > 0 THEN abs(forecast - actual) / actual END) * 100 AS mape, ({_ratio('sum(forecast)', 'sum(actual)')} - 1) * 100 AS bias, count(*) AS n FROM months GROUP BY ALL",
-    "model_choice": f"{S} SELECT * FROM ranked",
-    "choice_reasons": f"""{S}, c AS (SELECT r.level, r.model, r.wape, r.gain, b.model AS best_model, b.wape AS best_wape FROM ranked r JOIN (SELECT level, arg_min(model, (wape, model)) AS model, min(wape) AS wape FROM ranked GROUP BY 1) b USING (level) WHERE chosen)
-        SELECT level, model AS chosen, concat_ws(' ', printf('Escolhido: %s (erro %.1f%%).', model, wape), CASE WHEN model <> best_model THEN printf('O melhor foi %s (%.1f%%), mas a diferença é pequena e %s é mais simples.', best_model, best_wape, model) END,
-        CASE WHEN gain IS NOT NULL AND model <> 'seasonal_naive' THEN CASE WHEN gain > 0 THEN printf('Erra %.1f p.p. menos que "%s".', gain, 'seasonal_naive') ELSE printf('ATENÇÃO: não supera "%s": considere usar o modelo simples.', 'seasonal_naive') END END) AS justification FROM c""",
-    "level_benchmark": f"{S} SELECT level, max(CASE WHEN chosen THEN model END) AS chosen, max(CASE WHEN chosen THEN wape END) AS wape, max(CASE WHEN model = 'seasonal_naive' THEN wape END) AS reference_wape, arg_min(model, (wape, model)) AS best_model, min(wape) AS best_wape, count(*) AS models FROM ranked GROUP BY 1",
-    "empirical_band": f"{S} SELECT level, model, horizon, quantile_cont(abs({_ratio('forecast', 'actual')} - 1), 0.8) AS band FROM months GROUP BY ALL",
-    "bottom_up_coherence": f"""{S}, ch AS (SELECT months.* FROM months JOIN ranked USING (level, model) WHERE chosen), sm AS (SELECT level, cutoff, month, sum(forecast) AS forecast FROM ch GROUP BY ALL), re AS (SELECT cutoff, month, sum(actual) AS actual FROM ch WHERE level = 'Total' GROUP BY ALL)
+    "monthly_backtest": f"{R} SELECT * FROM months",
+    "accuracy_metrics": f"{R} SELECT * FROM acc",
+    "accuracy_by_horizon": f"{R} SELECT level, model, horizon, {_ratio('sum(abs(forecast - actual))', 'sum(actual)')} * 100 AS wape, avg(CASE WHEN actual > 0 THEN abs(forecast - actual) / actual END) * 100 AS mape, ({_ratio('sum(forecast)', 'sum(actual)')} - 1) * 100 AS bias, count(*) AS n FROM months GROUP BY ALL",
+    "model_choice": f"{R} SELECT * FROM ranked",
+    "choice_reasons": f"""{R}, c AS (SELECT r.level, r.model, r.wape, r.gain, b.model AS best_model, b.wape AS best_wape FROM ranked r JOIN (SELECT level, arg_min(model, (wape, model)) AS model, min(wape) AS wape FROM ranked GROUP BY 1) b USING (level) WHERE chosen)
+        SELECT level, model AS chosen, concat_ws(' ', printf('Fica o modelo %s, com %.1f%% de erro.', model, wape), CASE WHEN model <> best_model THEN printf('Com %s o erro seria de %.1f%%, pouco menor, mas com um modelo mais complexo.', best_model, best_wape) END,
+        CASE WHEN gain IS NOT NULL AND model <> 'seasonal_naive' THEN CASE WHEN gain > 0 THEN printf('São %.1f pontos abaixo de %s.', gain, 'seasonal_naive') ELSE printf('Não melhora %s, que pode bastar.', 'seasonal_naive') END END) AS justification FROM c""",
+    "level_benchmark": f"{R} SELECT level, max(CASE WHEN chosen THEN model END) AS chosen, max(CASE WHEN chosen THEN wape END) AS wape, max(CASE WHEN model = 'seasonal_naive' THEN wape END) AS reference_wape, arg_min(model, (wape, model)) AS best_model, min(wape) AS best_wape, count(*) AS models FROM ranked GROUP BY 1",
+    "empirical_band": f"{R} SELECT level, model, horizon, quantile_cont(abs({_ratio('forecast', 'actual')} - 1), 0.8) AS band FROM months GROUP BY ALL",
+    "bottom_up_coherence": f"""{R}, ch AS (SELECT months.* FROM months JOIN ranked USING (level, model) WHERE chosen), sm AS (SELECT level, cutoff, month, sum(forecast) AS forecast FROM ch GROUP BY ALL), re AS (SELECT cutoff, month, sum(actual) AS actual FROM ch WHERE level = 'Total' GROUP BY ALL)
         SELECT level, {_ratio('sum(abs(forecast - actual))', 'sum(actual)')} * 100 AS wape FROM sm JOIN re USING (cutoff, month) GROUP BY 1""",
     "child_to_parent": f"{S}{SHARES} SELECT * FROM cp",
-    "recent_share": f"{S}{SHARES} SELECT * FROM shares",
-    "top_down": f"""{S}{SHARES} SELECT t.level, t.series, t.cutoff, t.ds, 'top_down' AS model, greatest(p.forecast * share, 0) AS forecast, t.y AS actual, t.horizon FROM test t JOIN shares s ON s.child = t.series AND s.cutoff = t.cutoff
-        JOIN basic p ON p.level = 'Regiao' AND p.model = 'seasonal_naive' AND p.series = s.parent AND p.cutoff = t.cutoff AND p.ds = t.ds WHERE t.level = 'Marca'""",
+    "recent_share": f"{S}{SHARES} SELECT level, child, parent, cutoff, share FROM shares",
+    "top_down": f"{R} SELECT * FROM simple WHERE model = 'top_down'",
     "week_to_month": f"{S}, d AS (SELECT level, series, CAST(date_trunc('month', ds + CAST(k AS INT)) AS DATE) AS month, y / 7 AS y FROM series, (SELECT unnest(range(7)) AS k)) SELECT level, series, month, sum(y) AS y FROM d GROUP BY ALL",
     "monthly_actuals": f"{S}, d AS (SELECT level, series, CAST(date_trunc('month', ds + CAST(k AS INT)) AS DATE) AS month, y / 7 AS y FROM series, (SELECT unnest(range(7)) AS k)) SELECT level, series, month, sum(y) AS actual FROM d WHERE month < DATE '2001-08-01' AND month >= DATE '2000-08-01' GROUP BY ALL",
     "expected_extremes": f"{CANON}{BASEM}, l AS (SELECT extreme_revenue AS x FROM bm ORDER BY month DESC LIMIT 6) SELECT avg(x) AS extreme_mean, quantile_cont(x, 0.1) AS extreme_p10, quantile_cont(x, 0.9) AS extreme_p90 FROM l",

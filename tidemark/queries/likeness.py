@@ -9,7 +9,9 @@ from tidemark.operators import kpis as K
 from tidemark.operators import similarity as S
 from tidemark.plans import dashboard as D
 from tidemark.queries.base import CANON, Base
-from tidemark.queries.products import LABELLED, _cube, _upper
+from tidemark.operators import basket as B
+from tidemark.operators import cannibal as X
+from tidemark.queries.products import GRID, LABELLED, _basket_sql, _cube, _levels, brand_grid
 from tidemark.queries.sales import _daily, _impact, _money, _monthly, _periods, _query, _ratio
 
 
@@ -33,6 +35,14 @@ def _with_curves(b: Base):
     return _standard(b).join(S.standardise(S.curve_components(_kept_cube(b)), [f"curve{i}" for i in range(1, 5)]), "item")
 
 
+def _verdicts(b: Base):
+    """Brands: pairs of one maker, and neighbours by profile of any maker."""
+    brands = b.products.select("product_id", "brand")
+    lines = b.lines.join(brands, "product_id").withColumn("product_id", F.col("brand"))
+    profile = S.standardise(S.product_features(_kept_cube(b).withColumn("product_id", F.col("brand")), as_of=b.options.as_of), S.FEATURES)
+    return X.pair_verdicts(brand_grid(b), B.basket_lift(B.basket_pairs(lines, b.options.as_of), 10), S.knn_neighbours(profile, S.FEATURES))
+
+
 def _dashboard(b: Base):
     daily, monthly = b.kept("daily", lambda: _daily(b)), b.kept("monthly", lambda: _monthly(b))
     windows = K.trailing_window_compare(daily, 7).unionByName(K.trailing_window_compare(daily, 30)).unionByName(K.trailing_window_compare(daily, 90))
@@ -42,18 +52,22 @@ def _dashboard(b: Base):
         "weekday": D.as_list(K.weekday_profile(daily), "weekday", "weekday"), "monthday": D.as_list(K.monthday_profile(daily), "day", "monthday"), "heat": D.heat_rows(K.weekday_month_heatmap(daily)),
         "special": D.as_list(K.special_periods_lift(daily, _periods(b.spark), 1.0), "name", "special"), "top_days": D.as_list(K.top_rows(daily.select("ds", "orders", "revenue"), "orders", 8, "ds"), "ds", "top_days"),
         "windows": D.as_list(windows, "days", "windows"), "ytd": D.as_map(K.ytd_by_year(monthly), "year", F.struct("orders", "revenue", "months"), "ytd"), "mtd": one(K.mtd_vs_last_year(daily), "mtd"),
-        "mix": D.as_list(C.share_over_total(C.top_n_plus_others(_upper(b), 6, weeks=None).groupBy("level", "series").agg(F.sum("revenue").cast("double").alias("revenue")), ["level"]), "level", "mix"),
-        "noise": D.as_map(C.noise_by_level(_upper(b)), "level", F.col("weighted_cv"), "noise"), "nonconcluded": D.as_map(K.nonconcluded_pct(_impact(b)), "month", F.col("nonconcluded_pct"), "nonconcluded"),
+        "mix": D.as_list(C.share_over_total(C.top_n_plus_others(_levels(b), 6, weeks=None).groupBy("level", "series").agg(F.sum("revenue").cast("double").alias("revenue")), ["level"]), "level", "mix"),
+        "noise": D.as_map(C.noise_by_level(_levels(b)), "level", F.col("weighted_cv"), "noise"), "nonconcluded": D.as_map(K.nonconcluded_pct(_impact(b)), "month", F.col("nonconcluded_pct"), "nonconcluded"),
     })
 
 
-FEATS = f"""{LABELLED}, w AS (SELECT product_id AS item, week, CAST(sum(units) AS DOUBLE) AS units, {_money('sum(rev)')} AS revenue, {_money('sum(lst)')} AS list_revenue, coalesce({_money("sum(rev) FILTER (WHERE starts_with(channel, 'COM_'))")}, 0) AS pro FROM before GROUP BY ALL),
-sp AS (SELECT max(week) AS last, datediff('day', min(week), max(week)) / 7 + 1 AS n FROM w),
+def _feats(item: str) -> str:
+    return f"""w AS (SELECT {item} AS item, week, CAST(sum(units) AS DOUBLE) AS units, {_money('sum(rev)')} AS revenue, {_money('sum(lst)')} AS list_revenue, coalesce({_money("sum(rev) FILTER (WHERE starts_with(channel, 'COM_'))")}, 0) AS pro FROM before GROUP BY ALL),
+wk AS (SELECT max(week) AS last, datediff('day', min(week), max(week)) / 7 + 1 AS n FROM w),
 g AS (SELECT item, any_value(n) AS n, sum(units) AS units, sum(revenue) AS revenue, sum(list_revenue) AS list_revenue, sum(pro) AS pro, sum(units * units) AS sq, coalesce(sum(units) FILTER (WHERE week > last - 91), 0) AS now,
-    coalesce(sum(units) FILTER (WHERE week > last - 182 AND week <= last - 91), 0) AS bef, {', '.join(f"coalesce(sum(units) FILTER (WHERE quarter(week) = {q}), 0) / sum(units) AS q{q}" for q in (1, 2, 3, 4))} FROM w, sp GROUP BY item),
+    coalesce(sum(units) FILTER (WHERE week > last - 182 AND week <= last - 91), 0) AS bef, {', '.join(f"coalesce(sum(units) FILTER (WHERE quarter(week) = {q}), 0) / sum(units) AS q{q}" for q in (1, 2, 3, 4))} FROM w, wk GROUP BY item),
 feats AS (SELECT item, ln(revenue / units) AS log_price, 1 - {_ratio('revenue', 'list_revenue')} AS discount, {_ratio('pro', 'revenue')} AS professional_share, ln(1 + now) - ln(1 + bef) AS trend,
     sqrt(greatest((sq - n * (units / n) * (units / n)) / (n - 1), 0)) / (units / n) AS cv, q1, q2, q3, q4, units FROM g),
-std AS (SELECT item, {', '.join(f"CASE WHEN stddev_pop({c}) OVER () > 1e-12 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END AS {c}" for c in S.FEATURES)}, units FROM feats),
+std AS (SELECT item, {', '.join(f"CASE WHEN stddev_pop({c}) OVER () > 1e-12 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END AS {c}" for c in S.FEATURES)}, units FROM feats)"""
+
+
+FEATS = f"""{LABELLED}, {_feats("product_id")},
 attr AS (SELECT product_id AS item, brand, grp FROM (SELECT product_id, week, product, brand, grp, subgroup, sum(rev) AS r FROM before GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY r DESC, week DESC) = 1)"""
 DISTANCE = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in S.FEATURES) + ")"
 
@@ -66,6 +80,7 @@ QUERIES = {
     "curve_components": _query(lambda b: S.curve_components(_kept_cube(b))),
     "kmeans_profiles": _query(lambda b: S.kmeans_profiles(_with_curves(b), [*S.FEATURES, "curve1", "curve2", "curve3", "curve4"])[1]),
     "catalog_consistency": _query(lambda b: S.catalog_consistency(_standard(b), S.FEATURES, _attributes(b, "grp"))),
+    "pair_verdicts": _query(_verdicts),
     "dashboard_document": _query(_dashboard),
 }
 ORACLES = {
@@ -77,4 +92,15 @@ ORACLES = {
         SELECT x.grp = y.grp AS same_group, x.brand = y.brand AS same_brand, count(*) AS n FROM knn JOIN attr x ON x.item = knn.item JOIN attr y ON y.item = neighbour GROUP BY 1, 2""",
     "brand_profile": f"""{CANON}{FEATS}, r AS (SELECT feats.*, brand, grp FROM feats JOIN attr USING (item)), m AS (SELECT brand, {', '.join(f"sum({c} * (units + 1e-9)) / sum(units + 1e-9) AS {c}" for c in ('log_price', 'discount', 'professional_share', 'trend'))}, sum(units) AS au FROM r GROUP BY 1)
         SELECT r.brand, grp, any_value(m.log_price) AS log_price, any_value(m.discount) AS discount, any_value(m.professional_share) AS professional_share, any_value(m.trend) AS trend, sum(units) / any_value(au) AS mix_share FROM r JOIN m USING (brand) GROUP BY 1, 2""",
+    "pair_verdicts": f"""{CANON}{GRID}, {_feats("brand")}, blines AS (SELECT lines.*, brand FROM lines JOIN p USING (product_id)){_basket_sql('blines', 'brand')},
+        knn AS (SELECT a.item, b.item AS neighbour FROM std a JOIN std b ON a.item <> b.item QUALIFY row_number() OVER (PARTITION BY a.item ORDER BY {DISTANCE}, b.item) <= 5),
+        allpairs AS (SELECT item_a, item_b, bool_or(nb) AS is_neighbour FROM (SELECT item_a, item_b, FALSE AS nb FROM cand UNION ALL SELECT least(item, neighbour), greatest(item, neighbour), TRUE FROM knn) GROUP BY 1, 2),
+        bcorr AS (SELECT item_a, item_b, corr(a.residual, b.residual) AS corr FROM allpairs JOIN res a ON a.item = item_a JOIN res b ON b.item = item_b AND b.week = a.week GROUP BY 1, 2),
+        ev AS (SELECT item_a, item_b, ga.grp AS grp_a, gb.grp AS grp_b, ga.grp = gb.grp AS same_group, is_neighbour, pair_rate, episodes, corr, together, lift FROM allpairs JOIN ofgrp ga ON ga.item = item_a JOIN ofgrp gb ON gb.item = item_b
+            LEFT JOIN sym USING (item_a, item_b) LEFT JOIN bcorr USING (item_a, item_b) LEFT JOIN (SELECT * FROM lifts WHERE together >= 10) l ON l.product_a = item_a AND l.product_b = item_b)
+        SELECT *, CASE WHEN ((same_group AND (coalesce(pair_rate >= 0.15, FALSE) OR coalesce(corr <= -0.15, FALSE))) OR (NOT same_group AND is_neighbour AND coalesce(corr <= -0.25, FALSE))) AND (lift IS NULL OR lift < 1.2) THEN 'concorrentes'
+            WHEN coalesce(lift >= 1.5 AND corr >= 0, FALSE) THEN 'complementares' ELSE 'indefinido' END AS kind, greatest(coalesce(pair_rate, 0), 0) + greatest(coalesce(-corr, 0), 0) AS strength,
+            concat_ws(', ', CASE WHEN pair_rate > 0 THEN printf('perde %.0f%% do que o outro ganha nos picos', pair_rate * 100) WHEN pair_rate IS NOT NULL THEN 'não perde nos picos do outro' END,
+                CASE WHEN corr IS NOT NULL THEN printf('variam %s (%.2f)', CASE WHEN corr < -0.1 THEN 'em sentidos contrários' WHEN corr > 0.1 THEN 'no mesmo sentido' ELSE 'sem ligação' END, corr) END,
+                CASE WHEN lift IS NOT NULL THEN printf('comprados juntos %.1f vezes o esperado', lift) END) AS explanation FROM ev""",
 }

@@ -28,32 +28,34 @@ def _levels(b: Base):
     return C.aggregate_levels(cube)
 
 
-def _upper(b: Base):
-    """Levels of few series, for the queries that follow."""
-    return _levels(b).where(F.col("level").isin("Marca", "Subgrupo", "Grupo", "Regiao", "Canal"))
+def brand_grid(b: Base):
+    """Brands within their makers, of which a brand's name tells the first seven letters."""
+    return b.kept("brand_grid", lambda: X.weekly_grid(_cube(b, "product").withColumn("maker", F.substring("brand", 1, 7)), "brand", "maker"))
 
 
-def brand_grid(b: Base):
-    return X.weekly_grid(_cube(b, "product"), "brand", "channel")
+def product_grid(b: Base):
+    """Products within their subgroups, those that sold in 20 weeks or more."""
+    return b.kept("product_grid", lambda: X.weekly_grid(_cube(b, "product"), "product_id", "subgroup", 20))
 
 
-def _peaks(b: Base):
-    return X.detect_peaks(X.with_baselines(brand_grid(b)))
+def _based(b: Base, grid):
+    return b.kept(f"based_{grid.__name__}", lambda: X.with_baselines(grid(b)))
 
 
-def _pairs(b: Base):
-    based = X.with_baselines(brand_grid(b))
-    return X.peak_pairs(X.detect_peaks(based), based)
+def _peaks(b: Base, grid=brand_grid):
+    return X.detect_peaks(_based(b, grid))
 
 
-def _lift(b: Base):
-    return B.basket_lift(B.basket_pairs(b.lines, b.options.as_of))
+def _summary(b: Base, grid=brand_grid):
+    return X.peak_summary(_peaks(b, grid)).withColumn("reading", X.rate_reading(F.col("rate"), F.col("episodes")))
+
 
+def _pairs(b: Base, grid=brand_grid):
+    return X.peak_pairs(_peaks(b, grid), _based(b, grid))
 
-def _verdicts(b: Base):
-    brands = b.products.select("product_id", "brand")
-    lines = b.lines.join(brands, "product_id").withColumn("product_id", F.col("brand"))
-    return X.pair_verdicts(brand_grid(b), B.basket_lift(B.basket_pairs(lines, b.options.as_of), 10))
+
+def _lift(b: Base):
+    return B.basket_lift(B.basket_pairs(b.lines, b.options.as_of))
 
 
 LABELLED = """, labelled AS (
@@ -72,17 +74,19 @@ def _cube_sql(kind: str) -> str:
 
 LEVELS = f"""{LABELLED}, per AS (""" + " UNION ALL ".join(
     f"SELECT '{name}' AS level, {dim or chr(39) + 'Total' + chr(39)} AS series, week, sum(units) AS units, sum(rev) AS rev, sum(lst) AS lst FROM before WHERE NOT is_extreme GROUP BY 1, 2, 3" for name, dim in C.LEVELS.items()
-) + f"), levels AS (SELECT level, series, week, {SUMS} FROM per), upper AS (SELECT * FROM levels WHERE level IN ('Marca', 'Subgrupo', 'Grupo', 'Regiao', 'Canal'))"
-NOISE = f""", wk AS (SELECT datediff('day', min(week), max(week)) // 7 + 1 AS n FROM upper), s AS (SELECT level, series, sum(revenue) AS s, sum(revenue * revenue) AS ss, any_value(n) AS n FROM upper, wk GROUP BY 1, 2),
+) + f"), levels AS (SELECT level, series, week, {SUMS} FROM per)"
+NOISE = f""", wk AS (SELECT datediff('day', min(week), max(week)) // 7 + 1 AS n FROM levels), s AS (SELECT level, series, sum(revenue) AS s, sum(revenue * revenue) AS ss, any_value(n) AS n FROM levels, wk GROUP BY 1, 2),
     cv AS (SELECT level, s, sqrt(greatest((ss - n * (s / n) * (s / n)) / (n - 1), 0)) / (s / n) AS cv FROM s) SELECT level, count(*) AS series, {_ratio('sum(cv * s)', 'sum(s)')} AS weighted_cv FROM cv GROUP BY 1"""
-TOP = """, m AS (SELECT max(week) AS last FROM upper), score AS (SELECT level, series, sum(CASE WHEN week > last - 182 THEN revenue ELSE 0 END) AS score FROM upper, m GROUP BY 1, 2),
+TOP = """, m AS (SELECT max(week) AS last FROM levels), score AS (SELECT level, series, sum(CASE WHEN week > last - 182 THEN revenue ELSE 0 END) AS score FROM levels, m GROUP BY 1, 2),
     named AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY level ORDER BY score DESC, series) <= 6 THEN series ELSE 'OUTROS' END AS kept FROM score),
     alive AS (SELECT level, kept FROM named GROUP BY 1, 2 HAVING sum(score) > 0)
-    SELECT level, kept AS series, week, sum(revenue) AS revenue FROM upper JOIN named USING (level, series) JOIN alive USING (level, kept) GROUP BY 1, 2, 3"""
-GRID = f"""{LABELLED}, cb AS (SELECT brand AS item, week, sum(units) AS units, sum(rev) AS rev, sum(lst) AS lst FROM before GROUP BY 1, 2),
-ofgrp AS (SELECT item, arg_max(grp, k) AS grp FROM (SELECT brand AS item, channel AS grp, (sum(rev), channel) AS k FROM before GROUP BY brand, channel) GROUP BY 1),
+    SELECT level, kept AS series, week, sum(revenue) AS revenue FROM levels JOIN named USING (level, series) JOIN alive USING (level, kept) GROUP BY 1, 2, 3"""
+def _grid_sql(item: str, group: str, least: int = 0) -> str:
+    return f"""{LABELLED}, cb AS (SELECT {item} AS item, week, sum(units) AS units, sum(rev) AS rev, sum(lst) AS lst FROM before GROUP BY 1, 2),
+ofgrp AS (SELECT item, arg_max(grp, k) AS grp FROM (SELECT item, grp, (sum(rev), grp) AS k FROM (SELECT {item} AS item, {group} AS grp, rev FROM before) GROUP BY item, grp) GROUP BY 1),
 sp AS (SELECT CAST(unnest(generate_series((SELECT min(week) FROM cb), (SELECT max(week) FROM cb), INTERVAL 7 DAY)) AS DATE) AS week),
-grid AS (SELECT item, grp, week, coalesce(CAST(units AS DOUBLE), 0) AS units, coalesce({_money('rev')}, 0) AS revenue, coalesce({_money('lst')}, 0) AS list_revenue FROM (SELECT DISTINCT item FROM cb) CROSS JOIN sp LEFT JOIN cb USING (item, week) JOIN ofgrp USING (item)),
+grid AS (SELECT item, grp, week, coalesce(CAST(units AS DOUBLE), 0) AS units, coalesce({_money('rev')}, 0) AS revenue, coalesce({_money('lst')}, 0) AS list_revenue
+    FROM (SELECT item FROM cb GROUP BY item HAVING count(*) FILTER (WHERE units > 0) >= {least}) CROSS JOIN sp LEFT JOIN cb USING (item, week) JOIN ofgrp USING (item)),
 g1 AS (SELECT *, sum(units) OVER (PARTITION BY grp, week) - units AS rest, 1 - {_ratio('revenue', 'list_revenue')} AS discount FROM grid),
 based AS (SELECT *, """ + ", ".join(f"CASE WHEN count({c}) OVER w >= 6 THEN quantile_cont({c}, 0.5) OVER w END AS {c}_base" for c in ("units", "discount", "rest")) + """ FROM g1 WINDOW w AS (PARTITION BY item ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
 bf AS (SELECT y, CAST(make_date(y, 11, 1) AS DATE) + CAST((11 - isodow(make_date(y, 11, 1))) % 7 + 22 AS INT) AS friday FROM (SELECT DISTINCT year(week) AS y FROM grid)),
@@ -90,10 +94,13 @@ peaks AS (SELECT item, grp, week, units, units_base, units - units_base AS gain,
     WHERE units_base > 0 AND units >= 1.5 * units_base AND units - units_base >= 5 AND NOT (week - friday BETWEEN -10 AND 3 OR (month(week) = 12 AND day(week) >= 16) OR (month(week) = 1 AND day(week) <= 7))),
 summary AS (SELECT item, grp, count(*) AS episodes, sum(gain) AS gain, sum(rest_change) AS rest_change, -sum(rest_change) / sum(gain) AS rate, (1 + sum(rest_change) / sum(gain)) * 100 AS incremental_pct, avg(discount_change) AS discount_change,
     array_to_string(list_slice(list_reverse_sort(list(strftime(week, '%Y-%m-%d'))), 1, 6), ', ') AS weeks FROM peaks WHERE rest_change IS NOT NULL GROUP BY 1, 2),
-toprank AS (SELECT grp, item, row_number() OVER (PARTITION BY grp ORDER BY sum(revenue) DESC, item) AS rank FROM grid GROUP BY 1, 2),
+toprank AS (SELECT grp, item, row_number() OVER (PARTITION BY grp ORDER BY sum(units) DESC, item) AS rank FROM grid GROUP BY 1, 2),
 others AS (SELECT b.grp, b.week, b.item AS other, b.units - b.units_base AS other_change FROM based b JOIN toprank USING (grp, item) WHERE rank <= 40 AND units_base IS NOT NULL),
-pairs AS (SELECT p.grp, p.item, o.other, count(*) AS episodes, sum(gain) AS gain, sum(other_change) AS other_change, -sum(other_change) / sum(gain) AS rate FROM peaks p JOIN others o ON o.grp = p.grp AND o.week = p.week AND o.other <> p.item GROUP BY 1, 2, 3),
-sym AS (SELECT least(item, other) AS item_a, greatest(item, other) AS item_b, sum(rate * episodes) / sum(episodes) AS pair_rate, sum(episodes) AS episodes FROM pairs WHERE rate IS NOT NULL GROUP BY 1, 2 HAVING sum(episodes) >= 3),
+own AS (SELECT grp, item, count(*) AS episodes, sum(gain) AS gain FROM peaks GROUP BY 1, 2),
+changed AS (SELECT p.grp, p.item, o.other, sum(other_change) AS other_change FROM peaks p JOIN others o ON o.grp = p.grp AND o.week = p.week AND o.other <> p.item GROUP BY 1, 2, 3),
+pairs AS (SELECT own.grp, own.item, t.item AS other, episodes, gain, coalesce(c.other_change, 0) AS other_change, (0.0 - coalesce(c.other_change, 0)) / gain AS rate
+    FROM own JOIN toprank t ON t.grp = own.grp AND t.item <> own.item AND t.rank <= 40 LEFT JOIN changed c ON c.grp = own.grp AND c.item = own.item AND c.other = t.item),
+sym AS (SELECT least(item, other) AS item_a, greatest(item, other) AS item_b, sum(rate * episodes) / sum(episodes) AS pair_rate, sum(episodes) AS episodes FROM pairs WHERE rate IS NOT NULL AND episodes >= 3 GROUP BY 1, 2),
 ld AS (SELECT item, week, ln(1 + units) - lag(ln(1 + units)) OVER (PARTITION BY item ORDER BY week) AS change FROM grid),
 st AS (SELECT week, ln(1 + sum(units)) - lag(ln(1 + sum(units))) OVER (ORDER BY week) AS store_change FROM grid GROUP BY 1),
 res AS (SELECT item, week, change - store_change AS residual FROM ld JOIN st USING (week) WHERE change IS NOT NULL AND store_change IS NOT NULL),
@@ -101,6 +108,11 @@ cand AS (SELECT x.item AS item_a, y.item AS item_b FROM toprank x JOIN toprank y
 corrs AS (SELECT item_a, item_b, corr(a.residual, b.residual) AS corr FROM cand JOIN res a ON a.item = item_a JOIN res b ON b.item = item_b AND b.week = a.week GROUP BY 1, 2)"""
 
 
+GRID, PRODUCT_GRID = _grid_sql("brand", "left(brand, 7)"), _grid_sql("product_id", "subgroup", 20)
+READING = """CASE WHEN episodes < 3 OR rate IS NULL THEN 'inconclusivo' WHEN rate >= 0.5 THEN 'canibalização forte' WHEN rate >= 0.2 THEN 'canibalização moderada' WHEN rate > -0.2 THEN 'canibalização baixa'
+    ELSE 'o grupo cresceu junto' END"""
+
+
 def _basket_sql(lines: str, key: str) -> str:
     return f""", recent AS (SELECT * FROM {lines} WHERE order_date >= DATE '2001-08-01' - 365 AND order_date < DATE '2001-08-01'),
     toplist AS (SELECT {key} AS pid FROM recent GROUP BY 1 ORDER BY sum(total_cents) DESC, 1 LIMIT 150), dist AS (SELECT DISTINCT order_id, {key} AS pid FROM recent WHERE NOT is_extreme),
@@ -137,10 +149,10 @@ QUERIES = {
     "levels": _query(lambda b: _money_lines(_levels(b))),
     "informative_levels": _query(lambda b: C.informative_levels(_levels(b)).groupBy("level").agg(F.count_distinct("series").alias("series"))),
     "concentration": _query(lambda b: C.concentration(_cube(b, "product"))),
-    "noise_by_level": _query(lambda b: C.noise_by_level(_upper(b))),
-    "top_n_plus_others": _query(lambda b: _money_lines(C.top_n_plus_others(_upper(b), 6))),
-    "share_over_total": _query(lambda b: C.share_over_total(_upper(b), ["level", "week"]).select("level", "series", "week", "share_pct")),
-    "top_growth": _query(lambda b: C.top_growth(_upper(b), "Marca", as_of=b.options.as_of)),
+    "noise_by_level": _query(lambda b: C.noise_by_level(_levels(b))),
+    "top_n_plus_others": _query(lambda b: _money_lines(C.top_n_plus_others(_levels(b), 6))),
+    "share_over_total": _query(lambda b: C.share_over_total(_levels(b), ["level", "week"]).select("level", "series", "week", "share_pct")),
+    "top_growth": _query(lambda b: C.top_growth(_levels(b), "Marca", as_of=b.options.as_of)),
     "product_attributes": _query(lambda b: C.product_attributes(_cube(b, "product"))),
     "catalog_counts": _query(lambda b: C.catalog_counts(C.product_attributes(_cube(b, "product")))),
     "active_products": _query(lambda b: C.active_products(_cube(b, "product"), 20)),
@@ -152,29 +164,31 @@ QUERIES = {
     "basket_pairs": _query(lambda b: B.basket_pairs(b.lines, b.options.as_of)),
     "basket_lift": _query(_lift),
     "weekly_grid": _query(brand_grid),
-    "baselines": _query(lambda b: X.with_baselines(brand_grid(b)).drop("group_units")),
+    "baselines": _query(lambda b: _based(b, brand_grid).drop("group_units")),
     "peaks": _query(_peaks),
-    "peak_summary": _query(lambda b: X.peak_summary(_peaks(b)).withColumn("reading", X.rate_reading(F.col("rate"), F.col("episodes")))),
-    "group_cannibalization": _query(lambda b: X.group_cannibalization(X.peak_summary(_peaks(b)))),
+    "peak_summary": _query(_summary),
+    "group_cannibalization": _query(lambda b: X.group_cannibalization(_summary(b))),
     "peak_pairs": _query(_pairs),
     "pair_rates": _query(lambda b: X.pair_rate_symmetric(_pairs(b))),
+    "product_peaks": _query(lambda b: _peaks(b, product_grid)),
+    "product_cannibalization": _query(lambda b: _summary(b, product_grid)),
+    "product_pair_rates": _query(lambda b: X.pair_rate_symmetric(_pairs(b, product_grid))),
     "log_diff_residual": _query(lambda b: X.log_diff_residual(brand_grid(b))),
     "weekly_corr": _query(lambda b: X.weekly_corr(X.log_diff_residual(brand_grid(b)), X.candidate_pairs(brand_grid(b)))),
-    "pair_verdicts": _query(lambda b: _verdicts(b).drop("explanation")),
 }
 ORACLES = {
     "cube_product": _cube_sql("product"),
     "cube_geo": _cube_sql("geo"),
     "cube_full": _cube_sql("full"),
     "levels": f"{CANON}{LEVELS} SELECT * FROM levels",
-    "informative_levels": f"{CANON}{LEVELS} SELECT level, count(DISTINCT series) AS series FROM levels GROUP BY 1 HAVING (count(DISTINCT series) >= 2 AND NOT bool_and(starts_with(series, 'SEM_'))) OR level = 'Total'",
+    "informative_levels": f"{CANON}{LEVELS} SELECT level, count(DISTINCT series) AS series FROM levels GROUP BY 1 HAVING count(DISTINCT series) FILTER (WHERE NOT regexp_matches(series, '^SEM_(INFO|GRUPO|SUBGRUPO|MARCA)')) >= 2 OR level = 'Total'",
     "concentration": f"""{CANON}{LABELLED}, per AS (SELECT subgroup, product_id, {_money('sum(rev)')} AS r FROM before GROUP BY 1, 2), sh AS (SELECT *, r / {_money("tot")} * 100 AS share FROM per JOIN (SELECT subgroup, sum(rev) AS tot FROM before GROUP BY 1) USING (subgroup))
         SELECT subgroup, sum(share * share) AS hhi, count(*) AS products, max(share) AS max_share, arg_max(product_id, (share, product_id)) AS leader FROM sh GROUP BY 1""",
     "noise_by_level": f"{CANON}{LEVELS}{NOISE}",
     "top_n_plus_others": f"{CANON}{LEVELS}{TOP}",
-    "share_over_total": f"{CANON}{LEVELS} SELECT level, series, week, {_ratio('revenue', 'sum(revenue) OVER (PARTITION BY level, week)')} * 100 AS share_pct FROM upper",
+    "share_over_total": f"{CANON}{LEVELS} SELECT level, series, week, {_ratio('revenue', 'sum(revenue) OVER (PARTITION BY level, week)')} * 100 AS share_pct FROM levels",
     "top_growth": f"""{CANON}{LEVELS}, s AS (SELECT series, sum(CASE WHEN date_trunc('month', week) BETWEEN DATE '2001-05-01' AND DATE '2001-07-01' THEN revenue ELSE 0 END) AS now,
-        sum(CASE WHEN date_trunc('month', week) BETWEEN DATE '2000-05-01' AND DATE '2000-07-01' THEN revenue ELSE 0 END) AS before FROM upper WHERE level = 'Marca' GROUP BY 1)
+        sum(CASE WHEN date_trunc('month', week) BETWEEN DATE '2000-05-01' AND DATE '2000-07-01' THEN revenue ELSE 0 END) AS before FROM levels WHERE level = 'Marca' GROUP BY 1)
         SELECT series, now, before, now - before AS gain, ({_ratio('now', 'before')} - 1) * 100 AS change_pct, now / (SELECT sum(now) FROM s) * 100 AS share_pct FROM s ORDER BY gain DESC, series LIMIT 10""",
     "product_attributes": f"{CANON}{LABELLED}, w AS (SELECT product_id, week, product, brand, grp, subgroup, sum(rev) AS r FROM before GROUP BY ALL) SELECT product_id, product, brand, grp, subgroup FROM w QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY r DESC, week DESC) = 1",
     "catalog_counts": f"{CANON}{LABELLED} SELECT grp, subgroup, count(DISTINCT product_id) AS products FROM before GROUP BY 1, 2",
@@ -191,17 +205,14 @@ ORACLES = {
     "weekly_grid": f"{CANON}{GRID} SELECT * FROM grid",
     "baselines": f"{CANON}{GRID} SELECT * FROM based",
     "peaks": f"{CANON}{GRID} SELECT * FROM peaks",
-    "peak_summary": f"""{CANON}{GRID} SELECT *, CASE WHEN episodes < 3 OR rate IS NULL THEN 'inconclusivo' WHEN rate >= 0.5 THEN 'canibalização forte' WHEN rate >= 0.2 THEN 'canibalização moderada' WHEN rate > -0.2 THEN 'canibalização baixa'
-        ELSE 'o grupo cresceu junto' END AS reading FROM summary""",
+    "peak_summary": f"{CANON}{GRID} SELECT *, {READING} AS reading FROM summary",
+    "product_peaks": f"{CANON}{PRODUCT_GRID} SELECT * FROM peaks",
+    "product_cannibalization": f"{CANON}{PRODUCT_GRID} SELECT *, {READING} AS reading FROM summary",
+    "product_pair_rates": f"{CANON}{PRODUCT_GRID} SELECT * FROM sym",
     "group_cannibalization": f"""{CANON}{GRID} SELECT grp, count(*) AS items, -sum(rest_change) / sum(gain) AS rate, CASE WHEN -sum(rest_change) / sum(gain) >= 0.4 THEN 'evitar promoções simultâneas'
         WHEN -sum(rest_change) / sum(gain) >= 0.2 THEN 'alternar promoções' ELSE 'promoções somam vendas' END AS recommendation FROM summary WHERE episodes >= 3 GROUP BY 1""",
     "peak_pairs": f"{CANON}{GRID} SELECT * FROM pairs",
     "pair_rates": f"{CANON}{GRID} SELECT * FROM sym",
     "log_diff_residual": f"{CANON}{GRID} SELECT * FROM res",
     "weekly_corr": f"{CANON}{GRID} SELECT * FROM corrs",
-    "pair_verdicts": f"""{CANON}{GRID}, blines AS (SELECT lines.*, brand FROM lines JOIN p USING (product_id)){_basket_sql('blines', 'brand')}, ev AS (
-        SELECT item_a, item_b, ga.grp AS grp_a, gb.grp AS grp_b, ga.grp = gb.grp AS same_group, FALSE AS is_neighbour, pair_rate, episodes, corr, together, lift FROM cand JOIN ofgrp ga ON ga.item = item_a JOIN ofgrp gb ON gb.item = item_b
-            LEFT JOIN sym USING (item_a, item_b) LEFT JOIN corrs USING (item_a, item_b) LEFT JOIN (SELECT * FROM lifts WHERE together >= 10) l ON l.product_a = item_a AND l.product_b = item_b)
-        SELECT *, CASE WHEN same_group AND (coalesce(pair_rate >= 0.15, FALSE) OR coalesce(corr <= -0.15, FALSE)) AND (lift IS NULL OR lift < 1.2) THEN 'concorrentes' WHEN coalesce(lift >= 1.5 AND corr >= 0, FALSE) THEN 'complementares' ELSE 'indefinido' END AS kind,
-            greatest(coalesce(pair_rate, 0), 0) + greatest(coalesce(-corr, 0), 0) AS strength FROM ev""",
 }
