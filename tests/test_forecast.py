@@ -1,4 +1,5 @@
 import datetime as dt
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -57,7 +58,7 @@ def test_choice_prefers_the_simplest_within_tolerance(spark):
     ranked = B.choose_parsimonious(spark.createDataFrame(rows, "level string, model string, wape double"))
     assert {(r.level, r.model) for r in ranked.where("chosen").collect()} == {("A", "naive"), ("B", "combination"), ("C", "own")}
     said = {r.level: r.justification for r in B.justify_choice(ranked).collect()}
-    assert "O melhor foi combination" in said["A"] and "menos que" in said["A"]
+    assert "Com combination o erro seria de 10.0%" in said["A"] and "1.6 pontos abaixo" in said["A"]
 
 
 def test_months_of_weeks_by_days(spark):
@@ -79,3 +80,26 @@ def test_bias_needs_three_months_and_is_limited(spark):
     assert tuple(P.bias_factors(judged).first()) == (3, 0.85, 0.85)
     assert tuple(P.bias_factors(judged.where("target_month < '2024-03-01'")).first()) == (2, 1.0, 1.0)
     assert tuple(P.bias_factors(judged.where("false")).first()) == (0, 1.0, 1.0)
+
+
+def test_top_down_follows_the_parent_choice_by_generations(spark):
+    """Grandchildren are split from what their parent level chose after its own top-down rows were in."""
+    weeks = [date(2020, 1, 6) + timedelta(weeks=k) for k in range(80)]
+    rows = [("Total", "Total", w, 100.0 + k) for k, w in enumerate(weeks)] + [("L1", s, w, (100.0 + k) * p) for k, w in enumerate(weeks) for s, p in (("a", 0.25), ("b", 0.75))] + [("L2", "x", w, (100.0 + k) * 0.1) for k, w in enumerate(weeks)]
+    series = spark.createDataFrame(rows, "level string, series string, ds date, y double")
+    of = spark.createDataFrame([("L1", "a", "Total"), ("L1", "b", "Total"), ("L2", "x", "a"), ("L2", "no such", "a")], "level string, child string, parent string")
+    cutoffs = [weeks[60], weeks[66]]
+    tasks = B.make_backtest_tasks(series, cutoffs, horizon_days=91, min_hist=26)
+    got = B.with_top_down(B.naive(tasks), tasks, series, of, ({"L1": "Total"}, {"L2": "L1"}), B.cutoff_table(series, cutoffs))
+    down = {(r.level, r.series, r.cutoff, r.ds): r.forecast for r in got.where("model = 'top_down'").collect()}
+    assert {k[:2] for k in down} == {("L1", "a"), ("L1", "b"), ("L2", "x")}
+    assert down["L1", "a", weeks[60], weeks[61]] == pytest.approx(160 * 0.25) and down["L2", "x", weeks[66], weeks[70]] == pytest.approx(16.6)
+    final = {(r.level, r.series): r.model for r in P.forecast_levels(series, [weeks[-1] + timedelta(weeks=1)], B.choose_parsimonious(B.accuracy_metrics(B.to_monthly(got))), got, of, ({"L1": "Total"}, {"L2": "L1"}), models=()).collect()}
+    assert set(final) == {("Total", "Total"), ("L1", "a"), ("L1", "b"), ("L2", "x")}
+
+
+def test_holidays_of_the_fitted_models():
+    assert date(2024, 3, 29) in M.holidays(2024) and date(2024, 11, 20) in M.holidays(2024) and date(2023, 11, 20) not in M.holidays(2023)
+    days = np.array(["2024-12-24", "2024-12-25", "2024-12-26", "2024-12-27"], "datetime64[D]")
+    assert M._events(days, 1)[:, 3:].tolist() == [[0, 1, 0], [1, 0, 0], [0, 0, 1], [0, 0, 0]]
+    assert M._events(np.array(["2024-12-23"], "datetime64[D]"), 7)[0, 3] == pytest.approx(1 / 7)

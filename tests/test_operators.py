@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from datetime import date, timedelta
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -117,3 +118,20 @@ def test_missing_evidence_is_unclear(spark):
     rows = [(True, False, None, None, None), (True, False, 0.2, None, None), (True, False, 0.2, None, 1.3), (False, True, None, -0.3, None), (False, False, None, 0.1, 1.6)]
     df = spark.createDataFrame(rows, "same_group boolean, is_neighbour boolean, pair_rate double, corr double, lift double")
     assert [r.kind for r in cannibal.classify_pairs(df).collect()] == ["indefinido", "concorrentes", "indefinido", "concorrentes", "complementares"]
+
+
+def test_pair_rates_count_all_peaks_of_an_item_and_directions_alone(spark):
+    weeks = [date(2020, 1, 6) + timedelta(weeks=k) for k in range(4)]
+    peaks = spark.createDataFrame([("a", "g", w, 10.0) for w in weeks[1:]] + [("b", "g", weeks[2], 10.0), ("b", "g", weeks[3], 10.0)], "item string, grp string, week date, gain double")
+    based = spark.createDataFrame([(i, "g", w, u, base) for i, u in (("a", 20.0), ("b", 4.0), ("c", 1.0)) for k, w in enumerate(weeks) for base in [None if i == "c" or k < 2 else 10.0]], "item string, grp string, week date, units double, units_base double")
+    got = {(r.item, r.other): (r.episodes, r.gain, r.other_change, round(r.rate, 6)) for r in cannibal.peak_pairs(peaks, based).collect()}
+    assert got["a", "b"] == (3, 30.0, -12.0, 0.4) and got["a", "c"] == (3, 30.0, 0.0, 0.0) and got["b", "a"] == (2, 20.0, 20.0, -1.0)
+    sym = {(r.item_a, r.item_b): (round(r.pair_rate, 6), r.episodes) for r in cannibal.pair_rate_symmetric(cannibal.peak_pairs(peaks, based)).collect()}
+    assert sym == {("a", "b"): (0.4, 3), ("a", "c"): (0.0, 3)}
+    assert [r.item for r in cannibal.top_of_group(based.withColumn("revenue", F.lit(0)), 2).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_levels_need_two_series_with_labels_of_their_own(spark):
+    rows = [("UF", "SEM_INFO"), ("UF", "SP"), ("Canal", "SEM_NUTRICIONISTA"), ("Canal", "COM_NUTRICIONISTA"), ("Total", "Total")]
+    kept = cubes.informative_levels(spark.createDataFrame(rows, "level string, series string"))
+    assert {r.level for r in kept.collect()} == {"Canal", "Total"}
