@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from tidemark.queries import forecasts, likeness, products, sales
+    from tidemark.queries import forecasts, likeness, parts, products, sales
 
-    modules = [sales, products, forecasts, likeness]
+    modules = [sales, products, forecasts, likeness, parts]
     queries: dict[str, Query] = {}
     oracles: dict[str, str] = {}
     for m in modules:
