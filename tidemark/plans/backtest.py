@@ -124,10 +124,11 @@ def empirical_band(monthly: DataFrame, q: float = 0.8) -> DataFrame:
 
 
 def _weights(errors: DataFrame, keys: Sequence[str], top: int) -> DataFrame:
-    """errors: (keys, model, ae, r). Weights by inverse error of the best `top` models."""
-    w = 1 / F.greatest(F.col("ae") / F.greatest(F.col("r"), F.lit(1e-9)), F.lit(1e-6))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("w"), "model"))
-    return errors.withColumn("w", w).withColumn("rank", rank).where(F.col("rank") <= top).select(*keys, "model", "w")
+    """errors: (keys, model, ae, r). Weights by inverse error of the best `top` models; errors that differ beyond the ninth decimal only
+    are ties, which go to the smaller name."""
+    error = F.greatest(F.col("ae") / F.greatest(F.col("r"), F.lit(1e-9)), F.lit(1e-6))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round(error, 9), "model"))
+    return errors.withColumn("w", 1 / error).withColumn("rank", rank).where(F.col("rank") <= top).select(*keys, "model", "w")
 
 
 def _errors(forecasts: DataFrame) -> DataFrame:
@@ -208,13 +209,13 @@ def choose_parsimonious(metrics: DataFrame, complexity: dict[str, int] | None =
     rows = metrics.where("wape is not null").withColumn("complexity", F.coalesce(F.try_element_at(known, F.col("model")), F.lit(9)))
     rows = rows.withColumn("best", F.min("wape").over(level)).withColumn("eligible", F.col("wape") <= F.col("best") * (1 + tolerance))
     rows = rows.withColumn("gain", F.max(F.when(F.col("model") == reference, F.col("wape"))).over(level) - F.col("wape"))
-    first = F.row_number().over(level.orderBy(F.desc("eligible"), "complexity", "wape", "model"))
+    first = F.row_number().over(level.orderBy(F.desc("eligible"), "complexity", F.round("wape", 9), "model"))
     return rows.withColumn("chosen", first == 1)
 
 
 def justify_choice(ranked: DataFrame, reference: str = REFERENCE) -> DataFrame:
     """(level, chosen, justification): the choice in a sentence or two."""
-    best = F.min_by("model", F.struct("wape", "model"))
+    best = F.min_by("model", F.struct(F.round("wape", 9), "model"))
     one = ranked.groupBy("level").agg(F.max(F.when(F.col("chosen"), F.struct("model", "wape", "gain"))).alias("c"), best.alias("best_model"), F.min("wape").alias("best"))
     c = F.col("c")
     text = F.concat_ws(
@@ -242,5 +243,5 @@ def level_benchmark_table(ranked: DataFrame, reference: str = REFERENCE) -> Data
     pick = lambda c: F.max(F.when(F.col("chosen"), F.col(c)))
     return ranked.groupBy("level").agg(
         pick("model").alias("chosen"), pick("wape").alias("wape"), F.max(F.when(F.col("model") == reference, F.col("wape"))).alias("reference_wape"),
-        F.min_by("model", F.struct("wape", "model")).alias("best_model"), F.min("wape").alias("best_wape"), F.count("*").alias("models"),
+        F.min_by("model", F.struct(F.round("wape", 9), "model")).alias("best_model"), F.min("wape").alias("best_wape"), F.count("*").alias("models"),
     )

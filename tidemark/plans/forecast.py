@@ -47,7 +47,7 @@ def chosen_ahead(ahead: DataFrame, ranked: DataFrame, parents: DataFrame | None
     out = ahead.join(F.broadcast(picked), ["level", "model"], "left_semi").select(*columns)  # a row a level
     if parents is None or shares is None:
         return out
-    plain = F.when(~F.col("model").isin(B.TOP_DOWN, B.COMBINATION) & F.col("eligible"), F.struct("complexity", "wape", "model"))
+    plain = F.when(~F.col("model").isin(B.TOP_DOWN, B.COMBINATION) & F.col("eligible"), F.struct("complexity", F.round("wape", 9).alias("wape"), "model"))
     spare = ranked.groupBy("level").agg(F.min(plain).alias("s")).select("level", F.coalesce("s.model", F.lit(B.REFERENCE)).alias("model"))
     downs = F.broadcast(picked.where(F.col("model") == B.TOP_DOWN).select("level"))  # a row a level
     of = ahead.select(*B.TASK).distinct().join(downs, "level", "left_semi")

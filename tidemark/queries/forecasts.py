@@ -186,7 +186,7 @@ basic AS MATERIALIZED (SELECT level, series, cutoff, ds, 'naive' AS model, great
     UNION ALL SELECT level, series, cutoff, ds, 'seasonal_naive', greatest(base, 0), y, horizon FROM test UNION ALL SELECT level, series, cutoff, ds, 'seasonal_growth', greatest(base * factor, 0), y, horizon FROM test),
 err AS (SELECT level, series, cutoff, model, sum(abs(forecast - actual)) AS ae, sum(actual) AS r FROM basic GROUP BY ALL),
 oth AS (SELECT c.level, c.series, c.cutoff, e.model, sum(e.ae) AS ae, sum(e.r) AS r FROM (SELECT DISTINCT level, series, cutoff FROM err) c JOIN err e ON e.level = c.level AND e.series = c.series AND e.cutoff <> c.cutoff GROUP BY ALL),
-wt AS (SELECT *, 1 / greatest(ae / greatest(r, 1e-9), 1e-6) AS w FROM oth QUALIFY row_number() OVER (PARTITION BY level, series, cutoff ORDER BY 1 / greatest(ae / greatest(r, 1e-9), 1e-6) DESC, model) <= 3),
+wt AS (SELECT *, 1 / greatest(ae / greatest(r, 1e-9), 1e-6) AS w FROM oth QUALIFY row_number() OVER (PARTITION BY level, series, cutoff ORDER BY round(greatest(ae / greatest(r, 1e-9), 1e-6), 9), model) <= 3),
 comb AS (SELECT level, series, cutoff, ds, 'combination' AS model, sum(forecast * w) / sum(w) AS forecast, max(actual) AS actual, max(horizon) AS horizon FROM basic JOIN wt USING (level, series, cutoff, model) GROUP BY ALL),
 simple0 AS MATERIALIZED (SELECT * FROM basic UNION ALL SELECT * FROM comb)"""
 
@@ -198,7 +198,7 @@ acc{tag} AS (SELECT level, model, {_ratio('sum(abs(forecast - actual))', 'sum(ac
 rk0{tag} AS (SELECT *, CAST(CASE model WHEN 'seasonal_growth' THEN 1 WHEN 'combination' THEN 6 WHEN 'top_down' THEN 6 ELSE 0 END AS INT) AS complexity, min(wape) OVER (PARTITION BY level) AS best,
     max(CASE WHEN model = 'seasonal_naive' THEN wape END) OVER (PARTITION BY level) - wape AS gain FROM acc{tag}),
 rk1{tag} AS (SELECT *, wape <= best * 1.05 AS eligible FROM rk0{tag}),
-ranked{tag} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY level ORDER BY eligible DESC, complexity, wape, model) = 1 AS chosen FROM rk1{tag})"""
+ranked{tag} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY level ORDER BY eligible DESC, complexity, round(wape, 9), model) = 1 AS chosen FROM rk1{tag})"""
 
 
 SHARES = ", cp AS MATERIALIZED (" + " UNION ALL ".join(
@@ -265,10 +265,10 @@ ORACLES = {
     "accuracy_metrics": f"{R} SELECT * FROM acc",
     "accuracy_by_horizon": f"{R} SELECT level, model, horizon, {_ratio('sum(abs(forecast - actual))', 'sum(actual)')} * 100 AS wape, avg(CASE WHEN actual > 0 THEN abs(forecast - actual) / actual END) * 100 AS mape, ({_ratio('sum(forecast)', 'sum(actual)')} - 1) * 100 AS bias, count(*) AS n FROM months GROUP BY ALL",
     "model_choice": f"{R} SELECT * FROM ranked",
-    "choice_reasons": f"""{R}, c AS (SELECT r.level, r.model, r.wape, r.gain, b.model AS best_model, b.wape AS best_wape FROM ranked r JOIN (SELECT level, arg_min(model, (wape, model)) AS model, min(wape) AS wape FROM ranked GROUP BY 1) b USING (level) WHERE chosen)
+    "choice_reasons": f"""{R}, c AS (SELECT r.level, r.model, r.wape, r.gain, b.model AS best_model, b.wape AS best_wape FROM ranked r JOIN (SELECT level, arg_min(model, (round(wape, 9), model)) AS model, min(wape) AS wape FROM ranked GROUP BY 1) b USING (level) WHERE chosen)
         SELECT level, model AS chosen, concat_ws(' ', printf('Fica o modelo %s, com %.1f%% de erro.', model, wape), CASE WHEN model <> best_model THEN printf('Com %s o erro seria de %.1f%%, pouco menor, mas com um modelo mais complexo.', best_model, best_wape) END,
         CASE WHEN gain IS NOT NULL AND model <> 'seasonal_naive' THEN CASE WHEN gain > 0 THEN printf('São %.1f pontos abaixo de %s.', gain, 'seasonal_naive') ELSE printf('Não melhora %s, que pode bastar.', 'seasonal_naive') END END) AS justification FROM c""",
-    "level_benchmark": f"{R} SELECT level, max(CASE WHEN chosen THEN model END) AS chosen, max(CASE WHEN chosen THEN wape END) AS wape, max(CASE WHEN model = 'seasonal_naive' THEN wape END) AS reference_wape, arg_min(model, (wape, model)) AS best_model, min(wape) AS best_wape, count(*) AS models FROM ranked GROUP BY 1",
+    "level_benchmark": f"{R} SELECT level, max(CASE WHEN chosen THEN model END) AS chosen, max(CASE WHEN chosen THEN wape END) AS wape, max(CASE WHEN model = 'seasonal_naive' THEN wape END) AS reference_wape, arg_min(model, (round(wape, 9), model)) AS best_model, min(wape) AS best_wape, count(*) AS models FROM ranked GROUP BY 1",
     "empirical_band": f"{R} SELECT level, model, horizon, quantile_cont(abs({_ratio('forecast', 'actual')} - 1), 0.8) AS band FROM months GROUP BY ALL",
     "bottom_up_coherence": f"""{R}, ch AS (SELECT months.* FROM months JOIN ranked USING (level, model) WHERE chosen), sm AS (SELECT level, cutoff, month, sum(forecast) AS forecast FROM ch GROUP BY ALL), re AS (SELECT cutoff, month, sum(actual) AS actual FROM ch WHERE level = 'Total' GROUP BY ALL)
         SELECT level, {_ratio('sum(abs(forecast - actual))', 'sum(actual)')} * 100 AS wape FROM sm JOIN re USING (cutoff, month) GROUP BY 1""",

@@ -42,10 +42,10 @@ fdates AS (SELECT CAST(unnest(generate_series(DATE '{DATES[0]}', DATE '{DATES[-1
 ftest AS (SELECT s.level, s.series, d.ds, coalesce(b.y, last) AS base, last, mean, CASE WHEN n >= 60 AND then8 > 0 THEN least(greatest(now8 / then8, 0.5), 2.0) ELSE 1.0 END AS factor
     FROM fstats s CROSS JOIN fdates d LEFT JOIN fback b ON b.level = s.level AND b.series = s.series AND b.ds = d.ds - 364),
 fbasic AS MATERIALIZED (SELECT level, series, ds, unnest(['naive', 'moving_average', 'seasonal_naive', 'seasonal_growth']) AS model, unnest([greatest(last, 0), greatest(mean, 0), greatest(base, 0), greatest(base * factor, 0)]) AS forecast FROM ftest),
-fw AS (SELECT level, series, model, 1 / greatest(sum(ae) / greatest(sum(r), 1e-9), 1e-6) AS w FROM err GROUP BY level, series, model QUALIFY row_number() OVER (PARTITION BY level, series ORDER BY 1 / greatest(sum(ae) / greatest(sum(r), 1e-9), 1e-6) DESC, model) <= 3),
+fw AS (SELECT level, series, model, 1 / greatest(sum(ae) / greatest(sum(r), 1e-9), 1e-6) AS w FROM err GROUP BY level, series, model QUALIFY row_number() OVER (PARTITION BY level, series ORDER BY round(greatest(sum(ae) / greatest(sum(r), 1e-9), 1e-6), 9), model) <= 3),
 fahead AS MATERIALIZED (SELECT * FROM fbasic UNION ALL SELECT level, series, ds, 'combination', sum(forecast * w) / sum(w) FROM fbasic JOIN fw USING (level, series, model) GROUP BY ALL),
 picked AS (SELECT level, model FROM ranked WHERE chosen),
-spare AS (SELECT level, arg_min(model, (complexity, wape, model)) AS model FROM ranked WHERE eligible AND model NOT IN ('top_down', 'combination') GROUP BY 1),
+spare AS (SELECT level, arg_min(model, (complexity, round(wape, 9), model)) AS model FROM ranked WHERE eligible AND model NOT IN ('top_down', 'combination') GROUP BY 1),
 ftot AS (SELECT level, series, sum(y) AS s FROM series WHERE ds > DATE '{END}' - 91 GROUP BY ALL),
 fshares AS (SELECT cp.level, child, cp.parent, p.level AS parent_level, CASE WHEN p.s > 0 THEN coalesce(c.s, 0) / p.s ELSE 0 END AS share FROM cp JOIN picked k ON k.level = cp.level AND k.model = 'top_down' JOIN fstats f ON f.level = cp.level AND f.series = child
     JOIN ftot p ON p.series = parent AND p.level = CASE cp.level {' '.join(f"WHEN '{c}' THEN '{p}'" for c, p in PARENTS.items())} END LEFT JOIN ftot c ON c.level = cp.level AND c.series = child),
