@@ -32,8 +32,8 @@ BRING = 3
 #: Grey between images above each other, and beside them. Corners and their strength reach two pixels out of an image at every
 #: level: with this much grey no level sees, or suppresses, across images. Even, so that levels fit.
 MARGIN, SIDE = (max(REACH, APART) + 5) << (LEVELS - 1), (REACH + 3) << (LEVELS - 1)
-#: Pixels that are worked on at once.
-CANVAS = 1 << 20
+#: Pixels, or pairs of corners, that are worked on at once: few enough to stay in a core's cache.
+CANVAS = 1 << 17
 #: Corners must be at least as strong as this share of the strongest that 8-bit pixels allow.
 STRENGTH = 2e-3
 WORDS_A_ROW, WORD_PIXELS = 32, 2
