@@ -343,6 +343,7 @@ def consensus(matched: DataFrame, sizes: DataFrame, votes: int = 4, share: float
     the corners of the one with fewer. sizes: (image_id, n_corners). Bins overlap by half, so no border between bins parts like moves."""
     shift = lambda c, o: F.floor(F.col(c) / bin_pixels + o)
     bins = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), shift("dy", oy).alias("y"), shift("dx", ox).alias("x")) for k, (oy, ox) in enumerate([(0.0, 0.0), (0.5, 0.0), (0.0, 0.5), (0.5, 0.5)])]))
+    matched = matched.repartition("a", "b")  # one shuffle, of matches and not of their bins, for all that follows
     per_place = moves(matched).select("a", "b", "turn", "zoom", bins.alias("bin"), "place").distinct()
     counted = per_place.groupBy("a", "b", "turn", "zoom", "bin").agg(F.count("*").alias("votes")).groupBy("a", "b").agg(F.max("votes").alias("votes"))
     n = sizes.select("image_id", "n_corners")
