@@ -74,3 +74,30 @@ def test_groups_equal_those_of_all_pairs(spark):
     wanted = {r.node: r.component for r in components(media.consensus(media.pair_matches(pairs, found), sizes)).collect()}
     got = groups_of(spark, images)
     assert got == {i: wanted.get(i, i) for i in range(60)} and 5 < len(set(got.values())) < 55
+
+
+def test_groups_do_not_depend_on_the_order_of_ids(spark):
+    rng = np.random.default_rng(10)
+    parts, own = chunks(rng, 30, 12) + chunks(rng, 12, 20), chunks(rng, 20, 60)
+    images = [np.concatenate([own[k % 20], parts[rng.integers(len(parts))], parts[0]]) for k in range(40)]
+    images += [np.rot90(images[3]), np.rot90(images[4], 2), images[5], images[6], images[6]]
+    sets = []
+    for ids in (range(45), range(45, 0, -1), rng.permutation(45).tolist()):
+        own_of = dict(zip(ids, range(45), strict=True))
+        groups = {}
+        for i, g in groups_of(spark, list(zip(ids, images, strict=True))).items():
+            groups.setdefault(g, set()).add(own_of[i])
+        assert all(g == min(i for i in own_of if own_of[i] in m) for g, m in groups.items())
+        sets.append(sorted(map(sorted, groups.values())))
+    assert sets[0] == sets[1] == sets[2] and [5, 25, 42] in [[x for x in g if x in (5, 25, 42)] for g in sets[0]]
+    assert any({6, 43, 44} <= set(g) for g in sets[0])
+
+
+def test_images_with_the_same_corners_meet_as_one(spark):
+    rng = np.random.default_rng(11)
+    whole, other = chunks(rng, 2, 40)
+    images = [(7, whole), (2, whole), (5, whole[:60]), (9, other), (4, whole), (4, other), (3, other[:4] * 0 + 128), (1, other[:4] * 0 + 128)]
+    df = spark.createDataFrame([(i, a.shape[1], a.tobytes()) for i, a in images], "image_id long, width int, pixels binary")
+    got = {r.image_id: (r.group_id, r.n_links) for r in media.copy_groups(df).collect()}
+    assert {i: g for i, (g, _) in got.items()} == {7: 2, 2: 2, 5: 2, 4: 2, 9: 2, 3: 3, 1: 1}  # 4 is both images
+    assert got[7] == (2, 1) and got[2] == (2, 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, to be broadcast if it has no more than `rows` rows, as they are: for settled tables of a few numbers a row."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any store that Spark reads."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

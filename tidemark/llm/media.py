@@ -5,9 +5,10 @@ brightness tests turned by it. Strings meet in tables by their parts: strings th
 tables share a part. Matches of two images vote for the turn, scale and shift that they imply; images with enough votes for
 one of these are copies, and copies of copies form groups.
 
-Cells are compared twice. First every descriptor meets its cell's first, so a cell that a third of all images share makes as
-many rows as it has members. Then images of one cell that are not in one group by then meet each other, so no link between
-groups is lost. There an image that needs v votes and has c corners in such cells need not show all of them: of any c - v + k
+Images whose corners are all the same are one image, that of the smallest id, until groups are told. Cells are compared
+twice. First every descriptor meets its cell's first, so a cell that a third of all images share makes as many rows as it has
+members. Then images of one cell that are not in one group by then meet each other, so no link between groups is lost. There
+an image that needs v votes and has c corners in such cells need not show all of them: of any c - v + k
 at least k vote, and these are its corners in the rarest cells. Pairs with k matches among them are compared whole.
 """
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle, text_batches
+from tidemark.llm.common import settle, small, text_batches
 from tidemark.llm.components import components
 from tidemark.llm.simhash import CELL, by_cells, in_parts
 
@@ -218,6 +219,20 @@ def _unpacked(pos: str) -> dict[str, F.Column]:
     return {"turn": part(0, 5), "level": part(5, 2), "x": part(7, 20), "y": F.shiftright(pos, 27)}
 
 
+def looks() -> list[F.Column]:
+    """Two numbers, look_1 and look_2, that all corners of an image make together, in any order."""
+    return [F.bit_xor(F.xxhash64(F.lit(k), "pos", "d1", "d2")).alias(f"look_{k}") for k in (1, 2)]
+
+
+def same_corners(sizes: DataFrame) -> DataFrame:
+    """(a, b): images whose corners all lie at the same places with the same bits, and the smallest of these. sizes: (image_id,
+    n_corners, repeated, look_1, look_2). All corners agree on one move, so these are links by any count of votes."""
+    alike = ["n_corners", "look_1", "look_2"]
+    single = sizes.where("not repeated")
+    least = single.groupBy(*alike).agg(F.min("image_id").alias("b"))
+    return single.join(least, alike).where("image_id > b").select(F.col("image_id").alias("a"), "b")
+
+
 def in_tables(found: DataFrame) -> DataFrame:
     """(key, image_id, pos, half, quarter) of packed() for each of TABLES tables: the key is the table and its part of the bits,
     half and quarter are the other bits, in one order for all rows of a table."""
@@ -246,14 +261,16 @@ def matches(cells: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 
 
 def moves(matched: DataFrame) -> DataFrame:
-    """(a, b, turn, zoom, dy, dx, place): the move from b to a that a match implies."""
+    """(a, b, way, turn, zoom, dy, dx, place): the moves that a match implies, from b to a as way 0, from a to b as way 1."""
+    ends = F.array(F.struct("pos_a", "pos_b"), F.struct(F.col("pos_b").alias("pos_a"), F.col("pos_a").alias("pos_b")))
+    matched = matched.select("a", "b", F.posexplode(ends).alias("way", "ends")).select("a", "b", "way", "ends.*")
     p, q = _unpacked("pos_a"), _unpacked("pos_b")
     turn = F.pmod(p["turn"] - q["turn"], F.lit(TURNS))
     zoom = p["level"] - q["level"]
     a, s = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), zoom)
     moved_y = s * (q["y"] * F.cos(a) + q["x"] * F.sin(a))
     moved_x = s * (q["x"] * F.cos(a) - q["y"] * F.sin(a))
-    return matched.select("a", "b", turn.alias("turn"), zoom.alias("zoom"), (p["y"] - moved_y).alias("dy"), (p["x"] - moved_x).alias("dx"), F.col("pos_a").alias("place"))
+    return matched.select("a", "b", "way", turn.alias("turn"), zoom.alias("zoom"), (p["y"] - moved_y).alias("dy"), (p["x"] - moved_x).alias("dx"), F.col("pos_a").alias("place"))
 
 
 def rival_spots(half: np.ndarray, quarter: np.ndarray, node: np.ndarray, spot: np.ndarray, size: np.ndarray, team: np.ndarray, shown: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +304,7 @@ def rival_spots(half: np.ndarray, quarter: np.ndarray, node: np.ndarray, spot: n
 
 def rivals(cells: DataFrame, groups: DataFrame, sizes: DataFrame, votes: int, share: float) -> DataFrame:
     """(a, b) of images of shared_cells() that are not in one group and may be copies. sizes: (image_id, n_corners, repeated)."""
-    teams = cells.join(groups.select(F.col("node").alias("image_id"), "component"), "image_id", "left").withColumn("team", F.coalesce("component", "image_id"))
+    teams = cells.join(small(groups.select(F.col("node").alias("image_id"), "component")), "image_id", "left").withColumn("team", F.coalesce("component", "image_id"))
     mixed = teams.groupBy("key").agg(F.count("*").alias("n"), F.min("team").alias("low"), F.max("team").alias("high")).where("low < high")
     live = settle(teams.join(mixed.select("key", "n"), "key").select("key", "image_id", "pos", "half", "quarter", "team", "n"))
     of = Window.partitionBy("image_id")  # an image's own corners
@@ -307,18 +324,21 @@ def rivals(cells: DataFrame, groups: DataFrame, sizes: DataFrame, votes: int, sh
     return brought.select(F.greatest("image_id", "other").alias("a"), F.least("image_id", "other").alias("b")).distinct()
 
 
-def pair_matches(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b, pos_a, pos_b): all matches of the pairs (a, b) of images of packed(), by the rule of matches()."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("image_id")).distinct()
-    lists = settle(found.join(ids, "image_id", "left_semi").groupBy("image_id").agg(F.collect_list(F.struct("pos", "d1", "d2")).alias("corners")))
-    both = pairs.join(lists.toDF("a", "of_a"), "a").join(lists.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
+def pair_matches(pairs: DataFrame, found: DataFrame, votes: int = 1, share: float = 0.0) -> DataFrame:
+    """(a, b, pos_a, pos_b): all matches of the pairs (a, b) of images of packed(), by the rule of matches(). Pairs with fewer
+    matches than the votes that consensus() asks for have none."""
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("image_id")).distinct())
+    lists = settle(found.join(small(ids), "image_id", "left_semi").groupBy("image_id").agg(F.max("n").alias("n"), F.collect_list(F.struct("pos", "d1", "d2")).alias("corners")))
+    needed = F.greatest(F.ceil(share * F.least("n_a", "n_b") - 1e-9), F.least(F.lit(votes), "n_a", "n_b"))
+    both = pairs.join(lists.toDF("a", "n_a", "of_a"), "a").join(lists.toDF("b", "n_b", "of_b"), "b").select("a", "b", needed.cast("long").alias("needed"), "of_a", "of_b")
     text_batches(pairs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            a, b = (c.to_numpy() for c in batch.columns[:2])
-            (from_a, *of_a), (from_b, *of_b) = ((c.offsets.to_numpy(), *(c.values.field(k).to_numpy() for k in range(3))) for c in batch.columns[2:])
+            a, b, needed = (c.to_numpy() for c in batch.columns[:3])
+            (from_a, *of_a), (from_b, *of_b) = ((c.offsets.to_numpy(), *(c.values.field(k).to_numpy() for k in range(3))) for c in batch.columns[3:])
             pair = np.repeat(np.arange(len(a)), np.diff(from_a))  # of each corner of a
+            hits: list[np.ndarray] = []
             sizes = np.diff(from_b)[pair]
             ends = np.cumsum(sizes)
             at = 0
@@ -331,21 +351,25 @@ def pair_matches(pairs: DataFrame, found: DataFrame) -> DataFrame:
                 x, y = of_a[1][i] ^ of_b[1][j], of_a[2][i] ^ of_b[2][j]
                 part = (x.astype(np.uint32) == 0) | (x >> 32 == 0) | (y.astype(np.uint32) == 0) | (y >> 32 == 0)
                 hit = np.flatnonzero(part & (np.bitwise_count(x) + np.bitwise_count(y) <= MOST_BITS))
-                k = pair[i[hit] - from_a[0]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[k], b[k], of_a[0][i[hit]], of_b[0][j[hit]])], names=["a", "b", "pos_a", "pos_b"])
+                hits.append(np.stack([pair[i[hit] - from_a[0]], i[hit], j[hit]]))
                 at = to
+            k, i, j = np.concatenate([np.empty((3, 0), np.int64), *hits], axis=1)
+            enough = np.bincount(k, minlength=len(a))[k] >= needed[k]
+            k, i, j = k[enough], i[enough], j[enough]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[k], b[k], of_a[0][i], of_b[0][j])], names=["a", "b", "pos_a", "pos_b"])
 
     return both.mapInArrow(run, "a long, b long, pos_a long, pos_b long")
 
 
 def consensus(matched: DataFrame, sizes: DataFrame, votes: int = 4, share: float = 0.3, bin_pixels: float = 6.0) -> DataFrame:
-    """(a, b) of images with enough corners of a that imply about the same move: at least `votes`, or all of both, and `share` of
-    the corners of the one with fewer. sizes: (image_id, n_corners). Bins overlap by half, so no border between bins parts like moves."""
+    """(a, b) of images with enough corners that imply about the same move: at least `votes`, or all of both, and `share` of
+    the corners of the one with fewer. sizes: (image_id, n_corners). Bins overlap by half, so no border between bins parts like
+    moves; moves count from b to a and from a to b, so no link depends on which id is the smaller."""
     shift = lambda c, o: F.floor(F.col(c) / bin_pixels + o)
     bins = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), shift("dy", oy).alias("y"), shift("dx", ox).alias("x")) for k, (oy, ox) in enumerate([(0.0, 0.0), (0.5, 0.0), (0.0, 0.5), (0.5, 0.5)])]))
     matched = matched.repartition("a", "b")  # one shuffle, of matches and not of their bins, for all that follows
-    per_place = moves(matched).select("a", "b", "turn", "zoom", bins.alias("bin"), "place").distinct()
-    counted = per_place.groupBy("a", "b", "turn", "zoom", "bin").agg(F.count("*").alias("votes")).groupBy("a", "b").agg(F.max("votes").alias("votes"))
+    per_place = moves(matched).select("a", "b", "way", "turn", "zoom", bins.alias("bin"), "place").distinct()
+    counted = per_place.groupBy("a", "b", "way", "turn", "zoom", "bin").agg(F.count("*").alias("votes")).groupBy("a", "b").agg(F.max("votes").alias("votes"))
     n = sizes.select("image_id", "n_corners")
     both = counted.join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
     enough = (F.col("votes") >= votes) | ((F.col("votes") == F.col("n_a")) & (F.col("votes") == F.col("n_b")))
@@ -354,7 +378,8 @@ def consensus(matched: DataFrame, sizes: DataFrame, votes: int = 4, share: float
 
 def copy_groups(images: DataFrame, votes: int = 4, share: float = 0.3) -> DataFrame:
     """(image_id, n_corners, group_id, n_links) for every image of (image_id, width, pixels): group_id is the smallest id of its
-    copies, n_links counts the smaller images by which it came into its group (not all of a large group's pairs).
+    copies, n_links counts the smaller images by which it came into its group (not all of a large group's pairs; an image whose
+    corners are all those of a smaller one has that one).
 
     Two images are copies if at least `votes` corners agree on a move, and these are `share` of the corners of the one
     with fewer; with less than `votes` corners all of both must. An image without corners is a group by itself. Rows with a null id keep a null group; rows that repeat
@@ -362,14 +387,16 @@ def copy_groups(images: DataFrame, votes: int = 4, share: float = 0.3) -> DataFr
     """
     every = settle(packed(descriptors(images)))
     ids, found = every.select("image_id").distinct(), every.where("pos is not null")
-    sizes = settle(found.groupBy("image_id").agg(F.max("n").alias("n_corners"), (F.count("*") > F.max("n")).alias("repeated")))
+    sizes = settle(found.groupBy("image_id").agg(F.max("n").alias("n_corners"), (F.count("*") > F.max("n")).alias("repeated"), *looks()))
+    twins = settle(same_corners(sizes))
+    found = found.join(small(twins.select(F.col("a").alias("image_id"))), "image_id", "left_anti")
     cells = settle(shared_cells(found))
     first = settle(consensus(matches(cells), sizes, votes, share))
     pairs = settle(rivals(cells, components(first), sizes, votes, share))
-    sure = settle(first.union(consensus(pair_matches(pairs, found), sizes, votes, share)).distinct())
+    sure = settle(first.union(consensus(pair_matches(pairs, found, votes, share), sizes, votes, share)).union(twins).distinct())
     groups = components(sure)
     linked = sure.groupBy("a").agg(F.count("*").alias("n_links"))
     return (
-        ids.join(sizes.drop("repeated"), "image_id", "left").join(groups, ids["image_id"] == groups["node"], "left").join(linked, ids["image_id"] == linked["a"], "left")
+        ids.join(sizes.select("image_id", "n_corners"), "image_id", "left").join(groups, ids["image_id"] == groups["node"], "left").join(linked, ids["image_id"] == linked["a"], "left")
         .select("image_id", F.coalesce("n_corners", F.lit(0).cast("long")).alias("n_corners"), F.coalesce("component", "image_id").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
