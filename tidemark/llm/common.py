@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder; cuts the lineage and survives lost executors."""
+def settle(df: DataFrame, free: bool = False) -> DataFrame:
+    """The rows of df, written once to the shared folder; cuts the lineage and survives lost executors. With `free` the shuffle
+    files that led to them, or to what was settled before, are deleted soon: Spark does so when the driver collects garbage,
+    which may else be hours later, and the disks of executors hold them all until then."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    settled = df.checkpoint()
+    if free:
+        del df
+        gc.collect()
+        sc._jvm.System.gc()
+    return settled
 
 
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:

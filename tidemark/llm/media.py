@@ -305,14 +305,16 @@ def rival_spots(half: np.ndarray, quarter: np.ndarray, node: np.ndarray, spot: n
 def rivals(cells: DataFrame, groups: DataFrame, sizes: DataFrame, votes: int, share: float) -> DataFrame:
     """(a, b) of images of shared_cells() that are not in one group and may be copies. sizes: (image_id, n_corners, repeated)."""
     teams = cells.join(small(groups.select(F.col("node").alias("image_id"), "component")), "image_id", "left").withColumn("team", F.coalesce("component", "image_id"))
-    mixed = teams.groupBy("key").agg(F.count("*").alias("n"), F.min("team").alias("low"), F.max("team").alias("high")).where("low < high")
-    live = settle(teams.join(mixed.select("key", "n"), "key").select("key", "image_id", "pos", "half", "quarter", "team", "n"))
+    apart = F.bit_count("halves") + F.bit_count(F.col("quarters").cast("long").bitwiseAND(0xFFFFFFFF))  # of two rows
+    mixed = teams.groupBy("key").agg(F.count("*").alias("n"), F.min("team").alias("low"), F.max("team").alias("high"), F.bit_xor("half").alias("halves"), F.bit_xor("quarter").alias("quarters"))
+    mixed = mixed.where("low < high").where((F.col("n") > 2) | (apart <= MOST_BITS))  # two that do not match bring nothing
+    live = settle(teams.join(mixed.select("key", "n"), "key").select("key", "image_id", "pos", "half", "quarter", "team", "n"), free=True)
     of = Window.partitionBy("image_id")  # an image's own corners
     places = live.groupBy("image_id", "pos").agg(F.sum("n").alias("busy")).join(sizes, "image_id")
     needed, total = F.greatest(F.ceil(share * F.col("n_corners") - 1e-9), F.least(F.lit(votes), "n_corners")), F.count("*").over(of)
-    places = places.withColumn("bring", F.least(needed, F.lit(BRING)))
-    showing = (total >= needed) & (F.row_number().over(of.orderBy("busy", "pos")) <= total - needed + F.col("bring"))
-    places = settle(places.select("image_id", "pos", F.monotonically_increasing_id().alias("spot"), F.col("n_corners").alias("size"), "bring", F.when(F.col("repeated"), 2).when(showing, 1).otherwise(0).cast("long").alias("shown")))
+    places = places.withColumn("bring", F.least(needed, F.lit(BRING))).withColumn("total", total).where(F.col("total") >= F.least(F.lit(votes), "n_corners"))  # others are no one's copies
+    showing = (F.col("total") >= needed) & (F.row_number().over(of.orderBy("busy", "pos")) <= F.col("total") - needed + F.col("bring"))
+    places = settle(places.select("image_id", "pos", F.monotonically_increasing_id().alias("spot"), F.col("n_corners").alias("size"), "bring", F.when(F.col("repeated"), 2).when(showing, 1).otherwise(0).cast("long").alias("shown")), free=True)
     rows = live.join(places, ["image_id", "pos"]).withColumnsRenamed({"half": "fp", "image_id": "node"}).withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
     dealt = in_parts(rows, "key").select("fp", "quarter", "node", "spot", "size", "team", "shown", "cell")
     met = by_cells(dealt, rival_spots).toDF("spot", "other").distinct().join(places.select("spot", "image_id", "bring"), "spot")
@@ -390,9 +392,9 @@ def copy_groups(images: DataFrame, votes: int = 4, share: float = 0.3) -> DataFr
     sizes = settle(found.groupBy("image_id").agg(F.max("n").alias("n_corners"), (F.count("*") > F.max("n")).alias("repeated"), *looks()))
     twins = settle(same_corners(sizes))
     found = found.join(small(twins.select(F.col("a").alias("image_id"))), "image_id", "left_anti")
-    cells = settle(shared_cells(found))
-    first = settle(consensus(matches(cells), sizes, votes, share))
-    pairs = settle(rivals(cells, components(first), sizes, votes, share))
+    cells = settle(shared_cells(found), free=True)
+    first = settle(consensus(matches(cells), sizes, votes, share), free=True)
+    pairs = settle(rivals(cells, components(first), sizes, votes, share), free=True)
     sure = settle(first.union(consensus(pair_matches(pairs, found, votes, share), sizes, votes, share)).union(twins).distinct())
     groups = components(sure)
     linked = sure.groupBy("a").agg(F.count("*").alias("n_links"))
