@@ -22,7 +22,7 @@ from tidemark.llm.common import settle, small
 #: Letters of terms in lower case; any other byte below 128 ends a term (fixed values, see the contract).
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Counts that a task holds before it passes them on, and documents between two looks at their number.
-HELD, AT_ONCE = 300_000, 256
+HELD, AT_ONCE = 500_000, 256
 UNIT = 1_000_000_000
 GROUP = ["lang", "source"]
 
@@ -35,12 +35,13 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         counts, found = defaultdict(Counter), defaultdict(Counter)
 
         def out():
-            keys = [(*g, t, n, found[g][t]) for g, c in counts.items() for t, n in c.items()] + [(*g, None, 0, 0) for g in counts]
+            for (lang, source), c in counts.items():
+                terms = [None, *c]
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.repeat(pa.scalar(source, pa.string()), len(terms)), pa.array(terms, pa.binary())]
+                columns += [pa.array([0, *c.values()], pa.int64()), pa.array([0, *map(found[lang, source].__getitem__, c)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
             counts.clear()
             found.clear()
-            columns = zip(*keys, strict=True) if keys else [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n", "docs"])
 
         for b in batches:
             for start in range(0, b.num_rows, AT_ONCE):
@@ -49,8 +50,8 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                     counts[tuple(g)].update(words)
                     found[tuple(g)].update(set(words))
                 if sum(map(len, counts.values())) >= HELD:
-                    yield out()
-        yield out()
+                    yield from out()
+        yield from out()
 
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))]
     counted = docs.select(*parts).mapInArrow(run, "lang string, source string, term binary, n long, docs long")
