@@ -1,51 +1,16 @@
 import datetime as dt
 from datetime import date, timedelta
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import backtest as B
-from tidemark.plans import fitted as M
 from tidemark.plans import forecast as P
 
 D = dt.date
 WEEKS = [D(2021, 1, 4) + dt.timedelta(weeks=k) for k in range(150)]
 
 
-def weekly(n=150):
-    return np.array(WEEKS[:n], "datetime64[D]")
-
-
-@pytest.mark.parametrize("model", M.CATALOGUE, ids=lambda m: m.name)
-def test_models_are_finite_and_repeatable(model):
-    y = 100 + 20 * np.sin(np.arange(140) / 8) + np.arange(140) % 5
-    a, b = (np.asarray(model.fn(y, weekly(140), weekly()[140:], model.params)) for _ in range(2))
-    assert a.shape == (10,) and np.isfinite(a).all() and (a == b).all() and np.abs(a - 100).max() < 100
-
-
-def test_models_follow_plain_series():
-    t = np.arange(140)
-    level = np.full(140, 50.0)
-    for m in M.CATALOGUE:
-        assert np.allclose(m.fn(level, weekly(140), weekly()[140:], m.params), 50, rtol=0.03), m.name
-    days = np.datetime64("2023-01-02") + np.arange(140)
-    weekdays = 10.0 + (t % 7 == 5) * 20
-    got = M.holt_winters(weekdays, days, days[:14], {"season": 7})
-    assert np.allclose(got, weekdays[:14], rtol=0.05)
-
-
-def test_batch_reports_failures(spark):
-    bad = M.ForecastModel("bad", 9, "", "", lambda y, ds, future, p: 1 / 0)
-    nan = M.ForecastModel("nan", 9, "", "", lambda y, ds, future, p: np.full(len(future), np.nan))
-    good = M.ForecastModel("good", 9, "", "", lambda y, ds, future, p: np.full(len(future), -1.0))
-    series = spark.createDataFrame([("L", "s", w, 5.0) for w in WEEKS[:40]], "level string, series string, ds date, y double")
-    tasks = B.make_backtest_tasks(series, [WEEKS[34]], horizon_days=35, min_hist=30)
-    got = M.batch_fit(tasks, [bad, nan, good])
-    assert {r.model for r in M.fit_failures(got).collect()} == {"bad", "nan"}
-    assert [(r.forecast, r.actual) for r in M.fitted_forecasts(got).collect()] == [(0.0, 5.0)] * 5
-
-
 def test_tasks_need_history_and_sales(spark):
     rows = [("L", "long", w, 1.0) for w in WEEKS[:40]] + [("L", "zero", w, 0.0) for w in WEEKS[:40]] + [("L", "short", w, 1.0) for w in WEEKS[20:40]]
     series = spark.createDataFrame(rows, "level string, series string, ds date, y double")
@@ -96,10 +61,3 @@ def test_top_down_follows_the_parent_choice_by_generations(spark):
     assert down["L1", "a", weeks[60], weeks[61]] == pytest.approx(160 * 0.25) and down["L2", "x", weeks[66], weeks[70]] == pytest.approx(16.6)
     final = {(r.level, r.series): r.model for r in P.forecast_levels(series, [weeks[-1] + timedelta(weeks=1)], B.choose_parsimonious(B.accuracy_metrics(B.to_monthly(got))), got, of, ({"L1": "Total"}, {"L2": "L1"}), models=()).collect()}
     assert set(final) == {("Total", "Total"), ("L1", "a"), ("L1", "b"), ("L2", "x")}
-
-
-def test_holidays_of_the_fitted_models():
-    assert date(2024, 3, 29) in M.holidays(2024) and date(2024, 11, 20) in M.holidays(2024) and date(2023, 11, 20) not in M.holidays(2023)
-    days = np.array(["2024-12-24", "2024-12-25", "2024-12-26", "2024-12-27"], "datetime64[D]")
-    assert M._events(days, 1)[:, 3:].tolist() == [[0, 1, 0], [1, 0, 0], [0, 0, 1], [0, 0, 0]]
-    assert M._events(np.array(["2024-12-23"], "datetime64[D]"), 7)[0, 3] == pytest.approx(1 / 7)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clip, money_text, month_label, month_of, ratio
 from tidemark.plans import backtest as B
-from tidemark.plans import fitted as M
+from tidemark.plans import models as M
 from tidemark.sources import merge_run
 from tidemark.sources.stages import settle
 
@@ -25,14 +25,13 @@ def future_tasks(series: DataFrame, dates: Sequence[date]) -> DataFrame:
 
 
 def all_models(tasks: DataFrame, models: Sequence[M.ForecastModel] = M.CATALOGUE, daily: bool = False, start: date | None = None) -> DataFrame:
-    """Baselines and fitted models of all tasks."""
-    simple = B.baselines(tasks, daily)
-    return simple.unionByName(M.fitted_forecasts(M.batch_fit(tasks, models, start))) if models else simple
+    """Forecasts of the models for all tasks, failures left out; of the baselines alone if there are no models."""
+    return M.forecasts_of(M.run_models(tasks, models, daily, start)) if models else B.baselines(tasks, daily)
 
 
-def ahead_forecasts(series: DataFrame, dates: Sequence[date], backtested: DataFrame, models: Sequence[M.ForecastModel] = M.CATALOGUE, daily: bool = False) -> DataFrame:
+def ahead_forecasts(series: DataFrame, dates: Sequence[date], backtested: DataFrame, models: Sequence[M.ForecastModel] = M.CATALOGUE, daily: bool = False, start: date | None = None) -> DataFrame:
     """Every model's forecasts of the dates, fitted to all data, and the combination with weights from all cutoffs."""
-    ahead = settle(all_models(future_tasks(series, dates), models, daily))
+    ahead = settle(all_models(future_tasks(series, dates), models, daily, start))
     return settle(ahead.unionByName(B.combine_all(ahead, backtested)))
 
 
@@ -57,9 +56,9 @@ def chosen_ahead(ahead: DataFrame, ranked: DataFrame, parents: DataFrame | None
     return out.unionByName(shared).unionByName(rest.join(F.broadcast(spare), ["level", "model"], "left_semi").select(*columns))
 
 
-def forecast_levels(series: DataFrame, dates: Sequence[date], ranked: DataFrame, backtested: DataFrame, of: DataFrame, generations: Sequence[Mapping[str, str]], models: Sequence[M.ForecastModel] = M.CATALOGUE) -> DataFrame:
+def forecast_levels(series: DataFrame, dates: Sequence[date], ranked: DataFrame, backtested: DataFrame, of: DataFrame, generations: Sequence[Mapping[str, str]], models: Sequence[M.ForecastModel] = M.CATALOGUE, start: date | None = None) -> DataFrame:
     """chosen_ahead() of all levels, parents before their children. of: (level, child, parent)."""
-    ahead = ahead_forecasts(series, dates, backtested, models)
+    ahead = ahead_forecasts(series, dates, backtested, models, start=start)
     at = lambda df, level: df.where(F.col("level") == level)
     children = [child for level_of in generations for child in level_of]
     done = settle(chosen_ahead(ahead.where(~F.col("level").isin(*children)), ranked))
@@ -73,9 +72,9 @@ def forecast_levels(series: DataFrame, dates: Sequence[date], ranked: DataFrame,
     return done
 
 
-def forecast_chosen(series: DataFrame, dates: Sequence[date], ranked: DataFrame, backtested: DataFrame, models: Sequence[M.ForecastModel] = M.CATALOGUE, daily: bool = False, parents: DataFrame | None = None, shares: DataFrame | None = None) -> DataFrame:
+def forecast_chosen(series: DataFrame, dates: Sequence[date], ranked: DataFrame, backtested: DataFrame, models: Sequence[M.ForecastModel] = M.CATALOGUE, daily: bool = False, parents: DataFrame | None = None, shares: DataFrame | None = None, start: date | None = None) -> DataFrame:
     """chosen_ahead() of ahead_forecasts(), for levels without parents or with those given."""
-    return chosen_ahead(ahead_forecasts(series, dates, backtested, models, daily), ranked, parents, shares)
+    return chosen_ahead(ahead_forecasts(series, dates, backtested, models, daily, start), ranked, parents, shares)
 
 
 def week_to_month(weekly: DataFrame, keys: Sequence[str], value: str = "forecast") -> DataFrame:
@@ -133,29 +132,33 @@ def granular_forecast(chosen: DataFrame, series: DataFrame, bands: DataFrame, cu
 # -- the headline: orders times ticket -------------------------------------------------------------------------------
 
 
+def ticket_tasks(monthly: DataFrame, horizon: int, backtests: int = 4, least: int = 6) -> DataFrame:
+    """Tasks over months with a ticket: one month ahead of each of the last `backtests` (at least `least` months known), and
+    `horizon` months ahead of all of them. series: how many months are known. monthly: (month, base_ticket), a row a month."""
+    own = Window.orderBy("ds")  # a row a month
+    months = monthly.where("base_ticket > 0").select(F.col("month").alias("ds"), F.col("base_ticket").cast("double").alias("y"))
+    months = settle(months.withColumn("n", F.row_number().over(own)).withColumn("all", F.count("*").over(Window.partitionBy())))
+    cuts = months.where((F.col("n") == F.col("all")) | ((F.col("n") >= F.greatest(F.col("all") - backtests, F.lit(least))) & (F.col("n") < F.col("all")))).select(F.col("n").alias("known"), F.col("ds").alias("cutoff"), (F.col("n") == F.col("all")).alias("last"))
+    met = months.join(F.broadcast(cuts), F.col("n") <= F.when(F.col("last"), F.col("known")).otherwise(F.col("known") + 1))
+    past = met.select(F.lit("Ticket").alias("level"), F.format_string("%04d", "known").alias("series"), "cutoff", "ds", "y", (F.col("n") > F.col("known")).alias("is_test"))
+    ahead = cuts.where("last").select(F.lit("Ticket").alias("level"), F.format_string("%04d", "known").alias("series"), "cutoff", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
+    return past.unionByName(ahead.select(*B.TASK, F.add_months("cutoff", F.col("h")).alias("ds"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("is_test")))
+
+
 def ticket_forecast(monthly: DataFrame, horizon: int, tolerance: float = 0.05, backtests: int = 4) -> DataFrame:
     """(step, ticket, method): means of three and six months and a damped trend on logs; the trend only if its mean error over
-    one-step backtests is less than 95 % of the better mean's. monthly: (month, base_ticket), a row a month."""
-    rows = [(r.month, r.base_ticket) for r in monthly.where("base_ticket > 0").orderBy("month").select("month", "base_ticket").collect()]  # a row a month
-    values = [v for _, v in rows]
-    made = damped_log_trend
-    methods = {"mean_3": lambda v, h: [sum(v[-3:]) / len(v[-3:])] * h, "mean_6": lambda v, h: [sum(v[-6:]) / len(v[-6:])] * h, "damped_trend": made}
-    errors = {name: [] for name in methods}
-    for k in range(max(len(values) - backtests, 6), len(values)):
-        for name, f in methods.items():
-            errors[name].append(abs(f(values[:k], 1)[0] / values[k] - 1))
-    mean = {name: sum(e) / len(e) if e else float("inf") for name, e in errors.items()}
-    simple = min(("mean_3", "mean_6"), key=lambda n: mean[n])
-    best = "damped_trend" if mean["damped_trend"] < mean[simple] * (1 - tolerance) else simple
-    got = methods[best](values, horizon) if values else [None] * horizon
-    return monthly.sparkSession.createDataFrame([(i, None if g is None else float(g), best) for i, g in enumerate(got)], "step int, ticket double, method string")
-
-
-def damped_log_trend(values: list[float], h: int) -> list[float]:
-    import numpy as np
-
-    got = M.holt_winters(np.expm1(np.log(np.array(values))), None, np.empty(h), {})  # log1p of expm1 is the log
-    return [float(x) for x in np.exp(np.log1p(np.maximum(got, -0.999)))]
+    one-step backtests is less than 95 % of the better mean's. Without backtests the mean of three; without months no rows."""
+    tasks = settle(ticket_tasks(monthly, horizon, backtests))
+    trend = M.damped_holt_winters(tasks.withColumn("y", F.col("y") - 1), False, {}).withColumn("forecast", F.col("forecast") + 1)  # log1p of one less is the log
+    actual = tasks.where("is_test").select(*B.TASK, "ds", F.col("y").alias("actual"))
+    means = [B.moving_average(tasks, n, f"mean_{n}").select(*B.TASK, "ds", "model", "forecast") for n in (3, 6)]
+    rows = settle(means[0].unionByName(means[1]).unionByName(trend.select(*B.TASK, "ds", F.lit("damped_trend").alias("model"), "forecast")).join(actual, [*B.TASK, "ds"]))
+    none = F.lit(float("inf"))
+    error = lambda m: F.coalesce(F.avg(F.when(F.col("model") == m, F.abs(F.col("forecast") / F.col("actual") - 1))), none)
+    errors = rows.groupBy().agg(error("mean_3").alias("e3"), error("mean_6").alias("e6"), error("damped_trend").alias("e"))  # one row
+    best = F.when(F.col("e") < F.least("e3", "e6") * (1 - tolerance), "damped_trend").when(F.col("e6") < F.col("e3"), "mean_6").otherwise("mean_3")
+    final = rows.where("actual is null").join(F.broadcast(errors.select(best.alias("method"))), F.col("method") == F.col("model"))
+    return final.select((F.months_between("ds", "cutoff").cast("int") - 1).alias("step"), F.col("forecast").alias("ticket"), "method")
 
 
 def expected_extremes(monthly: DataFrame, since: date | None = None, last: int = 6) -> DataFrame:

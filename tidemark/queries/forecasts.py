@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import cubes as C
 from tidemark.operators import kpis as K
 from tidemark.plans import backtest as T
-from tidemark.plans import fitted as M
+from tidemark.plans import models as M
 from tidemark.plans import forecast as P
 from tidemark.queries.base import CANON, Base
 from tidemark.queries.products import LABELLED, _cube
@@ -23,6 +23,8 @@ DATES = [END + timedelta(weeks=k) for k in range(1, 22)]
 TOP = {"UF": 10, "Marca": 12, "Produto": 25, "Subgrupo": 15}
 GENERATIONS = ({"UF": "Regiao", "Subgrupo": "Grupo", "Marca": "Total"}, {"Produto": "Subgrupo"})
 PARENTS = {child: parent for level_of in GENERATIONS for child, parent in level_of.items()}
+#: Models that do not ask for all history learn from here on.
+TRAIN_START = date(1999, 1, 4)
 DAILY_END = date(2001, 7, 15)
 DAILY_CUTOFFS = (date(2000, 4, 30), date(2000, 7, 31), date(2000, 10, 31), date(2001, 1, 14))
 
@@ -79,9 +81,28 @@ def _simple(b: Base):
     return b.kept("simple", lambda: _with_all(b, _basic(b)))
 
 
+def _run(b: Base):
+    """All models over all tasks, with failures."""
+    return b.kept("run", lambda: M.run_models(_tasks(b), start=TRAIN_START))
+
+
 def _full(b: Base):
     """All models."""
-    return b.kept("full", lambda: _with_all(b, settle(_basic(b).unionByName(M.fitted_forecasts(M.batch_fit(_tasks(b)))))))
+    return b.kept("full", lambda: _with_all(b, M.forecasts_of(_run(b))))
+
+
+def _stumped(b: Base):
+    """The run with two plug-ins that fail for some or all series, beside one that does not."""
+    short = M.ForecastModel("steady_only", 9, "plug-in", "Só séries estáveis.", _steady, grouped=True)
+    broken = M.ForecastModel("broken", 9, "plug-in", "Não roda.", lambda tasks, daily, p: tasks.select("no such column"))
+    return M.failures_of(M.run_models(_tasks(b), [M.CATALOGUE[0], short, broken]))
+
+
+def _steady(y, ds, future, p):
+    """The mean of the last 13 points, for series that have sales in each of them."""
+    if not (y[-13:] > 0).all():
+        raise ValueError("weeks without sales")
+    return [y[-13:].mean()] * len(future)
 
 
 def _by_month(b: Base, rows=_simple):
@@ -103,7 +124,7 @@ def _shares(b: Base):
 
 
 def _final(b: Base):
-    return b.kept("final", lambda: P.forecast_levels(weekly_series(b), DATES, _ranked(b, _full), _full(b), _parents(b), GENERATIONS))
+    return b.kept("final", lambda: P.forecast_levels(weekly_series(b), DATES, _ranked(b, _full), _full(b), _parents(b), GENERATIONS, start=TRAIN_START))
 
 
 def _granular(b: Base):
@@ -134,7 +155,7 @@ def _daily_series(b: Base):
 def _daily_backtest(b: Base):
     def make():
         tasks = settle(T.make_backtest_tasks(_daily_series(b), DAILY_CUTOFFS, horizon_months=6, end=DAILY_END))
-        rows = settle(P.all_models(tasks, daily=True))
+        rows = settle(P.all_models(tasks, daily=True, start=TRAIN_START))
         return rows.unionByName(T.combine_top(rows))
 
     return b.kept("daily_backtest", make)
@@ -150,7 +171,7 @@ def _headline(b: Base):
     def make():
         m = _base_monthly(b)
         days = [DAILY_END + timedelta(days=1 + k) for k in range(108)]
-        ahead = P.forecast_chosen(_daily_series(b), days, _daily_ranked(b), _daily_backtest(b), daily=True)
+        ahead = P.forecast_chosen(_daily_series(b), days, _daily_ranked(b), _daily_backtest(b), daily=True, start=TRAIN_START)
         orders = ahead.groupBy(F.trunc("ds", "month").alias("month")).agg(F.sum("forecast").alias("orders"))
         bands = T.empirical_band(T.chosen_rows(T.to_monthly(_daily_backtest(b)), _daily_ranked(b))).select("horizon", "band")
         raw = P.monthly_revenue_forecast(orders, P.ticket_forecast(m, 4), bands, m, P.expected_extremes(m), date(2001, 7, 1), DAILY_END)
@@ -243,7 +264,9 @@ QUERIES = {
     "history_bias": _query(lambda b: P.history_bias(_judged(b))),
     "bias_factors": _query(lambda b: P.bias_factors(_judged(b))),
     "forecast_accuracy": _query(lambda b: P.forecast_accuracy_report(_history(b), _base_monthly(b)).select("target_month", "revenue_actual", "error_pct")),
-    "fitted_models": _query(lambda b: M.batch_fit(_tasks(b))),
+    "fitted_models": _query(_run),
+    "fit_failures": _query(_stumped),
+    "ticket_forecast": _query(lambda b: P.ticket_forecast(_base_monthly(b), 4)),
     "full_model_choice": _query(lambda b: _ranked(b, _full)),
     "full_level_benchmark": _query(lambda b: T.level_benchmark_table(_ranked(b, _full))),
     "daily_model_choice": _query(_daily_ranked),
