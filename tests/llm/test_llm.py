@@ -286,6 +286,7 @@ def test_chat_keeps_maximal_conversations(spark, monkeypatch):
 def test_captures_of_many_runs_and_ranges_come_in_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "RUN", 3)
     monkeypatch.setattr(warc, "RANGE", 8)
+    monkeypatch.setattr(warc, "PACKET", 2)
     pages = [(k, f"http://h{k % 5}.example/{k % 3}", f"page {k % 7}") for k in range(60)] + [(None, None, None), (7, "http://h2.example/1", "page 0")]
     found = warc.capture_history(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), F.lit("2024-01-01T00:00:00Z"), path=str(tmp_path / "m"))
     assert found.rdd.getNumPartitions() == 8
@@ -308,6 +309,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.capture_history(df.where("false"), path=str(tmp_path / "e")).count() == 0
 
 
+def test_header_values_never_come_from_urls(spark, tmp_path):
+    """Any line end in a URL, followed by what looks like a header; clashing columns and a very long page beside it."""
+    long = "x" * 2_000_000
+    pages = [(k, f"http://a.example/{k}{c}{h}", long if k == 3 else f"page {k}", "r") for k, (c, h) in enumerate((c, h) for c in warc.BREAKS for h in ("WARC-Refers-To: <urn:page:77>", "WARC-Payload-Length: 5", "WARC-Date: 1999-01-01T00:00:00Z", "WARC-Type: revisit", "WARC-Payload-Digest: sha1:00"))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, refers_to string").withColumns({"payload_digest": F.lit("d"), "timestamp": F.lit("t")})
+    path = str(tmp_path / "u")
+    for r in warc.capture_history(df, path=path).collect():
+        html = pages[r.page_id][2]
+        assert (r.payload_bytes, r.record_type, r.refers_to, r.timestamp[:4]) == (len(html), "response", None, "2024") and r.payload_digest == hashlib.sha1(html.encode()).hexdigest()
+    urls = [r.url for r in warc.read(spark, path).collect()]
+    assert len(urls) == len(pages) and not any(c in u for u in urls for c in warc.BREAKS) and any("%E2%80%A8WARC-Refers-To" in u for u in urls)
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     for k in (0, 1, 2, 3, 7, 16):

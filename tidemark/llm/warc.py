@@ -1,29 +1,33 @@
 """WARC archives of page captures, with revisit records for equal payloads, and a globally ordered capture index.
 
 Records are written and read by Spark's text source, with the end of a record and the start of the next as separators, so
-archives can lie in any store. An archive is compressed and read by one task, and its number of records is bounded. The index is merged externally: tasks sort runs of
-captures, runs are dealt by ranges of (URL key, timestamp, id) of a bounded number of rows, and each range merges its parts of
-runs, which come in order, with a loser tree.
+archives can lie in any store. An archive is compressed and read by one task, and its number of records is bounded. The index is merged
+externally: tasks sort runs of captures and cut them at bounds of ranges of (URL key, timestamp, id) into packets of bounded
+size; a range's task reads its packets of each run one after the other and merges the runs with a loser tree. Order comes from the sorted runs and the tree; Spark sorts no capture.
 """
 
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, islice, pairwise
 
-import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle, shared_dir
+from tidemark.llm.common import settle, shared_dir, small
 
 #: How records begin and end (fixed by WARC 1.1), and what a revisit's profile says.
 MAGIC, CRLF = "WARC/1.1", "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF
-#: Captures that a task sorts at once, and captures of a range, about.
-RUN, RANGE = 50_000, 100_000
+#: Captures that a task sorts at once, captures of a range, about, and of a packet, at most.
+RUN, RANGE, PACKET = 50_000, 100_000, 2_000
+#: Line ends of any kind; in URLs they are percent-encoded (the set of Unicode's line separators, fixed values).
+BREAKS = "\r\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 #: A header of our own: a mark that is drawn for each folder of archives, so that no payload can look like a record's start.
 MARK = "WARC-Archive-Mark: "
 INDEX = "urlkey string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string"
@@ -40,10 +44,12 @@ def url_key(url: Column) -> Column:
 def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     """(page_id, url, html, payload_bytes, payload_digest, refers_to): of equal payloads of at least `least` bytes all but
     that of the largest id refer to it. Null html is empty. A null id refers to the largest id there is, if any; rows
-    that repeat the largest id do not refer to themselves."""
+    that repeat the largest id do not refer to themselves. Digests that occur once are left out of the join, the others are broadcast if
+    they are few, so pages are not shuffled for them; beyond that a digest that many pages share is a skewed key that Spark splits."""
     html = F.coalesce("html", F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"))
     held = base.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
+    held = small(settle(held.where("holder is not null")))
     return base.join(held, "payload_digest", "left").select(*base.columns, F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder")).alias("refers_to"))
 
 
@@ -51,7 +57,10 @@ def records(captures: DataFrame, mark: str) -> DataFrame:
     """(value): one record's text for each row of with_revisits() with a column `timestamp`, without the two line ends that close it."""
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
     body = F.concat(F.lit(HTTP + "Content-Length: "), F.octet_length("html").cast("string"), F.lit(2 * CRLF), F.col("html"))
-    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    encoded = F.col("url")
+    for c in BREAKS:
+        encoded = F.replace(encoded, F.lit(c), F.lit("".join(f"%{byte:02X}" for byte in c.encode())))
+    url = F.when(F.col("url").rlike(f"[{BREAKS}]"), encoded).otherwise(F.col("url"))
     rows = captures.withColumn("block", F.when(F.col("refers_to").isNull(), body).otherwise(""))
     return rows.select(
         F.concat(
@@ -74,21 +83,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, timestamp, html, payload_bytes, payload_digest, record_type, refers_to, file); html is null for revisits.
 
     Lengths are checked against each record's header and digests against the payload; a record that does not fit its
-    header is an error.
+    header is an error. Line ends in URLs come back percent-encoded; a null URL comes back null. A folder without records gives no rows.
     """
     head = spark.read.option("lineSep", CRLF).text(path).where(F.col("value").startswith(MARK)).first()  # of the first record there is
     start = MAGIC + CRLF + (head[0] + CRLF if head else "")
     raw = spark.read.option("lineSep", start).text(path).select("value", F.col("_metadata.file_path").alias("file")).where("value <> ''")
     cut = F.instr("value", 2 * CRLF)
     parts = raw.select("file", F.substring("value", F.lit(1), cut + 1).alias("head"), F.substring("value", cut + 4, F.char_length("value") - cut - 7).alias("block"))
-    got = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
-    number = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: <urn:page:(-?\d+)>", 1), F.lit("")).cast("long")
+    got = lambda name: F.nullif(F.regexp_extract("head", rf"(?md)^{name}: ([^\r\n]*)", 1), F.lit(""))
+    number = lambda name: F.nullif(F.regexp_extract("head", rf"(?md)^{name}: <urn:page:(-?\d+)>", 1), F.lit("")).cast("long")
     at = F.instr("block", 2 * CRLF)
     body = F.substring("block", at + 4, F.char_length("block"))
     read_ = parts.select(
         number("WARC-Record-ID").alias("page_id"), got("WARC-Target-URI").alias("url"), got("WARC-Date").alias("timestamp"),
         F.when(got("WARC-Type") == "response", body).alias("html"),
-        got("WARC-Payload-Length").cast("long").alias("payload_bytes"), F.regexp_extract("head", r"(?m)^WARC-Payload-Digest: sha1:([0-9a-f]+)", 1).alias("payload_digest"),
+        got("WARC-Payload-Length").cast("long").alias("payload_bytes"), F.regexp_extract("head", r"(?md)^WARC-Payload-Digest: sha1:([0-9a-f]+)", 1).alias("payload_digest"),
         got("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), "file",
         (got("Content-Length").cast("long") == F.octet_length("block")).alias("whole"),
     )
@@ -133,13 +142,23 @@ def _keys(rows: pa.RecordBatch | pa.Table) -> list[tuple]:
     return [(u or "", t or "", p is not None, p or 0) for u, t, p in zip(rows.column("urlkey").to_pylist(), rows.column("timestamp").to_pylist(), page, strict=True)]
 
 
+def range_bounds(keys: DataFrame, ranges: int) -> list[tuple]:
+    """The least key of each range but the first, from a sample of about 100 rows a range; a row a range reaches the driver."""
+    sampled = keys.sample(min(1.0, 100 * ranges / max(keys.count(), 1)), seed=1) if ranges > 1 else keys.limit(0)
+    least = sampled.repartitionByRange(ranges, *keys.columns).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*keys.columns)).alias("k")).select("k.*")
+    return sorted((u or "", t or "", p is not None, p or 0) for u, t, p in least.collect())[1:]
+
+
 def index(captures: DataFrame) -> DataFrame:
     """The columns of INDEX for each row of read(), ordered by URL key, timestamp and id within and across partitions.
 
-    Ties (repeated rows) keep the order of their runs; null ids come first. No rows in, no rows out.
+    Ties (repeated rows) keep the order of their runs; null ids come first. No rows in, no rows out. A range's task holds its packets, as
+    bytes, and one opened packet of each run.
     """
     names = ["urlkey", "timestamp", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file"]
-    rows = captures.withColumn("urlkey", url_key(F.col("url"))).select(*names, F.spark_partition_id().cast("long").alias("run"))
+    rows = settle(captures.withColumn("urlkey", url_key(F.col("url"))).select(*names))
+    ranges = max(-(-rows.count() // RANGE), 1)
+    bounds = range_bounds(rows.select("urlkey", "timestamp", "page_id"), ranges)
 
     def sort_runs(batches):
         kept: list[pa.RecordBatch] = []
@@ -150,11 +169,15 @@ def index(captures: DataFrame) -> DataFrame:
             whole = pa.Table.from_batches(kept)
             keys = _keys(whole)
             order = sorted(range(len(keys)), key=keys.__getitem__)
-            whole = whole.take(order)
-            run = pa.array(np.full(len(order), (whole.column("run")[0].as_py() << 20) + n), pa.int64())
-            whole = whole.set_column(whole.schema.get_field_index("run"), "run", run).append_column("at", pa.array(np.arange(len(order)), pa.int64()))
+            whole, keys = whole.take(order), [keys[i] for i in order]
+            cuts = [0, *(bisect_left(keys, b) for b in bounds), len(keys)]
+            packets = [(r, i, min(i + PACKET, hi)) for r, (lo, hi) in enumerate(pairwise(cuts)) for i in range(lo, hi, PACKET)]
+            for r, lo, hi in packets:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(whole.slice(lo, hi - lo).combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([(TaskContext.get().partitionId() << 32) + n], pa.int64()), pa.array([lo], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["range", "run", "at", "packet"])
             kept, n = [], n + 1
-            yield from whole.to_batches(max_chunksize=10_000)
 
         for b in batches:
             for i in range(0, b.num_rows, RUN):
@@ -164,25 +187,31 @@ def index(captures: DataFrame) -> DataFrame:
         if kept:
             yield from out()
 
+    def opened(r: int, packets: list[bytes]) -> Iterator[tuple]:
+        for packet in packets:
+            part = pa.ipc.open_stream(packet).read_all()
+            yield from ((key, r, i, part) for i, key in enumerate(_keys(part)))
+
     def merge(batches):
-        kept = [b for b in batches if b.num_rows]
-        if kept:
-            whole = pa.Table.from_batches(kept)
-            keys = _keys(whole)
-            starts = np.flatnonzero(np.diff(whole.column("run").to_numpy(), prepend=-1))
-            tree = LoserTree([((keys[k], k) for k in range(a, b)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)])
-            yield from whole.select(names).take([k for _, k in tree]).to_batches(max_chunksize=10_000)
+        runs: dict[int, list[bytes]] = {}
+        for b in batches:  # packets of a range come by run and in each run's order
+            for run, packet in zip(b.column("run").to_pylist(), b.column("packet").to_pylist(), strict=True):
+                runs.setdefault(run, []).append(packet)
+        merged = iter(LoserTree([opened(r, packets) for r, packets in enumerate(runs.values())]))
+        while found := list(islice(merged, 10_000)):
+            own = {id(part): part for *_, part in found}
+            starts = dict(zip(own, accumulate((part.num_rows for part in own.values()), initial=0), strict=False))
+            yield from pa.concat_tables(own.values()).select(names).take([starts[id(part)] + i for _, _, i, part in found]).to_batches()
 
-    sorted_runs = settle(rows.mapInArrow(sort_runs, INDEX + ", run long, at long"))
-    ranges = max(-(-sorted_runs.count() // RANGE), 1)
-    dealt = sorted_runs.repartitionByRange(ranges, "urlkey", "timestamp", "page_id").sortWithinPartitions("run", "at")
-    return dealt.mapInArrow(merge, INDEX)
+    packets = rows.mapInArrow(sort_runs, "range int, run long, at int, packet binary")
+    return packets.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("run", "at").mapInArrow(merge, INDEX)
 
 
 def capture_history(pages: DataFrame, timestamp: Column | None = None, least: int = 1000, path: str | None = None) -> DataFrame:
     """Writes pages (page_id, url, html) to archives, reads these back and returns their index, a row for each page.
 
-    Pages have no time of capture of their own unless `timestamp` gives one; else it is page_id seconds after 2024-01-01.
+    Pages have no time of capture of their own unless `timestamp` gives one; else it is page_id seconds after 2024-01-01. A null id
+    is the first second; null URLs have the key ''; rows that repeat an id are captures of their own. No pages, no rows.
     """
     spark = pages.sparkSession
     when = F.col("page_id") if timestamp is None else None
