@@ -6,6 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tidemark.config import ExtremeRule, OrderRules
+from tidemark.functions import clean_state, region_of_state
 from tidemark.operators import basket, calendar, cannibal, cubes, kpis, orders
 
 D = dt.date
@@ -114,6 +115,22 @@ def test_a_planted_peak_takes_from_its_group(spark):
     assert [(r["item"], r.episodes, r.gain, r.rest_change, round(r.rate, 6)) for r in summary] == [("a", 1, 30.0, -10.0, round(1 / 3, 6))]
 
 
+def test_an_item_alone_in_its_group_has_no_peaks(spark):
+    weeks = [D(2024, 2, 5) + dt.timedelta(weeks=k) for k in range(20)]
+    units = lambda i, k: 40.0 if k in (12, 15, 18) and i != "c" else 10.0
+    groups = {"a": "alone", "b": "both", "c": "both"}
+    grid = spark.createDataFrame([(i, g, w, units(i, k), units(i, k), units(i, k)) for k, w in enumerate(weeks) for i, g in groups.items()], "item string, grp string, week date, units double, revenue double, list_revenue double")
+    summary = cannibal.peak_summary(cannibal.detect_peaks(cannibal.with_baselines(grid)))
+    assert [(r["item"], r.episodes) for r in summary.collect()] == [("b", 3)]
+    assert [r.grp for r in cannibal.group_cannibalization(summary).collect()] == ["both"]
+
+
+def test_regions_of_states(spark):
+    states = {"AM": "NORTE", "ba": "NORDESTE", " df ": "CENTRO-OESTE", "RJ": "SUDESTE", "sc": "SUL", "XX": "SEM_INFO", "": "SEM_INFO", None: "SEM_INFO"}
+    df = spark.createDataFrame([(s,) for s in states], "state string")
+    assert {r.state: r.region for r in df.select("state", region_of_state(clean_state(F.col("state"))).alias("region")).collect()} == states
+
+
 def test_missing_evidence_is_unclear(spark):
     rows = [(True, False, None, None, None), (True, False, 0.2, None, None), (True, False, 0.2, None, 1.3), (False, True, None, -0.3, None), (False, False, None, 0.1, 1.6)]
     df = spark.createDataFrame(rows, "same_group boolean, is_neighbour boolean, pair_rate double, corr double, lift double")

@@ -1,5 +1,10 @@
+from datetime import date as D_
+from datetime import timedelta
+
 import numpy as np
+from pyspark.sql import functions as F
 
+from tidemark.operators import neighbours as N
 from tidemark.operators import similarity as S
 from tidemark.plans import dashboard as D
 
@@ -36,6 +41,55 @@ def test_neighbours_are_exact_at_every_size(spark):
         assert got == brute(x, 4, range(60))
 
 
+def test_ties_at_the_borders_of_cells_and_repeats(spark):
+    x = np.array([(i % 8, i // 8) for i in range(64)], float)  # a grid: every border is a tie
+    x[50:] = x[49]  # a cell of equal items, more than a block
+    names = [f"p{i:02d}" for i in range(64)]
+    want = {}
+    for i in range(64):
+        near = sorted((np.sqrt(((x[i] - x[j]) ** 2).sum()), names[j]) for j in range(64) if j != i)[:5]
+        want[names[i]] = [(n, round(d, 9)) for d, n in near]
+    got = {}
+    for r in sorted(S.knn_neighbours(frame(spark, x), ["a", "b"], 5, 6).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["item"], []).append((r.neighbour, round(r.distance, 9)))
+    assert got == want
+
+
+def test_only_near_cells_are_asked_again(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(scale=50, size=(20, 2))
+    x = centres[rng.integers(0, 20, 600)] + rng.normal(size=(600, 2))
+    rows = frame(spark, x).selectExpr("item", "item AS apart", "array(a, b) AS x").withColumn("item", F.monotonically_increasing_id().cast("string")).withColumn("apart", F.col("item"))
+    placed, pivots = N.placed_items(rows, 2, 30)
+    found = N._met(placed, placed, 5, 2, 30)
+    assert len(pivots) == 20 and N.cells_in_reach(placed, found, pivots, 5, 2).count() < 0.25 * 600 * 19
+    odd = spark.createDataFrame([("a", None, 1.0), ("b", float("nan"), 1.0), ("c", 1.0, 1.0)], "item string, a double, b double")
+    assert S.knn_neighbours(odd, ["a", "b"]).count() == 0 and S.knn_neighbours(odd.where("false"), ["a", "b"]).count() == 0
+
+
+def test_profile_is_of_active_products_from_the_start_with_curves(spark):
+    weeks = [D_(2023, 1, 2) + timedelta(weeks=k) for k in range(60)]
+    units = {"up": lambda k: 10 + k, "up too": lambda k: 20 + 2 * k, "down": lambda k: 100 - k, "down too": lambda k: 60 - k, "few": lambda k: 5 if k > 50 else 0, "old": lambda k: 9 if k < 20 else 0}
+    rows = [(w, p, "COM_X", f(k), float(f(k)), float(f(k))) for k, w in enumerate(weeks) for p, f in units.items() if f(k)]
+    cube = spark.createDataFrame(rows, "week date, product_id string, channel string, units long, revenue double, list_revenue double")
+    profile = S.similarity_profile(cube, as_of=weeks[-1], start=weeks[20], least_weeks=20)
+    assert {r["item"] for r in profile.collect()} == {"up", "up too", "down", "down too"}
+    near = {r["item"]: r.neighbour for r in S.knn_neighbours(profile, S.CURVES[:1], 1).collect()}
+    assert near == {"up": "up too", "up too": "up", "down": "down too", "down too": "down"}
+
+
+def test_curves_equal_a_plain_decomposition(spark):
+    rng = np.random.default_rng(6)
+    months = [D_(2022, 1 + k, 3) for k in range(12)]
+    units = rng.integers(1, 50, (15, 12))
+    cube = spark.createDataFrame([(m, f"p{i:02d}", int(units[i, k])) for i in range(15) for k, m in enumerate(months)], "week date, product_id string, units long")
+    got = np.array([[r[f"curve{j}"] for j in range(1, 5)] for r in S.curve_components(cube).orderBy("item").collect()])
+    z = (units - units.mean(1, keepdims=True)) / units.std(1, keepdims=True)
+    _, _, v = np.linalg.svd(z - z.mean(0), full_matrices=False)
+    want = z @ v[:4].T
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
 def test_standardised_columns(spark):
     got = S.standardise(frame(spark, np.array([[1, 5], [2, 5], [3, 5]])), ["a", "b"]).orderBy("item").collect()
     assert np.allclose([r.a for r in got], np.array([-1, 0, 1]) / np.sqrt(2 / 3)) and [r.b for r in got] == [0, 0, 0]

@@ -36,8 +36,8 @@ def rolling_baseline(df: DataFrame, column: str, key: Sequence[str], into: str,
 
 
 def with_baselines(grid: DataFrame) -> DataFrame:
-    """The grid with discounts, what the rest of the group sold, and the baselines of all three."""
-    group = grid.groupBy("grp", "week").agg(F.sum("units").alias("group_units"))
+    """The grid with discounts, what the rest of the group sold, how many items the group has, and the baselines of all three."""
+    group = grid.groupBy("grp", "week").agg(F.sum("units").alias("group_units"), F.count("*").alias("members"))
     rows = grid.join(group, ["grp", "week"]).withColumn("rest", F.col("group_units") - F.col("units")).withColumn("discount", 1 - ratio(F.col("revenue"), F.col("list_revenue")))
     for column in ("units", "discount", "rest"):
         rows = rolling_baseline(rows, column, ["item"], f"{column}_base")
@@ -52,9 +52,9 @@ def is_event_week(week: Column) -> Column:
 
 
 def detect_peaks(based: DataFrame, factor: float = 1.5, least: float = 5.0, start: date | None = None) -> DataFrame:
-    """Weeks far above an item's baseline, and how far the rest of the group moved."""
+    """Weeks far above an item's baseline, and how far the rest of the group moved. An item alone in its group has no rest, and no peaks."""
     gain = F.col("units") - F.col("units_base")
-    peaks = based.where((F.col("units_base") > 0) & (F.col("units") >= factor * F.col("units_base")) & (gain >= least) & ~is_event_week(F.col("week")))
+    peaks = based.where((F.col("members") >= 2) & (F.col("units_base") > 0) & (F.col("units") >= factor * F.col("units_base")) & (gain >= least) & ~is_event_week(F.col("week")))
     peaks = peaks.where(F.col("week") >= F.lit(start)) if start else peaks
     return peaks.select("item", "grp", "week", "units", "units_base", gain.alias("gain"), (F.col("rest") - F.col("rest_base")).alias("rest_change"), ((F.col("discount") - F.col("discount_base")) * 100).alias("discount_change"))
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -15,12 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ratio
-from tidemark.operators.cubes import densify
+from tidemark.operators.cubes import active_products
+from tidemark.operators.neighbours import knn_neighbours
 from tidemark.sources.stages import settle
 
 FEATURES = ("log_price", "discount", "professional_share", "trend", "cv", "q1", "q2", "q3", "q4")
-#: Items of a block; every two blocks meet in one task.
-BLOCK = 2048
+CURVES = ("curve1", "curve2", "curve3", "curve4")
 
 
 def product_features(cube: DataFrame, item: str = "product_id", as_of: date | None = None, fill: bool = True) -> DataFrame:
@@ -64,7 +62,7 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def curve_components(cube: DataFrame, item: str = "product_id", components: int = 4) -> DataFrame:
-    """(item, curve1, ...): principal components of each item's standardised monthly units. Signs are arbitrary."""
+    """(item, curve1, ...): principal components of each item's standardised monthly units. Signs are arbitrary; no items, no components."""
     monthly = cube.groupBy(F.col(item).alias("item"), F.trunc("week", "month").alias("week")).agg(F.sum(F.col("units").cast("double")).alias("units"))
     months = [r.week for r in monthly.select("week").distinct().orderBy("week").collect()]  # a row a month
     wide = monthly.groupBy("item").pivot("week", months).agg(F.first("units")).na.fill(0.0)
@@ -75,49 +73,22 @@ def curve_components(cube: DataFrame, item: str = "product_id", components: int
     rows = wide.withColumn("mean", mean).withColumn("std", F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x) / len(names) - F.col("mean") * F.col("mean")))
     scaled = rows.select("item", *[F.coalesce(F.try_divide(F.col(n) - F.col("mean"), F.when(F.col("std") > 1e-9, F.col("std"))), F.lit(0.0)).alias(n) for n in names])
     k = min(components, len(names))
+    if not k:
+        return scaled.select("item")
     vectors = VectorAssembler(inputCols=names, outputCol="v").transform(scaled)
     got = PCA(k=k, inputCol="v", outputCol="p").fit(vectors).transform(vectors)
     return got.select("item", *[vector_to_array("p")[i].alias(f"curve{i + 1}") for i in range(k)])
 
 
-def _nearest(q: pa.Table, x: pa.Table, k: int, names: list[str]) -> pa.Table:
-    """(item, neighbour, distance): of each row of q the k nearest of x, ties by item."""
-    x = x.sort_by("item")
-    ids, parts = (np.array(x[c].to_pylist(), dtype=object) for c in ("item", "apart"))
-    own, part = (np.array(q[c].to_pylist(), dtype=object) for c in ("item", "apart"))
-    at, of = (np.stack([t[c].to_numpy() for c in names]) for t in (q, x))
-    found = [(own[:0], ids[:0], np.empty(0))]
-    for i in range(0, len(own) if len(ids) else 0, 256):
-        d = np.zeros((len(own[i : i + 256]), len(ids)))
-        for f in range(len(names)):
-            d += (at[f, i : i + 256, None] - of[f]) ** 2
-        d = np.sqrt(d)
-        d[(part[i : i + 256, None] == parts[None]) | ~np.isfinite(d)] = np.inf
-        r, c = np.nonzero((d <= np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1 : min(k, len(ids))]) & np.isfinite(d))
-        order = np.lexsort((c, d[r, c], r))
-        r, c = r[order], c[order]
-        kept = np.arange(len(r)) - np.searchsorted(r, r) < k
-        found.append((own[i + r[kept]], ids[c[kept]], d[r[kept], c[kept]]))
-    item, neighbour, distance = (np.concatenate(v) for v in zip(*found, strict=True))
-    return pa.table({"item": pa.array(item, pa.string()), "neighbour": pa.array(neighbour, pa.string()), "distance": pa.array(distance, pa.float64())})
-
-
-def knn_neighbours(features: DataFrame, columns: Sequence[str], k: int = 5, block: int = BLOCK, apart: str = "item") -> DataFrame:
-    """(item, neighbour, distance, rank) of the k nearest others by Euclidean distance; ties go to the smaller item.
-
-    apart: rows alike in this column are no neighbours; by default only the item itself is not.
-
-    Items are dealt into blocks of about `block`. Every two blocks meet in a task, which keeps the k nearest of each item.
-    """
-    names = list(columns)
-    rows = settle(features.select(F.col("item").cast("string").alias("item"), F.col(apart).cast("string").alias("apart"), *[F.col(c).cast("double").alias(c) for c in names]))
-    blocks = max(-(-rows.count() // block), 1)
-    own, other = F.pmod(F.xxhash64("item"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    dealt = rows.withColumn("own", own).withColumn("other", other)
-    asked, given = (dealt.select("item", "apart", *names, (F.col(q) * blocks + F.col(x)).alias("cell")) for q, x in (("own", "other"), ("other", "own")))
-    met = asked.groupBy("cell").cogroup(given.groupBy("cell")).applyInArrow(lambda q, x: _nearest(q, x, k, names), "item string, neighbour string, distance double")
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("distance", "neighbour")).alias("rank")
-    return met.select("item", "neighbour", "distance", rank).where(F.col("rank") <= k)
+def similarity_profile(cube: DataFrame, as_of: date | None = None, start: date | None = None, least_weeks: int = 20) -> DataFrame:
+    """(item, FEATURES, CURVES), standardised: what neighbours of products are found on. Products that sold in at least `least_weeks`
+    weeks from `start` on and before `as_of`, by those weeks only; gaps get the median. Signs of curves are arbitrary, distances are not."""
+    rows = cube.where(F.col("week") >= F.lit(start)) if start else cube
+    rows = rows.where(F.col("week") < F.lit(as_of)) if as_of else rows
+    rows = settle(rows.join(active_products(rows, least_weeks).select("product_id"), "product_id", "left_semi"))
+    curves = curve_components(rows, "product_id", len(CURVES))
+    curves = curves.withColumns({c: F.lit(0.0) for c in CURVES if c not in curves.columns})
+    return standardise(product_features(rows).join(curves, "item"), [*FEATURES, *CURVES])
 
 
 def with_group_flags(neighbours: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -148,7 +119,7 @@ def catalog_consistency(features: DataFrame, columns: Sequence[str], groups: Dat
 def kmeans_profiles(features: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(3, 9), seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """((item, cluster), (cluster, items, mean of each feature, examples)) with the number of clusters of the best silhouette
     (squared Euclidean)."""
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(features).cache()
+    vectors = settle(VectorAssembler(inputCols=list(columns), outputCol="v").transform(features))
     judge = ClusteringEvaluator(featuresCol="v", predictionCol="cluster")
     best = max(((judge.evaluate(got), -k, got) for k in ks for got in [KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(vectors).transform(vectors)]), key=lambda t: t[:2])[2]
     profile = best.groupBy("cluster").agg(F.count("*").alias("items"), *[F.avg(c).alias(c) for c in columns], F.slice(F.sort_array(F.collect_set("item")), 1, 3).alias("examples"))

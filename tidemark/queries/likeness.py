@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import cubes as C
@@ -11,7 +13,7 @@ from tidemark.plans import dashboard as D
 from tidemark.queries.base import CANON, Base
 from tidemark.operators import basket as B
 from tidemark.operators import cannibal as X
-from tidemark.queries.products import GRID, LABELLED, _basket_sql, _cube, _levels, brand_grid
+from tidemark.queries.products import GRID, LABELLED, _basket_sql, _cube, _grid_sql, _levels, brand_grid, product_grid
 from tidemark.queries.sales import _daily, _impact, _money, _monthly, _periods, _query, _ratio
 
 
@@ -43,6 +45,24 @@ def _verdicts(b: Base):
     return X.pair_verdicts(brand_grid(b), B.basket_lift(B.basket_pairs(lines, b.options.as_of), 10), S.knn_neighbours(profile, S.FEATURES))
 
 
+#: From here on products are compared.
+START = date(1995, 7, 3)
+
+
+def _profile(b: Base):
+    return b.kept("profile", lambda: S.similarity_profile(_kept_cube(b), b.options.as_of, START))
+
+
+def _near(b: Base):
+    """Neighbours of active products, by features and curves."""
+    return b.kept("near", lambda: S.knn_neighbours(_profile(b), [*S.FEATURES, *S.CURVES]))
+
+
+def _product_verdicts(b: Base, near=_near):
+    """Products: pairs of one subgroup's most sold, and neighbours of any subgroup."""
+    return X.pair_verdicts(product_grid(b), B.basket_lift(B.basket_pairs(b.lines, b.options.as_of), 10), near(b), start=START)
+
+
 def _dashboard(b: Base):
     daily, monthly = b.kept("daily", lambda: _daily(b)), b.kept("monthly", lambda: _monthly(b))
     windows = K.trailing_window_compare(daily, 7).unionByName(K.trailing_window_compare(daily, 30)).unionByName(K.trailing_window_compare(daily, 90))
@@ -71,6 +91,17 @@ FEATS = f"""{LABELLED}, {_feats("product_id")},
 attr AS (SELECT product_id AS item, brand, grp FROM (SELECT product_id, week, product, brand, grp, subgroup, sum(rev) AS r FROM before GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY r DESC, week DESC) = 1)"""
 DISTANCE = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in S.FEATURES) + ")"
 
+KNN = f"""knn AS (SELECT a.item, b.item AS neighbour FROM std a JOIN std b ON a.item <> b.item QUALIFY row_number() OVER (PARTITION BY a.item ORDER BY {DISTANCE}, b.item) <= 5)"""
+CANDIDATES = """allpairs AS (SELECT item_a, item_b, bool_or(nb) AS is_neighbour FROM (SELECT item_a, item_b, FALSE AS nb FROM cand UNION ALL SELECT least(item, neighbour), greatest(item, neighbour), TRUE FROM knn) GROUP BY 1, 2)"""
+VERDICTS = """, bcorr AS (SELECT item_a, item_b, corr(a.residual, b.residual) AS corr FROM allpairs JOIN res a ON a.item = item_a JOIN res b ON b.item = item_b AND b.week = a.week GROUP BY 1, 2),
+        ev AS (SELECT item_a, item_b, ga.grp AS grp_a, gb.grp AS grp_b, ga.grp = gb.grp AS same_group, is_neighbour, pair_rate, episodes, corr, together, lift FROM allpairs JOIN ofgrp ga ON ga.item = item_a JOIN ofgrp gb ON gb.item = item_b
+            LEFT JOIN sym USING (item_a, item_b) LEFT JOIN bcorr USING (item_a, item_b) LEFT JOIN (SELECT * FROM lifts WHERE together >= 10) l ON l.product_a = item_a AND l.product_b = item_b)
+        SELECT *, CASE WHEN ((same_group AND (coalesce(pair_rate >= 0.15, FALSE) OR coalesce(corr <= -0.15, FALSE))) OR (NOT same_group AND is_neighbour AND coalesce(corr <= -0.25, FALSE))) AND (lift IS NULL OR lift < 1.2) THEN 'concorrentes'
+            WHEN coalesce(lift >= 1.5 AND corr >= 0, FALSE) THEN 'complementares' ELSE 'indefinido' END AS kind, greatest(coalesce(pair_rate, 0), 0) + greatest(coalesce(-corr, 0), 0) AS strength,
+            concat_ws(', ', CASE WHEN pair_rate > 0 THEN printf('perde %.0f%% do que o outro ganha nos picos', pair_rate * 100) WHEN pair_rate IS NOT NULL THEN 'não perde nos picos do outro' END,
+                CASE WHEN corr IS NOT NULL THEN printf('variam %s (%.2f)', CASE WHEN corr < -0.1 THEN 'em sentidos contrários' WHEN corr > 0.1 THEN 'no mesmo sentido' ELSE 'sem ligação' END, corr) END,
+                CASE WHEN lift IS NOT NULL THEN printf('comprados juntos %.1f vezes o esperado', lift) END) AS explanation FROM ev"""
+
 QUERIES = {
     "product_features": _query(_features),
     "standardised_features": _query(_standard),
@@ -81,6 +112,9 @@ QUERIES = {
     "kmeans_profiles": _query(lambda b: S.kmeans_profiles(_with_curves(b), [*S.FEATURES, "curve1", "curve2", "curve3", "curve4"])[1]),
     "catalog_consistency": _query(lambda b: S.catalog_consistency(_standard(b), S.FEATURES, _attributes(b, "grp"))),
     "pair_verdicts": _query(_verdicts),
+    "product_neighbours": _query(_near),
+    "product_pair_verdicts": _query(_product_verdicts),
+    "product_group_verdicts": _query(lambda b: _product_verdicts(b, lambda _: None)),
     "dashboard_document": _query(_dashboard),
 }
 ORACLES = {
@@ -92,15 +126,6 @@ ORACLES = {
         SELECT x.grp = y.grp AS same_group, x.brand = y.brand AS same_brand, count(*) AS n FROM knn JOIN attr x ON x.item = knn.item JOIN attr y ON y.item = neighbour GROUP BY 1, 2""",
     "brand_profile": f"""{CANON}{FEATS}, r AS (SELECT feats.*, brand, grp FROM feats JOIN attr USING (item)), m AS (SELECT brand, {', '.join(f"sum({c} * (units + 1e-9)) / sum(units + 1e-9) AS {c}" for c in ('log_price', 'discount', 'professional_share', 'trend'))}, sum(units) AS au FROM r GROUP BY 1)
         SELECT r.brand, grp, any_value(m.log_price) AS log_price, any_value(m.discount) AS discount, any_value(m.professional_share) AS professional_share, any_value(m.trend) AS trend, sum(units) / any_value(au) AS mix_share FROM r JOIN m USING (brand) GROUP BY 1, 2""",
-    "pair_verdicts": f"""{CANON}{GRID}, {_feats("brand")}, blines AS (SELECT lines.*, brand FROM lines JOIN p USING (product_id)){_basket_sql('blines', 'brand')},
-        knn AS (SELECT a.item, b.item AS neighbour FROM std a JOIN std b ON a.item <> b.item QUALIFY row_number() OVER (PARTITION BY a.item ORDER BY {DISTANCE}, b.item) <= 5),
-        allpairs AS (SELECT item_a, item_b, bool_or(nb) AS is_neighbour FROM (SELECT item_a, item_b, FALSE AS nb FROM cand UNION ALL SELECT least(item, neighbour), greatest(item, neighbour), TRUE FROM knn) GROUP BY 1, 2),
-        bcorr AS (SELECT item_a, item_b, corr(a.residual, b.residual) AS corr FROM allpairs JOIN res a ON a.item = item_a JOIN res b ON b.item = item_b AND b.week = a.week GROUP BY 1, 2),
-        ev AS (SELECT item_a, item_b, ga.grp AS grp_a, gb.grp AS grp_b, ga.grp = gb.grp AS same_group, is_neighbour, pair_rate, episodes, corr, together, lift FROM allpairs JOIN ofgrp ga ON ga.item = item_a JOIN ofgrp gb ON gb.item = item_b
-            LEFT JOIN sym USING (item_a, item_b) LEFT JOIN bcorr USING (item_a, item_b) LEFT JOIN (SELECT * FROM lifts WHERE together >= 10) l ON l.product_a = item_a AND l.product_b = item_b)
-        SELECT *, CASE WHEN ((same_group AND (coalesce(pair_rate >= 0.15, FALSE) OR coalesce(corr <= -0.15, FALSE))) OR (NOT same_group AND is_neighbour AND coalesce(corr <= -0.25, FALSE))) AND (lift IS NULL OR lift < 1.2) THEN 'concorrentes'
-            WHEN coalesce(lift >= 1.5 AND corr >= 0, FALSE) THEN 'complementares' ELSE 'indefinido' END AS kind, greatest(coalesce(pair_rate, 0), 0) + greatest(coalesce(-corr, 0), 0) AS strength,
-            concat_ws(', ', CASE WHEN pair_rate > 0 THEN printf('perde %.0f%% do que o outro ganha nos picos', pair_rate * 100) WHEN pair_rate IS NOT NULL THEN 'não perde nos picos do outro' END,
-                CASE WHEN corr IS NOT NULL THEN printf('variam %s (%.2f)', CASE WHEN corr < -0.1 THEN 'em sentidos contrários' WHEN corr > 0.1 THEN 'no mesmo sentido' ELSE 'sem ligação' END, corr) END,
-                CASE WHEN lift IS NOT NULL THEN printf('comprados juntos %.1f vezes o esperado', lift) END) AS explanation FROM ev""",
+    "pair_verdicts": f"{CANON}{GRID}, {_feats('brand')}, blines AS (SELECT lines.*, brand FROM lines JOIN p USING (product_id)){_basket_sql('blines', 'brand')}, {KNN}, {CANDIDATES}{VERDICTS}",
+    "product_group_verdicts": f"{CANON}{_grid_sql('product_id', 'subgroup', 20, str(START))}{_basket_sql('lines', 'product_id')}, allpairs AS (SELECT item_a, item_b, FALSE AS is_neighbour FROM cand){VERDICTS}",
 }

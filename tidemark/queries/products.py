@@ -81,20 +81,20 @@ TOP = """, m AS (SELECT max(week) AS last FROM levels), score AS (SELECT level,
     named AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY level ORDER BY score DESC, series) <= 6 THEN series ELSE 'OUTROS' END AS kept FROM score),
     alive AS (SELECT level, kept FROM named GROUP BY 1, 2 HAVING sum(score) > 0)
     SELECT level, kept AS series, week, sum(revenue) AS revenue FROM levels JOIN named USING (level, series) JOIN alive USING (level, kept) GROUP BY 1, 2, 3"""
-def _grid_sql(item: str, group: str, least: int = 0) -> str:
+def _grid_sql(item: str, group: str, least: int = 0, start: str = "0001-01-01") -> str:
     return f"""{LABELLED}, cb AS (SELECT {item} AS item, week, sum(units) AS units, sum(rev) AS rev, sum(lst) AS lst FROM before GROUP BY 1, 2),
 ofgrp AS (SELECT item, arg_max(grp, k) AS grp FROM (SELECT item, grp, (sum(rev), grp) AS k FROM (SELECT {item} AS item, {group} AS grp, rev FROM before) GROUP BY item, grp) GROUP BY 1),
 sp AS (SELECT CAST(unnest(generate_series((SELECT min(week) FROM cb), (SELECT max(week) FROM cb), INTERVAL 7 DAY)) AS DATE) AS week),
 grid AS (SELECT item, grp, week, coalesce(CAST(units AS DOUBLE), 0) AS units, coalesce({_money('rev')}, 0) AS revenue, coalesce({_money('lst')}, 0) AS list_revenue
     FROM (SELECT item FROM cb GROUP BY item HAVING count(*) FILTER (WHERE units > 0) >= {least}) CROSS JOIN sp LEFT JOIN cb USING (item, week) JOIN ofgrp USING (item)),
-g1 AS (SELECT *, sum(units) OVER (PARTITION BY grp, week) - units AS rest, 1 - {_ratio('revenue', 'list_revenue')} AS discount FROM grid),
+g1 AS (SELECT *, sum(units) OVER (PARTITION BY grp, week) - units AS rest, count(*) OVER (PARTITION BY grp, week) AS members, 1 - {_ratio('revenue', 'list_revenue')} AS discount FROM grid),
 based AS (SELECT *, """ + ", ".join(f"CASE WHEN count({c}) OVER w >= 6 THEN quantile_cont({c}, 0.5) OVER w END AS {c}_base" for c in ("units", "discount", "rest")) + """ FROM g1 WINDOW w AS (PARTITION BY item ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
 bf AS (SELECT y, CAST(make_date(y, 11, 1) AS DATE) + CAST((11 - isodow(make_date(y, 11, 1))) % 7 + 22 AS INT) AS friday FROM (SELECT DISTINCT year(week) AS y FROM grid)),
 peaks AS (SELECT item, grp, week, units, units_base, units - units_base AS gain, rest - rest_base AS rest_change, (discount - discount_base) * 100 AS discount_change FROM based JOIN bf ON bf.y = year(week)
-    WHERE units_base > 0 AND units >= 1.5 * units_base AND units - units_base >= 5 AND NOT (week - friday BETWEEN -10 AND 3 OR (month(week) = 12 AND day(week) >= 16) OR (month(week) = 1 AND day(week) <= 7))),
+    WHERE members >= 2 AND week >= DATE '""" + start + """' AND units_base > 0 AND units >= 1.5 * units_base AND units - units_base >= 5 AND NOT (week - friday BETWEEN -10 AND 3 OR (month(week) = 12 AND day(week) >= 16) OR (month(week) = 1 AND day(week) <= 7))),
 summary AS (SELECT item, grp, count(*) AS episodes, sum(gain) AS gain, sum(rest_change) AS rest_change, -sum(rest_change) / sum(gain) AS rate, (1 + sum(rest_change) / sum(gain)) * 100 AS incremental_pct, avg(discount_change) AS discount_change,
     array_to_string(list_slice(list_reverse_sort(list(strftime(week, '%Y-%m-%d'))), 1, 6), ', ') AS weeks FROM peaks WHERE rest_change IS NOT NULL GROUP BY 1, 2),
-toprank AS (SELECT grp, item, row_number() OVER (PARTITION BY grp ORDER BY sum(units) DESC, item) AS rank FROM grid GROUP BY 1, 2),
+toprank AS (SELECT grp, item, row_number() OVER (PARTITION BY grp ORDER BY sum(units) DESC, item) AS rank FROM grid WHERE week >= DATE '""" + start + """' GROUP BY 1, 2),
 others AS (SELECT b.grp, b.week, b.item AS other, b.units - b.units_base AS other_change FROM based b JOIN toprank USING (grp, item) WHERE rank <= 40 AND units_base IS NOT NULL),
 own AS (SELECT grp, item, count(*) AS episodes, sum(gain) AS gain FROM peaks GROUP BY 1, 2),
 changed AS (SELECT p.grp, p.item, o.other, sum(other_change) AS other_change FROM peaks p JOIN others o ON o.grp = p.grp AND o.week = p.week AND o.other <> p.item GROUP BY 1, 2, 3),
@@ -164,7 +164,7 @@ QUERIES = {
     "basket_pairs": _query(lambda b: B.basket_pairs(b.lines, b.options.as_of)),
     "basket_lift": _query(_lift),
     "weekly_grid": _query(brand_grid),
-    "baselines": _query(lambda b: _based(b, brand_grid).drop("group_units")),
+    "baselines": _query(lambda b: _based(b, brand_grid).drop("group_units", "members")),
     "peaks": _query(_peaks),
     "peak_summary": _query(_summary),
     "group_cannibalization": _query(lambda b: X.group_cannibalization(_summary(b))),
@@ -203,7 +203,7 @@ ORACLES = {
     "basket_pairs": f"{CANON}{_basket_sql('lines', 'product_id')} SELECT * FROM basket",
     "basket_lift": f"{CANON}{_basket_sql('lines', 'product_id')} SELECT * FROM lifts",
     "weekly_grid": f"{CANON}{GRID} SELECT * FROM grid",
-    "baselines": f"{CANON}{GRID} SELECT * FROM based",
+    "baselines": f"{CANON}{GRID} SELECT * EXCLUDE (members) FROM based",
     "peaks": f"{CANON}{GRID} SELECT * FROM peaks",
     "peak_summary": f"{CANON}{GRID} SELECT *, {READING} AS reading FROM summary",
     "product_peaks": f"{CANON}{PRODUCT_GRID} SELECT * FROM peaks",
