@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from tidemark.operators import kpis as K
 from tidemark.plans import backtest as T
 from tidemark.plans import models as M
 from tidemark.plans import forecast as P
+from tidemark.plans.models import smoothing
 from tidemark.queries.base import CANON, Base
-from tidemark.queries.products import LABELLED, _cube
+from tidemark.queries.products import CALENDAR, LABELLED, _cube
 from tidemark.queries.sales import MONTHLY, _daily, _money, _monthly, _query, _ratio
 from tidemark.sources.stages import settle
 
@@ -238,6 +240,58 @@ BASEM = f"""{MONTHLY}, bm AS (SELECT *, revenue - coalesce(extreme_revenue, 0) A
 hist AS (SELECT CAST(month + INTERVAL 12 MONTH AS DATE) AS target_month, orders * 1.08 AS orders_raw, base_revenue * 1.08 AS revenue_raw FROM bm WHERE month + INTERVAL 12 MONTH >= DATE '2000-06-01'),
 judged AS (SELECT h.*, 1 AS horizon, target_month - 20 AS run_date, h.orders_raw / bm.orders - 1 AS orders_error, h.revenue_raw / bm.base_revenue - 1 AS revenue_error, bm.base_revenue AS revenue_actual FROM hist h JOIN bm ON bm.month = target_month WHERE target_month < DATE '2001-07-01')"""
 
+TASK_COLUMNS = "level, series, cutoff"
+NUMBERED = f"""numbered AS MATERIALIZED (SELECT {TASK_COLUMNS}, ds, is_test, ln(1 + greatest(CAST(y AS DOUBLE), 0)) AS z, row_number() OVER (PARTITION BY {TASK_COLUMNS}, is_test ORDER BY ds) AS t FROM tasks)"""
+
+
+def _smoothing_sql(rows: str = "numbered", tag: str = "") -> str:
+    """The damped trend without a season, all factors side by side, one point after the other."""
+    grid = ", ".join(f"({i}, {a}, {b}, {d})" for i, (a, b, d) in enumerate(itertools.product(smoothing.LEVELS, smoothing.TRENDS, smoothing.DAMPS)))
+    return f"""grid{tag}(i, a, b, d) AS (VALUES {grid}),
+fold{tag} AS (SELECT {TASK_COLUMNS}, i, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(d AS DOUBLE) AS d, CAST(0 AS BIGINT) AS t, avg(z) FILTER (WHERE t <= 2) AS lv, CAST(0 AS DOUBLE) AS tr, CAST(0 AS DOUBLE) AS err
+        FROM {rows}, grid{tag} WHERE NOT is_test GROUP BY {TASK_COLUMNS}, i, a, b, d
+    UNION ALL SELECT f.level, f.series, f.cutoff, i, a, b, d, v.t, a * z + (1 - a) * (lv + d * tr), b * (a * z + (1 - a) * (lv + d * tr) - lv) + (1 - b) * d * tr, err + (z - (lv + d * tr)) * (z - (lv + d * tr))
+        FROM fold{tag} f JOIN {rows} v ON v.level = f.level AND v.series = f.series AND v.cutoff = f.cutoff AND v.t = f.t + 1 AND NOT v.is_test),
+best{tag} AS (SELECT * FROM (SELECT *, max(t) OVER (PARTITION BY {TASK_COLUMNS}) AS n FROM fold{tag}) WHERE t = n QUALIFY row_number() OVER (PARTITION BY {TASK_COLUMNS} ORDER BY err, i) = 1),
+smooth{tag} AS (SELECT r.level, r.series, r.cutoff, r.ds, r.t AS h, lv + tr * d * (1 - d ** r.t) / (1 - d) AS z FROM {rows} r JOIN best{tag} b USING ({TASK_COLUMNS}) WHERE r.is_test)"""
+
+
+def _waves_sql(order: int) -> str:
+    return ", ".join(f"{f}({k} * 2 * pi() * (dayofyear(ds) + 3) / 365.25)" for k in range(1, order + 1) for f in ("sin", "cos"))
+
+
+def _regression_sql(x: str, strength: list[float]) -> str:
+    """Weekly rows with calendar terms, sums of products, and elimination; `fitted` has each row's fit."""
+    size, es = len(strength), "special_days, black_friday, year_end"
+    held = "[" + ", ".join(f"{s:.10f}" for s in strength) + "]"
+    own = f"PARTITION BY {TASK_COLUMNS}"
+    return f"""{NUMBERED}, {CALENDAR[5:]},
+terms AS (SELECT CAST(date_trunc('week', ds) AS DATE) AS ds, count(*) FILTER (WHERE is_holiday) AS special_days, max(CAST(is_black_friday AS INT)) AS black_friday, max(CAST(is_year_end AS INT)) AS year_end FROM cal GROUP BY 1),
+placed AS (SELECT r.*, {', '.join(f"coalesce({e}, 0) AS {e}" for e in es.split(', '))}, min(ds) FILTER (WHERE NOT is_test) OVER ({own}) AS t0, greatest(max(ds) FILTER (WHERE NOT is_test) OVER ({own}) - t0, 1) AS span FROM numbered r LEFT JOIN terms USING (ds)),
+rows AS MATERIALIZED (SELECT {TASK_COLUMNS}, ds, is_test, z, t, CAST([{x}] AS DOUBLE[]) AS x FROM placed),
+sums AS (SELECT {TASK_COLUMNS}, i, j, sum(x[i] * x[j]) + CASE WHEN i = j THEN any_value({held}[i]) ELSE 0 END AS s, sum(x[i] * z) AS xz FROM rows, range(1, {size + 1}) a(i), range(1, {size + 1}) b(j) WHERE NOT is_test GROUP BY {TASK_COLUMNS}, i, j),
+matrix AS (SELECT {TASK_COLUMNS}, list(r ORDER BY i) AS m FROM (SELECT {TASK_COLUMNS}, i, list_append(list(s ORDER BY j), any_value(xz)) AS r FROM sums GROUP BY {TASK_COLUMNS}, i) GROUP BY {TASK_COLUMNS}),
+cleared AS (SELECT {TASK_COLUMNS}, 0 AS k, m FROM matrix UNION ALL
+    SELECT {TASK_COLUMNS}, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda q: q / m[k + 1][k + 1]) ELSE list_transform(r, lambda q, j: q - r[k + 1] * (m[k + 1][j] / m[k + 1][k + 1])) END) FROM cleared WHERE k < {size}),
+weights AS MATERIALIZED (SELECT {TASK_COLUMNS}, list_transform(m, lambda r: r[{size + 1}]) AS w FROM cleared WHERE k = {size}),
+fitted AS (SELECT r.*, list_sum(list_transform(list_zip(x, w), lambda q: q[1] * q[2])) AS fit FROM rows r JOIN weights USING ({TASK_COLUMNS}))"""
+
+
+EVENT_TERMS = "special_days, black_friday, year_end"
+CALENDAR_X = f"1, {_waves_sql(3)}, {EVENT_TERMS}, (ds - cutoff) / 365.25"
+TREND_X = f"1, (ds - t0) / span, {', '.join(f'greatest((ds - t0) / span - {0.8 * (k + 1) / 13!r}, 0)' for k in range(12))}, {EVENT_TERMS}, " + ", ".join(f"CASE WHEN span >= 547 THEN {w} ELSE 0 END" for w in _waves_sql(6).split(", "))
+LOGGED = "SELECT level, series, cutoff, ds, round(least(greatest({z}, 0), 50), 4) AS log_forecast"
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _logged(rows):
+    """Forecasts as rounded logs, in which two engines' sums agree."""
+    return rows.select(*T.TASK, "ds", F.round(F.log1p("forecast"), 4).alias("log_forecast"))
+
+
 QUERIES = {
     "weekly_series": _query(weekly_series),
     "backtest_tasks": _query(_tasks),
@@ -264,9 +318,12 @@ QUERIES = {
     "history_bias": _query(lambda b: P.history_bias(_judged(b))),
     "bias_factors": _query(lambda b: P.bias_factors(_judged(b))),
     "forecast_accuracy": _query(lambda b: P.forecast_accuracy_report(_history(b), _base_monthly(b)).select("target_month", "revenue_actual", "error_pct")),
+    "damped_holt_winters": _query(lambda b: _logged(M.damped_holt_winters(_tasks(b), False, {}))),
+    "calendar_regression": _query(lambda b: _logged(M.calendar_regression(_tasks(b), False, {}))),
+    "trend_season_regression": _query(lambda b: _logged(M.trend_season(_tasks(b), False, {}))),
     "fitted_models": _query(_run),
     "fit_failures": _query(_stumped),
-    "ticket_forecast": _query(lambda b: P.ticket_forecast(_base_monthly(b), 4)),
+    "ticket_forecast": _query(lambda b: P.ticket_forecast(_base_monthly(b), 4).withColumn("ticket", F.round("ticket", 4))),
     "full_model_choice": _query(lambda b: _ranked(b, _full)),
     "full_level_benchmark": _query(lambda b: T.level_benchmark_table(_ranked(b, _full))),
     "daily_model_choice": _query(_daily_ranked),
@@ -280,6 +337,21 @@ QUERIES = {
 }
 S, R = f"{CANON}{SERIES}", f"{CANON}{TREE}"
 ORACLES = {
+    "damped_holt_winters": _recursive(f"{S}, {NUMBERED}, {_smoothing_sql()} {LOGGED.format(z='z')} FROM smooth"),
+    "trend_season_regression": _recursive(f"{S}, {_regression_sql(TREND_X, [1e-6] * 2 + [2.0] * 12 + [0.5] * 15)} {LOGGED.format(z='fit')} FROM fitted WHERE is_test"),
+    "calendar_regression": _recursive(f"""{S}, {_regression_sql(CALENDAR_X, [1e-6] + [0.3] * 10)}, off AS (SELECT {TASK_COLUMNS}, ds, z - fit AS off, lag(z - fit) OVER (PARTITION BY {TASK_COLUMNS} ORDER BY ds) AS before FROM fitted WHERE NOT is_test),
+        carried AS (SELECT {TASK_COLUMNS}, least(greatest(sum(off * before) / greatest(sum(off * off), 1e-12), 0), 0.98) AS rho, arg_max(off, ds) AS last FROM off GROUP BY ALL)
+        {LOGGED.format(z='fit + last * rho ** t')} FROM fitted JOIN carried USING ({TASK_COLUMNS}) WHERE is_test"""),
+    "ticket_forecast": _recursive(f"""{CANON}{BASEM}, tm AS (SELECT month AS ds, base_revenue / (orders - coalesce(extreme_orders, 0)) AS y FROM bm),
+        tn AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ds) AS n, count(*) OVER () AS c FROM tm WHERE y > 0),
+        cuts AS (SELECT n AS known, ds AS cutoff, n = c AS final FROM tn WHERE n = c OR (n >= greatest(c - 4, 6) AND n < c)),
+        numbered AS MATERIALIZED (SELECT 'Ticket' AS level, known AS series, cutoff, ds, n > known AS is_test, ln(y) AS z, y, CASE WHEN n > known THEN 1 ELSE n END AS t, final FROM tn JOIN cuts ON n <= CASE WHEN final THEN known ELSE known + 1 END
+            UNION ALL SELECT 'Ticket', known, cutoff, CAST(cutoff + to_months(CAST(h AS INT)) AS DATE), TRUE, NULL, NULL, h, TRUE FROM cuts, range(1, 5) r(h) WHERE final), {_smoothing_sql()},
+        means AS (SELECT series, avg(y) FILTER (WHERE t > series - 3) AS mean_3, avg(y) FILTER (WHERE t > series - 6) AS mean_6 FROM numbered WHERE NOT is_test GROUP BY 1),
+        made AS (SELECT s.series, h, exp(s.z) AS damped_trend, mean_3, mean_6, y AS actual FROM smooth s JOIN means USING (series) JOIN numbered q ON q.series = s.series AND q.ds = s.ds AND q.is_test),
+        errs AS (SELECT coalesce(avg(abs(mean_3 / actual - 1)), 'inf') AS e3, coalesce(avg(abs(mean_6 / actual - 1)), 'inf') AS e6, coalesce(avg(abs(damped_trend / actual - 1)), 'inf') AS e FROM made WHERE actual IS NOT NULL),
+        best_method AS (SELECT CASE WHEN e < least(e3, e6) * 0.95 THEN 'damped_trend' WHEN e6 < e3 THEN 'mean_6' ELSE 'mean_3' END AS method FROM errs)
+        SELECT CAST(h - 1 AS INT) AS step, round(CASE method WHEN 'damped_trend' THEN damped_trend WHEN 'mean_6' THEN mean_6 ELSE mean_3 END, 4) AS ticket, method FROM made, best_method WHERE actual IS NULL"""),
     "weekly_series": f"{S} SELECT * FROM series",
     "backtest_tasks": f"{S} SELECT * FROM tasks",
     **{m: f"{S} SELECT * FROM basic WHERE model = '{m}'" for m in ("naive", "moving_average", "seasonal_naive", "seasonal_growth")},
