@@ -15,7 +15,7 @@ from tidemark.plans import forecast as P
 from tidemark.plans.models import smoothing
 from tidemark.queries.base import CANON, Base
 from tidemark.queries.products import CALENDAR, LABELLED, _cube
-from tidemark.queries.sales import MONTHLY, _daily, _money, _monthly, _query, _ratio
+from tidemark.queries.sales import DAILY, MONTHLY, _daily, _money, _monthly, _query, _ratio
 from tidemark.sources.stages import settle
 
 END = date(2001, 7, 23)
@@ -154,37 +154,43 @@ def _daily_series(b: Base):
     return daily.where(F.col("ds") <= F.lit(DAILY_END))
 
 
-def _daily_backtest(b: Base):
+def _daily_backtest(b: Base, models=M.CATALOGUE):
     def make():
         tasks = settle(T.make_backtest_tasks(_daily_series(b), DAILY_CUTOFFS, horizon_months=6, end=DAILY_END))
-        rows = settle(P.all_models(tasks, daily=True, start=TRAIN_START))
+        rows = settle(P.all_models(tasks, models, daily=True, start=TRAIN_START))
         return rows.unionByName(T.combine_top(rows))
 
-    return b.kept("daily_backtest", make)
+    return b.kept(f"daily_backtest{len(models)}", make)
 
 
-def _daily_ranked(b: Base):
-    return b.kept("daily_ranked", lambda: T.choose_parsimonious(T.accuracy_metrics(T.to_monthly(_daily_backtest(b)))))
+def _daily_ranked(b: Base, models=M.CATALOGUE):
+    return b.kept(f"daily_ranked{len(models)}", lambda: T.choose_parsimonious(T.accuracy_metrics(T.to_monthly(_daily_backtest(b, models)))))
 
 
-def _headline(b: Base):
-    """Orders of the model that the daily backtest chooses, times the ticket."""
+def _headline(b: Base, models=M.CATALOGUE):
+    """Orders of the model that the daily backtest chooses, times the ticket. No models: of the baselines alone."""
 
     def make():
         m = _base_monthly(b)
         days = [DAILY_END + timedelta(days=1 + k) for k in range(108)]
-        ahead = P.forecast_chosen(_daily_series(b), days, _daily_ranked(b), _daily_backtest(b), daily=True, start=TRAIN_START)
+        ahead = P.forecast_chosen(_daily_series(b), days, _daily_ranked(b, models), _daily_backtest(b, models), models, daily=True, start=TRAIN_START)
         orders = ahead.groupBy(F.trunc("ds", "month").alias("month")).agg(F.sum("forecast").alias("orders"))
-        bands = T.empirical_band(T.chosen_rows(T.to_monthly(_daily_backtest(b)), _daily_ranked(b))).select("horizon", "band")
+        bands = T.empirical_band(T.chosen_rows(T.to_monthly(_daily_backtest(b, models)), _daily_ranked(b, models))).select("horizon", "band")
         raw = P.monthly_revenue_forecast(orders, P.ticket_forecast(m, 4), bands, m, P.expected_extremes(m), date(2001, 7, 1), DAILY_END)
         return P.apply_bias_and_bands(raw, _judged(b))
 
-    return b.kept("headline", make)
+    return b.kept(f"headline{len(models)}", make)
 
 
-def _record(b: Base):
-    model = _daily_ranked(b).where("chosen").first()["model"]  # one row
-    return P.run_record(_headline(b), date(2001, 8, 1), "v1", model)
+def _record(b: Base, models=M.CATALOGUE):
+    model = _daily_ranked(b, models).where("chosen").first()["model"]  # one row
+    return P.run_record(_headline(b, models), date(2001, 8, 1), "v1", model)
+
+
+def _rounded(rows):
+    """Money without cents, factors and percentages to six places: what two engines' sums agree on."""
+    fine = ("orders_factor", "revenue_factor", "orders_change_pct")
+    return rows.select(*[F.round(c, 6 if c in fine else 0).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes])
 
 
 RECENT = "CASE WHEN week > last - 182 THEN rev ELSE 0 END"
@@ -332,26 +338,79 @@ QUERIES = {
     "actuals_and_forecasts": _query(lambda b: P.actuals_and_forecasts(P.monthly_actuals(weekly_series(b), b.options.as_of), _granular(b), "Marca")),
     "headline_forecast": _query(_headline),
     "headline_explained": _query(lambda b: P.explain_forecast(_headline(b))),
+    "simple_headline_forecast": _query(lambda b: _rounded(_headline(b, ()))),
+    "simple_headline_explained": _query(lambda b: P.explain_forecast(_headline(b, ()))),
+    "simple_run_record": _query(lambda b: _rounded(_record(b, ()))),
+    "simple_run_history": _query(lambda b: _rounded(P.append_run(_history(b), _record(b, ())).select("run_date", "target_month", "horizon", "revenue_final"))),
     "run_record": _query(_record),
     "run_history": _query(lambda b: P.append_run(_history(b), _record(b)).select("run_date", "target_month", "horizon", "revenue_final")),
 }
 S, R = f"{CANON}{SERIES}", f"{CANON}{TREE}"
+TICKETS = f"""tm AS (SELECT month AS ds, base_revenue / (orders - coalesce(extreme_orders, 0)) AS y FROM bm),
+tn AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ds) AS n, count(*) OVER () AS c FROM tm WHERE y > 0),
+cuts AS (SELECT n AS known, ds AS cutoff, n = c AS final FROM tn WHERE n = c OR (n >= greatest(c - 4, 6) AND n < c)),
+numbered AS MATERIALIZED (SELECT 'Ticket' AS level, known AS series, cutoff, ds, n > known AS is_test, ln(y) AS z, y, CASE WHEN n > known THEN 1 ELSE n END AS t, final FROM tn JOIN cuts ON n <= CASE WHEN final THEN known ELSE known + 1 END
+    UNION ALL SELECT 'Ticket', known, cutoff, CAST(cutoff + to_months(CAST(h AS INT)) AS DATE), TRUE, NULL, NULL, h, TRUE FROM cuts, range(1, 5) r(h) WHERE final), {_smoothing_sql()},
+means AS (SELECT series, avg(y) FILTER (WHERE t > series - 3) AS mean_3, avg(y) FILTER (WHERE t > series - 6) AS mean_6 FROM numbered WHERE NOT is_test GROUP BY 1),
+made AS (SELECT s.series, h, exp(s.z) AS damped_trend, mean_3, mean_6, y AS actual FROM smooth s JOIN means USING (series) JOIN numbered q ON q.series = s.series AND q.ds = s.ds AND q.is_test),
+errs AS (SELECT coalesce(avg(abs(mean_3 / actual - 1)), 'inf') AS e3, coalesce(avg(abs(mean_6 / actual - 1)), 'inf') AS e6, coalesce(avg(abs(damped_trend / actual - 1)), 'inf') AS e FROM made WHERE actual IS NOT NULL),
+best_method AS (SELECT CASE WHEN e < least(e3, e6) * 0.95 THEN 'damped_trend' WHEN e6 < e3 THEN 'mean_6' ELSE 'mean_3' END AS method FROM errs),
+tickets AS (SELECT CAST(h - 1 AS INT) AS step, CASE method WHEN 'damped_trend' THEN damped_trend WHEN 'mean_6' THEN mean_6 ELSE mean_3 END AS ticket, method FROM made, best_method WHERE actual IS NULL)"""
+
+
+def _daily_baselines(rows: str, known: str) -> str:
+    """Four baselines by days; rows: what is forecast, known: what is known, with `back`, both by cutoff."""
+    return f"""(SELECT cutoff, ds, y, unnest(['naive', 'moving_average', 'seasonal_naive', 'seasonal_growth']) AS model, unnest([greatest(l7, 0), greatest(l28, 0), greatest(base, 0), greatest(base * factor, 0)]) AS forecast FROM (
+    SELECT r.cutoff, r.ds, r.y, l7, l28, coalesce(k.y, l7) AS base, CASE WHEN n >= 420 AND then56 > 0 THEN least(greatest(now56 / then56, 0.5), 2.0) ELSE 1.0 END AS factor FROM {rows} r
+    JOIN (SELECT cutoff, count(*) AS n, avg(y) FILTER (WHERE back <= 7) AS l7, avg(y) FILTER (WHERE back <= 28) AS l28, sum(CASE WHEN back <= 56 THEN y ELSE 0 END) AS now56, sum(CASE WHEN back BETWEEN 365 AND 420 THEN y ELSE 0 END) AS then56 FROM {known} GROUP BY 1) s USING (cutoff)
+    LEFT JOIN {known} k ON k.cutoff = r.cutoff AND k.ds = r.ds - 364))"""
+
+
+HEADLINE = f"""{BASEM}{DAILY}, {TICKETS}, dy AS MATERIALIZED (SELECT ds, CAST(orders AS DOUBLE) AS y FROM daily WHERE ds <= DATE '{DAILY_END}'),
+dcut AS (SELECT unnest([{', '.join(f"DATE '{c}'" for c in DAILY_CUTOFFS)}]) AS cutoff),
+dknown AS MATERIALIZED (SELECT cutoff, ds, y, row_number() OVER (PARTITION BY cutoff ORDER BY ds DESC) AS back FROM dy, dcut WHERE ds <= cutoff),
+dtest AS (SELECT cutoff, ds, y FROM dy, dcut WHERE ds > cutoff AND ds <= least(CAST(cutoff + INTERVAL 6 MONTH AS DATE), DATE '{DAILY_END}')),
+dbasic AS MATERIALIZED (SELECT 'Total' AS level, 'Total' AS series, *, y AS actual, (year(ds) - year(cutoff)) * 12 + month(ds) - month(cutoff) AS horizon FROM {_daily_baselines('dtest', 'dknown')}),
+derr AS MATERIALIZED (SELECT cutoff, model, sum(abs(forecast - actual)) AS ae, sum(actual) AS r FROM dbasic GROUP BY ALL),
+dwt AS (SELECT c.cutoff, e.model, 1 / greatest(sum(e.ae) / greatest(sum(e.r), 1e-9), 1e-6) AS w FROM dcut c JOIN derr e ON e.cutoff <> c.cutoff GROUP BY c.cutoff, e.model QUALIFY row_number() OVER (PARTITION BY c.cutoff ORDER BY round(greatest(sum(e.ae) / greatest(sum(e.r), 1e-9), 1e-6), 9), e.model) <= 3),
+dall AS MATERIALIZED (SELECT level, series, cutoff, ds, model, forecast, actual, horizon FROM dbasic UNION ALL SELECT 'Total', 'Total', cutoff, ds, 'combination', sum(forecast * w) / sum(w), max(actual), max(horizon) FROM dbasic JOIN dwt USING (cutoff, model) GROUP BY cutoff, ds), {_rank_sql('dall', '_d')},
+fknown AS MATERIALIZED (SELECT (SELECT max(ds) FROM dy) AS cutoff, ds, y, row_number() OVER (ORDER BY ds DESC) AS back FROM dy), fdays AS (SELECT (SELECT max(ds) FROM dy) AS cutoff, DATE '{DAILY_END}' + CAST(k AS INT) AS ds, NULL AS y FROM range(1, 109) r(k)),
+fbase AS MATERIALIZED (SELECT * FROM {_daily_baselines('fdays', 'fknown')}),
+fweights AS (SELECT model, 1 / greatest(sum(ae) / greatest(sum(r), 1e-9), 1e-6) AS w FROM derr GROUP BY 1 QUALIFY row_number() OVER (ORDER BY round(greatest(sum(ae) / greatest(sum(r), 1e-9), 1e-6), 9), model) <= 3),
+fall AS (SELECT ds, model, forecast FROM fbase UNION ALL SELECT ds, 'combination', sum(forecast * w) / sum(w) FROM fbase JOIN fweights USING (model) GROUP BY ds),
+ahead AS (SELECT CAST(date_trunc('month', ds) AS DATE) AS month, sum(forecast) AS orders FROM fall JOIN (SELECT model FROM ranked_d WHERE chosen) USING (model) GROUP BY 1),
+hbands AS (SELECT horizon AS h, quantile_cont(abs({_ratio('forecast', 'actual')} - 1), 0.8) AS band FROM months_d JOIN (SELECT model FROM ranked_d WHERE chosen) USING (model) GROUP BY 1),
+ext AS (SELECT avg(x) AS extreme_mean, quantile_cont(x, 0.1) AS extreme_p10, quantile_cont(x, 0.9) AS extreme_p90 FROM (SELECT extreme_revenue AS x FROM bm ORDER BY month DESC LIMIT 6)),
+now AS (SELECT orders AS o, base_revenue AS r, extreme_revenue AS x FROM bm WHERE month = DATE '2001-07-01'),
+steps AS (SELECT a.month, CAST((year(a.month) - 2001) * 12 + month(a.month) - 7 AS INT) AS horizon, a.orders, ticket, method, 16.0 / 31.0 AS rest FROM ahead a JOIN tickets ON step = (year(a.month) - 2001) * 12 + month(a.month) - 7),
+raw AS (SELECT s.month, horizon, s.orders + CASE WHEN horizon = 0 THEN coalesce((SELECT o FROM now), 0) ELSE 0 END AS orders, y.orders AS orders_year_ago, s.ticket, method, s.orders * s.ticket + CASE WHEN horizon = 0 THEN coalesce((SELECT r FROM now), 0) ELSE 0 END AS v1,
+    band * CASE WHEN horizon = 0 THEN rest ELSE 1 END AS band, """ + ", ".join(f"CASE WHEN horizon = 0 AND (SELECT x FROM now) IS NOT NULL THEN (SELECT x FROM now) + {c} * rest ELSE {c} END AS {c}" for c in ("extreme_mean", "extreme_p10", "extreme_p90")) + f"""
+    FROM steps s, ext LEFT JOIN hbands ON h = least(greatest(horizon, (SELECT min(h) FROM hbands)), (SELECT max(h) FROM hbands)) LEFT JOIN bm y ON y.month + INTERVAL 12 MONTH = s.month),
+fac AS (SELECT CASE WHEN (SELECT count(DISTINCT target_month) FROM judged) >= 3 THEN least(greatest(1 / (1 + avg(orders_error)), 0.85), 1.15) ELSE 1 END AS orders_factor,
+    CASE WHEN (SELECT count(DISTINCT target_month) FROM judged) >= 3 THEN least(greatest(1 / (1 + avg(revenue_error)), 0.85), 1.15) ELSE 1 END AS revenue_factor FROM (SELECT * FROM judged ORDER BY target_month DESC LIMIT 6)),
+realb AS (SELECT horizon, CASE WHEN count(*) >= 3 THEN quantile_cont(abs(revenue_error), 0.8) END AS real_band FROM judged GROUP BY 1),
+fixed AS (SELECT r.* EXCLUDE (orders, v1, band), fac.*, v1 AS v1_raw, orders AS orders_raw, orders * CASE WHEN r.horizon >= 1 THEN orders_factor ELSE 1 END AS orders, v1 * CASE WHEN r.horizon >= 1 THEN revenue_factor ELSE 1 END AS v1,
+    CASE WHEN r.horizon >= 1 THEN coalesce(real_band, band) ELSE band END AS band FROM raw r, fac LEFT JOIN realb ON realb.horizon = r.horizon),
+headline AS MATERIALIZED (SELECT * EXCLUDE (band), v1 * (1 - band) AS v1_low, v1 * (1 + band) AS v1_high, v1 + extreme_mean AS v2, v1 * (1 - band) + extreme_p10 AS v2_low, v1 * (1 + band) + extreme_p90 AS v2_high, ({_ratio('orders', 'orders_year_ago')} - 1) * 100 AS orders_change_pct FROM fixed),
+record AS (SELECT DATE '2001-08-01' AS run_date, 'v1' AS version, month AS target_month, horizon, orders_raw, v1_raw AS revenue_raw, orders AS orders_final, v1 AS revenue_final, v1_low AS revenue_low, v1_high AS revenue_high, v2 AS revenue_v2,
+    CASE WHEN horizon >= 1 THEN orders_factor ELSE 1 END AS orders_factor, CASE WHEN horizon >= 1 THEN revenue_factor ELSE 1 END AS revenue_factor, (SELECT model FROM ranked_d WHERE chosen) AS orders_model, method AS ticket_method FROM headline)"""
+
+
+def _rounded_sql(table: str, whole: str, fine: str = "orders_factor, revenue_factor", plain: str = "") -> str:
+    parts = [f"round({c}, 0) AS {c}" for c in whole.split(", ")] + [f"round({c}, 6) AS {c}" for c in fine.split(", ") if c] + [plain]
+    return f"{_recursive(CANON + HEADLINE)} SELECT {', '.join(p for p in parts if p)} FROM {table}"
+
+
 ORACLES = {
+    "simple_headline_forecast": _rounded_sql("headline", "orders, ticket, v1, v1_low, v1_high, extreme_mean, extreme_p10, extreme_p90, v1_raw, orders_raw, v2, v2_low, v2_high", "orders_factor, revenue_factor, orders_change_pct", "month, horizon, orders_year_ago, method"),
+    "simple_run_record": _rounded_sql("record", "orders_raw, revenue_raw, orders_final, revenue_final, revenue_low, revenue_high, revenue_v2", plain="run_date, version, target_month, horizon, orders_model, ticket_method"),
+    "simple_run_history": _rounded_sql("(SELECT run_date, target_month, horizon, revenue_final FROM record UNION ALL SELECT CAST(target_month - 20 AS DATE), target_month, 1, revenue_raw FROM hist WHERE target_month - 20 <> DATE '2001-08-01')", "revenue_final", "", "run_date, target_month, horizon"),
     "damped_holt_winters": _recursive(f"{S}, {NUMBERED}, {_smoothing_sql()} {LOGGED.format(z='z')} FROM smooth"),
     "trend_season_regression": _recursive(f"{S}, {_regression_sql(TREND_X, [1e-6] * 2 + [2.0] * 12 + [0.5] * 15)} {LOGGED.format(z='fit')} FROM fitted WHERE is_test"),
     "calendar_regression": _recursive(f"""{S}, {_regression_sql(CALENDAR_X, [1e-6] + [0.3] * 10)}, off AS (SELECT {TASK_COLUMNS}, ds, z - fit AS off, lag(z - fit) OVER (PARTITION BY {TASK_COLUMNS} ORDER BY ds) AS before FROM fitted WHERE NOT is_test),
         carried AS (SELECT {TASK_COLUMNS}, least(greatest(sum(off * before) / greatest(sum(off * off), 1e-12), 0), 0.98) AS rho, arg_max(off, ds) AS last FROM off GROUP BY ALL)
         {LOGGED.format(z='fit + last * rho ** t')} FROM fitted JOIN carried USING ({TASK_COLUMNS}) WHERE is_test"""),
-    "ticket_forecast": _recursive(f"""{CANON}{BASEM}, tm AS (SELECT month AS ds, base_revenue / (orders - coalesce(extreme_orders, 0)) AS y FROM bm),
-        tn AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ds) AS n, count(*) OVER () AS c FROM tm WHERE y > 0),
-        cuts AS (SELECT n AS known, ds AS cutoff, n = c AS final FROM tn WHERE n = c OR (n >= greatest(c - 4, 6) AND n < c)),
-        numbered AS MATERIALIZED (SELECT 'Ticket' AS level, known AS series, cutoff, ds, n > known AS is_test, ln(y) AS z, y, CASE WHEN n > known THEN 1 ELSE n END AS t, final FROM tn JOIN cuts ON n <= CASE WHEN final THEN known ELSE known + 1 END
-            UNION ALL SELECT 'Ticket', known, cutoff, CAST(cutoff + to_months(CAST(h AS INT)) AS DATE), TRUE, NULL, NULL, h, TRUE FROM cuts, range(1, 5) r(h) WHERE final), {_smoothing_sql()},
-        means AS (SELECT series, avg(y) FILTER (WHERE t > series - 3) AS mean_3, avg(y) FILTER (WHERE t > series - 6) AS mean_6 FROM numbered WHERE NOT is_test GROUP BY 1),
-        made AS (SELECT s.series, h, exp(s.z) AS damped_trend, mean_3, mean_6, y AS actual FROM smooth s JOIN means USING (series) JOIN numbered q ON q.series = s.series AND q.ds = s.ds AND q.is_test),
-        errs AS (SELECT coalesce(avg(abs(mean_3 / actual - 1)), 'inf') AS e3, coalesce(avg(abs(mean_6 / actual - 1)), 'inf') AS e6, coalesce(avg(abs(damped_trend / actual - 1)), 'inf') AS e FROM made WHERE actual IS NOT NULL),
-        best_method AS (SELECT CASE WHEN e < least(e3, e6) * 0.95 THEN 'damped_trend' WHEN e6 < e3 THEN 'mean_6' ELSE 'mean_3' END AS method FROM errs)
-        SELECT CAST(h - 1 AS INT) AS step, round(CASE method WHEN 'damped_trend' THEN damped_trend WHEN 'mean_6' THEN mean_6 ELSE mean_3 END, 4) AS ticket, method FROM made, best_method WHERE actual IS NULL"""),
+    "ticket_forecast": _recursive(f"{CANON}{BASEM}, {TICKETS} SELECT step, round(ticket, 4) AS ticket, method FROM tickets"),
     "weekly_series": f"{S} SELECT * FROM series",
     "backtest_tasks": f"{S} SELECT * FROM tasks",
     **{m: f"{S} SELECT * FROM basic WHERE model = '{m}'" for m in ("naive", "moving_average", "seasonal_naive", "seasonal_growth")},
