@@ -1,9 +1,17 @@
 import datetime as dt
+import re
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import sources as S
+from tidemark.operators import orders as O
+from tidemark.queries.base import OPTIONS, Base
+from tidemark.sources.bucketed import bucketed, exists, fingerprint
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_resolve_columns_takes_first_candidate_and_manual_choice():
@@ -55,3 +63,39 @@ def test_rounded_and_schema(spark):
     df = spark.createDataFrame([(Decimal("1.23456"), 2.34565, 3)], "a decimal(10,5), b double, c int")
     assert [float(x) for x in S.rounded(df, 4).first()] == [1.2346, 2.3457, 3.0]
     assert {(r.table, r.column, r.type) for r in S.schema_table(spark, {"t": df}).collect()} == {("t", "a", "decimal(10,5)"), ("t", "b", "double"), ("t", "c", "int")}
+
+
+def _exchanges(df):
+    """Exchanges of the plan as it ran, by what they deal out by."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.strip() for line in plan.split("Initial Plan")[0].splitlines() if re.search(r"\bExchange (hash|single|range|Round)", line)]
+
+
+def test_stored_tables_join_and_group_without_exchanges(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = Base(spark, SF)
+        assert _exchanges(O.order_totals(b.dated)) == []
+        assert _exchanges(b.flags.select("order_id", "is_extreme")) == []
+        assert _exchanges(b.lines.select("order_id", "product_id", "is_extreme")) == []
+        per_order = b.lines.groupBy(F.trunc("order_date", "week").alias("week"), "state", "order_id").agg(F.sum("units").alias("units"))
+        assert len(_exchanges(per_order.groupBy("week", "state").agg(F.count("*").alias("orders")))) == 1
+        assert "first_date" not in b.lines.select("order_id", "units")._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1][:200]
+        assert Base(spark, SF)._stored()[0] is b._stored()[0]
+        assert Base(spark, SF, replace(OPTIONS, dedup_items=False))._stored()[0] is not b._stored()[0]
+        assert sorted(map(tuple, O.order_totals(b.base).collect())) == sorted(map(tuple, O.order_totals(b.dated).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_tables_follow_their_files(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    before = fingerprint(spark, [path])
+    assert before == fingerprint(spark, [path])
+    spark.range(4).write.mode("append").parquet(path)
+    assert before != fingerprint(spark, [path])
+    table, where = bucketed(spark.createDataFrame([(None, 1), (1, 2), (1, 3)], "k int, v int"), "k", 3)
+    assert exists(spark, where) and sorted(r.v for r in table.collect()) == [1, 2, 3]
+    assert bucketed(spark.range(0), "id")[0].count() == 0

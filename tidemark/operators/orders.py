@@ -44,9 +44,15 @@ def first_sale(base: DataFrame) -> DataFrame:
     return base.groupBy("product_id").agg(F.min("order_date").alias("first_date"))
 
 
+def with_first_sale(base: DataFrame) -> DataFrame:
+    """base with first_date, the day its product first sold."""
+    return base.join(first_sale(base), "product_id", "left")
+
+
 def order_totals(base: DataFrame, new_days: int = 90) -> DataFrame:
-    """One row for each order: date, value, list value, units, lines, discounted lines, revenue of products new then."""
-    lines = base.join(first_sale(base), "product_id", "left")
+    """One row for each order: date, value, list value, units, lines, discounted lines, revenue of products new then. A base that has
+    first_date already needs no exchange but that by order."""
+    lines = base if "first_date" in base.columns else with_first_sale(base)
     is_new = F.datediff("order_date", "first_date") <= new_days
     return lines.groupBy("order_id").agg(
         F.min("order_date").alias("order_date"), F.max("has_professional").alias("has_professional"), F.max("state").alias("state"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import ExtremeRule, Options, OrderRules
 from tidemark.operators import orders as O
 from tidemark.sources import star
+from tidemark.sources.bucketed import bucketed, exists, fingerprint
 from tidemark.sources.stages import settle
 
 OPTIONS = Options(
@@ -19,6 +20,10 @@ OPTIONS = Options(
 )
 
 
+#: Stored tables by application, options and state of the files they were made of; each is (table, folder).
+_STORED: dict[tuple, tuple] = {}
+
+
 class Base:
     """Canonical tables and the stages of cleaning, each made when first asked for."""
 
@@ -55,17 +60,35 @@ class Base:
     def valid(self) -> DataFrame:
         return self._once("valid", lambda: O.valid_orders(self.orders, self.options.rules))
 
+    def _stored(self) -> tuple[DataFrame, DataFrame]:
+        """Clean lines with first_date, and order flags, stored by order once for all queries of a session over the same files."""
+        return self._once("stored", self._store)
+
+    def _store(self) -> tuple[DataFrame, DataFrame]:
+        names = ("orders", "customer", "nation", "lineitem")
+        key = (self.spark.sparkContext.applicationId, self.options, fingerprint(self.spark, [f"{self.sf_dir}/{n}.parquet" for n in names]))
+        if key not in _STORED or not all(exists(self.spark, where) for _, where in _STORED[key]):
+            lines, at = bucketed(O.with_first_sale(O.base_items(self.items, self.valid, self.options.dedup_items)), "order_id")
+            flags, flags_at = bucketed(O.flag_extremes(O.order_totals(lines, self.options.new_product_days), self.options.extremes), "order_id")
+            _STORED[key] = ((lines, at), (flags, flags_at))
+        return tuple(df for df, _ in _STORED[key])
+
+    @property
+    def dated(self) -> DataFrame:
+        """Clean lines with first_date."""
+        return self._stored()[0]
+
     @property
     def base(self) -> DataFrame:
-        return self.kept("base", lambda: O.base_items(self.items, self.valid, self.options.dedup_items))
+        return self.dated.drop("first_date")
 
     @property
     def totals(self) -> DataFrame:
-        return self._once("totals", lambda: O.order_totals(self.base, self.options.new_product_days))
+        return self._once("totals", lambda: O.order_totals(self.dated, self.options.new_product_days))
 
     @property
     def flags(self) -> DataFrame:
-        return self._once("flags", lambda: O.flag_extremes(self.totals, self.options.extremes))
+        return self._stored()[1]
 
     @property
     def lines(self) -> DataFrame:
