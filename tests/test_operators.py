@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import ExtremeRule, OrderRules
 from tidemark.functions import clean_state, region_of_state
-from tidemark.operators import basket, calendar, cannibal, cubes, kpis, orders
+from tidemark.operators import basket, calendar, cannibal, cubes, kpis, orders, sketches
 
 D = dt.date
 
@@ -131,6 +131,19 @@ def test_regions_of_states(spark):
     assert {r.state: r.region for r in df.select("state", region_of_state(clean_state(F.col("state"))).alias("region")).collect()} == states
 
 
+def test_merged_sketches_are_near_the_exact_quantiles(spark):
+    rng = random.Random(1)
+    rows = [(D(2023, 1, 1) + dt.timedelta(days=rng.randrange(365)), rng.random() < 0.3, rng.lognormvariate(5, 1)) for _ in range(20_000)] + [(D(2023, 1, 1), False, None)]
+    flags = spark.createDataFrame(rows, "order_date date, has_professional boolean, value double").repartition(7)
+    daily = sketches.value_sketches(flags)
+    for r in sketches.quantiles_by_period(daily).collect():
+        own = sorted(v for d, _, v in rows if v is not None and (r.period == "all" or (d.year, d.month if r.period == "month" else (d.month - 1) // 3) == (r.start.year, r.start.month if r.period == "month" else (r.start.month - 1) // 3)))
+        assert r.orders == len(own)
+        for q, got in ((0.5, r.p50), (0.9, r.p90), (0.99, r.p99)):
+            assert abs(sum(v <= got for v in own) / len(own) - q) < 0.015
+    assert sketches.quantiles_by_period(daily.where("false")).count() == 0
+
+
 def test_missing_evidence_is_unclear(spark):
     rows = [(True, False, None, None, None), (True, False, 0.2, None, None), (True, False, 0.2, None, 1.3), (False, True, None, -0.3, None), (False, False, None, 0.1, 1.6)]
     df = spark.createDataFrame(rows, "same_group boolean, is_neighbour boolean, pair_rate double, corr double, lift double")

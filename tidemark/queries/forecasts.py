@@ -396,6 +396,10 @@ record AS (SELECT DATE '2001-08-01' AS run_date, 'v1' AS version, month AS targe
     CASE WHEN horizon >= 1 THEN orders_factor ELSE 1 END AS orders_factor, CASE WHEN horizon >= 1 THEN revenue_factor ELSE 1 END AS revenue_factor, (SELECT model FROM ranked_d WHERE chosen) AS orders_model, method AS ticket_method FROM headline)"""
 
 
+def _money_sql(column: str) -> str:
+    return f"'R$ ' || replace(format('{{:,}}', CAST(round_even({column}, 0) AS BIGINT)), ',', '.')"
+
+
 def _rounded_sql(table: str, whole: str, fine: str = "orders_factor, revenue_factor", plain: str = "") -> str:
     parts = [f"round({c}, 0) AS {c}" for c in whole.split(", ")] + [f"round({c}, 6) AS {c}" for c in fine.split(", ") if c] + [plain]
     return f"{_recursive(CANON + HEADLINE)} SELECT {', '.join(p for p in parts if p)} FROM {table}"
@@ -403,6 +407,8 @@ def _rounded_sql(table: str, whole: str, fine: str = "orders_factor, revenue_fac
 
 ORACLES = {
     "simple_headline_forecast": _rounded_sql("headline", "orders, ticket, v1, v1_low, v1_high, extreme_mean, extreme_p10, extreme_p90, v1_raw, orders_raw, v2, v2_low, v2_high", "orders_factor, revenue_factor, orders_change_pct", "month, horizon, orders_year_ago, method"),
+    "simple_headline_explained": f"""{_recursive(CANON + HEADLINE)} SELECT month, 'Em ' || ['janeiro', 'fevereiro', 'março', 'abril', 'maio', 'junho', 'julho', 'agosto', 'setembro', 'outubro', 'novembro', 'dezembro'][month(month)] || '/' || year(month) || ', esperamos cerca de '
+        || replace(format('{{:,}}', CAST(round_even(orders, 0) AS BIGINT)), ',', '.') || ' pedidos e ' || {_money_sql('v1')} || ' sem pedidos extremos (entre ' || {_money_sql('v1_low')} || ' e ' || {_money_sql('v1_high')} || '); com extremos, ' || {_money_sql('v2')} || '.' AS explanation FROM headline""",
     "simple_run_record": _rounded_sql("record", "orders_raw, revenue_raw, orders_final, revenue_final, revenue_low, revenue_high, revenue_v2", plain="run_date, version, target_month, horizon, orders_model, ticket_method"),
     "simple_run_history": _rounded_sql("(SELECT run_date, target_month, horizon, revenue_final FROM record UNION ALL SELECT CAST(target_month - 20 AS DATE), target_month, 1, revenue_raw FROM hist WHERE target_month - 20 <> DATE '2001-08-01')", "revenue_final", "", "run_date, target_month, horizon"),
     "damped_holt_winters": _recursive(f"{S}, {NUMBERED}, {_smoothing_sql()} {LOGGED.format(z='z')} FROM smooth"),

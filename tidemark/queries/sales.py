@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import kpis as K
 from tidemark.operators import orders as O
+from tidemark.operators import sketches as Q
 from tidemark.queries.base import CANON, OPTIONS, Base
 from tidemark.sources import schema_table
 
@@ -104,6 +105,7 @@ def _trailing_sql(days: int) -> str:
 QUERIES = {
     "valid_rows": _query(lambda b: O.filter_valid_rows(b.orders, b.options.rules)),
     "valid_orders": _query(lambda b: b.valid),
+    "quantiles_by_period": _query(lambda b: Q.quantiles_by_period(Q.value_sketches(b.flags))),
     "base_items": _query(lambda b: _money_lines(b.base)),
     "first_sale": _query(lambda b: O.first_sale(b.base)),
     "order_totals": _query(lambda b: _money_lines(b.totals)),
