@@ -29,6 +29,12 @@ def exists(spark: SparkSession, where: str) -> bool:
     return fs.exists(path)
 
 
+def remove(spark: SparkSession, where: str) -> None:
+    """Deletes a folder of any store that Spark reads."""
+    path, fs = _path(spark, where)
+    fs.delete(path, True)
+
+
 def stored_dir(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which driver and executors share."""
     if spark.sparkContext.getCheckpointDir() is None:
