@@ -21,7 +21,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    text, runs = F.col("text"), F.col("drop_runs")
+    text, runs = F.col("text"), F.col("keep_runs")
     return line_dedup.with_bitmaps(docs).select(
         "doc_id", F.size(line_dedup.lines_of(text)).cast("long").alias("n_lines"), "n_dropped",
         F.sha2(line_dedup.kept_text(text, runs), 256).alias("kept_sha256"),
