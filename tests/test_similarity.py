@@ -106,6 +106,38 @@ def test_clear_groups_are_consistent_and_found(spark):
     assert profile.count() == 3 and {r["count"] for r in clusters.groupBy("cluster").count().collect()} == {12}
 
 
+def test_consistency_equals_a_plain_vote(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 2))
+    of = {f"p{i:02d}": "abc"[int(rng.integers(0, 3))] for i in range(38)} | {"p38": "tiny", "p39": "tiny"}
+    df = frame(spark, x)
+    groups = spark.createDataFrame(list(of.items()), "item string, grp string")
+    row = S.catalog_consistency(df, ["a", "b"], groups, k=3, folds=4).first()
+    hashed = {r["item"]: r.h for r in df.select("item", F.xxhash64("item").alias("h")).collect()}
+    kept = [i for i in of if of[i] != "tiny"]  # groups of fewer than three are left out
+    fold = {i: (r + 1) % 4 for g in "abc" for r, i in enumerate(sorted((i for i in kept if of[i] == g), key=lambda i: (hashed[i], i)))}
+    right = 0
+    for i in kept:
+        near = sorted((np.sqrt(((x[int(i[1:])] - x[int(j[1:])]) ** 2).sum()), j) for j in kept if fold[j] != fold[i])[:3]
+        votes = {}
+        for d, j in near:
+            n, least = votes.get(of[j], (0, np.inf))
+            votes[of[j]] = (n + 1, min(least, d))
+        right += min(votes, key=lambda g: (-votes[g][0], votes[g][1], g)) == of[i]
+    assert row["items"] == len(kept) and abs(row.accuracy - right / len(kept)) < 1e-9
+    assert abs(row.chance - sum((sum(of[i] == g for i in kept) / len(kept)) ** 2 for g in "abc")) < 1e-9
+
+
+def test_brands_alike_in_features_and_mix_are_one_cluster(spark):
+    rows = [(f"b{i}", g, 1.0 + (i % 2), 0.1, None if i == 0 else 0.5, 0.0, s) for i in range(8) for g, s in (("x", 0.9), ("y", 0.1)) if i % 2 or g == "x"]
+    profile = spark.createDataFrame(rows, "brand string, grp string, log_price double, discount double, professional_share double, trend double, mix_share double")
+    got = S.brand_clusters(profile, 2).collect()
+    of = {r.brand: r.cluster for r in got}
+    assert len(got) == 8 and len({of[f"b{i}"] for i in range(0, 8, 2)}) == 1 and len(set(of.values())) == 2
+    assert next(r.mix for r in got if r.brand == "b2") == {"x": 0.9, "y": 0.0}
+    assert S.brand_clusters(profile.where("brand in ('b1', 'b2')"), 2).count() == 0 and S.brand_clusters(profile.where("false"), 2).count() == 0
+
+
 def test_document_of_sections(spark):
     df = spark.createDataFrame([("b", 2.0), ("a", None)], "k string, v double")
     got = D.dashboard_document({"x": D.as_list(df, "k", "x"), "y": D.as_map(df, "k", df["v"], "y")}).first().json

@@ -136,3 +136,24 @@ def brand_profile(features: DataFrame, attributes: DataFrame, columns: Sequence[
     means = rows.groupBy("brand").agg(*[(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in columns], F.sum("units").alias("all_units"))
     mix = rows.groupBy("brand", "grp").agg(F.sum("units").alias("units"))
     return mix.join(means, "brand").select("brand", "grp", *columns, ratio(F.col("units"), F.col("all_units")).alias("mix_share"))
+
+
+def brand_clusters(profile: DataFrame, k: int, columns: Sequence[str] = ("log_price", "discount", "professional_share", "trend"), seed: int = 7, least: int = 4) -> DataFrame:
+    """(brand, cluster, columns, mix) of brand_profile()'s brands, grouped by their features and shares of groups, all standardised.
+
+    mix: share by group, 0 where a brand has none of it. At most one cluster fewer than there are brands; with fewer than `least` brands no
+    rows. A brand without a feature has the median.
+    """
+    groups = [r.grp for r in profile.select("grp").distinct().orderBy("grp").collect()]  # a row a group of the catalogue
+    names = [f"mix{i}" for i in range(len(groups))]
+    wide = profile.groupBy("brand", *columns).pivot("grp", groups).agg(F.first("mix_share")).toDF("brand", *columns, *names).na.fill(0.0, names)
+    wide = settle(fill_medians(wide, columns))
+    brands = wide.count()
+    mix = F.map_from_arrays(F.array(*[F.lit(g) for g in groups]), F.array(*names)) if groups else F.create_map().cast("map<string,double>")
+    plain = wide.select("brand", *columns, mix.alias("mix"))
+    if brands < least:
+        return plain.select("brand", F.lit(0).alias("cluster"), *columns, "mix").limit(0)
+    features = [*columns, *names]
+    vectors = VectorAssembler(inputCols=features, outputCol="v").transform(standardise(wide, features)).select("brand", "v")
+    found = KMeans(k=max(2, min(k, brands - 1)), seed=seed, featuresCol="v", predictionCol="cluster").fit(vectors).transform(vectors)
+    return plain.join(found.select("brand", "cluster"), "brand").select("brand", "cluster", *columns, "mix")

@@ -110,6 +110,8 @@ QUERIES = {
     "brand_profile": _query(lambda b: S.brand_profile(_features(b), _attributes(b, "brand", "grp"))),
     "curve_components": _query(lambda b: S.curve_components(_kept_cube(b))),
     "kmeans_profiles": _query(lambda b: S.kmeans_profiles(_with_curves(b), [*S.FEATURES, "curve1", "curve2", "curve3", "curve4"])[1]),
+    "product_clusters": _query(lambda b: S.kmeans_profiles(_profile(b), [*S.FEATURES, *S.CURVES])[0]),
+    "brand_clusters": _query(lambda b: S.brand_clusters(S.brand_profile(_features(b), _attributes(b, "brand", "grp")), S.kmeans_profiles(_profile(b), [*S.FEATURES, *S.CURVES])[1].count()).drop("mix")),
     "catalog_consistency": _query(lambda b: S.catalog_consistency(_standard(b), S.FEATURES, _attributes(b, "grp"))),
     "pair_verdicts": _query(_verdicts),
     "product_neighbours": _query(_near),
