@@ -22,6 +22,7 @@ OPTIONS = Options(
 
 #: Stored tables by application, options and state of the files they were made of; each is (table, folder).
 _STORED: dict[tuple, tuple] = {}
+_SHARED: dict[tuple, DataFrame] = {}
 
 
 class Base:
@@ -40,6 +41,13 @@ class Base:
         """Made once and settled, for what several stages read again."""
         return self._once(name, lambda: settle(make()))
 
+    def shared(self, name: str, make) -> DataFrame:
+        """Settled once for all queries of a session over the same files: for backtests of all models, which many queries read."""
+        key = (self._key(), name)
+        if key not in _SHARED:
+            _SHARED[key] = settle(make())
+        return _SHARED[key]
+
     @property
     def orders(self) -> DataFrame:
         return self._once("orders", lambda: star.orders(self.spark, self.sf_dir))
@@ -64,9 +72,12 @@ class Base:
         """Clean lines with first_date, and order flags, stored by order once for all queries of a session over the same files."""
         return self._once("stored", self._store)
 
+    def _key(self) -> tuple:
+        names = ("orders", "customer", "nation", "lineitem", "part", "region")
+        return self._once("key", lambda: (self.spark.sparkContext.applicationId, self.options, fingerprint(self.spark, [f"{self.sf_dir}/{n}.parquet" for n in names])))
+
     def _store(self) -> tuple[DataFrame, DataFrame]:
-        names = ("orders", "customer", "nation", "lineitem")
-        key = (self.spark.sparkContext.applicationId, self.options, fingerprint(self.spark, [f"{self.sf_dir}/{n}.parquet" for n in names]))
+        key = self._key()
         if key not in _STORED or not all(exists(self.spark, where) for _, where in _STORED[key]):
             lines, at = bucketed(O.with_first_sale(O.base_items(self.items, self.valid, self.options.dedup_items)), "order_id")
             flags, flags_at = bucketed(O.flag_extremes(O.order_totals(lines, self.options.new_product_days), self.options.extremes), "order_id")

@@ -85,7 +85,7 @@ def _simple(b: Base):
 
 def _run(b: Base):
     """All models over all tasks, with failures."""
-    return b.kept("run", lambda: M.run_models(_tasks(b), start=TRAIN_START))
+    return b.shared("run", lambda: M.run_models(_tasks(b), start=TRAIN_START))
 
 
 def _full(b: Base):
@@ -160,7 +160,7 @@ def _daily_backtest(b: Base, models=M.CATALOGUE):
         rows = settle(P.all_models(tasks, models, daily=True, start=TRAIN_START))
         return rows.unionByName(T.combine_top(rows))
 
-    return b.kept(f"daily_backtest{len(models)}", make)
+    return (b.shared if models else b.kept)(f"daily_backtest{len(models)}", make)
 
 
 def _daily_ranked(b: Base, models=M.CATALOGUE):
