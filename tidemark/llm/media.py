@@ -14,6 +14,8 @@ at least k vote, and these are its corners in the rarest cells. Pairs with k mat
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import settle, small, text_batches
 from tidemark.llm.components import components
-from tidemark.llm.simhash import CELL, by_cells, in_parts
+from tidemark.llm.simhash import CELL, in_parts
 
 #: Radius of what a descriptor sees, of the square in which a corner must be the greatest, and orientations told apart.
 REACH, APART, TURNS, LEVELS, BITS, TABLES = 7, 9, 24, 2, 128, 4
@@ -30,6 +32,8 @@ REACH, APART, TURNS, LEVELS, BITS, TABLES = 7, 9, 24, 2, 128, 4
 MOST_BITS = 12
 #: Matches, k above, that bring two images to the whole comparison. A matter of cost; any number finds all links.
 BRING = 3
+#: Bits of an id that tell images of one block, pairs of corners that are listed at once, and bytes of cells and lists.
+OTHERS, PAIRS, CELL_BYTES, LIST_BYTES = 20, 1 << 21, 16 << 20, 2 << 20
 #: Grey between images above each other, and beside them. Corners and their strength reach two pixels out of an image at every
 #: level: with this much grey no level sees, or suppresses, across images. Even, so that levels fit.
 MARGIN, SIDE = (max(REACH, APART) + 5) << (LEVELS - 1), (REACH + 3) << (LEVELS - 1)
@@ -273,33 +277,97 @@ def moves(matched: DataFrame) -> DataFrame:
     return matched.select("a", "b", "way", turn.alias("turn"), zoom.alias("zoom"), (p["y"] - moved_y).alias("dy"), (p["x"] - moved_x).alias("dx"), F.col("pos_a").alias("place"))
 
 
-def rival_spots(half: np.ndarray, quarter: np.ndarray, node: np.ndarray, spot: np.ndarray, size: np.ndarray, team: np.ndarray, shown: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(spot, other): corners of an image that match one of another image, of another team and with as many corners or more,
-    in one cell. Corners that are not shown (0) count only if the other image or their own has to show all (2)."""
-    if not len(node):
-        return node, node
+def by_runs(rows: DataFrame, keys: list[str], work, kind: str, most_bytes: int) -> DataFrame:
+    """What `work` makes of whole runs of rows with equal keys: it takes an Arrow table of many runs at a time, its columns those
+    of `rows`, and yields batches of the given kind. About `most_bytes` are held, more only for a single run."""
+
+    def run(batches):
+        kept, held, most = [], 0, most_bytes
+        for batch in batches:
+            kept.append(batch)
+            held += batch.nbytes
+            if held < most:
+                continue
+            table = pa.Table.from_batches(kept)
+            end = np.logical_or.reduce([np.diff(table[k].to_numpy()) != 0 for k in keys]).nonzero()[0]
+            cut = int(end[-1]) + 1 if len(end) else 0  # the last run may go on
+            if cut:
+                yield from work(table.slice(0, cut))
+            kept = pa.Table.from_batches(table.slice(cut).combine_chunks().to_batches(), table.schema).to_batches()
+            held = sum(b.nbytes for b in kept)
+            most = max(most_bytes, 2 * held)
+        if kept:
+            yield from work(pa.Table.from_batches(kept))
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, kind)
+
+
+def rival_corners(cells: pa.Table):
+    """Batches (image, block, size, corners): corners of an image that match one of another image, of another team and with as many
+    corners or more, in one cell. Corners that are not shown (0) count only if the other image or their own has to show all (2).
+
+    The others are in blocks of 2 ** OTHERS ids; corners has the steps between sorted numbers, each a corner's rank and the place
+    of the other in its block. Size is how many corners the image has, 0 if either has to show all. Two corners that share several
+    parts meet in the table of the first."""
+    half, quarter, node, rank, size, team, shown, part, cell = (c.to_numpy().astype(np.int64) for c in cells.columns)
+    quarter = quarter.astype(np.int32).view(np.uint32)
     _, inverse, counts = np.unique(cell, return_inverse=True, return_counts=True)
     order = np.lexsort((shown == 0, inverse, -counts[inverse]))
-    half, quarter, node, spot, size, team, shown, cell = (c[order] for c in (half, quarter, node, spot, size, team, shown, inverse))
+    half, quarter, node, rank, size, team, shown, part, cell = (c[order] for c in (half, quarter, node, rank, size, team, shown, part, inverse))
     many = counts[cell]
     new = np.r_[True, cell[1:] != cell[:-1]]
     left = many - (np.arange(len(cell)) - np.flatnonzero(new)[np.cumsum(new) - 1]) - 1  # rows of the cell after this one
     left[shown == 0] = 0  # those after it show nothing either
-    found = np.empty((0, 2), np.int64)
-    new, d, i = [], 0, np.flatnonzero(left > 0)
+
+    def listed(x, y):
+        image, other, of = node[x], node[y], np.where((shown[x] == 2) | (shown[y] == 2), 0, size[x])
+        block, code = other >> OTHERS, rank[x] << OTHERS | other & ((1 << OTHERS) - 1)
+        order = np.lexsort((code, of, block, image))
+        image, block, of, code = (c[order] for c in (image, block, of, code))
+        at = np.flatnonzero(np.r_[True, (image[1:] != image[:-1]) | (block[1:] != block[:-1]) | (of[1:] != of[:-1])])
+        steps = np.diff(code, prepend=0)
+        steps[at] = code[at]
+        lists = [zlib.compress(steps[s:e].tobytes(), 1) for s, e in zip(at.tolist(), [*at[1:].tolist(), len(code)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (image[at], block[at], of[at], lists)], names=["image", "block", "size", "corners"])
+
+    hits, held, d, i = [], 0, 0, np.flatnonzero(left > 0)
     while len(i):
         d += 1
         j = i + d
         fewer = (size[i] < size[j]) | ((size[i] == size[j]) & (node[i] < node[j]))
         hit = (team[i] != team[j]) & (np.where(fewer, shown[i], shown[j]) + (shown[i] == 2) + (shown[j] == 2) > 0)
-        x, y = i[hit], j[hit]
-        near = np.bitwise_count(half[x] ^ half[y]) + np.bitwise_count((quarter[x] ^ quarter[y]).view(np.uint32)) <= MOST_BITS
-        x, y, fewer = x[near], y[near], fewer[hit][near]
-        new.append(np.c_[spot[np.where(fewer, x, y)], node[np.where(fewer, y, x)]])
+        x, y, fewer = i[hit], j[hit], fewer[hit]
+        halves, quarters = half[x] ^ half[y], quarter[x] ^ quarter[y]
+        met = ((part[x] & 1 == 1) & (quarters == 0)) | ((part[x] > 1) & ((halves & 0xFFFFFFFF == 0) | (halves >> 32 == 0)))  # in a table before
+        near = ~met & (np.bitwise_count(halves) + np.bitwise_count(quarters) <= MOST_BITS)
+        x, y, fewer = x[near], y[near], fewer[near]
+        hits.append(np.stack([np.where(fewer, x, y), np.where(fewer, y, x)]).astype(np.int32))
+        held += len(x)
         i = i[left[i] > d]
-        if not len(i) or sum(map(len, new)) > len(node) + len(found):
-            found, new = np.unique(np.concatenate([found, *new]), axis=0), []
-    return found[:, 0].copy(), found[:, 1].copy()
+        if held and (held >= PAIRS or not len(i)):
+            yield listed(*np.concatenate(hits, axis=1))
+            hits, held = [], 0
+
+
+def brought(lists: pa.Table, votes: int, share: float):
+    """Batches (a, b): images with enough of their corners in the lists of rival_corners(), which has whole (image, block, size)."""
+    image, block, size = (c.to_numpy() for c in lists.columns[:3])
+    codes = [np.frombuffer(zlib.decompress(c), np.int64).cumsum() for c in lists.column(3).to_pylist()]
+    first = np.r_[True, (image[1:] != image[:-1]) | (block[1:] != block[:-1]) | (size[1:] != size[:-1])]
+    of, code = np.repeat(np.cumsum(first) - 1, [len(c) for c in codes]), np.concatenate(codes)
+    image, block, size = image[first], block[first], size[first]
+    order = np.lexsort((code, of))
+    of, code = of[order], code[order]
+    once = np.r_[True, (of[1:] != of[:-1]) | (code[1:] != code[:-1])]  # parts of a large cell meet more than once
+    of, other = of[once], code[once] & ((1 << OTHERS) - 1)
+    order = np.lexsort((other, of))
+    of, other = of[order], other[order]
+    at = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (other[1:] != other[:-1])])
+    of, other, n = of[at], other[at], np.diff(np.r_[at, len(of)])
+    enough = n >= np.minimum(np.maximum(np.ceil(share * size - 1e-9), np.minimum(votes, size)), BRING)[of]
+    one, two = image[of][enough], (block[of] << OTHERS | other)[enough]
+    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
 
 
 def rivals(cells: DataFrame, groups: DataFrame, sizes: DataFrame, votes: int, share: float) -> DataFrame:
@@ -308,22 +376,16 @@ def rivals(cells: DataFrame, groups: DataFrame, sizes: DataFrame, votes: int, sh
     apart = F.bit_count("halves") + F.bit_count(F.col("quarters").cast("long").bitwiseAND(0xFFFFFFFF))  # of two rows
     mixed = teams.groupBy("key").agg(F.count("*").alias("n"), F.min("team").alias("low"), F.max("team").alias("high"), F.bit_xor("half").alias("halves"), F.bit_xor("quarter").alias("quarters"))
     mixed = mixed.where("low < high").where((F.col("n") > 2) | (apart <= MOST_BITS))  # two that do not match bring nothing
-    live = settle(teams.join(mixed.select("key", "n"), "key").select("key", "image_id", "pos", "half", "quarter", "team", "n"))
-    of = Window.partitionBy("image_id")  # an image's own corners
-    places = live.groupBy("image_id", "pos").agg(F.sum("n").alias("busy")).join(sizes, "image_id")
-    needed, total = F.greatest(F.ceil(share * F.col("n_corners") - 1e-9), F.least(F.lit(votes), "n_corners")), F.count("*").over(of)
-    places = places.withColumn("bring", F.least(needed, F.lit(BRING))).withColumn("total", total).where(F.col("total") >= F.least(F.lit(votes), "n_corners"))  # others are no one's copies
-    showing = (F.col("total") >= needed) & (F.row_number().over(of.orderBy("busy", "pos")) <= F.col("total") - needed + F.col("bring"))
-    places = settle(places.select("image_id", "pos", F.monotonically_increasing_id().alias("spot"), F.col("n_corners").alias("size"), "bring", F.when(F.col("repeated"), 2).when(showing, 1).otherwise(0).cast("long").alias("shown")))
-    rows = live.join(places, ["image_id", "pos"]).withColumnsRenamed({"half": "fp", "image_id": "node"}).withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
-    dealt = in_parts(rows, "key").select("fp", "quarter", "node", "spot", "size", "team", "shown", "cell")
-    met = by_cells(dealt, rival_spots).toDF("spot", "other").distinct().join(places.select("spot", "image_id", "bring"), "spot")
-    pairs = met.groupBy("image_id", "other").agg(F.count("*").alias("n"), F.max("bring").alias("bring"))
-    whole = sizes.where("repeated").select(F.col("image_id").alias("id"))  # several images under one id: one match is enough
-    brought = pairs.where("n >= bring")
-    if whole.take(1):
-        brought = brought.union(pairs.join(whole, F.col("id") == F.col("image_id"), "left_semi")).union(pairs.join(whole, F.col("id") == F.col("other"), "left_semi"))
-    return brought.select(F.greatest("image_id", "other").alias("a"), F.least("image_id", "other").alias("b")).distinct()
+    live = teams.join(mixed.select("key", "n"), "key").select("key", "image_id", "pos", "half", "quarter", "team", "n")
+    of, place = Window.partitionBy("image_id"), Window.partitionBy("image_id", "pos")  # an image's own corners
+    needed = F.greatest(F.ceil(share * F.col("n_corners") - 1e-9), F.least(F.lit(votes), "n_corners"))
+    live = live.join(small(sizes.select("image_id", "n_corners", "repeated")), "image_id").withColumn("busy", F.sum("n").over(place))
+    live = live.withColumn("rank", F.dense_rank().over(of.orderBy("busy", "pos"))).withColumn("total", F.max("rank").over(of)).where(F.col("total") >= F.least(F.lit(votes), "n_corners"))  # others are no one's copies
+    showing = (F.col("total") >= needed) & (F.col("rank") <= F.col("total") - needed + F.least(needed, F.lit(BRING)))
+    rows = live.select(F.col("half").alias("fp"), "quarter", F.col("image_id").alias("node"), "rank", F.col("n_corners").cast("int").alias("size"), "team", F.when(F.col("repeated"), 2).when(showing, 1).otherwise(0).cast("byte").alias("shown"), F.shiftright("key", 32).cast("byte").alias("part"), "key", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    dealt = in_parts(rows, "key").select("fp", "quarter", "node", "rank", "size", "team", "shown", "part", "cell")
+    lists = by_runs(dealt, ["cell"], rival_corners, "image long, block long, size long, corners binary", CELL_BYTES)
+    return by_runs(lists, ["image", "block", "size"], lambda t: brought(t, votes, share), "a long, b long", LIST_BYTES)
 
 
 def pair_matches(pairs: DataFrame, found: DataFrame, votes: int = 1, share: float = 0.0) -> DataFrame:
