@@ -218,11 +218,6 @@ def packed(found: DataFrame) -> DataFrame:
     return found.select("image_id", pos.alias("pos"), "d1", "d2", "n")
 
 
-def _unpacked(pos: str) -> dict[str, F.Column]:
-    part = lambda shift, bits: F.shiftright(pos, shift).bitwiseAND((1 << bits) - 1)
-    return {"turn": part(0, 5), "level": part(5, 2), "x": part(7, 20), "y": F.shiftright(pos, 27)}
-
-
 def looks() -> list[F.Column]:
     """Two numbers, look_1 and look_2, that all corners of an image make together, in any order."""
     return [F.bit_xor(F.xxhash64(F.lit(k), "pos", "d1", "d2")).alias(f"look_{k}") for k in (1, 2)]
@@ -264,17 +259,40 @@ def matches(cells: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return met.select(F.col("image_id").alias("a"), F.col("q.image_id").alias("b"), F.col("pos").alias("pos_a"), F.col("q.pos").alias("pos_b"))
 
 
-def moves(matched: DataFrame) -> DataFrame:
-    """(a, b, way, turn, zoom, dy, dx, place): the moves that a match implies, from b to a as way 0, from a to b as way 1."""
-    ends = F.array(F.struct("pos_a", "pos_b"), F.struct(F.col("pos_b").alias("pos_a"), F.col("pos_a").alias("pos_b")))
-    matched = matched.select("a", "b", F.posexplode(ends).alias("way", "ends")).select("a", "b", "way", "ends.*")
-    p, q = _unpacked("pos_a"), _unpacked("pos_b")
-    turn = F.pmod(p["turn"] - q["turn"], F.lit(TURNS))
-    zoom = p["level"] - q["level"]
-    a, s = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), zoom)
-    moved_y = s * (q["y"] * F.cos(a) + q["x"] * F.sin(a))
-    moved_x = s * (q["x"] * F.cos(a) - q["y"] * F.sin(a))
-    return matched.select("a", "b", "way", turn.alias("turn"), zoom.alias("zoom"), (p["y"] - moved_y).alias("dy"), (p["x"] - moved_x).alias("dx"), F.col("pos_a").alias("place"))
+def _unpacked(pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    return pos & 31, pos >> 5 & 3, pos >> 7 & 0xFFFFF, pos >> 27
+
+
+def most_agreeing(pair: np.ndarray, pos_a: np.ndarray, pos_b: np.ndarray, needed: np.ndarray, bin_pixels: float = 6.0) -> np.ndarray:
+    """How many places of each pair's corners imply about the same move at most, 0 if fewer than needed; matches are of pairs 0, 1, ..
+    Bins overlap by half, so no border between bins parts like moves; moves count from b to a and from a to b, so nothing
+    depends on which id is the smaller."""
+    most = np.zeros(len(needed), np.int64)
+    for p, q in ((pos_a, pos_b), (pos_b, pos_a)):
+        (p_turn, p_level, p_x, p_y), (q_turn, q_level, q_x, q_y) = _unpacked(p), _unpacked(q)
+        turn, zoom = (p_turn - q_turn) % TURNS, p_level - q_level
+        a, s = turn * (2 * np.pi / TURNS), 2.0**zoom
+        dy, dx = p_y - s * (q_y * np.cos(a) + q_x * np.sin(a)), p_x - s * (q_x * np.cos(a) - q_y * np.sin(a))
+        for oy, ox in ((0.0, 0.0), (0.5, 0.0), (0.0, 0.5), (0.5, 0.5)):
+            y, x = (np.floor(d / bin_pixels + o).astype(np.int64) for d, o in ((dy, oy), (dx, ox)))
+            move = ((turn * 8 + zoom + 4) << 56) + ((y & 0xFFFFFFF) << 28) + (x & 0xFFFFFFF)
+            order = np.lexsort((move, pair))
+            for last in (False, True):  # first all matches of a bin, then places of bins with enough matches
+                of, m = pair[order], move[order]
+                if last:
+                    once = np.r_[True, (of[1:] != of[:-1]) | (m[1:] != m[:-1]) | (p[order][1:] != p[order][:-1])]
+                    of, m = of[once], m[once]
+                if not len(of):
+                    break
+                at = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (m[1:] != m[:-1])])
+                n = np.diff(np.r_[at, len(of)])
+                if last:
+                    np.maximum.at(most, of[at], n)
+                else:
+                    order = order[np.repeat(n >= needed[of[at]], n)]
+                    order = order[np.lexsort((p[order], move[order], pair[order]))]
+    most[most < needed] = 0
+    return most
 
 
 def by_runs(rows: DataFrame, keys: list[str], work, kind: str, most_bytes: int) -> DataFrame:
@@ -388,19 +406,22 @@ def rivals(cells: DataFrame, groups: DataFrame, sizes: DataFrame, votes: int, sh
     return by_runs(lists, ["image", "block", "size"], lambda t: brought(t, votes, share), "a long, b long", LIST_BYTES)
 
 
-def pair_matches(pairs: DataFrame, found: DataFrame, votes: int = 1, share: float = 0.0) -> DataFrame:
-    """(a, b, pos_a, pos_b): all matches of the pairs (a, b) of images of packed(), by the rule of matches(). Pairs with fewer
-    matches than the votes that consensus() asks for have none."""
+def _voted(n: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, votes: int, share: float) -> np.ndarray:
+    return (n > 0) & ((n >= votes) | ((n == n_a) & (n == n_b))) & (n >= share * np.minimum(n_a, n_b))
+
+
+def pair_links(pairs: DataFrame, found: DataFrame, votes: int = 4, share: float = 0.3) -> DataFrame:
+    """(a, b) of those pairs of images of packed() that are copies by the rules of matches() and consensus(). Both images' corners
+    are brought together, and only links leave the task."""
     ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("image_id")).distinct())
     lists = settle(found.join(small(ids), "image_id", "left_semi").groupBy("image_id").agg(F.max("n").alias("n"), F.collect_list(F.struct("pos", "d1", "d2")).alias("corners")))
-    needed = F.greatest(F.ceil(share * F.least("n_a", "n_b") - 1e-9), F.least(F.lit(votes), "n_a", "n_b"))
-    both = pairs.join(lists.toDF("a", "n_a", "of_a"), "a").join(lists.toDF("b", "n_b", "of_b"), "b").select("a", "b", needed.cast("long").alias("needed"), "of_a", "of_b")
+    both = pairs.join(lists.toDF("a", "n_a", "of_a"), "a").join(lists.toDF("b", "n_b", "of_b"), "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
     text_batches(pairs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            a, b, needed = (c.to_numpy() for c in batch.columns[:3])
-            (from_a, *of_a), (from_b, *of_b) = ((c.offsets.to_numpy(), *(c.values.field(k).to_numpy() for k in range(3))) for c in batch.columns[3:])
+            a, b, n_a, n_b = (c.to_numpy() for c in batch.columns[:4])
+            (from_a, *of_a), (from_b, *of_b) = ((c.offsets.to_numpy(), *(c.values.field(k).to_numpy() for k in range(3))) for c in batch.columns[4:])
             pair = np.repeat(np.arange(len(a)), np.diff(from_a))  # of each corner of a
             hits: list[np.ndarray] = []
             sizes = np.diff(from_b)[pair]
@@ -418,24 +439,29 @@ def pair_matches(pairs: DataFrame, found: DataFrame, votes: int = 1, share: floa
                 hits.append(np.stack([pair[i[hit] - from_a[0]], i[hit], j[hit]]))
                 at = to
             k, i, j = np.concatenate([np.empty((3, 0), np.int64), *hits], axis=1)
+            least = np.minimum(n_a, n_b)
+            needed = np.maximum(np.ceil(share * least - 1e-9).astype(np.int64), np.minimum(votes, least))
             enough = np.bincount(k, minlength=len(a))[k] >= needed[k]
             k, i, j = k[enough], i[enough], j[enough]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[k], b[k], of_a[0][i], of_b[0][j])], names=["a", "b", "pos_a", "pos_b"])
+            keep = _voted(most_agreeing(k, of_a[0][i], of_b[0][j], needed), n_a, n_b, votes, share)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long, pos_a long, pos_b long")
+    return both.mapInArrow(run, "a long, b long")
 
 
-def consensus(matched: DataFrame, sizes: DataFrame, votes: int = 4, share: float = 0.3, bin_pixels: float = 6.0) -> DataFrame:
+def consensus(matched: DataFrame, sizes: DataFrame, votes: int = 4, share: float = 0.3) -> DataFrame:
     """(a, b) of images with enough corners that imply about the same move: at least `votes`, or all of both, and `share` of
-    the corners of the one with fewer. sizes: (image_id, n_corners). Bins overlap by half, so no border between bins parts like
-    moves; moves count from b to a and from a to b, so no link depends on which id is the smaller."""
-    shift = lambda c, o: F.floor(F.col(c) / bin_pixels + o)
-    bins = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), shift("dy", oy).alias("y"), shift("dx", ox).alias("x")) for k, (oy, ox) in enumerate([(0.0, 0.0), (0.5, 0.0), (0.0, 0.5), (0.5, 0.5)])]))
-    matched = matched.repartition("a", "b")  # one shuffle, of matches and not of their bins, for all that follows
-    per_place = moves(matched).select("a", "b", "way", "turn", "zoom", bins.alias("bin"), "place").distinct()
-    counted = per_place.groupBy("a", "b", "way", "turn", "zoom", "bin").agg(F.count("*").alias("votes")).groupBy("a", "b").agg(F.max("votes").alias("votes"))
+    the corners of the one with fewer. sizes: (image_id, n_corners). No matches, no rows."""
+
+    def counted(table):
+        a, b, pos_a, pos_b = (c.to_numpy() for c in table.columns)
+        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        n = most_agreeing(np.cumsum(first) - 1, pos_a, pos_b, np.ones(int(first.sum()), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[first], b[first], n)], names=["a", "b", "votes"])
+
+    counts = by_runs(matched.select("a", "b", "pos_a", "pos_b"), ["a", "b"], counted, "a long, b long, votes long", LIST_BYTES)
     n = sizes.select("image_id", "n_corners")
-    both = counted.join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
+    both = counts.join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
     enough = (F.col("votes") >= votes) | ((F.col("votes") == F.col("n_a")) & (F.col("votes") == F.col("n_b")))
     return both.where(enough & (F.col("votes") >= share * F.least("n_a", "n_b"))).select("a", "b")
 
@@ -457,7 +483,7 @@ def copy_groups(images: DataFrame, votes: int = 4, share: float = 0.3) -> DataFr
     cells = settle(shared_cells(found))
     first = settle(consensus(matches(cells), sizes, votes, share))
     pairs = settle(rivals(cells, components(first), sizes, votes, share))
-    sure = settle(first.union(consensus(pair_matches(pairs, found, votes, share), sizes, votes, share)).union(twins).distinct())
+    sure = settle(first.union(pair_links(pairs, found, votes, share)).union(twins).distinct())
     groups = components(sure)
     linked = sure.groupBy("a").agg(F.count("*").alias("n_links"))
     return (
