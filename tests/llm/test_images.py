@@ -124,3 +124,11 @@ def test_images_with_the_same_corners_meet_as_one(spark):
     got = {r.image_id: (r.group_id, r.n_links) for r in media.copy_groups(df).collect()}
     assert {i: g for i, (g, _) in got.items()} == {7: 2, 2: 2, 5: 2, 4: 2, 9: 2, 3: 3, 1: 1}  # 4 is both images
     assert got[7] == (2, 1) and got[2] == (2, 0)
+
+
+def test_votes_of_no_matches_and_of_too_few():
+    none, some = np.empty(0, np.int64), np.arange(3) * 1000 * (1 << 27)
+    assert media.most_agreeing(none, none, none, np.array([1, 4])).tolist() == [0, 0]
+    assert media.most_agreeing(np.array([0, 1, 1]), some, some, np.array([2, 2])).tolist() == [0, 2]
+    assert media.most_agreeing(np.array([0, 1, 1]), some, some, np.array([1, 3])).tolist() == [1, 0]
+    assert media.most_agreeing(np.array([1, 1, 1]), some[[0, 1, 1]], some[[0, 1, 1]], np.array([1, 1])).tolist() == [0, 2]

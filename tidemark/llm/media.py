@@ -278,12 +278,12 @@ def most_agreeing(pair: np.ndarray, pos_a: np.ndarray, pos_b: np.ndarray, needed
             move = ((turn * 8 + zoom + 4) << 56) + ((y & 0xFFFFFFF) << 28) + (x & 0xFFFFFFF)
             order = np.lexsort((move, pair))
             for last in (False, True):  # first all matches of a bin, then places of bins with enough matches
+                if not len(order):
+                    break
                 of, m = pair[order], move[order]
                 if last:
                     once = np.r_[True, (of[1:] != of[:-1]) | (m[1:] != m[:-1]) | (p[order][1:] != p[order][:-1])]
                     of, m = of[once], m[once]
-                if not len(of):
-                    break
                 at = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (m[1:] != m[:-1])])
                 n = np.diff(np.r_[at, len(of)])
                 if last:
