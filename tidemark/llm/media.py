@@ -397,7 +397,7 @@ def rivals(cells: DataFrame, groups: DataFrame, sizes: DataFrame, votes: int, sh
     live = teams.join(mixed.select("key", "n"), "key").select("key", "image_id", "pos", "half", "quarter", "team", "n")
     of, place = Window.partitionBy("image_id"), Window.partitionBy("image_id", "pos")  # an image's own corners
     needed = F.greatest(F.ceil(share * F.col("n_corners") - 1e-9), F.least(F.lit(votes), "n_corners"))
-    live = live.join(small(sizes.select("image_id", "n_corners", "repeated")), "image_id").withColumn("busy", F.sum("n").over(place))
+    live = live.join(small(sizes.select("image_id", "n_corners", "repeated")), "image_id").repartition("image_id").withColumn("busy", F.sum("n").over(place))  # one shuffle for all windows
     live = live.withColumn("rank", F.dense_rank().over(of.orderBy("busy", "pos"))).withColumn("total", F.max("rank").over(of)).where(F.col("total") >= F.least(F.lit(votes), "n_corners"))  # others are no one's copies
     showing = (F.col("total") >= needed) & (F.col("rank") <= F.col("total") - needed + F.least(needed, F.lit(BRING)))
     rows = live.select(F.col("half").alias("fp"), "quarter", F.col("image_id").alias("node"), "rank", F.col("n_corners").cast("int").alias("size"), "team", F.when(F.col("repeated"), 2).when(showing, 1).otherwise(0).cast("byte").alias("shown"), F.shiftright("key", 32).cast("byte").alias("part"), "key", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
