@@ -272,6 +272,18 @@ def test_search_by_distance_in_many_blocks(spark, monkeypatch):
     assert hits >= 0.9 * 2 * 40 * 5
 
 
+def test_search_finds_all_neighbours_among_near_copies(spark):
+    rng = np.random.default_rng(5)
+    centres = 8 * rng.normal(size=(3, 16)) / 4
+    data = np.r_[rng.normal(size=(300, 16)), centres[rng.integers(0, 3, 1500)] + 1e-4 * rng.normal(size=(1500, 16))].astype(np.float32)
+    data[1000] = 1e30  # beyond single precision when squared
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    got = additive.search(df, F.col("vec_id") % 100 == 50, shortlist=30, sample=200, codebooks=4).collect()
+    for q in range(50, len(data), 100):
+        want = sorted((i for i in range(len(data)) if i != q), key=lambda i: (-float(data[q].astype(float) @ data[i].astype(float)), i))[:20]  # noqa: B023
+        assert {r.vec_id for r in got if r.query_id == q} == set(want)
+
+
 def test_chat_keeps_maximal_conversations(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK", 2)
     talk = lambda c, *said: [(c, i, "user" if i % 2 == 0 else "assistant", s) for i, s in enumerate(said)]

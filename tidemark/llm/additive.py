@@ -1,12 +1,16 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of one entry from each of several full-dimensional codebooks. Codebooks start as residual
-k-means on a bounded sample and are then refitted together by least squares; encoding is a beam search over the codebooks. A query's
-inner products with all entries form a table; a code's score is a sum of looked-up values, for Euclidean distances less half
-the stored norm of the coded vector. The best of these are ranked again by the exact measure of the original vectors.
+k-means on a bounded sample and are then refitted together by least squares; encoding is a beam search over the codebooks. What
+the entries leave is coded by one step along each axis, of the row's own size. A query's inner products with all entries form a
+table; a code's score is a sum of looked-up values and of the query's steps, for Euclidean distances less half the stored norm.
+
+A code also stores the norm of what it still leaves, which bounds how far a score can be off. So a row stays in the list of a query
+unless k others are surely nearer: on rows that codebooks fit badly, and among many near copies, lists grow and no neighbour is lost.
+The lists are ranked by the exact measure of the original vectors.
 
 Queries meet codes in blocks: a block of up to QUERIES queries is in memory while the codes stream by, so codes are shuffled
-once for each such block and not once for each query; a copy of a code costs 40 bytes against QUERIES sums of looked-up values.
+once for each such block and not once for each query.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from tidemark.llm.common import settle
 #: Queries that share one pass over codes at most, and at least where tasks are too few for the cores; codes that one task of a
 #: pass reads at most. Matters of cost; any choice gives the same rows.
 QUERIES, FEWEST, CODES = 4096, 256, 1 << 17
+#: Rows that are coded at once; norms that single precision can square.
+CHUNK, LARGE = 2048, 1e15
 
 
 @dataclass
@@ -93,14 +99,34 @@ def usable(vector: Column, d: int | None = None) -> Column:
     return ok if d is None else ok & (F.size(vector) == d)
 
 
+def _steps(x: np.ndarray, books: Books) -> tuple[np.ndarray, ...]:
+    """(codes, steps, size of a step, error, half) of rows x: a query's product with a row is off by at most its norm times the error,
+    rounding of single precision included. Rows too large for single precision have an infinite error. half is half the squared norm."""
+    m, _, d = books.books.shape
+    fits = np.sqrt((x**2).sum(1)) < LARGE
+    safe = np.where(fits[:, None], x, 0)
+    codes = np.concatenate([books.encode(safe[i : i + 512].astype(np.float32)) for i in range(0, len(x), 512)])
+    left, spent = safe.copy(), np.zeros(len(x))
+    for b in range(m):
+        entries = books.books[b].astype(float)[codes[:, b]]
+        left -= entries
+        spent += np.sqrt((entries**2).sum(1))
+    size = (np.abs(left).max(1) / 127).astype(np.float32)
+    steps = np.rint(left / np.where(size > 0, size, 1)[:, None].astype(float)).clip(-127, 127).astype(np.int8)
+    coarse = steps * size[:, None].astype(float)
+    error = np.sqrt(((left - coarse) ** 2).sum(1)) + (d + m + 8) * 2.0**-22 * (spent + np.sqrt((coarse**2).sum(1)))
+    return codes, steps, size, np.where(fits, error, np.inf).astype(np.float32) * np.float32(1.000001), (x**2).sum(1) / 2
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = 400, sample: int = 16_384, codebooks: int = 32, id_col: str = "vec_id", vec_col: str = "embedding", measure: str = "product") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows nearest to each row of `queries`, itself left out; by inner product, or with
     `measure` "distance" by the Euclidean distance, whose negative is the score then.
 
     Vectors that are not usable, and rows with a null id, take no part; of vectors of several lengths those of the most frequent
     one do (ties: the longer). Ties of score go to the smaller id. Rows that repeat an id count as one candidate each,
-    but never for a query of the same id. Codebooks learn from at most `sample` rows; every row is coded and scored. No usable rows
-    in, no rows out.
+    but never for a query of the same id. Codebooks learn from at most `sample` rows; every row is coded and scored, but of equal vectors only
+    the k + 1 smallest ids, as no others can be in a result. A task that holds `shortlist` rows for each of its queries sifts them, and
+    puts out those that may still be neighbours. No usable rows in, no rows out.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), queries.alias("asks"))
@@ -110,18 +136,19 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = 40
     d, n = lengths["d"], lengths["count"]
     rows = rows.where(usable(F.col("v"), d))
     some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
-    kept = spark.sparkContext.broadcast(fit(np.array([r.v for r in some], np.float32), codebooks))
+    seen = np.array([r.v for r in some], float).reshape(-1, d)
+    kept = spark.sparkContext.broadcast(fit(seen[np.sqrt((seen**2).sum(1)) < LARGE].astype(np.float32), codebooks))
+    fields = ("codes", "steps", "sizes", "errors", "halves")
 
     def code(batches):
         for b in batches:
-            x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, d)
-            if not len(x):
-                continue
-            codes = np.concatenate([kept.value.encode(x[i : i + 512]) for i in range(0, len(x), 512)])
-            norms = (kept.value.decode(codes) ** 2).sum(1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([codes.tobytes()]), pa.array([norms.tobytes()])], names=["ids", "codes", "norms"])
-
-    coded = settle(rows.select("id", "v").mapInArrow(code, "ids array<long>, codes binary, norms binary"))
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+            for i in range(0, len(x), CHUNK):
+                ids = b.column(0).slice(i, CHUNK).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), *[pa.array([v.tobytes()]) for v in _steps(x[i : i + CHUNK], kept.value)]], names=["ids", *fields])
+
+    firsts = rows.select("id", "v").withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
+    coded = settle(firsts.select("id", "v").mapInArrow(code, "ids array<long>, " + ", ".join(f"{c} binary" for c in fields)))
     asked = rows.where("asks").select("id", "v")
     n_asked = asked.count()
     groups = -(-n // CODES)
@@ -130,46 +157,70 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = 40
     every = lambda upto: F.explode(F.sequence(F.lit(0), F.lit(upto - 1)))
     block_rows = (
         asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("items"))
-        .select("block", every(groups).alias("part"), F.lit(0).alias("kind"), F.col("items.id").alias("ids"), F.flatten("items.v").alias("v"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("norms"))
+        .select("block", every(groups).alias("part"), F.lit(0).alias("kind"), F.col("items.id").alias("ids"), F.flatten("items.v").alias("v"), *[F.lit(None).cast("binary").alias(c) for c in fields])
     )
-    code_rows = coded.select(every(blocks).alias("block"), F.pmod(F.hash(F.get("ids", F.lit(0))), F.lit(groups)).cast("int").alias("part"), F.lit(1).alias("kind"), "ids", F.array().cast(rows.schema["v"].dataType).alias("v"), "codes", "norms")
+    code_rows = coded.select(every(blocks).alias("block"), F.pmod(F.hash(F.get("ids", F.lit(0))), F.lit(groups)).cast("int").alias("part"), F.lit(1).alias("kind"), "ids", F.array().cast(rows.schema["v"].dataType).alias("v"), *fields)
     far = measure == "distance"
 
     def pass_over(batches):
-        now, ids, tables, best_s, best_i = None, None, None, None, None
+        now, ids, tables, held = None, None, None, []
 
         def out():
-            q, c = np.nonzero(best_i != np.iinfo(np.int64).min)
-            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_i[q, c])], names=["query_id", "vec_id"])
+            q, c = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(c)], names=["query_id", "vec_id"])
+
+        def sifted():
+            got = [np.concatenate(v) for v in zip(*held, strict=True)] if held else [np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+            may = got[2] >= least[got[0]]
+            return [tuple(v[may] for v in got)]
 
         for b in batches:
-            for block, part, kind, row_ids, v, codes, norms in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for block, part, kind, row_ids, v, *coded_rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == 0:
                     if now is not None:
+                        held = sifted()
                         yield out()
-                    now, ids = (block, part), np.array(row_ids, np.int64)
-                    books = kept.value.books
-                    tables = np.einsum("qd,mkd->mqk", np.array(v, np.float32).reshape(-1, d), books, optimize=True)
-                    best_s, best_i = np.empty((len(ids), 0), np.float32), np.empty((len(ids), 0), np.int64)
+                    now, ids, held = (block, part), np.array(row_ids, np.int64), []
+                    asked_x = np.array(v, float).reshape(-1, d)
+                    q = asked_x.astype(np.float32)
+                    length = (np.sqrt((asked_x**2).sum(1)) * 1.000001).astype(np.float32)
+                    tables = np.einsum("qd,mkd->mqk", q, kept.value.books, optimize=True)
+                    # surest: lower bounds of the k surely nearest; least: what an upper bound must reach
+                    surest, least = np.empty((len(ids), 0), np.float32), np.full(len(ids), -np.inf, np.float32)
                 elif now == (block, part):
-                    all_c, all_i = np.frombuffer(codes, np.uint8).reshape(-1, codebooks), np.array(row_ids, np.int64)
-                    half = np.frombuffer(norms, np.float32) / 2 if far else None
-                    for i in range(0, len(all_i), 2048):
-                        c, at = all_c[i : i + 2048], all_i[i : i + 2048]
+                    all_i = np.array(row_ids, np.int64)
+                    all_c, all_s = (np.frombuffer(x, t).reshape(len(all_i), -1) for x, t in zip(coded_rows[:2], (np.uint8, np.int8), strict=True))
+                    all_z, all_e, all_h = (np.frombuffer(x, t) for x, t in zip(coded_rows[2:], (np.float32, np.float32, np.float64), strict=True))
+                    wide = max(256, (1 << 22) // max(len(ids), 1))
+                    for i in range(0, len(all_i), wide):
+                        c, at, half = all_c[i : i + wide], all_i[i : i + wide], all_h[i : i + wide]
                         s = tables[0][:, c[:, 0]]
                         for m in range(1, codebooks):
                             s += tables[m][:, c[:, m]]
-                        if far:
-                            s -= half[i : i + 2048]
-                        s[ids[:, None] == at[None, :]] = -np.inf
-                        s, at = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(at, s.shape)], 1)
-                        if s.shape[1] > shortlist:
-                            cut = -np.partition(-s, shortlist - 1, axis=1)[:, shortlist - 1 : shortlist]
-                            keep = np.lexsort((at, -s), axis=1)[:, :shortlist] if (s >= cut).sum() > s.shape[0] * shortlist else np.nonzero(s >= cut)[1].reshape(len(s), shortlist)
-                            s, at = np.take_along_axis(s, keep, 1), np.take_along_axis(at, keep, 1)
-                        best_s, best_i = s, at
-                    best_i = np.where(np.isneginf(best_s), np.iinfo(np.int64).min, best_i)
+                        with np.errstate(invalid="ignore", over="ignore"):
+                            s += q @ (all_s[i : i + wide].astype(np.float32) * all_z[i : i + wide, None]).T
+                            off = np.multiply.outer(length, all_e[i : i + wide]) + np.float32(1e-37)
+                            if far:
+                                s -= half.astype(np.float32)
+                                off += (half * 2.0**-21).astype(np.float32)
+                            unsure = ~(np.isfinite(s) & np.isfinite(off))
+                            low, high = np.where(unsure, -np.inf, s - off), np.where(unsure, np.inf, s + off)
+                        own = ids[:, None] == at[None, :]
+                        low[own] = -np.inf
+                        surest = np.concatenate([surest, low], 1)
+                        if surest.shape[1] > k:
+                            surest = -np.partition(-surest, k - 1, axis=1)[:, :k]
+                        if surest.shape[1] == k:
+                            least = surest.min(1)
+                        r, col = np.nonzero((high >= least[:, None]) & ~own)
+                        held.append((r, at[col], high[r, col]))
+                        if sum(len(h[0]) for h in held) > shortlist * len(ids):
+                            held = sifted()
+                            if len(held[0][0]) > shortlist * len(ids) / 2:
+                                yield out()
+                                held = []
         if now is not None:
+            held = sifted()
             yield out()
 
     near = block_rows.unionByName(code_rows).repartition(blocks * groups, "block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(pass_over, "query_id long, vec_id long").distinct()
