@@ -131,6 +131,20 @@ def test_regions_of_states(spark):
     assert {r.state: r.region for r in df.select("state", region_of_state(clean_state(F.col("state"))).alias("region")).collect()} == states
 
 
+def test_quantiles_of_values_are_exact(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, -500, 0, 7, 99, rng.randrange(200), rng.randrange(10**7)])) for _ in range(3000)] + [("none", None), ("one", 5)]
+    df = spark.createDataFrame(rows, "k string, cents long").selectExpr("k", "cast(cents * 0.01bd as decimal(28,2)) as value").repartition(5)
+    got = {r.k: r for r in kpis.exact_quantiles(df, ["k"], {"p50": "0.5", "p99": "0.99"}).collect()}
+    for k in ("a", "b", None, "one"):
+        own = sorted(v for key, v in rows if key == k and v is not None)
+        assert [int(got[k][n] * 100) for n in ("p50", "p99")] == [own[-(-len(own) * q // 100) - 1] for q in (50, 99)]
+    assert set(got) == {"a", "b", None, "one"}
+    many = spark.range(3_000_000).selectExpr("cast((id * 7919 % 3000000) * 0.01bd as decimal(28,2)) as value").repartition(8)
+    assert float(kpis.value_quantile(many, "0.99").first()["limit"]) == 29699.99
+    assert [r.p50 for r in kpis.exact_quantiles(df.where("false"), [], {"p50": "0.5"}).collect()] == [None]
+
+
 def test_merged_sketches_are_near_the_exact_quantiles(spark):
     rng = random.Random(1)
     rows = [(D(2023, 1, 1) + dt.timedelta(days=rng.randrange(365)), rng.random() < 0.3, rng.lognormvariate(5, 1)) for _ in range(20_000)] + [(D(2023, 1, 1), False, None)]

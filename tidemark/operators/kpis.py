@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,27 +19,59 @@ def _total(condition: Column, value: str = "value") -> Column:
     return F.sum(F.when(condition, F.col(value)).otherwise(0))
 
 
-def value_quantile(totals: DataFrame, q: float, accuracy: int, name: str = "limit") -> DataFrame:
+#: Cents of a step in which the first count of a quantile goes.
+STEP = 10_000
+
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, str], column: str = "value") -> DataFrame:
+    """(keys, a column for each of `wanted`): the smallest value of whole cents with at least that share, a decimal text above 0, of a group's values.
+
+    Values are counted by steps first, then single values within those steps only that hold a quantile. So a window holds no more rows than
+    a group has steps, or a step has cents, however many values there are. Nulls do not count; keys may be null. A group
+    without values has no row, except that without keys there always is one.
+    """
+    group = [F.col(c) for c in keys]
+    cents = (F.col(column) * 100).cast("long")
+    at = F.floor(F.col("cents") / STEP)
+    counts = rows.select(*keys, cents.alias("cents")).groupBy(*keys, "cents").agg(F.count("*").alias("n"))
+    steps = counts.where("cents is not null").groupBy(*keys, at.alias("step")).agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*group)
+    upto = lambda c: F.sum("n").over(whole.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+    placed = steps.select(*keys, "step", "n", upto("step").alias("upto"), F.sum("n").over(whole).alias("total"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.ceil(F.col("total") * F.lit(q).cast("decimal(9,8)")).cast("long").alias("rank")) for k, q in wanted.items()]))
+    held = placed.select("*", ranks.alias("q")).where((F.col("q.rank") <= F.col("upto")) & (F.col("q.rank") > F.col("upto") - F.col("n")))
+    held = held.select(*[F.col(c).alias(f"of_{c}") for c in keys], F.col("step").alias("of_step"), F.col("q.name").alias("name"), (F.col("q.rank") - F.col("upto") + F.col("n")).alias("rank"))
+    same = lambda df, prefix: reduce(and_, [df[c].eqNullSafe(F.col(f"{prefix}{c}")) for c in keys], F.lit(True))
+    single = counts.withColumn("step", at)
+    near = single.join(F.broadcast(held), same(single, "of_") & (single["step"] == F.col("of_step")))  # a row a group and quantile
+    within = F.sum("n").over(Window.partitionBy(*group, "name").orderBy("cents").rowsBetween(Window.unboundedPreceding, 0))
+    found = near.withColumn("within", within).where((F.col("rank") <= F.col("within")) & (F.col("rank") > F.col("within") - F.col("n")))
+    kind = rows.schema[column].dataType
+    value = (F.col("cents").cast("decimal(20,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(kind)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, value)).alias(k) for k in wanted])
+
+
+def value_quantile(totals: DataFrame, q: str, name: str = "limit") -> DataFrame:
     """One row: the q-quantile of all orders' values."""
-    return totals.agg(F.percentile_approx("value", q, accuracy).alias(name))
+    return exact_quantiles(totals, (), {name: q})
 
 
 def monthly_kpis(base: DataFrame, flags: DataFrame, options: Options) -> DataFrame:
     """Thirty figures for each month of orders. Distinct products count by their line's month. Ratios are not rounded."""
-    large = value_quantile(flags, 0.99, options.quantile_accuracy)
+    large = value_quantile(flags, "0.99")
     orders = flags.crossJoin(F.broadcast(large)).withColumn("month", month_of(F.col("order_date")))  # one row
     is_large, extreme = F.col("value") > F.col("limit"), F.col("is_extreme")
     products = base.groupBy(month_of(F.col("order_date")).alias("month")).agg(F.count_distinct("product_id").alias("distinct_products"))
-    quantile = lambda q: F.percentile_approx("value", q, options.quantile_accuracy)
+    quantiles = exact_quantiles(orders, ["month"], {"median_order": "0.5", "p90_order": "0.9"})
     sums = orders.groupBy("month").agg(
         F.count("*").alias("orders"), F.sum("value").alias("revenue"), F.sum("units").alias("units"), F.sum("list_value").alias("list_revenue"), F.sum("lines").alias("lines"),
-        F.sum("discounted_lines").alias("discounted_lines"), F.sum("new_value").alias("new_revenue"), quantile(0.5).alias("median_order"), quantile(0.9).alias("p90_order"), F.max("value").alias("largest_order"),
+        F.sum("discounted_lines").alias("discounted_lines"), F.sum("new_value").alias("new_revenue"), F.max("value").alias("largest_order"),
         F.count_if(is_large).alias("large_orders"), _total(is_large).alias("large_revenue"), F.count_if(extreme).alias("extreme_orders"), _total(extreme).alias("extreme_revenue"),
         F.count_if("in_group").alias("group_orders"), F.count_distinct("order_date").alias("active_days"), F.max("order_date").alias("last_date"),
     )
     c = F.col
     days = F.dayofmonth(F.last_day("month"))
-    return sums.join(products, "month", "left").select(
+    return sums.join(products, "month", "left").join(quantiles.withColumnRenamed("month", "own"), F.col("month").eqNullSafe(F.col("own")), "left").select(
         "month", F.year("month").alias("year"), F.month("month").alias("month_number"), F.quarter("month").alias("quarter"), "orders", c("revenue").cast("double"), ratio(c("revenue"), c("orders")).alias("ticket"), "units",
         ratio(c("units"), c("orders")).alias("units_per_order"), ratio(c("revenue"), c("units")).alias("unit_price"), ratio(c("list_revenue"), c("units")).alias("unit_list_price"), pct(c("list_revenue") - c("revenue"), c("list_revenue")).alias("discount_pct"),
         pct(c("discounted_lines"), c("lines")).alias("discounted_lines_pct"), "distinct_products", pct(c("new_revenue"), c("revenue")).alias("new_products_pct"), c("median_order").cast("double"), c("p90_order").cast("double"), c("largest_order").cast("double"),
@@ -100,7 +135,7 @@ def largest_orders(base: DataFrame, as_of: date, days: int = 60, n: int = 50) ->
 def cleaning_impact(items: DataFrame, orders: DataFrame, valid: DataFrame, options: Options) -> DataFrame:
     """Month and situation of all orders, with those above the 99 % quantile of all."""
     all_ = line_situation(items, orders, valid)
-    limit = value_quantile(all_, 0.99, options.quantile_accuracy)
+    limit = value_quantile(all_, "0.99")
     odd = F.col("value") > F.col("limit")
     return all_.crossJoin(F.broadcast(limit)).groupBy(month_of(F.col("order_date")).alias("month"), "situation").agg(  # one row
         F.count("*").alias("orders"), F.sum("value").cast("double").alias("revenue"), F.count_if(odd).alias("atypical_orders"), _total(odd).cast("double").alias("atypical_revenue")
