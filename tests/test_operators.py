@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import ExtremeRule, OrderRules
 from tidemark.functions import clean_state, region_of_state
 from tidemark.operators import basket, calendar, cannibal, cubes, kpis, orders, sketches
+from tidemark.queries import products
 
 D = dt.date
 
@@ -125,6 +126,15 @@ def test_an_item_alone_in_its_group_has_no_peaks(spark):
     assert [r.grp for r in cannibal.group_cannibalization(summary).collect()] == ["both"]
 
 
+def test_the_list_of_peaks_has_items_alone_in_their_group(spark):
+    weeks = [D(2024, 2, 5) + dt.timedelta(weeks=k) for k in range(20)]
+    units = lambda k: 40.0 if k in (12, 15) else 10.0
+    grid = spark.createDataFrame([("a", "alone", w, units(k), units(k), units(k)) for k, w in enumerate(weeks)], "item string, grp string, week date, units double, revenue double, list_revenue double")
+    based = cannibal.with_baselines(grid)
+    assert [r.week for r in cannibal.detect_peaks(based, alone=True).orderBy("week").collect()] == [weeks[12], weeks[15]]
+    assert products.ORACLES["peaks"].count("members >= 2") == 0 and products.ORACLES["peak_summary"].count("members >= 2") == 1
+
+
 def test_regions_of_states(spark):
     states = {"AM": "NORTE", "ba": "NORDESTE", " df ": "CENTRO-OESTE", "RJ": "SUDESTE", "sc": "SUL", "XX": "SEM_INFO", "": "SEM_INFO", None: "SEM_INFO"}
     df = spark.createDataFrame([(s,) for s in states], "state string")
