@@ -99,3 +99,27 @@ def test_stored_tables_follow_their_files(spark, tmp_path):
     table, where = bucketed(spark.createDataFrame([(None, 1), (1, 2), (1, 3)], "k int, v int"), "k", 3)
     assert exists(spark, where) and sorted(r.v for r in table.collect()) == [1, 2, 3]
     assert bucketed(spark.range(0), "id")[0].count() == 0
+
+
+def test_what_every_query_stores_does_not_go_by_product(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = Base(spark, SF)
+        assert "first_date" not in b._stored()[0].columns and "new_value" not in b.marks.columns
+        assert not any("product_id" in e for e in _exchanges(b.lines.groupBy("order_id").agg(F.max("is_extreme"))))
+        files = b._stored()[0].inputFiles()
+        assert len(files) == len({re.search(r"_(\d{5})\.", f).group(1) for f in files})  # one a bucket, so they count as sorted
+        dealt = [e for e in _exchanges(O.flag_extremes(b.marks.drop("in_group", "is_extreme"), OPTIONS.extremes)) if "hashpartitioning(order_id" in e]
+        assert len(dealt) <= 1  # ids that are in a group; none if there are no groups
+        flags = {r.order_id: r for r in b.flags.collect()}
+        assert {r.order_id: r.new_value for r in O.order_totals(b.dated).collect()} == {k: r.new_value for k, r in flags.items()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_new_value_is_the_same_with_and_without_first_dates(spark):
+    rows = [(1, "a", 0, None), (1, "b", 0, None), (2, "a", 200, 5), (2, "c", 200, None), (3, "a", 201, 7), (4, None, 1, 3), (5, "d", 3, 2), (5, "a", 95, 4)]
+    lines = spark.createDataFrame(rows, "order_id long, product_id string, day int, price int").selectExpr(
+        "order_id", "product_id", "date_add(date'2020-01-01', day) as order_date", "true as has_professional", "'SP' as state", "cast(price as decimal(18,2)) as total_price", "cast(price as decimal(18,2)) as list_price", "cast(price as decimal(18,2)) as unit_price", "1L as units")
+    plain, dated = O.order_totals(lines), O.order_totals(O.with_first_sale(lines))
+    assert plain.dtypes == dated.dtypes and sorted(map(str, plain.collect())) == sorted(map(str, dated.collect()))
