@@ -132,3 +132,15 @@ def test_votes_of_no_matches_and_of_too_few():
     assert media.most_agreeing(np.array([0, 1, 1]), some, some, np.array([2, 2])).tolist() == [0, 2]
     assert media.most_agreeing(np.array([0, 1, 1]), some, some, np.array([1, 3])).tolist() == [1, 0]
     assert media.most_agreeing(np.array([1, 1, 1]), some[[0, 1, 1]], some[[0, 1, 1]], np.array([1, 1])).tolist() == [0, 2]
+
+
+def test_cells_are_dealt_out_once(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, 60, rng.integers(0, 256, (60, 60)).astype(np.uint8).tobytes()) for i in range(4)], "image_id long, width int, pixels binary")
+    found = media.packed(media.descriptors(df))
+    cells = media.shared_cells(found.union(found.selectExpr("image_id + 10", "pos", "d1", "d2", "n")))
+    cells.collect()
+    plan = cells._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(key") == 1 and "Join" not in plan
+    assert cells.count() == cells.where("b is not null or image_id < 10").count() > 0
+    assert all(a == b + 10 and p == q for a, b, p, q in media.matches(cells).collect())

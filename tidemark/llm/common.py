@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of stages that are settled and no longer referred to, which it does when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Sends whole texts to Python a thousand at a time, unless the session asks for a number of its own: a batch of texts is
     in memory several times over."""

@@ -22,9 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle, small, text_batches
+from tidemark.llm.common import release, remove, settle, small, text_batches
 from tidemark.llm.components import components
 from tidemark.llm.simhash import CELL, in_parts
+from tidemark.sources.bucketed import bucketed, stored
 
 #: Radius of what a descriptor sees, of the square in which a corner must be the greatest, and orientations told apart.
 REACH, APART, TURNS, LEVELS, BITS, TABLES = 7, 9, 24, 2, 128, 4
@@ -242,21 +243,22 @@ def in_tables(found: DataFrame) -> DataFrame:
     return found.select("image_id", "pos", F.explode(F.array(*rows)).alias("row")).select("row.key", "image_id", "pos", "row.half", "row.quarter")
 
 
-def shared_cells(found: DataFrame) -> DataFrame:
-    """The rows of in_tables() in cells of two images or more."""
+def shared_cells(found: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of in_tables() in cells of two images or more, dealt out by key once; b and pos_b are the image and corner of the cell's
+    first row, that of the smallest image, if this row matches it, else null."""
     rows = in_tables(found)
-    shared = in_tables(found.select("image_id", F.lit(0).alias("pos"), "d1", "d2")).groupBy("key").agg(F.min("image_id").alias("low"), F.max("image_id").alias("high")).where("low < high")
-    return rows.join(shared.select("key"), "key", "left_semi")
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    own = Window.partitionBy("key")
+    met = rows.withColumn("q", F.min(F.struct("image_id", "pos", "half", "quarter")).over(own)).withColumn("high", F.max("image_id").over(own)).where("q.image_id < high")
+    quarters = F.col("quarter").bitwiseXOR(F.col("q.quarter")).cast("long").bitwiseAND(0xFFFFFFFF)  # bit_count extends the sign
+    hit = (F.col("image_id") > F.col("q.image_id")) & (F.bit_count(F.col("half").bitwiseXOR(F.col("q.half"))) + F.bit_count(quarters) <= most_bits)
+    return met.select("key", "image_id", "pos", "half", "quarter", F.when(hit, F.col("q.image_id")).alias("b"), F.when(hit, F.col("q.pos")).alias("pos_b"))
 
 
-def matches(cells: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+def matches(cells: DataFrame) -> DataFrame:
     """(a, b, pos_a, pos_b): descriptors of image a that match one of image b < a. Each row of shared_cells() is compared with
     its cell's of the smallest image. Descriptors that differ in fewer than TABLES bits always share a cell."""
-    first = cells.groupBy("key").agg(F.min(F.struct("image_id", "pos", "half", "quarter")).alias("q"))
-    quarters = F.col("quarter").bitwiseXOR(F.col("q.quarter")).cast("long").bitwiseAND(0xFFFFFFFF)  # bit_count extends the sign
-    apart = F.bit_count(F.col("half").bitwiseXOR(F.col("q.half"))) + F.bit_count(quarters)
-    met = cells.join(first, "key").where((F.col("image_id") > F.col("q.image_id")) & (apart <= most_bits))
-    return met.select(F.col("image_id").alias("a"), F.col("q.image_id").alias("b"), F.col("pos").alias("pos_a"), F.col("q.pos").alias("pos_b"))
+    return cells.where("b is not null").select(F.col("image_id").alias("a"), "b", F.col("pos").alias("pos_a"), "pos_b")
 
 
 def _unpacked(pos: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -475,14 +477,19 @@ def copy_groups(images: DataFrame, votes: int = 4, share: float = 0.3) -> DataFr
     with fewer; with less than `votes` corners all of both must. An image without corners is a group by itself. Rows with a null id keep a null group; rows that repeat
     an id are one image, with the most corners of them. No rows in, no rows out.
     """
-    every = settle(packed(descriptors(images)))
+    spark = images.sparkSession
+    every = stored(packed(descriptors(images)))
     ids, found = every.select("image_id").distinct(), every.where("pos is not null")
     sizes = settle(found.groupBy("image_id").agg(F.max("n").alias("n_corners"), (F.count("*") > F.max("n")).alias("repeated"), *looks()))
     twins = settle(same_corners(sizes))
     found = found.join(small(twins.select(F.col("a").alias("image_id"))), "image_id", "left_anti")
-    cells = settle(shared_cells(found))
+    cells, where = bucketed(shared_cells(found), "key", dealt=True)
+    release(spark)
     first = settle(consensus(matches(cells), sizes, votes, share))
     pairs = settle(rivals(cells, components(first), sizes, votes, share))
+    del cells
+    remove(spark, where)
+    release(spark)
     sure = settle(first.union(pair_links(pairs, found, votes, share)).union(twins).distinct())
     groups = components(sure)
     linked = sure.groupBy("a").agg(F.count("*").alias("n_links"))
