@@ -1,6 +1,9 @@
 """Descriptors and copy groups of images: neighbours on a canvas, noise, and links that no smallest image of a cell shows."""
 
+from collections import namedtuple
+
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import media
 
@@ -144,3 +147,76 @@ def test_cells_are_dealt_out_once(spark):
     assert plan.count("Exchange hashpartitioning(key") == 1 and "Join" not in plan
     assert cells.count() == cells.where("b is not null or image_id < 10").count() > 0
     assert all(a == b + 10 and p == q for a, b, p, q in media.matches(cells).collect())
+
+
+Corner = namedtuple("Corner", "level y x turn d1 d2")
+
+
+def made_up_lists(rng, images=50):
+    """Corners that images share, at moves of few kinds, with up to 12 bits turned over, among them the first of a word; all (image,
+    team, corners)."""
+    words = rng.integers(-(1 << 63), (1 << 63) - 1, (12, 2))
+    out = []
+    for i in range(images):
+        of = []
+        for k in rng.choice(12, 9, replace=False).tolist():
+            at = rng.integers(0, 3, 2) * 40 if rng.random() < 0.3 else (i % 4) * np.array([50, 10])
+            turned = rng.choice(np.r_[:32, 63], 6, replace=False) + rng.integers(0, 2) * 64
+            bits = [int(words[k, h]) ^ sum(1 << int(b) % 64 for b in turned if b // 64 == h) for h in (0, 1)]
+            bits = [b - (1 << 64) if b >= 1 << 63 else b + (1 << 64) if b < -(1 << 63) else b for b in bits]
+            of.append(Corner(0, int(20 * k + at[0]), int(7 * k % 30 + at[1]), 0, *bits))
+        out.append((int(i * 7 % images), int(i % 9 // 3 * 100 if i % 9 < 5 else 1000 + i), of))
+    return out
+
+
+def wanted_links(lists):
+    return {(max(i, j), min(i, j)) for i, t, x in lists for j, u, y in lists if t < u and copies(x, y, len(x), len(y))}
+
+
+def top_groups(edges):
+    groups = {}
+    for a, b in edges:
+        one = groups.get(a, {a}) | groups.get(b, {b})
+        groups |= dict.fromkeys(one, one)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def position(c):
+    return ((c.y << 20 | c.x) * 4 + c.level) * 32 + c.turn
+
+
+def test_links_of_blocks_are_those_of_plain_loops_and_few_rows(spark):
+    lists = made_up_lists(np.random.default_rng(12))
+    wanted = wanted_links(lists)
+    rows = [(i, t, len(x), [position(c) for c in x], [c.d1 for c in x], [c.d2 for c in x]) for i, t, x in lists]
+    df = spark.createDataFrame(rows, "image_id long, team long, n_corners long, pos array<long>, d1 array<long>, d2 array<long>")
+    for most in (10_000, 50):
+        got = [tuple(r) for r in media.rival_links(df, 4, 0.3, most).collect()]
+        counts = {}
+        for a, _, n in got:
+            counts[a] = counts.get(a, 0) + n
+        assert {a: n for a, n in counts.items() if n} == {a: sum(i == a for i, _ in wanted) for a in {i for i, _ in wanted}}
+        assert top_groups((a, b) for a, b, _ in got) == top_groups(wanted)
+        assert len(wanted) > 200 and len(got) <= (6 if most > 50 else 9) * len(lists)
+
+
+def test_links_of_a_block_do_not_depend_on_how_many_pairs_are_in_a_step(monkeypatch):
+    lists = made_up_lists(np.random.default_rng(13))
+    wanted = wanted_links(lists)
+    table = pa.table({
+        "cell": pa.array([0] * len(lists), pa.int32()), "side": pa.array([0] * len(lists), pa.int32()), "image_id": [i for i, _, _ in lists], "team": [t for _, t, _ in lists],
+        "n_corners": [len(x) for *_, x in lists], "pos": [[position(c) for c in x] for *_, x in lists], "d1": [[c.d1 for c in x] for *_, x in lists], "d2": [[c.d2 for c in x] for *_, x in lists],
+    })
+    for pairs in (1, 37, 1 << 20):
+        monkeypatch.setattr(media, "PAIRS", pairs)
+        (got,) = media.block_links(table, 4, 0.3)
+        assert sum(got["n"].to_pylist()) == len(wanted) > 200 and len(got) <= len(lists)
+        assert top_groups(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == top_groups(wanted)
+    (none,) = media.block_links(table.set_column(1, "side", pa.array([1] * len(lists), pa.int32())), 4, 0.3)  # the other block has no images
+    assert len(none) == 0
+
+
+def test_matches_tell_bits_apart_by_all_64(spark):
+    bits = np.array([[5, 9], [-(1 << 63) + 5, 9]], np.int64).view(np.uint64)  # one bit apart, the first of a word
+    ((i, j),) = media.rival_matches(np.array([0, 1]), np.array([0, 1]), bits, np.array([0, 1]), np.array([0, 1]))
+    assert (i.tolist(), j.tolist()) == ([0], [1])

@@ -7,38 +7,34 @@ one of these are copies, and copies of copies form groups.
 
 Images whose corners are all the same are one image, that of the smallest id, until groups are told. Cells are compared
 twice. First every descriptor meets its cell's first, so a cell that a third of all images share makes as many rows as it has
-members. Then images of one cell that are not in one group by then meet each other, so no link between groups is lost. There
-an image that needs v votes and has c corners in such cells need not show all of them: of any c - v + k
-at least k vote, and these are its corners in the rarest cells. Pairs with k matches among them are compared whole.
+members. Then images of one cell that are not in one group by then meet each other, so no link between groups is lost. For that
+images with enough corners in such cells are dealt into blocks; every two blocks meet in a task, which finds all matches, counts
+votes and tells how many links each image has and a forest of them.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, remove, settle, small, text_batches
+from tidemark.llm.common import release, remove, settle, small
 from tidemark.llm.components import components
-from tidemark.llm.simhash import CELL, in_parts
+from tidemark.llm.simhash import top_of
 from tidemark.sources.bucketed import bucketed, stored
 
 #: Radius of what a descriptor sees, of the square in which a corner must be the greatest, and orientations told apart.
 REACH, APART, TURNS, LEVELS, BITS, TABLES = 7, 9, 24, 2, 128, 4
 #: Bits by which descriptors in one cell may differ.
 MOST_BITS = 12
-#: Matches, k above, that bring two images to the whole comparison. A matter of cost; any number finds all links.
-BRING = 3
-#: Bits of an id that tell images of one block, pairs of corners that are listed at once, and bytes of cells and lists.
-OTHERS, PAIRS, CELL_BYTES, LIST_BYTES = 20, 1 << 21, 16 << 20, 2 << 20
+#: Blocks of images at least, corners in a block, pairs of corners that are looked at at once, and bytes of lists. Matters of cost.
+BLOCKS, BLOCK, PAIRS, LIST_BYTES = 6, 3 << 20, 1 << 20, 2 << 20
 #: Grey between images above each other, and beside them. Corners and their strength reach two pixels out of an image at every
 #: level: with this much grey no level sees, or suppresses, across images. Even, so that levels fit.
 MARGIN, SIDE = (max(REACH, APART) + 5) << (LEVELS - 1), (REACH + 3) << (LEVELS - 1)
-#: Pixels, or pairs of corners, that are worked on at once: few enough to stay in a core's cache.
+#: Pixels that are worked on at once: few enough to stay in a core's cache.
 CANVAS = 1 << 17
 #: Corners must be at least as strong as this share of the strongest that 8-bit pixels allow.
 STRENGTH = 2e-3
@@ -323,132 +319,111 @@ def by_runs(rows: DataFrame, keys: list[str], work, kind: str, most_bytes: int)
     return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, kind)
 
 
-def rival_corners(cells: pa.Table):
-    """Batches (image, block, size, corners): corners of an image that match one of another image, of another team and with as many
-    corners or more, in one cell. Corners that are not shown (0) count only if the other image or their own has to show all (2).
-
-    The others are in blocks of 2 ** OTHERS ids; corners has the steps between sorted numbers, each a corner's rank and the place
-    of the other in its block. Size is how many corners the image has, 0 if either has to show all. Two corners that share several
-    parts meet in the table of the first."""
-    half, quarter, node, rank, size, team, shown, part, cell = (c.to_numpy().astype(np.int64) for c in cells.columns)
-    quarter = quarter.astype(np.int32).view(np.uint32)
-    _, inverse, counts = np.unique(cell, return_inverse=True, return_counts=True)
-    order = np.lexsort((shown == 0, inverse, -counts[inverse]))
-    half, quarter, node, rank, size, team, shown, part, cell = (c[order] for c in (half, quarter, node, rank, size, team, shown, part, inverse))
-    many = counts[cell]
-    new = np.r_[True, cell[1:] != cell[:-1]]
-    left = many - (np.arange(len(cell)) - np.flatnonzero(new)[np.cumsum(new) - 1]) - 1  # rows of the cell after this one
-    left[shown == 0] = 0  # those after it show nothing either
-
-    def listed(x, y):
-        image, other, of = node[x], node[y], np.where((shown[x] == 2) | (shown[y] == 2), 0, size[x])
-        block, code = other >> OTHERS, rank[x] << OTHERS | other & ((1 << OTHERS) - 1)
-        order = np.lexsort((code, of, block, image))
-        image, block, of, code = (c[order] for c in (image, block, of, code))
-        at = np.flatnonzero(np.r_[True, (image[1:] != image[:-1]) | (block[1:] != block[:-1]) | (of[1:] != of[:-1])])
-        steps = np.diff(code, prepend=0)
-        steps[at] = code[at]
-        lists = [zlib.compress(steps[s:e].tobytes(), 1) for s, e in zip(at.tolist(), [*at[1:].tolist(), len(code)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (image[at], block[at], of[at], lists)], names=["image", "block", "size", "corners"])
-
-    hits, held, d, i = [], 0, 0, np.flatnonzero(left > 0)
-    while len(i):
-        d += 1
-        j = i + d
-        fewer = (size[i] < size[j]) | ((size[i] == size[j]) & (node[i] < node[j]))
-        hit = (team[i] != team[j]) & (np.where(fewer, shown[i], shown[j]) + (shown[i] == 2) + (shown[j] == 2) > 0)
-        x, y, fewer = i[hit], j[hit], fewer[hit]
-        halves, quarters = half[x] ^ half[y], quarter[x] ^ quarter[y]
-        met = ((part[x] & 1 == 1) & (quarters == 0)) | ((part[x] > 1) & ((halves & 0xFFFFFFFF == 0) | (halves >> 32 == 0)))  # in a table before
-        near = ~met & (np.bitwise_count(halves) + np.bitwise_count(quarters) <= MOST_BITS)
-        x, y, fewer = x[near], y[near], fewer[near]
-        hits.append(np.stack([np.where(fewer, x, y), np.where(fewer, y, x)]).astype(np.int32))
-        held += len(x)
-        i = i[left[i] > d]
-        if held and (held >= PAIRS or not len(i)):
-            yield listed(*np.concatenate(hits, axis=1))
-            hits, held = [], 0
-
-
-def brought(lists: pa.Table, votes: int, share: float):
-    """Batches (a, b): images with enough of their corners in the lists of rival_corners(), which has whole (image, block, size)."""
-    image, block, size = (c.to_numpy() for c in lists.columns[:3])
-    codes = [np.frombuffer(zlib.decompress(c), np.int64).cumsum() for c in lists.column(3).to_pylist()]
-    first = np.r_[True, (image[1:] != image[:-1]) | (block[1:] != block[:-1]) | (size[1:] != size[:-1])]
-    of, code = np.repeat(np.cumsum(first) - 1, [len(c) for c in codes]), np.concatenate(codes)
-    image, block, size = image[first], block[first], size[first]
-    order = np.lexsort((code, of))
-    of, code = of[order], code[order]
-    once = np.r_[True, (of[1:] != of[:-1]) | (code[1:] != code[:-1])]  # parts of a large cell meet more than once
-    of, other = of[once], code[once] & ((1 << OTHERS) - 1)
-    order = np.lexsort((other, of))
-    of, other = of[order], other[order]
-    at = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (other[1:] != other[:-1])])
-    of, other, n = of[at], other[at], np.diff(np.r_[at, len(of)])
-    enough = n >= np.minimum(np.maximum(np.ceil(share * size - 1e-9), np.minimum(votes, size)), BRING)[of]
-    one, two = image[of][enough], (block[of] << OTHERS | other)[enough]
-    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
-
-
-def rivals(cells: DataFrame, groups: DataFrame, sizes: DataFrame, votes: int, share: float) -> DataFrame:
-    """(a, b) of images of shared_cells() that are not in one group and may be copies. sizes: (image_id, n_corners, repeated)."""
-    teams = cells.join(small(groups.select(F.col("node").alias("image_id"), "component")), "image_id", "left").withColumn("team", F.coalesce("component", "image_id"))
-    apart = F.bit_count("halves") + F.bit_count(F.col("quarters").cast("long").bitwiseAND(0xFFFFFFFF))  # of two rows
-    mixed = teams.groupBy("key").agg(F.count("*").alias("n"), F.min("team").alias("low"), F.max("team").alias("high"), F.bit_xor("half").alias("halves"), F.bit_xor("quarter").alias("quarters"))
-    mixed = mixed.where("low < high").where((F.col("n") > 2) | (apart <= MOST_BITS))  # two that do not match bring nothing
-    live = teams.join(mixed.select("key", "n"), "key").select("key", "image_id", "pos", "half", "quarter", "team", "n")
-    of, place = Window.partitionBy("image_id"), Window.partitionBy("image_id", "pos")  # an image's own corners
-    needed = F.greatest(F.ceil(share * F.col("n_corners") - 1e-9), F.least(F.lit(votes), "n_corners"))
-    live = live.join(small(sizes.select("image_id", "n_corners", "repeated")), "image_id").repartition("image_id").withColumn("busy", F.sum("n").over(place))  # one shuffle for all windows
-    live = live.withColumn("rank", F.dense_rank().over(of.orderBy("busy", "pos"))).withColumn("total", F.max("rank").over(of)).where(F.col("total") >= F.least(F.lit(votes), "n_corners"))  # others are no one's copies
-    showing = (F.col("total") >= needed) & (F.col("rank") <= F.col("total") - needed + F.least(needed, F.lit(BRING)))
-    rows = live.select(F.col("half").alias("fp"), "quarter", F.col("image_id").alias("node"), "rank", F.col("n_corners").cast("int").alias("size"), "team", F.when(F.col("repeated"), 2).when(showing, 1).otherwise(0).cast("byte").alias("shown"), F.shiftright("key", 32).cast("byte").alias("part"), "key", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
-    dealt = in_parts(rows, "key").select("fp", "quarter", "node", "rank", "size", "team", "shown", "part", "cell")
-    lists = by_runs(dealt, ["cell"], rival_corners, "image long, block long, size long, corners binary", CELL_BYTES)
-    return by_runs(lists, ["image", "block", "size"], lambda t: brought(t, votes, share), "a long, b long", LIST_BYTES)
+def spans(n: np.ndarray, most: int):
+    """Ranges (from, to) of places in n that sum to at most `most`, more only for a single place."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(int(np.searchsorted(ends, ends[at] - n[at] + most, side="right")), at + 1)
+        yield at, to
+        at = to
 
 
 def _voted(n: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, votes: int, share: float) -> np.ndarray:
     return (n > 0) & ((n >= votes) | ((n == n_a) & (n == n_b))) & (n >= share * np.minimum(n_a, n_b))
 
 
-def pair_links(pairs: DataFrame, found: DataFrame, votes: int = 4, share: float = 0.3) -> DataFrame:
-    """(a, b) of those pairs of images of packed() that are copies by the rules of matches() and consensus(). Both images' corners
-    are brought together, and only links leave the task."""
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("image_id")).distinct())
-    lists = settle(found.join(small(ids), "image_id", "left_semi").groupBy("image_id").agg(F.max("n").alias("n"), F.collect_list(F.struct("pos", "d1", "d2")).alias("corners")))
-    both = pairs.join(lists.toDF("a", "n_a", "of_a"), "a").join(lists.toDF("b", "n_b", "of_b"), "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
-    text_batches(pairs.sparkSession)
+def rival_matches(of: np.ndarray, team: np.ndarray, bits: np.ndarray, asking: np.ndarray, asked: np.ndarray):
+    """Arrays (i, j) of all matches of corners `asking` with corners `asked` of images of a greater team, all matches of an asking
+    image in one step, about PAIRS pairs of one cell a step. `of` is each corner's image, ascending in `asking`; bits are two words
+    a corner. Corners that share several parts meet in the table of the first."""
+    parts = bits.view(np.uint32)
+    sorts, froms, counts = [], [], []
+    for t in range(TABLES):
+        keys = parts[asked, t].astype(np.uint64) << np.uint64(32) | team[of[asked]].astype(np.uint64)
+        order = np.argsort(keys)
+        keys, own = keys[order], parts[asking, t].astype(np.uint64) << np.uint64(32)
+        low = np.searchsorted(keys, own | team[of[asking]].astype(np.uint64), side="right")
+        sorts.append(asked[order])
+        froms.append(low)
+        counts.append(np.searchsorted(keys, own | np.uint64(0xFFFFFFFF), side="right") - low)
+    first = np.flatnonzero(np.r_[True, of[asking][1:] != of[asking][:-1]]) if len(asking) else asking
+    ends = np.r_[first[1:], len(asking)]
+    for s, e in spans(np.add.reduceat(sum(counts), first) if len(first) else first, PAIRS):
+        hits = []
+        for t in range(TABLES):
+            n, low = counts[t][first[s] : ends[e - 1]], froms[t][first[s] : ends[e - 1]]
+            for k, m in spans(n, PAIRS):
+                i = np.repeat(np.arange(k, m), n[k:m])
+                j = sorts[t][np.arange(len(i)) - np.repeat(np.cumsum(n[k:m]) - n[k:m], n[k:m]) + low[i]]
+                i = asking[first[s] + i]
+                near = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= MOST_BITS
+                i, j = i[near], j[near]
+                new = ~(parts[i, :t] == parts[j, :t]).any(1)
+                hits.append(np.stack([i[new], j[new]]))
+        yield np.concatenate(hits, axis=1)
+
+
+def block_links(cells: pa.Table, votes: int, share: float):
+    """Batches (a, b, n) for each whole cell of two blocks of images, rows (cell, side, image_id, team, n_corners, pos, d1, d2): n
+    copies of image a have smaller ids and lie in another team and on the other side (1 or 2; all lie on side 0 if a block meets
+    itself). Edges (a, b) connect all copies, and are no more than images."""
+    cell = cells.column(0).to_numpy()
+    at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    for s, e in zip(at.tolist(), [*at[1:].tolist(), len(cell)], strict=True):
+        part = cells.slice(s, e - s)
+        part = part.take(pa.array(np.argsort(part["image_id"].to_numpy())))  # ids and places in one order
+        side, image, team, size = (part.column(k).to_numpy() for k in range(1, 5))
+        lists = [pa.concat_arrays(part.column(k).chunks) for k in range(5, 8)]
+        of = np.repeat(np.arange(len(image)), lists[0].value_lengths().to_numpy())
+        pos, *words = (x.flatten().to_numpy() for x in lists)
+        bits, team = np.stack(words, axis=1).view(np.uint64), np.unique(team, return_inverse=True)[1]
+        own, low, high = (np.flatnonzero(side[of] == k) for k in range(3))
+        top, n = np.arange(len(image)), np.zeros(len(image), np.int64)
+        for one, two in ((own, own), (low, high), (high, low)):
+            for i, j in rival_matches(of, team, bits, one, two):
+                pairs, pair, count = np.unique(of[i] * len(image) + of[j], return_inverse=True, return_counts=True)
+                least = np.minimum(size[pairs // len(image)], size[pairs % len(image)])
+                needed = np.maximum(np.ceil(share * least - 1e-9).astype(np.int64), np.minimum(votes, least))
+                enough = count >= needed
+                pairs, needed, place = pairs[enough], needed[enough], np.cumsum(enough) - 1
+                kept = enough[pair]
+                x, y = pairs // len(image), pairs % len(image)
+                keep = _voted(most_agreeing(place[pair[kept]], pos[i[kept]], pos[j[kept]], needed), size[x], size[y], votes, share)
+                x, y = x[keep], y[keep]
+                n += np.bincount(np.maximum(x, y), minlength=len(image))
+                for u, v in zip(x.tolist(), y.tolist(), strict=True):
+                    u, v = top_of(top, u), top_of(top, v)
+                    top[max(u, v)] = min(u, v)
+                while (top[top] != top).any():
+                    top = top[top]
+        told = (n > 0) | (top != np.arange(len(image)))
+        yield pa.RecordBatch.from_arrays([pa.array(image[told]), pa.array(image[top[told]]), pa.array(n[told])], names=["a", "b", "n"])
+
+
+def rival_lists(cells: DataFrame, groups: DataFrame, sizes: DataFrame, votes: int) -> DataFrame:
+    """(image_id, team, n_corners, pos, d1, d2): images that have enough corners in cells of shared_cells() with other teams, and lists
+    of these corners. A team is a group so far. sizes: (image_id, n_corners)."""
+    teams = cells.join(small(groups.select(F.col("node").alias("image_id"), "component")), "image_id", "left").withColumn("team", F.coalesce("component", "image_id"))
+    apart = F.bit_count("halves") + F.bit_count(F.col("quarters").cast("long").bitwiseAND(0xFFFFFFFF))  # of two rows
+    mixed = teams.groupBy("key").agg(F.count("*").alias("n"), F.min("team").alias("low"), F.max("team").alias("high"), F.bit_xor("half").alias("halves"), F.bit_xor("quarter").alias("quarters"))
+    mixed = mixed.where("low < high").where((F.col("n") > 2) | (apart <= MOST_BITS))  # two that do not match bring nothing
+    table, part, rest = F.shiftright("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF), F.col("quarter").cast("long")
+    own = F.when(table % 2 == 0, F.shiftleft(rest, 32).bitwiseOR(part)).otherwise(F.shiftleft(part, 32).bitwiseOR(rest.bitwiseAND(0xFFFFFFFF)))
+    live = teams.join(mixed.select("key"), "key").select("image_id", "team", "pos", F.when(table < 2, own).otherwise(F.col("half")).alias("d1"), F.when(table < 2, F.col("half")).otherwise(own).alias("d2"))
+    lists = live.repartition("image_id").groupBy("image_id").agg(F.max("team").alias("team"), F.collect_set(F.struct("pos", "d1", "d2")).alias("corners"), F.size(F.collect_set("pos")).alias("total"))
+    lists = lists.join(sizes.select("image_id", "n_corners"), "image_id").where(F.col("total") >= F.least(F.lit(votes), "n_corners"))  # others are no one's copies
+    return lists.select("image_id", "team", "n_corners", *(F.col(f"corners.{c}").alias(c) for c in ("pos", "d1", "d2")))
+
 
-    def run(batches):
-        for batch in batches:
-            a, b, n_a, n_b = (c.to_numpy() for c in batch.columns[:4])
-            (from_a, *of_a), (from_b, *of_b) = ((c.offsets.to_numpy(), *(c.values.field(k).to_numpy() for k in range(3))) for c in batch.columns[4:])
-            pair = np.repeat(np.arange(len(a)), np.diff(from_a))  # of each corner of a
-            hits: list[np.ndarray] = []
-            sizes = np.diff(from_b)[pair]
-            ends = np.cumsum(sizes)
-            at = 0
-            while at < len(pair):
-                to = max(int(np.searchsorted(ends, ends[at] - sizes[at] + CANVAS, side="right")), at + 1)
-                n = sizes[at:to]
-                i = np.repeat(np.arange(at, to), n)
-                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + from_b[pair[i]]
-                i += from_a[0]
-                x, y = of_a[1][i] ^ of_b[1][j], of_a[2][i] ^ of_b[2][j]
-                part = (x.astype(np.uint32) == 0) | (x >> 32 == 0) | (y.astype(np.uint32) == 0) | (y >> 32 == 0)
-                hit = np.flatnonzero(part & (np.bitwise_count(x) + np.bitwise_count(y) <= MOST_BITS))
-                hits.append(np.stack([pair[i[hit] - from_a[0]], i[hit], j[hit]]))
-                at = to
-            k, i, j = np.concatenate([np.empty((3, 0), np.int64), *hits], axis=1)
-            least = np.minimum(n_a, n_b)
-            needed = np.maximum(np.ceil(share * least - 1e-9).astype(np.int64), np.minimum(votes, least))
-            enough = np.bincount(k, minlength=len(a))[k] >= needed[k]
-            k, i, j = k[enough], i[enough], j[enough]
-            keep = _voted(most_agreeing(k, of_a[0][i], of_b[0][j], needed), n_a, n_b, votes, share)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+def rival_links(lists: DataFrame, votes: int, share: float, most: int = BLOCK) -> DataFrame:
+    """(a, b, n) of block_links() over all pairs of rival_lists(), each pair once. Images are dealt into blocks of about `most` corners, every
+    two blocks meet in a task, so what travels is the lists times the number of blocks, and neither matches nor pairs are rows."""
+    blocks = max(BLOCKS, -(-(lists.agg(F.sum(F.size("pos"))).first()[0] or 0) // most))
+    dealt = lists.withColumn("block", F.pmod(F.xxhash64("image_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cell = F.greatest("block", "other") * F.lit(blocks) + F.least("block", "other")
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    rows = dealt.select(cell.alias("cell"), side.alias("side"), "image_id", "team", "n_corners", "pos", "d1", "d2")
+    return by_runs(rows, ["cell"], lambda t: block_links(t, votes, share), "a long, b long, n long", LIST_BYTES)
 
 
 def consensus(matched: DataFrame, sizes: DataFrame, votes: int = 4, share: float = 0.3) -> DataFrame:
@@ -486,13 +461,14 @@ def copy_groups(images: DataFrame, votes: int = 4, share: float = 0.3) -> DataFr
     cells, where = bucketed(shared_cells(found), "key", dealt=True)
     release(spark)
     first = settle(consensus(matches(cells), sizes, votes, share))
-    pairs = settle(rivals(cells, components(first), sizes, votes, share))
+    lists = stored(rival_lists(cells, components(first), sizes, votes))
     del cells
     remove(spark, where)
     release(spark)
-    sure = settle(first.union(pair_links(pairs, found, votes, share)).union(twins).distinct())
-    groups = components(sure)
-    linked = sure.groupBy("a").agg(F.count("*").alias("n_links"))
+    one = F.lit(1).cast("long").alias("n")  # no link is of two kinds: second ones are of different groups of first ones, twins are in no cell
+    sure = first.select("a", "b", one).union(settle(rival_links(lists, votes, share))).union(twins.select("a", "b", one))
+    groups = components(sure.select("a", "b"))
+    linked = sure.groupBy("a").agg(F.sum("n").alias("n_links"))
     return (
         ids.join(sizes.select("image_id", "n_corners"), "image_id", "left").join(groups, ids["image_id"] == groups["node"], "left").join(linked, ids["image_id"] == linked["a"], "left")
         .select("image_id", F.coalesce("n_corners", F.lit(0).cast("long")).alias("n_corners"), F.coalesce("component", "image_id").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
