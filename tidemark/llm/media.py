@@ -8,8 +8,8 @@ one of these are copies, and copies of copies form groups.
 Images whose corners are all the same are one image, that of the smallest id, until groups are told. Cells are compared
 twice. First every descriptor meets its cell's first, so a cell that a third of all images share makes as many rows as it has
 members. Then images of one cell that are not in one group by then meet each other, so no link between groups is lost. For that
-images with enough corners in such cells are dealt into blocks; every two blocks meet in a task, which finds all matches, counts
-votes and tells how many links each image has and a forest of them.
+images with enough corners that match in such cells are dealt into blocks; every two blocks meet in a task, which finds all
+matches, counts votes and tells how many links each image has and a forest of them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import release, remove, settle, small
 from tidemark.llm.components import components
-from tidemark.llm.simhash import top_of
+from tidemark.llm.simhash import CELL, top_of
 from tidemark.sources.bucketed import bucketed, stored
 
 #: Radius of what a descriptor sees, of the square in which a corner must be the greatest, and orientations told apart.
@@ -30,7 +30,7 @@ REACH, APART, TURNS, LEVELS, BITS, TABLES = 7, 9, 24, 2, 128, 4
 #: Bits by which descriptors in one cell may differ.
 MOST_BITS = 12
 #: Blocks of images at least, corners in a block, pairs of corners that are looked at at once, and bytes of lists. Matters of cost.
-BLOCKS, BLOCK, PAIRS, LIST_BYTES = 6, 3 << 20, 1 << 20, 2 << 20
+BLOCKS, BLOCK, PAIRS, LIST_BYTES = 4, 3 << 20, 1 << 20, 2 << 20
 #: Grey between images above each other, and beside them. Corners and their strength reach two pixels out of an image at every
 #: level: with this much grey no level sees, or suppresses, across images. Even, so that levels fit.
 MARGIN, SIDE = (max(REACH, APART) + 5) << (LEVELS - 1), (REACH + 3) << (LEVELS - 1)
@@ -293,9 +293,10 @@ def most_agreeing(pair: np.ndarray, pos_a: np.ndarray, pos_b: np.ndarray, needed
     return most
 
 
-def by_runs(rows: DataFrame, keys: list[str], work, kind: str, most_bytes: int) -> DataFrame:
+def by_runs(rows: DataFrame, keys: list[str], work, kind: str, most_bytes: int, dealt: bool = False) -> DataFrame:
     """What `work` makes of whole runs of rows with equal keys: it takes an Arrow table of many runs at a time, its columns those
-    of `rows`, and yields batches of the given kind. About `most_bytes` are held, more only for a single run."""
+    of `rows`, and yields batches of the given kind. About `most_bytes` are held, more only for a single run. dealt: rows with equal
+    keys are in one partition already."""
 
     def run(batches):
         kept, held, most = [], 0, most_bytes
@@ -316,7 +317,7 @@ def by_runs(rows: DataFrame, keys: list[str], work, kind: str, most_bytes: int)
             yield from work(pa.Table.from_batches(kept))
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, kind)
+    return (rows if dealt else rows.repartition(n, *keys)).sortWithinPartitions(*keys).mapInArrow(run, kind)
 
 
 def spans(n: np.ndarray, most: int):
@@ -400,18 +401,41 @@ def block_links(cells: pa.Table, votes: int, share: float):
         yield pa.RecordBatch.from_arrays([pa.array(image[told]), pa.array(image[top[told]]), pa.array(n[told])], names=["a", "b", "n"])
 
 
+def matched_corners(cells: pa.Table):
+    """Those rows (key, image_id, pos, half, quarter, team) of whole cells that match one of another team; of cells with more than CELL rows
+    all. Two corners that share several parts count in the table of the first."""
+    key, half, quarter, team = (cells[c].to_numpy() for c in ("key", "half", "quarter", "team"))
+    half, quarter, table = half.view(np.uint64), quarter.view(np.uint32), key >> 32
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[at, len(key)])
+    live = np.repeat(size > CELL, size)
+    left = np.where(live, 0, np.repeat(at + size, size) - np.arange(len(key)) - 1)  # rows of the cell after this one
+    for s, e in spans(left, PAIRS):
+        n = left[s:e]
+        i = np.repeat(np.arange(s, e), n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
+        halves, quarters = half[i] ^ half[j], quarter[i] ^ quarter[j]
+        hit = np.flatnonzero((np.bitwise_count(halves) + np.bitwise_count(quarters) <= MOST_BITS) & (team[i] != team[j]))
+        i, j, halves, quarters = i[hit], j[hit], halves[hit], quarters[hit]
+        met = ((table[i] % 2 == 1) & (quarters == 0)) | ((table[i] > 1) & ((halves.astype(np.uint32) == 0) | (halves >> np.uint64(32) == 0)))  # in a table before
+        live[i[~met]] = live[j[~met]] = True
+    yield from cells.filter(pa.array(live)).to_batches()
+
+
 def rival_lists(cells: DataFrame, groups: DataFrame, sizes: DataFrame, votes: int) -> DataFrame:
-    """(image_id, team, n_corners, pos, d1, d2): images that have enough corners in cells of shared_cells() with other teams, and lists
-    of these corners. A team is a group so far. sizes: (image_id, n_corners)."""
+    """(image_id, team, n_corners, pos, d1, d2): images with enough corners that match corners of other teams, and lists of these corners.
+    A team is a group so far. cells: shared_cells(), sizes: (image_id, n_corners, repeated)."""
     teams = cells.join(small(groups.select(F.col("node").alias("image_id"), "component")), "image_id", "left").withColumn("team", F.coalesce("component", "image_id"))
-    apart = F.bit_count("halves") + F.bit_count(F.col("quarters").cast("long").bitwiseAND(0xFFFFFFFF))  # of two rows
-    mixed = teams.groupBy("key").agg(F.count("*").alias("n"), F.min("team").alias("low"), F.max("team").alias("high"), F.bit_xor("half").alias("halves"), F.bit_xor("quarter").alias("quarters"))
-    mixed = mixed.where("low < high").where((F.col("n") > 2) | (apart <= MOST_BITS))  # two that do not match bring nothing
+    of = Window.partitionBy("key")  # leaves a cell's rows beside each other
+    mixed = teams.withColumn("low", F.min("team").over(of)).withColumn("high", F.max("team").over(of)).where("low < high").select("key", "image_id", "pos", "half", "quarter", "team")
+    live = by_runs(mixed, ["key"], matched_corners, "key long, image_id long, pos long, half long, quarter int, team long", LIST_BYTES, dealt=True)
     table, part, rest = F.shiftright("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF), F.col("quarter").cast("long")
     own = F.when(table % 2 == 0, F.shiftleft(rest, 32).bitwiseOR(part)).otherwise(F.shiftleft(part, 32).bitwiseOR(rest.bitwiseAND(0xFFFFFFFF)))
-    live = teams.join(mixed.select("key"), "key").select("image_id", "team", "pos", F.when(table < 2, own).otherwise(F.col("half")).alias("d1"), F.when(table < 2, F.col("half")).otherwise(own).alias("d2"))
+    live = live.select("image_id", "team", "pos", F.when(table < 2, own).otherwise(F.col("half")).alias("d1"), F.when(table < 2, F.col("half")).otherwise(own).alias("d2"))
     lists = live.repartition("image_id").groupBy("image_id").agg(F.max("team").alias("team"), F.collect_set(F.struct("pos", "d1", "d2")).alias("corners"), F.size(F.collect_set("pos")).alias("total"))
-    lists = lists.join(sizes.select("image_id", "n_corners"), "image_id").where(F.col("total") >= F.least(F.lit(votes), "n_corners"))  # others are no one's copies
+    lists = lists.join(sizes.select("image_id", "n_corners"), "image_id")
+    if sizes.where("repeated").isEmpty():  # images under one id can have several places that agree with a single one of another image
+        lists = lists.where(F.col("total") >= F.least(F.lit(votes), "n_corners"))  # others are no one's copies
     return lists.select("image_id", "team", "n_corners", *(F.col(f"corners.{c}").alias(c) for c in ("pos", "d1", "d2")))
 
 
