@@ -30,7 +30,7 @@ REACH, APART, TURNS, LEVELS, BITS, TABLES = 7, 9, 24, 2, 128, 4
 #: Bits by which descriptors in one cell may differ.
 MOST_BITS = 12
 #: Blocks of images at least, corners in a block, pairs of corners that are looked at at once, and bytes of lists. Matters of cost.
-BLOCKS, BLOCK, PAIRS, LIST_BYTES = 4, 3 << 20, 1 << 20, 2 << 20
+BLOCKS, BLOCK, PAIRS, LIST_BYTES = 4, 3 << 19, 1 << 20, 2 << 20
 #: Grey between images above each other, and beside them. Corners and their strength reach two pixels out of an image at every
 #: level: with this much grey no level sees, or suppresses, across images. Even, so that levels fit.
 MARGIN, SIDE = (max(REACH, APART) + 5) << (LEVELS - 1), (REACH + 3) << (LEVELS - 1)
@@ -344,12 +344,12 @@ def rival_matches(of: np.ndarray, team: np.ndarray, bits: np.ndarray, asking: np
         order = np.argsort(keys)
         keys, own = keys[order], parts[asking, t].astype(np.uint64) << np.uint64(32)
         low = np.searchsorted(keys, own | team[of[asking]].astype(np.uint64), side="right")
-        sorts.append(asked[order])
-        froms.append(low)
-        counts.append(np.searchsorted(keys, own | np.uint64(0xFFFFFFFF), side="right") - low)
+        sorts.append(asked[order].astype(np.int32))
+        froms.append(low.astype(np.int32))
+        counts.append(np.searchsorted(keys, own | np.uint64(0xFFFFFFFF), side="right").astype(np.int32) - froms[-1])
     first = np.flatnonzero(np.r_[True, of[asking][1:] != of[asking][:-1]]) if len(asking) else asking
     ends = np.r_[first[1:], len(asking)]
-    for s, e in spans(np.add.reduceat(sum(counts), first) if len(first) else first, PAIRS):
+    for s, e in spans(np.add.reduceat(sum(counts), first, dtype=np.int64) if len(first) else first, PAIRS):
         hits = []
         for t in range(TABLES):
             n, low = counts[t][first[s] : ends[e - 1]], froms[t][first[s] : ends[e - 1]]
