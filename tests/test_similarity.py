@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import neighbours as N
 from tidemark.operators import similarity as S
 from tidemark.plans import dashboard as D
+from tidemark.sources.bucketed import bucketed
 
 
 def frame(spark, x, fold=None):
@@ -67,6 +68,42 @@ def test_only_near_cells_are_asked_again(spark):
     assert S.knn_neighbours(odd, ["a", "b"]).count() == 0 and S.knn_neighbours(odd.where("false"), ["a", "b"]).count() == 0
 
 
+def test_few_cells_are_asked_again_without_clusters(spark):
+    x = np.random.default_rng(8).normal(size=(2400, 5))
+    df = spark.createDataFrame([(f"p{i:04d}", *map(float, v)) for i, v in enumerate(x)], "item string, a double, b double, c double, d double, e double")
+    rows = df.select("item", F.col("item").alias("apart"), F.array(*"abcde").alias("x"))
+    placed, cells = N.placed_items(rows, 5, 150)
+    assert N.cells_in_reach(placed, N._met(placed, placed, 5, 5, 150), cells, 5, 5).count() < 0.5 * 2400 * 15  # 0.75 with cells around pivots
+    got = S.knn_neighbours(df, list("abcde"), 5, 150).toPandas().sort_values(["item", "rank"])
+    d = np.sqrt(sum((x[:, f, None] - x[:, f]) ** 2 for f in range(5))) + np.diag(np.full(2400, np.inf))
+    order = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert (got.neighbour.to_numpy().reshape(-1, 5) == np.array([f"p{i:04d}" for i in range(2400)])[order]).all()
+    assert (got.distance.to_numpy().reshape(-1, 5) == np.take_along_axis(d, order, 1)).all()
+
+
+def test_nearest_in_a_task_with_copies_kinds_and_limits():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(1500, 4))
+    x[500:900], x[900:1200] = x[0], np.round(x[900:1200])  # more copies than a leaf holds, and ties
+    for kind in (np.arange(1500), np.arange(1500) % 4):
+        d = np.sqrt(sum((x[:, f, None] - x[:, f]) ** 2 for f in range(4)))
+        d[kind[:, None] == kind] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :5]
+        for limit in (np.inf, 0.4):
+            want = np.take_along_axis(np.where(d <= limit, d, np.inf), order, 1)
+            best, place = N.nearest(x, kind, np.full(1500, limit), x, kind, 5)
+            assert (best == want).all() and (place == order)[np.isfinite(want)].all()
+
+
+def test_features_of_a_cube_stored_by_product_need_no_exchange(spark):
+    rows = [(f"p{i % 40}", D_(2023, 1, 2) + timedelta(weeks=i % 30), "COM_X", i % 7 + 1, float(i), float(i) + 1) for i in range(900)]
+    cube = spark.createDataFrame(rows, "product_id string, week date, channel string, units long, revenue double, list_revenue double")
+    table, _ = bucketed(cube, "product_id", 4)
+    got = S.product_features(table, fill=False)
+    assert "hashpartitioning(item" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["item"]: (r.units, r.cv) for r in got.collect()}.keys() == {f"p{i}" for i in range(40)}
+
+
 def test_profile_is_of_active_products_from_the_start_with_curves(spark):
     weeks = [D_(2023, 1, 2) + timedelta(weeks=k) for k in range(60)]
     units = {"up": lambda k: 10 + k, "up too": lambda k: 20 + 2 * k, "down": lambda k: 100 - k, "down too": lambda k: 60 - k, "few": lambda k: 5 if k > 50 else 0, "old": lambda k: 9 if k < 20 else 0}
