@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ratio
 from tidemark.operators.cubes import active_products
 from tidemark.operators.neighbours import knn_neighbours
+from tidemark.sources.bucketed import bucketed, stored
 from tidemark.sources.stages import settle
 
 FEATURES = ("log_price", "discount", "professional_share", "trend", "cv", "q1", "q2", "q3", "q4")
@@ -75,7 +76,7 @@ def curve_components(cube: DataFrame, item: str = "product_id", components: int
     k = min(components, len(names))
     if not k:
         return scaled.select("item")
-    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(scaled)
+    vectors = stored(VectorAssembler(inputCols=names, outputCol="v").transform(scaled).select("item", "v"))  # several passes read it
     got = PCA(k=k, inputCol="v", outputCol="p").fit(vectors).transform(vectors)
     return got.select("item", *[vector_to_array("p")[i].alias(f"curve{i + 1}") for i in range(k)])
 
@@ -85,7 +86,7 @@ def similarity_profile(cube: DataFrame, as_of: date | None = None, start: date |
     weeks from `start` on and before `as_of`, by those weeks only; gaps get the median. Signs of curves are arbitrary, distances are not."""
     rows = cube.where(F.col("week") >= F.lit(start)) if start else cube
     rows = rows.where(F.col("week") < F.lit(as_of)) if as_of else rows
-    rows = settle(rows.join(active_products(rows, least_weeks).select("product_id"), "product_id", "left_semi"))
+    rows = bucketed(rows.join(active_products(rows, least_weeks).select("product_id"), "product_id", "left_semi"), "product_id", dealt=True)[0]
     curves = curve_components(rows, "product_id", len(CURVES))
     curves = curves.withColumns({c: F.lit(0.0) for c in CURVES if c not in curves.columns})
     return standardise(product_features(rows).join(curves, "item"), [*FEATURES, *CURVES])
@@ -109,7 +110,7 @@ def catalog_consistency(features: DataFrame, columns: Sequence[str], groups: Dat
     folded = kept.withColumn("fold", fold)
     near = knn_neighbours(features.select("item", *columns).join(folded, "item"), columns, k, apart="fold")
     own, vote = kept.toDF("item", "own"), kept.toDF("neighbour", "vote")
-    top = near.join(own, "item").join(vote, "neighbour")
+    top = near.join(vote, "neighbour").join(own, "item")  # by item last: votes are counted and ranked where they lie
     votes = top.groupBy("item", "own", "vote").agg(F.count("*").alias("n"), F.min("distance").alias("d"))
     won = votes.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("n"), "d", "vote"))).where("place = 1")
     shares = kept.groupBy("grp").count().withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy())).agg(F.sum(F.col("p") * F.col("p")).alias("chance"))  # a row a group
