@@ -212,3 +212,28 @@ def test_verdicts_need_only_the_weeks_and_items_that_can_be_evidence(spark, monk
     assert {(r.item_a, r.item_b) for r in sparse} == {(r.item_a, r.item_b) for r in candidates.collect()}
     assert all(near(r.pair_rate, rates.get((r.item_a, r.item_b))) and near(r["corr"], corrs.get((r.item_a, r.item_b))) for r in sparse)
     assert cannibal.top_of_group(rows, 3, D(2030, 1, 7), spine).count() == 0
+
+
+def test_sparse_peaks_and_pairs_equal_those_of_the_dense_grid(spark, monkeypatch):
+    rng = random.Random(12)
+    weeks = [D(2024, 2, 5) + dt.timedelta(weeks=k) for k in range(60)]
+    cube = [(f"p{i:02}", f"g{i % 3}", w, rng.choice([1, 2, 4, 20]), rng.randrange(0, 50), rng.choice([0, 60])) for i in range(14) for w in weeks if rng.random() < (0.9 if i % 4 else 0.6)]
+    cube += [("lone", "g9", w, 30 if k % 7 == 0 else 4, 3, 6) for k, w in enumerate(weeks)]
+    df = spark.createDataFrame(cube, "product_id string, subgroup string, week date, units long, revenue long, list_revenue long")
+    rows, spine = cannibal.weekly_sums(df, "product_id", "subgroup", 20)
+    grid = cannibal.dense(rows, spine)
+    plain = cannibal.with_baselines(grid)
+    as_set = lambda df: {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()}
+    monkeypatch.setattr(cannibal, "dense", None)
+    for args in ({}, {"alone": True}, {"start": weeks[30]}):
+        peaks, want = cannibal.sparse_peaks(rows, spine, **args), cannibal.detect_peaks(plain, **args)
+        assert peaks.columns == want.columns and as_set(peaks) == as_set(want) and want.count() > 20
+    peaks = cannibal.detect_peaks(plain)
+    assert as_set(cannibal.sparse_peak_pairs(peaks, rows, spine, 3)) == as_set(cannibal.peak_pairs(peaks, plain, 3))
+    late = cannibal.detect_peaks(plain, start=weeks[20])
+    assert as_set(cannibal.sparse_peak_pairs(late, rows, spine, 3, weeks[20])) == as_set(cannibal.peak_pairs(late, plain, 3, weeks[20]))
+    assert cannibal.sparse_peaks(rows.where("false"), spine).count() == 0
+    pairs, store = cannibal.candidate_pairs(grid, k=4), grid.groupBy("week").agg(F.sum("units").alias("units"))
+    assert as_set(cannibal.sparse_corr(rows, store, pairs)) == as_set(cannibal.weekly_corr(cannibal.log_diff_residual(grid), pairs))
+    alone, of = rows.where("item = 'lone'"), spark.createDataFrame([("lone", "lone")], "item_a string, item_b string")
+    assert [r["corr"] for r in cannibal.sparse_corr(alone, alone.select("week", "units"), of).collect()] == [None]  # moves as the store does
