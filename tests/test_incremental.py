@@ -69,3 +69,19 @@ def test_late_batch_equals_a_full_build_and_leaves_other_weeks_alone(spark, tmp_
 
     same, none = I.refreshed(after, all_items, all_orders, changed.limit(0), OPTIONS)
     assert none.count() == 0 and rows(same.flags, full.flags.columns) == rows(full.flags, full.flags.columns)
+
+
+def test_a_late_batch_leaves_stored_lines_where_they_lie(spark, tmp_path):
+    items, orders = data()
+    late = [line(901, "p3", D(2023, 3, 5), 60), line(901, "p4", D(2023, 3, 5), 60), line(5, "p7", items[0][7], 1, 9), line(7, "p9", D(2023, 5, 5), 2000, 9)]
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    all_items, all_orders = make(items + late, ITEM), make([*orders, (901, "ok", None, 1, None, "SP")], ORDER)
+    before = I.full_state(make(items, ITEM), make(orders, ORDER), OPTIONS, new_value=False)
+    after, weeks = I.refreshed(before, all_items, all_orders, I.changed_orders(make(late, ITEM), all_orders.limit(0)), OPTIONS)
+    full = I.full_state(all_items, all_orders, OPTIONS, new_value=False)
+    rows = lambda df, columns: sorted(map(str, df.select(*sorted(columns)).collect()))
+    for got, want in ((after.lines, full.lines), (after.flags, full.flags)):
+        assert rows(got, want.columns) == rows(want, want.columns) and "new_value" not in want.columns
+    assert "Exchange hashpartitioning" not in after.lines._jdf.queryExecution().executedPlan().toString()
+    assert set(before.lines.inputFiles()) <= set(after.lines.inputFiles())  # the old lines are not written again
+    assert 0 < weeks.count() < 30
