@@ -31,6 +31,8 @@ class State:
 
     lines: DataFrame
     flags: DataFrame
+    #: lines with is_extreme of their order, joined where both lie.
+    marked: DataFrame
 
 
 def _by_order(df: DataFrame, dealt: bool = True) -> DataFrame:
@@ -45,7 +47,8 @@ def full_state(items: DataFrame, orders: DataFrame, options: Options, new_value:
     """new_value: whether flags tell the revenue of products new then, for which lines meet their product's first sale; no cube needs it."""
     lines = _by_order(O.base_items(_dealt(items, "order_id"), O.valid_orders(orders, options.rules), options.dedup_items))
     totals = O.order_totals(lines, options.new_product_days) if new_value else O.plain_totals(lines)
-    return State(lines, _by_order(O.flag_extremes(totals, options.extremes)))
+    flags = _by_order(O.flag_extremes(totals, options.extremes))
+    return State(lines, flags, O.with_extremes(lines, flags))
 
 
 def changed_orders(late_items: DataFrame, late_orders: DataFrame) -> DataFrame:
@@ -69,7 +72,8 @@ def refreshed(before: State, items: DataFrame, orders: DataFrame, changed: DataF
     changed = _small(changed)
     own = O.base_items(_dealt(_in(items, changed, "order_id"), "order_id"), O.valid_orders(_in(orders.withColumn("order_id", F.col("id")), changed, "order_id").drop("order_id"), options.rules), options.dedup_items)
     own = _by_order(own)
-    lines = _in(before.lines, changed, "order_id", "left_anti").unionByName(own)
+    others = lambda df: _in(df, changed, "order_id", "left_anti")
+    lines = others(before.lines).unionByName(own)
 
     plain = [c for c in before.flags.columns if c not in ("in_group", "is_extreme")]
     if "new_value" in plain:
@@ -97,14 +101,16 @@ def refreshed(before: State, items: DataFrame, orders: DataFrame, changed: DataF
     flipped = now.join(then, "order_id", "left").where("not (is_extreme <=> was)").select("order_id").union(changed).distinct()
     flipped = _small(flipped)
     weeks = reduce(DataFrame.union, [_in(df, flipped, "order_id").select(week_of(F.col("order_date")).alias("week")) for df in (before.lines, lines)]).distinct()
-    return State(lines, flags), settle(weeks)
+    newly = anew.select("order_id", F.col("is_extreme").alias("newly"))
+    marked = others(before.marked).join(newly, "order_id", "left").withColumn("is_extreme", F.coalesce("newly", "is_extreme")).drop("newly")
+    return State(lines, flags, marked.unionByName(O.with_extremes(own, anew))), settle(weeks)
 
 
 def cube_of(state: State, products: DataFrame, regions: DataFrame, kind: str, options: Options, weeks: DataFrame | None = None) -> DataFrame:
     """The weekly cube of all lines, or of those in `weeks`, a row for each of which is broadcast. Lines go by product once, without labels, and are
     labelled and summed where they lie."""
-    lines = state.lines if weeks is None else _in(state.lines.withColumn("week", week_of(F.col("order_date"))), F.broadcast(weeks), "week").drop("week")
-    lines = O.with_extremes(lines, state.flags).where(F.col("order_date") < F.lit(options.as_of)).select("order_id", "order_date", "product_id", "is_extreme", "has_professional", "origin", "state", "units", "list_price", "unit_price", "total_price")
+    lines = state.marked if weeks is None else _in(state.marked.withColumn("week", week_of(F.col("order_date"))), F.broadcast(weeks), "week").drop("week")
+    lines = lines.where(F.col("order_date") < F.lit(options.as_of)).select("order_id", "order_date", "product_id", "is_extreme", "has_professional", "origin", "state", "units", "list_price", "unit_price", "total_price")
     if "product_id" in C.KINDS[kind]:
         lines = _dealt(lines.drop(*[c for c in ("origin", "state") if c not in C.KINDS[kind]]), "product_id").withColumns({c: F.lit(None).cast("string") for c in ("origin", "state") if c not in C.KINDS[kind]})
     return C.weekly_cube(C.labelled_lines(lines, products, regions), kind, options.as_of)
